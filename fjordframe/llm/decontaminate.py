@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import batch
+from fjordframe.llm.common import batch, mapped
 from fjordframe.llm.textbytes import ALNUM, Words, cut, inside_texts, pieces, windows
 
 WINDOW, GRAM = 13, 5
@@ -165,7 +165,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
                     rows[r] = _verdict(None, int(n_words[r]), *found[r])
                 yield batch(_RESULT, [b["doc_id"].cast(pa.int64()), n_words, *map(list, zip(*(x[2:] for x in rows), strict=True))])
 
-    return docs.mapInArrow(judge, _RESULT_SQL)
+    return docs.transform(mapped, judge, _RESULT_SQL)
 
 
 def _prints(side: str, lengths: list[int]):
@@ -225,19 +225,19 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.withColumn("rid", F.monotonically_increasing_id())
     items = items.withColumn("rid", F.monotonically_increasing_id())
-    lengths = [r["k"] for r in items.mapInArrow(_item_lengths, "k long").distinct().collect()]  # 12 values at most
-    left = docs.select("rid", "text").mapInArrow(_prints("doc", lengths), "rid long, print long")
-    right = items.select("rid", "text").mapInArrow(_prints("item", lengths), "item_rid long, print long").distinct()
+    lengths = [r["k"] for r in items.transform(mapped, _item_lengths, "k long").distinct().collect()]  # 12 values at most
+    left = docs.select("rid", "text").transform(mapped, _prints("doc", lengths), "rid long, print long")
+    right = items.select("rid", "text").transform(mapped, _prints("item", lengths), "item_rid long, print long").distinct()
     pairs = left.join(right, "print").select("rid", "item_rid").distinct()
     texts = items.select(F.col("rid").alias("item_rid"), "item_id", F.col("text").alias("item_text"))
-    runs = pairs.join(texts, "item_rid").join(docs.select("rid", "text"), "rid").select("rid", "text", F.col("item_id").cast("long"), "item_text").mapInArrow(_extended, "rid long, item_id long, runs array<struct<a: long, b: long>>")
+    runs = pairs.join(texts, "item_rid").join(docs.select("rid", "text"), "rid").select("rid", "text", F.col("item_id").cast("long"), "item_text").transform(mapped, _extended, "rid long, item_id long, runs array<struct<a: long, b: long>>")
     covered = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("runs"))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
     )["n"]
     hits = runs.groupBy("rid").agg(covered.alias("n_hit"), F.collect_set("item_id").alias("ids"))
-    counts = docs.select("rid", "doc_id", "text").mapInArrow(_word_counts, "rid long, doc_id long, n_words long")
+    counts = docs.select("rid", "doc_id", "text").transform(mapped, _word_counts, "rid long, doc_id long, n_words long")
     out = counts.join(hits, "rid", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.llm.common import written
+from fjordframe.llm.common import mapped, written
 from fjordframe.llm.components import components
 from fjordframe.llm.textbytes import NOT_BLANK, cut, mixed, pieces, windows
 
@@ -123,10 +123,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, keys binary"), "sketches")
+    sketches = written(docs.transform(mapped, _sketch, "doc_id long, n_shingles long, s1 long, s2 long, keys binary"), "sketches")
     classes = written(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head")), "classes")
     heads = sketches.join(classes.select(F.col("head").alias("doc_id"), "s1", "s2", "n_shingles"), ["doc_id", "s1", "s2", "n_shingles"], "left_semi")
-    rows = heads.select("doc_id", "n_shingles", "keys").mapInArrow(_unpack, "bucket long, id long, n long")
+    rows = heads.select("doc_id", "n_shingles", "keys").transform(mapped, _unpack, "bucket long, id long, n long")
     # A head's own place in the order of centres is the hash of its id, the same in every bucket, so that the stars of one group share a centre.
     place = F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("n"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(place).alias("c")).where("size > 1")
@@ -137,12 +137,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = members.where("id <> centre").where(fits("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_full_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
+    sets = written(texts.transform(mapped, _full_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
         right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(_confirm, "a long, b long"), "links")
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").transform(mapped, _confirm, "a long, b long"), "links")
 
     links = confirmed(pairs)
     found = components(links)
