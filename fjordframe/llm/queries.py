@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fjordframe.llm import sql
 from fjordframe.llm.decontaminate import decontaminate
+from fjordframe.llm.lengths import length_histogram
 from fjordframe.llm.neardup import near_duplicates
+from fjordframe.llm.packing import packed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op3_decontaminate, op7_neardup)
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = (op3_decontaminate, op6_lengths, op7_neardup, op9_packing)
 
 
 def queries() -> dict:
