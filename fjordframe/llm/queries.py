@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordframe.llm import sql
+from fjordframe.llm.common import id_fold
+from fjordframe.llm.ctw import language_scores
 from fjordframe.llm.decontaminate import decontaminate
+from fjordframe.llm.langid import identify, language_profiles
 from fjordframe.llm.lengths import length_histogram
 from fjordframe.llm.neardup import near_duplicates
 from fjordframe.llm.packing import packed
+from fjordframe.llm.toxicity import toxicity_scores, trained
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +24,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_profiles(docs, id_fold("doc_id", 3) != 1)
+    held_out = F.coalesce(id_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", held_out, "text"), profiles).drop("text")
+
+
+def op5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"), id_fold("doc_id", 10) == 0)
+
+
 def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"))
 
@@ -28,12 +43,20 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = trained(docs, table(spark, sf_dir, "labels"), id_fold("doc_id", 5) != 0)
+    held_out = F.coalesce(id_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    scored = toxicity_scores(docs.select("doc_id", held_out, "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op3_decontaminate, op6_lengths, op7_neardup, op9_packing)
+QUERIES = (op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing)
 
 
 def queries() -> dict:
