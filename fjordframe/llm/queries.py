@@ -13,13 +13,27 @@ from fjordframe.llm.langid import identify, language_profiles
 from fjordframe.llm.lengths import length_histogram
 from fjordframe.llm.neardup import near_duplicates
 from fjordframe.llm.packing import packed
+from fjordframe.llm.pivotsearch import top_k
 from fjordframe.llm.toxicity import toxicity_scores, trained
+from fjordframe.llm.urlfilter import Rule, filtered
+from fjordframe.llm.warc import archived
+
+# The rules of the URL query.
+URL_RULES = [Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +70,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(spark, table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_urls, op2_topk, op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing, op10_warc)
 
 
 def queries() -> dict:
@@ -64,4 +82,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": sql.DECONTAMINATE, "op7_neardup": sql.NEARDUP}
+    return {
+        "op1_urls": sql.urls(URL_RULES),
+        "op2_topk": sql.TOP_K,
+        "op3_decontaminate": sql.DECONTAMINATE,
+        "op7_neardup": sql.NEARDUP,
+        "op10_warc": sql.WARC,
+    }

@@ -31,3 +31,46 @@ c AS (SELECT id, min(other) AS m FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id)::BIGINT AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 """
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s) WHERE rank <= 10
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: (('0x' || h[(i * 5) // 4 + 1])::INTEGER * 16 + coalesce(nullif('0x' || h[(i * 5) // 4 + 2], '0x'), '0x0')::INTEGER)) AS x FROM d)
+SELECT page_id, payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x[i + 1] >> (3 - (i * 5) % 4)) & 31) + 1]), '') AS payload_digest,
+CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM b
+"""
+
+
+def urls(rules: list) -> str:
+    """The URL query: rules by length, then PageRank of both kinds in unrolled steps over host links."""
+    from fjordframe.llm.urlfilter import DAMPING, THRESHOLD
+
+    steps = 30
+    order = sorted(rules, key=lambda r: -len(r.text))
+    fits = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in order)
+    verdict = " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in order)
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    ctes = [
+        f"p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        f"j AS (SELECT page_id, html, host, path, CASE {rule} END AS rule FROM p)",
+        f"k AS (SELECT *, CASE rule {verdict} END AS v FROM j)",
+        "s AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS share FROM (SELECT CASE v WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM k WHERE v IS NOT NULL AND host <> '' GROUP BY ALL))",
+        rf"""l AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)), {lower}) AS dst FROM p WHERE host <> '') WHERE src <> dst)""",
+        "e AS (SELECT 'trust' AS kind, src, dst FROM l UNION ALL SELECT 'distrust', dst, src FROM l)",
+        "w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY kind, src) AS part FROM e)",
+        "r0 AS (SELECT kind, host, share::DOUBLE AS rank FROM s)",
+    ]
+    for i in range(steps):
+        ctes.append(f"m{i} AS (SELECT w.kind, w.dst AS host, {DAMPING} * r.rank * w.part AS rank FROM r{i} r JOIN w ON r.kind = w.kind AND r.host = w.src)")
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT * FROM m{i} UNION ALL SELECT s.kind, s.host, s.share * (1 - coalesce(g.t, 0)) FROM s LEFT JOIN (SELECT kind, sum(rank) AS t FROM m{i} GROUP BY kind) g ON s.kind = g.kind) GROUP BY ALL)")
+    ctes.append(f"h AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r{steps} GROUP BY host)")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, k.host, path, rule, coalesce(v, CASE WHEN coalesce(d, 0) > {THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN h ON k.host = h.host"
