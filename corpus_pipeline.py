@@ -1,5 +1,65 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate and pack documents, stage by stage."""
-STAGES = []
+"""The corpus pipeline: documents are filtered, deduplicated, decontaminated and packed, stage by stage.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir), where docs is what the stage before kept.
+Every stage but the last returns rows of docs with all their columns. run() writes each result as Parquet into the
+shared folder and reads it again, so a lost executor costs one stage's work at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fjordframe.llm.common import id_fold, written
+from fjordframe.llm.decontaminate import clean
+from fjordframe.llm.langid import identify, language_profiles
+from fjordframe.llm.neardup import deduplicated
+from fjordframe.llm.packing import packed, piece_digests
+from fjordframe.llm.toxicity import toxicity_scores, trained
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 for toxicity; labels of the training folds teach the model."""
+    model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_fold("doc_id", 5) != 0)
+    return toxicity_scores(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+
+
+def check_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without a letter go, and those that are not in the language they declare."""
+    profiles = language_profiles(docs, id_fold("doc_id", 3) != 1)
+    found = identify(docs, profiles, ("_language", "_language_score"))
+    return found.where("_language <> 'und' AND _language = coalesce(lang, _language)").drop("_language", "_language_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold benchmark passages."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return piece_digests(packed(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", check_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Tokenizing, training and hashing have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

@@ -67,6 +67,11 @@ def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(f, schema)
 
 
+def with_columns(df: DataFrame, more: str) -> str:
+    """The schema of df as text, with more columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A record batch of the given schema from arrays, Arrow or numpy."""
     arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=t.type) for c, t in zip(columns, schema, strict=True)]

@@ -148,13 +148,38 @@ def _judge(benchmark: Benchmark, texts: pa.Array) -> tuple[np.ndarray, dict[int,
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words hit)."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").where("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    return _by_broadcast(docs, items) if size <= broadcast_bytes else _by_join(docs, items)
+    return _by_broadcast(docs, items) if _text_bytes(items) <= broadcast_bytes else _by_join(docs.withColumn("rid", F.monotonically_increasing_id()), items).drop("rid")
 
 
-def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    items = items.select("item_id", "text").where("text IS NOT NULL")
+    if _text_bytes(items) > broadcast_bytes:
+        marked = docs.withColumn("_fjordframe_rid", F.monotonically_increasing_id())
+        bad = _by_join(marked.select("doc_id", "text", F.col("_fjordframe_rid").alias("rid")), items).where("contaminated")
+        return marked.join(bad.select(F.col("rid").alias("_fjordframe_rid")), "_fjordframe_rid", "left_anti").drop("_fjordframe_rid")
+    shared = _shared(docs, items)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                n_words, found = _judge(shared.value, b["text"])
+                yield b.filter(pa.array([r not in found or 20 * found[r][0] < n_words[r] for r in range(b.num_rows)], pa.bool_()))
+
+    return docs.transform(mapped, keep, docs.schema)
+
+
+def _text_bytes(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+
+
+def _shared(docs: DataFrame, items: DataFrame):
     table = items.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(table["item_id"].to_pylist(), table["text"].combine_chunks()))
+    return docs.sparkSession.sparkContext.broadcast(Benchmark(table["item_id"].to_pylist(), table["text"].combine_chunks()))
+
+
+def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+    shared = _shared(docs, items)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -223,7 +248,6 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    docs = docs.withColumn("rid", F.monotonically_increasing_id())
     items = items.withColumn("rid", F.monotonically_increasing_id())
     lengths = [r["k"] for r in items.transform(mapped, _item_lengths, "k long").distinct().collect()]  # 12 values at most
     left = docs.select("rid", "text").transform(mapped, _prints("doc", lengths), "rid long, print long")
@@ -240,7 +264,7 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     counts = docs.select("rid", "doc_id", "text").transform(mapped, _word_counts, "rid long, doc_id long, n_words long")
     out = counts.join(hits, "rid", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
+        "rid", "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.col("ids").cast("array<string>")), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.llm.common import mapped
+from fjordframe.llm.common import mapped, with_columns
 from fjordframe.llm.textbytes import cut, pieces
 
 PROFILE, LONGEST = 300, 4
@@ -126,8 +126,8 @@ class Profiles:
         return names, scores
 
 
-def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """docs with lang_pred and score added; docs must have a text column and no column of those names."""
+def identify(docs: DataFrame, profiles: DataFrame, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score added, under names that docs does not have; docs must have a text column."""
     p = profiles.toArrow()  # PROFILE rows a language
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(p["lang"].to_numpy(zero_copy_only=False), p["gram"].to_numpy(), p["place"].to_numpy()))
 
@@ -135,7 +135,6 @@ def identify(docs: DataFrame, profiles: DataFrame) -> DataFrame:
         for whole in batches:
             for b in _slices(whole):
                 names, scores = shared.value.judge(b["text"])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, *columns])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.transform(mapped, judge, f"{schema}, lang_pred string, score double")
+    return docs.transform(mapped, judge, with_columns(docs, f"`{columns[0]}` string, `{columns[1]}` double"))

@@ -167,3 +167,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = named.join(found.select(F.col("id").alias("head"), "component"), "head", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each group, and all rows without an id."""
+    ids = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_fjordframe_id")).distinct()
+    with_id = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_fjordframe_id"))
+    # The join has dealt rows by id already; rows that repeat an id come down to one.
+    place = F.row_number().over(Window.partitionBy("_fjordframe_id").orderBy("text"))
+    one = with_id.withColumn("_fjordframe_place", place).where("_fjordframe_place = 1").drop("_fjordframe_id", "_fjordframe_place")
+    return one.unionByName(docs.where("doc_id IS NULL"))

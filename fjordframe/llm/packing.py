@@ -166,3 +166,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
             yield shard(doc_ids, parts, base)[0]
 
     return docs.select(F.col("doc_id").cast("long"), "text").transform(mapped, pack, _PIECES_SQL)
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with the CRC-32 of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

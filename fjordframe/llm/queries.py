@@ -12,7 +12,7 @@ from fjordframe.llm.decontaminate import decontaminate
 from fjordframe.llm.langid import identify, language_profiles
 from fjordframe.llm.lengths import length_histogram
 from fjordframe.llm.neardup import near_duplicates
-from fjordframe.llm.packing import packed
+from fjordframe.llm.packing import packed, piece_digests
 from fjordframe.llm.pivotsearch import top_k
 from fjordframe.llm.toxicity import toxicity_scores, trained
 from fjordframe.llm.urlfilter import Rule, filtered
@@ -66,8 +66,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packed(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return piece_digests(packed(table(spark, sf_dir, "documents")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import mapped, written
+from fjordframe.llm.common import mapped, with_columns, written
 from fjordframe.llm.textbytes import cut, mixed, pieces
 
 POSITIVES, UNLABELLED, FEATURES = 10_000, 20_000, 4096
@@ -184,14 +184,13 @@ def trained(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     return Model(wanted, *fit(rows, columns.flatten().to_numpy(), *kinds, prior, len(wanted)))
 
 
-def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score column added; docs must have a text column and none called score."""
+def toxicity_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs with a score added under a name that docs does not have; docs must have a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b["text"]))], names=[*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b["text"]))], names=[*b.schema.names, column])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.transform(mapped, judge, f"{schema}, score double")
+    return docs.transform(mapped, judge, with_columns(docs, f"`{column}` double"))
