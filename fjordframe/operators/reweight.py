@@ -90,3 +90,35 @@ def checkpoint_offsets(history: DataFrame, axis: Axis, beta: float, g: float, ga
     tops = carried.groupBy("cp").agg(F.max("v").alias("m"))
     sums = carried.join(tops, "cp").groupBy("cp", "m").agg(F.sum(F.exp(F.lit(beta * g) * (F.col("v") - F.col("m")))).alias("up"), F.sum(F.exp(F.lit(beta / (gamma - 1)) * (F.col("v") - F.col("m")))).alias("down"))
     return sums.select("cp", ((F.lit(beta * g) * F.col("m") + F.ln("up") - F.lit(beta / (gamma - 1)) * F.col("m") - F.ln("down")) / F.lit(beta)).alias("c"))
+
+
+def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axis, cuts: list[float], gamma: float, kbt: float, cutoff: float = 4.0) -> DataFrame:
+    """frames (t, x, ...) once for each cut-off at or after their time, with snap, f and w.
+
+    f is the surface of the hills up to the cut-off, read off by linear interpolation; w = exp(-(1 - 1/gamma) f / kT)
+    over the snapshot's maximum. Hills and frames are read once; snapshots differ in sums over slices between cuts.
+    """
+    slot = F.coalesce(*[F.when(F.col("t") <= F.lit(c), k) for k, c in enumerate(cuts)])
+    later = F.explode(F.sequence(F.col("s"), F.lit(len(cuts) - 1)))
+    cells = hill_cells(hills.withColumn("s", slot).where("s IS NOT NULL"), F.col("centre"), F.col("sigma"), F.col("height"), axis, cutoff, ["s"])
+    each = cells.groupBy("k", "s").agg(F.sum("g").alias("g")).withColumn("snap", later).groupBy("snap", "k").agg((-F.sum("g")).alias("f"))
+    grid = frames.sparkSession.range(axis.n + 1).select(F.col("id").cast("int").alias("k")).crossJoin(frames.sparkSession.range(len(cuts)).select(F.col("id").cast("int").alias("snap")))
+    dense = grid.join(each, ["snap", "k"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+    low = dense.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap")))
+    segments = low.alias("a").join(low.select("snap", (F.col("k") - 1).alias("k"), F.col("f").alias("_g")), ["snap", "k"]).select("snap", "k", "f", "_g")
+    place = F.least(F.greatest((F.col("x") - F.lit(float(axis.lo))) / F.lit(axis.step), F.lit(0.0)), F.lit(float(axis.n)))
+    rows = frames.withColumn("s", slot).where("s IS NOT NULL").withColumn("_p", place).withColumn("k", F.least(F.floor("_p"), F.lit(axis.n - 1)).cast("int")).withColumn("snap", later)
+    met = rows.join(F.broadcast(segments), ["snap", "k"]).withColumn("f", F.col("f") + (F.col("_g") - F.col("f")) * (F.col("_p") - F.col("k")))
+    met = met.withColumn("_e", -F.lit(1 - 1 / gamma) * F.col("f") / F.lit(kbt))
+    tops = met.groupBy("snap").agg(F.max("_e").alias("_m"))
+    return met.join(F.broadcast(tops), "snap").withColumn("w", F.exp(F.col("_e") - F.col("_m"))).drop("k", "s", "_p", "_g", "_e", "_m")
+
+
+def weighted_bundle(weighted: DataFrame, views: dict[str, tuple[Column, Axis]], kbt: float) -> DataFrame:
+    """(view, k, mean, std, n): each view's free energy per snapshot from one weighting, then mean and deviation over snapshots."""
+    binned = F.explode(F.array(*(F.struct(F.lit(name).alias("view"), a.index(x).alias("k")) for name, (x, a) in views.items())))
+    h = weighted.select("snap", "w", binned.alias("b")).select("snap", "b.view", "b.k", "w").where("k IS NOT NULL").groupBy("snap", "view", "k").agg(F.sum("w").alias("h"))
+    f = h.where("h > 0").withColumn("f", -F.lit(kbt) * F.ln("h"))
+    f = f.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap", "view")))
+    m = f.groupBy("view", "k").agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("std"), F.count("*").alias("n"))
+    return m.withColumn("mean", F.col("mean") - F.min("mean").over(Window.partitionBy("view")))

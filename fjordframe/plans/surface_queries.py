@@ -112,6 +112,33 @@ def basin_segments(spark, d):
     return B.basin_table(B.segmented(_grid(spark, d), 9.0, 1.0), 2.0)
 
 
+def snapshot_bundle(spark, d):
+    f = frames(spark, d).where("kind <> 'purchase'").select("t", "x", "y")
+    w = W.snapshot_weights(f, _hills(spark, d), HX, CUTS, GAMMA, 50.0)
+    return rounded(W.weighted_bundle(w, {"x": (F.col("x"), AX), "y": (F.col("y"), AY)}, 50.0))
+
+
+def pooled_widths(spark, d):
+    return rounded(W.pooled_widths(frames(spark, d), ["x", "y"], "t"))
+
+
+def minimum_drift(spark, d):
+    return rounded(E.minimum_drift(_surfaces(spark, d).withColumn("f", F.round("f", 6)), "k"))
+
+
+def extended_grid(spark, d):
+    whole = H.dense(_grid(spark, d), {"i": GX, "j": GY})
+    return G.extended(whole, (GX.n, GY.n))
+
+
+def masked_smooth(spark, d):
+    return rounded(G.masked_smoothed(H.dense(_grid(spark, d), {"i": GX, "j": GY}), "f", (GX.n, GY.n), (1.0, 1.0)))
+
+
+def visited_region(spark, d):
+    return rounded(G.visited_region(_walker_grid(spark, d), "mean", "std", "n", 1.6, 5, "walkers", 4)).select("i", "j", "mean", "reliable")
+
+
 _S = f"""s AS (SELECT k, t_snap.snap, f - min(f) OVER (PARTITION BY t_snap.snap) AS f FROM (
 SELECT snap, k, -{KBT}::DOUBLE * ln(sum(w)) AS f FROM (SELECT {AX.sql("x")} AS k, t, w FROM {FRAMES}) a JOIN (VALUES {", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(CUTS))}) c(snap, cut) ON t <= cut WHERE k IS NOT NULL GROUP BY 1, 2) t_snap)"""
 _MAD = "m AS (SELECT a.snap, CASE WHEN count(*) >= 4 THEN avg(abs(a.f - b.f)) END AS mad FROM s a JOIN s b ON a.snap = b.snap + 1 AND a.k = b.k GROUP BY 1)"
@@ -131,7 +158,7 @@ _HSQL = f"(SELECT t, x AS c FROM {FRAMES} WHERE kind = 'purchase')"
 _REACH = f"k BETWEEN round_even(c / {HX.step}::DOUBLE, 0) - ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE) AND round_even(c / {HX.step}::DOUBLE, 0) + ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE)"
 _BUMP = f"{HEIGHT}::DOUBLE * exp(-pow(k * {HX.step}::DOUBLE - c, 2) / (2 * {SIGMA}::DOUBLE * {SIGMA}::DOUBLE))"
 
-QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments)}
+QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region)}
 ORACLES = {
     "snapshot_mean_std": f"WITH {_S} SELECT k, {r('mean - min(mean) OVER ()', 'mean')}, {r('std', 'std')}, n FROM (SELECT k, avg(f) AS mean, stddev_pop(f) AS std, count(f) AS n FROM s GROUP BY k)",
     "snapshot_mad": f"WITH {_S}, {_MAD} SELECT snap, {r('mad', 'mad')} FROM m",
@@ -167,4 +194,23 @@ w AS (SELECT i, j, i AS ti, j AS tj FROM g UNION SELECT w.i, w.j, n.ti, n.tj FRO
 e AS (SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.i = w.ti AND n.j = w.tj)),
 m AS (SELECT g.i, g.j, row_number() OVER (ORDER BY f, g.i, g.j) AS label FROM g WHERE f < 9 AND NOT EXISTS (SELECT 1 FROM n WHERE n.i = g.i AND n.j = g.j))
 SELECT e.i, e.j, coalesce(label, 0)::INTEGER AS label FROM e LEFT JOIN m ON m.i = e.ti AND m.j = e.tj""",
+    "snapshot_bundle": f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(CUTS))}) c(snap, cut)),
+v AS (SELECT snap, gk.k, -sum({_BUMP}) AS f FROM {_HSQL} h JOIN c ON h.t <= c.cut, range({HX.n + 1}) gk(k) WHERE {_REACH} GROUP BY 1, 2),
+d AS (SELECT c.snap, gk.k::INTEGER AS k, coalesce(f, 0) AS f FROM c CROSS JOIN range({HX.n + 1}) gk(k) LEFT JOIN v ON v.snap = c.snap AND v.k = gk.k),
+z AS (SELECT snap, k, f - min(f) OVER (PARTITION BY snap) AS f, lead(f) OVER (PARTITION BY snap ORDER BY k) - min(f) OVER (PARTITION BY snap) AS g FROM d),
+f AS (SELECT t, x, y, least(greatest(x / {HX.step}::DOUBLE, 0), {HX.n}) AS p FROM {FRAMES} WHERE kind <> 'purchase'),
+e AS (SELECT c.snap, x, y, -{1 - 1 / GAMMA}::DOUBLE * (z.f + (z.g - z.f) * (p - z.k)) / 50.0::DOUBLE AS e FROM f JOIN c ON f.t <= c.cut JOIN z ON z.snap = c.snap AND z.k = least(floor(p), {HX.n - 1})),
+w AS (SELECT *, exp(e - max(e) OVER (PARTITION BY snap)) AS w FROM e),
+b AS (SELECT snap, 'x' AS view, {AX.sql("x")} AS k, w FROM w UNION ALL SELECT snap, 'y', {AY.sql("y")}, w FROM w),
+q AS (SELECT snap, view, k, -50.0::DOUBLE * ln(sum(w)) AS f FROM b WHERE k IS NOT NULL GROUP BY ALL),
+m AS (SELECT view, k, avg(f) AS mean, stddev_pop(f) AS std, count(*) AS n FROM (SELECT view, k, f - min(f) OVER (PARTITION BY snap, view) AS f FROM q) GROUP BY ALL)
+SELECT view, k, {r("mean - min(mean) OVER (PARTITION BY view)", "mean")}, {r("std", "std")}, n FROM m""",
+    "pooled_widths": f"SELECT {r('median(x)', 'x')}, {r('median(y)', 'y')}, {r('median(t)', 't')} FROM {FRAMES}",
+    "minimum_drift": f"WITH {_S} SELECT max(m) - min(m) AS drift FROM (SELECT snap, arg_min(k, (round(f, 6), k)) AS m FROM s WHERE snap > 2 * 4 / 3.0 GROUP BY snap)",
+    "extended_grid": f"""WITH g AS (SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, f FROM range({GX.n}) a(i), range({GY.n}) b(j) LEFT JOIN {_GRID} h ON h.i = a.i AND h.j = b.j)
+SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, f FROM range(-1, {GX.n + 1}) a(i), range(-1, {GY.n + 1}) b(j) JOIN g ON g.i = least(greatest(a.i, 0), {GX.n - 1}) AND g.j = least(greatest(b.j, 0), {GY.n - 1})""",
+    "masked_smooth": f"""WITH g AS (SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, f FROM range({GX.n}) a(i), range({GY.n}) b(j) LEFT JOIN {_GRID} h ON h.i = a.i AND h.j = b.j),
+w AS (SELECT d, exp(-0.5::DOUBLE * d * d) AS w FROM range(-4, 5) r(d))
+SELECT a.i, a.j, {r("CASE WHEN any_value(a.f) IS NOT NULL THEN sum(u.w * v.w * coalesce(b.f, 0)) / sum(u.w * v.w * (b.f IS NOT NULL)::INTEGER) END", "f")}
+FROM g a, w u, w v JOIN g b ON b.i = least(greatest(a.i + u.d, 0), {GX.n - 1}) AND b.j = least(greatest(a.j + v.d, 0), {GY.n - 1}) GROUP BY 1, 2""",
 }
