@@ -7,9 +7,10 @@ sequence that all documents share (optimal densification). A band of ROWS bins i
 
 Documents of equal sets are one node from the start. A bucket sends one edge per member to its centre, the member of
 least id hash, so pair counts stay linear in members; each edge is confirmed on the full sets, which hold all
-shingle hashes. Where a bucket still holds several components, further centres follow, twice as many in each round,
-tested against members of other components only, until every pair of the bucket is tested or joined: no link inside
-a bucket is lost, and no bucket is capped.
+shingle hashes. Buckets that still hold several components are then settled one by one: members are tested against
+those of other components, the smallest component first, until a link joins it or none is left to test. A bucket of
+more than PART members is cut into parts, and every two parts are settled by a task of their own, so that no task
+holds more than about 2 * PART sets. No link inside a bucket is lost, and no bucket is capped.
 
 Null or wordless texts have empty sets, link with nothing and are kept. A null id is no node: such rows come back
 unlinked, with a null component_id, and kept. Rows that repeat an id are one node; each comes back as a row.
@@ -33,6 +34,8 @@ from fjordframe.llm.textbytes import NOT_BLANK, cut, mixed, pieces, windows
 SHINGLE, BANDS, ROWS = 5, 48, 6
 BINS = BANDS * ROWS
 PERCENT = 75
+#: Members of a bucket that one part takes.
+PART = 1000
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +116,53 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b["ga"], b["gb"], strict=True):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = np.sort(np.concatenate([x, y]))
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * shared >= PERCENT * (len(both) - shared))
+            keep.append(_linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")))
         yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(keep, pa.bool_())), b["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= PERCENT * (len(both) - shared)
+
+
+def joined(labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (label, label) that join components of one group of sets; every pair that could is tested or joined."""
+    groups: dict[int, list[int]] = {}
+    for i, label in enumerate(labels):
+        groups.setdefault(label, []).append(i)
+    links = []
+    while len(groups) > 1:
+        least = min(groups, key=lambda g: (len(groups[g]), g))
+        own = groups.pop(least)
+        other = next((g for x in own for g, members in sorted(groups.items(), key=lambda g: -len(g[1])) for y in members if _linked(sets[x], sets[y])), None)
+        if other is not None:
+            groups[other] += own
+            links.append((least, other))
+    return links
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each group of rows; groups are (bucket, p, q) in a row."""
+    key, labels, sets = None, [], []
+
+    def settled() -> pa.RecordBatch:
+        links = joined(labels, sets)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        keys = zip(*(b[c].to_pylist() for c in ("bucket", "p", "q")), strict=True)
+        for k, label, grams in zip(keys, b["component"].to_pylist(), b["grams"], strict=True):
+            if k != key:
+                yield settled()
+                key, labels, sets = k, [], []
+            labels.append(label)
+            sets.append(np.frombuffer(grams.as_py(), "<u8"))
+    yield settled()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -146,26 +189,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = confirmed(pairs)
     found = components(links)
-    first, some = 1, 1
-    open_rows = members.where("size > 2").select("bucket", "id", "n")
-    while True:
-        labelled = open_rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        torn = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo < hi AND size > {first + 1 if first > 1 else 2}")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id"))
-        ranked = written(labelled.join(torn.select("bucket"), "bucket", "left_semi").withColumn("place", rank), "torn")
-        if ranked.isEmpty():
-            break
-        centres = ranked.where(F.col("place").between(first + 1, first + some)).select("bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("place").alias("ap"))
-        pairs = centres.join(ranked, "bucket").where("place > ap AND component <> ac").where(fits("n", "an")).select("a", F.col("id").alias("b")).distinct()
-        more = confirmed(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-        open_rows = ranked.select("bucket", "id", "n")
-        first, some = first + some, 2 * some
+    labelled = members.where("size > 2").select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Buckets of the same members, which the bands of one group often are, are settled once.
+    torn = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.hash("id").cast("long")).alias("s1"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("s2"))
+    torn = torn.where("lo < hi").groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket"))
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    rows = labelled.join(torn.select("bucket", parts.alias("parts")), "bucket")
+    own = F.pmod(F.hash("id", "bucket"), F.col("parts"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component").join(sets, "id")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = rows.repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "component", "grams")
+    bridges = components(groups.transform(mapped, _settle, "a long, b long")).select(F.col("id").alias("component"), F.col("component").alias("joint"))
     named = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
-    out = named.join(found.select(F.col("id").alias("head"), "component"), "head", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head", "doc_id"))
+    out = named.join(found.select(F.col("id").alias("head"), F.col("component").alias("star")), "head", "left")
+    out = out.withColumn("component", F.coalesce("star", "head", "doc_id")).join(bridges, "component", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("joint", "component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
