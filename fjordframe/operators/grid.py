@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from fjordframe.functions.binning import Axis
 from fjordframe.functions.lineage import cut
 
+#: Cells of a grid that the driver may walk.
+SMALL_GRID = 50_000
 #: The eight neighbours of a cell, in the order that breaks ties.
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -83,9 +85,24 @@ def extended(grid: DataFrame, n: tuple[int, int]) -> DataFrame:
     return rows
 
 
-def component_of(cells: DataFrame, seed: DataFrame) -> DataFrame:
-    """(i, j) of the 4-connected component of cells that holds the seed, by growing a frontier."""
+def component_of(cells: DataFrame, seed: DataFrame, small: int = SMALL_GRID) -> DataFrame:
+    """(i, j) of the 4-connected component of cells that holds the seed.
+
+    Up to `small` cells are walked on the driver; more are joined round by round, growing a frontier. Both give the
+    same cells.
+    """
     cells = cells.select("i", "j").distinct().transform(cut)
+    spark = cells.sparkSession
+    if cells.count() <= small:
+        left, todo = {tuple(r) for r in cells.collect()}, [tuple(r) for r in seed.select("i", "j").collect()]
+        todo = [c for c in todo if c in left]
+        reached = set(todo)
+        while todo:
+            i, j = todo.pop()
+            more = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & left - reached
+            reached |= more
+            todo += more
+        return spark.createDataFrame(sorted(reached), "i int, j int")
     found = seed.select("i", "j").join(cells, ["i", "j"], "left_semi").transform(cut)
     frontier = found
     around = F.explode(F.array(*(F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((-1, 0), (0, -1), (0, 1), (1, 0)))))

@@ -146,6 +146,8 @@ def test_component_region_and_smoothing(spark):
     g = spark.createDataFrame([(0, 0, 0.0, 1.0), (0, 1, 1.0, 1.0), (1, 1, 2.0, 1.0), (3, 3, 0.5, 0.1), (2, 2, 0.5, 9.0)], "i int, j int, m double, s double")
     got = {(i, j) for i, j, r in values(grid.reliable_region(g, "m", F.col("s") <= 2), "i", "j", "reliable") if r}
     assert got == {(0, 0), (0, 1), (1, 1)}
+    seed = g.where("m = 0")
+    assert {tuple(r) for r in grid.component_of(g, seed, small=0).collect()} == {tuple(r) for r in grid.component_of(g, seed).collect()} == {(0, 0), (0, 1), (1, 1)}
     line = spark.createDataFrame([(k, 1.0) for k in range(6)], "i int, f double")
     assert [v[0] for v in values(grid.gaussian_smoothed(line, "i", [], "f", 6, 1.0), "f")] == pytest.approx([1.0] * 6)
     holes = spark.createDataFrame([(i, j, 2.0 if (i, j) != (1, 1) else None) for i in range(3) for j in range(3)], "i int, j int, f double")
