@@ -154,6 +154,8 @@ _LERP = "CASE WHEN b IS NULL THEN fa ELSE fa + (fb - fa) * (x - a) / (b - a) END
 _GRID = f"(SELECT i, j, round(f - min(f) OVER (), 6) AS f FROM (SELECT {GX.sql('x')} AS i, {GY.sql('y')} AS j, -{KBT}::DOUBLE * ln(sum(w)) AS f FROM {FRAMES} GROUP BY 1, 2) WHERE i IS NOT NULL AND j IS NOT NULL)"
 _WGRID = f"""(SELECT i, j, round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS std FROM (SELECT walker, i, j, f - min(f) OVER (PARTITION BY walker) AS f FROM (
 SELECT walker, {GX.sql("x")} AS i, {GY.sql("y")} AS j, -{KBT}::DOUBLE * ln(sum(w)) AS f FROM {FRAMES} GROUP BY 1, 2, 3) WHERE i IS NOT NULL AND j IS NOT NULL) GROUP BY 1, 2)"""
+_VGRID = f"""(SELECT i, j, round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS std, sum(n) AS n, count(*) AS walkers FROM (SELECT walker, i, j, n, f - min(f) OVER (PARTITION BY walker) AS f FROM (
+SELECT walker, {GX.sql("x")} AS i, {GY.sql("y")} AS j, count(*) AS n, -{KBT}::DOUBLE * ln(sum(w)) AS f FROM {FRAMES} GROUP BY 1, 2, 3) WHERE i IS NOT NULL AND j IS NOT NULL) GROUP BY 1, 2)"""
 _HSQL = f"(SELECT t, x AS c FROM {FRAMES} WHERE kind = 'purchase')"
 _REACH = f"k BETWEEN round_even(c / {HX.step}::DOUBLE, 0) - ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE) AND round_even(c / {HX.step}::DOUBLE, 0) + ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE)"
 _BUMP = f"{HEIGHT}::DOUBLE * exp(-pow(k * {HX.step}::DOUBLE - c, 2) / (2 * {SIGMA}::DOUBLE * {SIGMA}::DOUBLE))"
@@ -213,4 +215,7 @@ SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, f FROM range(-1, {GX.n + 1}) a(i),
 w AS (SELECT d, exp(-0.5::DOUBLE * d * d) AS w FROM range(-4, 5) r(d))
 SELECT a.i, a.j, {r("CASE WHEN any_value(a.f) IS NOT NULL THEN sum(u.w * v.w * coalesce(b.f, 0)) / sum(u.w * v.w * (b.f IS NOT NULL)::INTEGER) END", "f")}
 FROM g a, w u, w v JOIN g b ON b.i = least(greatest(a.i + u.d, 0), {GX.n - 1}) AND b.j = least(greatest(a.j + v.d, 0), {GY.n - 1}) GROUP BY 1, 2""",
+    "visited_region": f"""WITH RECURSIVE g AS (SELECT * FROM {_VGRID}), ok AS (SELECT * FROM g WHERE std <= 1.6 AND n >= 5 AND walkers >= 4),
+reach AS (SELECT i, j FROM (SELECT i, j FROM ok ORDER BY mean, i, j LIMIT 1) UNION SELECT ok.i, ok.j FROM reach JOIN ok ON abs(ok.i - reach.i) + abs(ok.j - reach.j) = 1)
+SELECT g.i, g.j, CASE WHEN reach.i IS NOT NULL THEN {r("g.mean - (SELECT min(mean) FROM g JOIN reach USING (i, j))", "x").removesuffix(" AS x")} END AS mean, reach.i IS NOT NULL AS reliable FROM g LEFT JOIN reach ON g.i = reach.i AND g.j = reach.j""",
 }
