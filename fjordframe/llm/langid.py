@@ -65,7 +65,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at in range(0, whole.num_rows, _TEXTS):
-        yield from pieces(whole.slice(at, _TEXTS), "text", 3 << 20)
+        yield from pieces(whole.slice(at, _TEXTS), "text", 1 << 20)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

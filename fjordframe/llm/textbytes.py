@@ -66,7 +66,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def pieces(b: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(b: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes at most; a longer text comes alone."""
     _, bounds = flat(b.column(column))
     at = 0
