@@ -14,7 +14,7 @@ import pyarrow as pa
 from fjordframe.llm.textbytes import Words, flat
 
 #: Words that a process keeps with their ids before it starts anew.
-KEPT = 1_500_000
+KEPT = 300_000
 
 _BLANK, _OTHER, _LETTER, _NUMBER = 0, 1, 2, 3
 # The characters below U+0100 that are blanks, letters or numbers, as the pattern of the file has them.
