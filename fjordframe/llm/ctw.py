@@ -5,11 +5,12 @@ decisions; a decision's context is the bits before it in the byte and the DEPTH
 the context tree holds a Krichevsky-Trofimov estimate per decision, and a node's weighted probability is half its own
 estimate and half the product of its children's, so that the score mixes the estimates of all depths.
 
-Counts cover every byte of every training text: tasks count (context, byte) pairs on their own, one shuffle adds them
-up, and shorter contexts are sums over longer ones. The tree that goes to the executors has at most STATES contexts,
-those met most often over the whole corpus; a context outside of the tree belongs to a leaf that its longest suffix
-inside keeps for all such contexts together, so no count is lost. Model size is therefore bounded (about 1.5 KB a
-state) whatever the corpus holds.
+Counts cover every byte of every training text: tasks count (context, byte) pairs on their own and one shuffle adds
+them up. The tree holds every context of up to DEPTH bytes, so it grows with the corpus. No process holds it whole: all
+contexts that end in the same SPLIT bytes are one subtree and are weighted in one task; only what is above, at most
+256 ** (SPLIT - 1) contexts whatever the corpus holds, goes to the driver and back to the tasks. The result is a table
+with the log probability of every (context, byte) pair that any text has; held-out texts add their pairs to it with a
+count of zero. The HEAD_GRAMS most frequent pairs go to the executors; all others are joined by a shuffle.
 
 The word base line needs each word's count. The HEAD most frequent words go to the executors; all other words are
 joined with their counts by a shuffle, where no word of the training texts can be hot. Words are known by 64-bit hash.
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from fjordframe.llm.common import mapped, most_frequent, written
 from fjordframe.llm.textbytes import NOT_BLANK, cut, pieces
 
-DEPTH, STATES, HEAD = 5, 49_152, 1 << 18
+DEPTH, SPLIT, HEAD, HEAD_GRAMS = 5, 3, 1 << 18, 1 << 20
 END_BYTE = 0x0A
 #: The key of the end token; a word's hash is as unlikely to equal it as any other.
 END_KEY = np.uint64(0x27D4EB2F165667C5)
-_GRAM, _WORD = 0, 1
-#: Distinct keys that a task holds before it hands them on.
-_HELD = 3_000_000
+_GRAM, _WORD, _AWAY = 0, 1, 2
+#: Distinct keys that a task holds before it hands them on, and (context, byte) pairs that are weighted at once.
+_HELD, _BLOCK = 3_000_000, 200_000
 
 
 def normal_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
@@ -73,29 +74,39 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+def _grams(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The DEPTH + 1 bytes up to each byte of the texts, the last byte lowest."""
+    scored = np.zeros(len(data) + 1, np.int8)
+    scored[begins], scored[stops] = 1, -1
+    wide = data.astype(np.uint64)
+    key = wide.copy()
+    for d in range(1, DEPTH + 1):
+        key[d:] |= wide[:-d] << np.uint64(8 * d)
+    return key[np.cumsum(scored[:-1]) > 0]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): byte runs of DEPTH + 1 and words of the texts, counted by this task."""
-    held: dict[int, list] = {_GRAM: [], _WORD: []}
+    """(kind, key, n, m): byte runs of DEPTH + 1 and words of the training texts, counted by this task; m counts the byte
+    runs of held-out texts too."""
+    held: dict[int, list] = {_GRAM: [], _WORD: [], _AWAY: []}
 
     def emit(kind: int) -> Iterator[pa.RecordBatch]:
         keys, counts = _summed(*map(np.concatenate, zip(*held[kind], strict=True)))
         for at in range(0, len(keys), 100_000):
-            k, c = keys[at : at + 100_000], counts[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(c)], names=["kind", "key", "n"])
+            k, m = keys[at : at + 100_000], counts[at : at + 100_000]
+            n, of = (m * 0, _GRAM) if kind == _AWAY else (m, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), of, np.int8)), pa.array(k.view(np.int64)), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
         held[kind] = []
 
     for whole in batches:
-        for b in pieces(whole, "text", 2 << 20):
+        away = whole["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        for b, gram in ((b, gram) for gram, rows in ((_GRAM, ~away), (_AWAY, away)) if rows.any() for b in pieces(whole.filter(pa.array(rows)), "text", 2 << 20)):
             data, begins, stops, words = normal_bytes(b["text"])
-            scored = np.zeros(len(data) + 1, np.int8)
-            scored[begins], scored[stops] = 1, -1
-            wide = data.astype(np.uint64)
-            key = wide.copy()
-            for d in range(1, DEPTH + 1):
-                key[d:] |= wide[:-d] << np.uint64(8 * d)
-            hashes = np.concatenate([words.hashes(), np.full(b.num_rows, END_KEY)])
-            for kind, found in ((_GRAM, key[np.cumsum(scored[:-1]) > 0]), (_WORD, hashes)):
-                held[kind].append(np.unique(found, return_counts=True))
+            found = {gram: _grams(data, begins, stops)}
+            if gram == _GRAM:
+                found[_WORD] = np.concatenate([words.hashes(), np.full(b.num_rows, END_KEY)])
+            for kind, keys in found.items():
+                held[kind].append(np.unique(keys, return_counts=True))
                 if len(held[kind]) > 8:
                     held[kind] = [_summed(*map(np.concatenate, zip(*held[kind], strict=True)))]
                 if sum(len(k) for k, _ in held[kind]) > _HELD:
@@ -148,7 +159,8 @@ def _log_estimate(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The weighted context tree as two tables: next state by (state, byte), and log10 probability of (state, byte)."""
+    """The weighted context tree over any chosen contexts, in memory: next state by (state, byte), and log10 probability
+    of (state, byte). language_scores() does not need it; it is what the tables are held against."""
 
     def __init__(self, contexts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """contexts[d]: sorted packed contexts of d bytes, closed under dropping first or last bytes.
@@ -157,7 +169,7 @@ class Tree:
         total = int(base[-1])
         find = lambda d, x: base[d] + np.searchsorted(contexts[d], x)
         above = [np.zeros(1, np.int64)] + [find(d - 1, c & ((1 << 8 * (d - 1)) - 1)) for d, c in enumerate(contexts) if d]
-        self.next = np.zeros((total, 256), np.uint16)
+        self.next = np.zeros((total, 256), np.uint32)
         for d in range(len(contexts)):
             own = slice(base[d], base[d + 1])
             if d:
@@ -232,48 +244,135 @@ class Tree:
         """log10 probability and bytes of each text's normal form, and its words."""
         data, begins, stops, words = normal_bytes(texts)
         step, at = self.next.reshape(-1), data.astype(np.int32)
-        state = np.zeros(len(data), np.uint16)
+        state = np.zeros(len(data), np.uint32)
         for _ in range(DEPTH):
-            state[1:] = step[state[:-1].astype(np.int32) * 256 + at[1:]]
+            state[1:] = step[state[:-1].astype(np.int64) * 256 + at[1:]]
             state[0] = step[at[0]]
         cost = np.zeros(len(data) + 1)
-        np.cumsum(self.logp.reshape(-1)[state[:-1].astype(np.int32) * 256 + at[1:]], out=cost[2:], dtype=np.float64)
+        np.cumsum(self.logp.reshape(-1)[state[:-1].astype(np.int64) * 256 + at[1:]], out=cost[2:], dtype=np.float64)
         return cost[stops] - cost[begins], stops - begins, words
 
 
-def grown_tree(grams: DataFrame) -> Tree:
-    """The tree over (key, n), the counts of DEPTH + 1 bytes, the last byte lowest."""
-    level, levels = grams, [grams]
-    for d in range(DEPTH - 1, -1, -1):
-        level = written(level.groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")), "grams")
-        levels.insert(0, level)
-    met = [lv.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(d)) for d, lv in enumerate(levels) if d]
-    union = met[0]
-    for m in met[1:]:
-        union = union.unionByName(m)
-    chosen = written(most_frequent(written(union, "met"), STATES - 1), "contexts")
-    found = chosen.toArrow()
-    depth, context = found["depth"].to_numpy(), found["context"].to_numpy()
-    contexts = [np.zeros(1, np.int64)] + [np.sort(context[depth == d]) for d in range(1, DEPTH + 1)]
-    counts = []
-    for d, lv in enumerate(levels):
-        rows = lv.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte"), "n")
-        if d:
-            rows = rows.join(F.broadcast(chosen.where(F.col("depth") == d).select("context")), "context", "left_semi")  # at most STATES rows
-        t = rows.toArrow()
-        counts.append((t["context"].to_numpy(), t["byte"].to_numpy(), t["n"].to_numpy()))
-    return Tree(contexts, counts)
+class _Level:
+    """The nodes (context, decision) of one depth, sorted, with the zeros and ones seen there."""
+
+    def __init__(self, nodes: np.ndarray, zero: np.ndarray, one: np.ndarray):
+        self.nodes, self.zero, self.one = nodes, zero, one
+        self.alone = _log_estimate(zero, one)
+        self.weighted, self.stop, self.parent = self.alone, np.ones(len(nodes)), np.zeros(0, np.int64)
+
+    def above(self, depth: int) -> _Level:
+        """The level of contexts of depth bytes, one less than here."""
+        nodes, self.parent = np.unique((self.nodes >> 8 & (1 << 8 * depth) - 1) << 8 | self.nodes & 255, return_inverse=True)
+        add = lambda x: np.bincount(self.parent, x, len(nodes))
+        level = _Level(nodes, add(self.zero), add(self.one))
+        level.mix(add(self.weighted))
+        return level
+
+    def mix(self, below: np.ndarray) -> None:
+        """Weight the own estimate with the product of longer contexts (its log)."""
+        self.weighted = np.logaddexp(self.alone, below) - np.log(2)
+        self.stop = 0.5 * np.exp(self.alone - self.weighted)
+
+    def passed(self, left: np.ndarray, mixed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """What is left to longer contexts, and the probabilities of 0 and 1 mixed so far, from those of each node's parent.
+
+        Both outcomes are mixed on their own, so that a probability next to 1 leaves its complement exact.
+        """
+        here = left * self.stop
+        return left * (1 - self.stop), tuple(m + here * _estimate((self.zero, self.one), k) for k, m in enumerate(mixed))
+
+
+def _subtree(key: np.ndarray, n: np.ndarray, k: int) -> tuple[list[_Level], np.ndarray, np.ndarray]:
+    """Levels SPLIT to DEPTH of whole subtrees at bit k of the byte; each pair's node at the last level, and its bit."""
+    byte = key & 255
+    bit = byte >> 7 - k & 1
+    nodes, at = np.unique(key >> 8 << 8 | 1 << k | byte >> 8 - k, return_inverse=True)
+    levels = [_Level(nodes, np.bincount(at, n * (1 - bit), len(nodes)), np.bincount(at, n * bit, len(nodes)))]
+    for d in range(DEPTH - 1, SPLIT - 1, -1):
+        levels.insert(0, levels[0].above(d))
+    return levels, at, bit
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, n, m) of whole subtrees from rows in the order of their contexts' last SPLIT bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append([b[c].to_numpy() for c in ("key", "n", "m")])
+        size += b.num_rows
+        if size >= _BLOCK:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            end = columns[0] >> 8 & (1 << 8 * SPLIT) - 1
+            last = int(np.searchsorted(end, end[-1]))
+            if last:
+                yield tuple(c[:last] for c in columns)
+            held, size = [[c[last:] for c in columns]], len(end) - last
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, zero, one, below): counts and log weighted probability of the subtrees under nodes of SPLIT - 1 bytes."""
+    for key, n, _ in _blocks(batches):
+        for k in range(8):
+            top = _subtree(key, n, k)[0][0]
+            nodes, at = np.unique((top.nodes >> 8 & (1 << 8 * (SPLIT - 1)) - 1) << 8 | top.nodes & 255, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(np.bincount(at, x, len(nodes))) for x in (top.zero, top.one, top.weighted))], names=["node", "zero", "one", "below"])
+
+
+class Crown:
+    """Nodes of SPLIT - 1 bytes: what they leave to longer contexts, and the probabilities mixed up to them."""
+
+    def __init__(self, nodes: np.ndarray, zero: np.ndarray, one: np.ndarray, below: np.ndarray):
+        order = np.argsort(nodes)
+        levels = [_Level(nodes[order], zero[order], one[order])]
+        levels[0].mix(below[order])
+        for d in range(SPLIT - 2, -1, -1):
+            levels.insert(0, levels[0].above(d))
+        left, mixed = np.ones(len(levels[0].nodes)), (np.zeros(len(levels[0].nodes)),) * 2
+        for level, lower in zip(levels, [*levels[1:], None], strict=True):
+            left, mixed = level.passed(left, mixed)
+            if lower:
+                left, mixed = left[lower.parent], tuple(m[lower.parent] for m in mixed)
+        self.nodes, self.left, self.mixed = levels[-1].nodes, left, mixed
+
+    def resolve(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, n, logp): log10 probability of each pair's byte after its context; n is how often texts have the pair."""
+        for key, n, m in _blocks(batches):
+            logp = np.zeros(len(key))
+            for k in range(8):
+                levels, at, bit = _subtree(key, n, k)
+                top = levels[0].nodes
+                up = np.searchsorted(self.nodes, (top >> 8 & (1 << 8 * (SPLIT - 1)) - 1) << 8 | top & 255)
+                left, mixed = self.left[up], tuple(x[up] for x in self.mixed)
+                for level, lower in zip(levels, [*levels[1:], None], strict=True):
+                    left, mixed = level.passed(left, mixed)
+                    to = lower.parent if lower else at
+                    left, mixed = left[to], tuple(x[to] for x in mixed)
+                logp += np.log10(np.where(bit == 1, mixed[1], mixed[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(m), pa.array(logp)], names=["key", "n", "logp"])
+
+
+def pair_scores(grams: DataFrame) -> DataFrame:
+    """(key, n, logp) of every pair in grams (key, n, m): the full tree is that of the counts n; the result's n is m."""
+    end = F.shiftright("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1)
+    subtrees = grams.select("key", "n", "m").repartition(end).sortWithinPartitions(end)
+    tops = subtrees.transform(mapped, _weigh, "node long, zero double, one double, below double")
+    # At most 256 ** (SPLIT - 1) contexts of 255 nodes each.
+    top = tops.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zero", "one", "below"))).toArrow()
+    crown = grams.sparkSession.sparkContext.broadcast(Crown(*(top[c].to_numpy() for c in ("node", "zero", "one", "below"))))
+    return written(subtrees.transform(mapped, lambda batches: crown.value.resolve(batches), "key long, n long, logp double"), "pairs")
 
 
 class _Head:
-    """Counts of the most frequent words, by hash."""
+    """Logarithms of the most frequent words or byte runs, by key."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.logs = keys[order], np.log10(counts[order] + 0.1)
+        self.keys, self.logs = keys[order], logs[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are here, and log10 of count + 0.1 where they are."""
+        """Which keys are here, and their logarithms where they are."""
         if not len(self.keys):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
@@ -281,24 +380,36 @@ class _Head:
         return here, np.where(here, self.logs[at], 0.0)
 
 
+def _lists(of: np.ndarray, keys: np.ndarray, n: int) -> pa.Array:
+    """The keys of each of n rows as a list; of: the row of each key, in order."""
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])), pa.array(keys.view(np.int64))).cast(pa.list_(pa.int64()))
+
+
 def language_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """One row per document: n_tokens, n_known, train_tokens, base_score, score and bits_per_byte; held_out rows do not train."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = docs.where("NOT held_out").select("text").transform(mapped, _count, "kind byte, key long, n long")
-    counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counted = docs.select("text", "held_out").transform(mapped, _count, "kind byte, key long, n long, m long")
+    counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
     words = counts.where(f"kind = {_WORD}").select("key", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     head_rows = most_frequent(words, HEAD).toArrow()
-    head = spark.sparkContext.broadcast(_Head(head_rows["key"].to_numpy().view(np.uint64), head_rows["n"].to_numpy()))
-    tree = spark.sparkContext.broadcast(grown_tree(counts.where(f"kind = {_GRAM}").select("key", "n")))
+    head = spark.sparkContext.broadcast(_Head(head_rows["key"].to_numpy().view(np.uint64), np.log10(head_rows["n"].to_numpy() + 0.1)))
+    pairs = pair_scores(counts.where(f"kind = {_GRAM}"))
+    pair_rows = most_frequent(pairs, HEAD_GRAMS).toArrow()
+    often = spark.sparkContext.broadcast(_Head(pair_rows["key"].to_numpy().view(np.uint64), pair_rows["logp"].to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in pieces(whole, "text"):
                 n = b.num_rows
-                scores, sizes, words = tree.value.scores(b["text"])
+                data, begins, stops, words = normal_bytes(b["text"])
+                keys, sizes = _grams(data, begins, stops), stops - begins
+                distinct, at = np.unique(keys, return_inverse=True)
+                found, logp = often.value.find(distinct)
+                byte_rows, rare = np.repeat(np.arange(n), sizes), ~found[at]
+                scores = np.bincount(byte_rows, logp[at], n)
                 hashes, rows = words.hashes(), words.rows()
                 here, logs = head.value.find(hashes)
                 end_here, end_log = head.value.find(np.array([END_KEY]))
@@ -307,20 +418,22 @@ def language_scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 away = np.append(hashes[~here], np.repeat(END_KEY, 0 if end_here[0] else n))
                 of = np.append(rows[~here], np.arange(0 if end_here[0] else n))
                 order = np.argsort(of, kind="stable")
-                tail = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])), pa.array(away[order].view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid + np.arange(n)), b["doc_id"], b["held_out"], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(scores), pa.array(sizes), tail],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail"],
+                    [pa.array(rid + np.arange(n)), b["doc_id"], b["held_out"], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(scores), pa.array(sizes), _lists(of, away[order], n), _lists(byte_rows[rare], keys[rare], n)],
+                    names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail", "rare"],
                 )
                 rid += n
 
-    kind = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, tail array<long>"
+    kind = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, tail array<long>, rare array<long>"
     rows = written(docs.transform(mapped, score, kind), "scores")
     tails = rows.select("rid", F.explode("tail").alias("key")).join(words, "key", "left")
     sums = tails.groupBy("rid").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_base"))
+    # Every pair of every text is in the table.
+    rare = rows.select("rid", F.explode("rare").alias("key")).join(pairs.select("key", "logp"), "key").groupBy("rid").agg(F.sum("logp").alias("rare_score"))
     norm = float(np.log10(totals["n"] + 0.1 * (totals["v"] + 1)))
-    return rows.drop("tail").join(sums, "rid", "left").select(
+    total = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
+    return rows.drop("tail", "rare").join(sums, "rid", "left").join(rare, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(totals["n"])).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        total.alias("score"), (-total * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -117,3 +117,25 @@ def test_no_training_text(spark):
     r = ctw.language_scores(df, F.lit(True)).first()
     assert abs(r["bits_per_byte"] - 8) < 1e-5 and r["n_known"] == 0 and r["train_tokens"] == 0
     assert ctw.language_scores(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_every_context_of_a_large_tree_counts(spark, monkeypatch):
+    """Far over 49,152 contexts: the scores are those of the tree of all contexts, in memory, with few or no frequent pairs."""
+    rng = np.random.default_rng(11)
+    docs = [(i, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(300)), "en", "s", None) for i in range(15)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    held = id_fold("doc_id", 10) == 0
+    data, begins, stops, _ = ctw.normal_bytes(pa.array([t for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 10]))
+    key, n = np.unique([int.from_bytes(bytes(data[i - ctw.DEPTH : i + 1]), "big") for a, b in zip(begins, stops, strict=True) for i in range(a, b)], return_counts=True)
+    levels = []
+    for d in range(ctw.DEPTH + 1):
+        of, at = np.unique(key & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels.append((of >> 8, of & 255, np.bincount(at, n).astype(np.int64)))
+    contexts = [np.unique(c) for c, _, _ in levels]
+    assert sum(map(len, contexts)) > 50_000
+    tree = ctw.Tree(contexts, levels)
+    want = dict(zip((i for i, *_ in docs), tree.scores(pa.array([t for _, t, *_ in docs]))[0], strict=True))
+    for most in (1 << 20, 3000):
+        monkeypatch.setattr(ctw, "HEAD_GRAMS", most, raising=False)
+        got = {r["doc_id"]: r["score"] for r in ctw.language_scores(df, held).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 * abs(want[i]) for i in got)
