@@ -5,9 +5,11 @@ prior p (the toxic share of the labelled training rows) its risk is p E+[loss(1)
 unlabelled texts stand for negatives after the positives among them are taken out, and the part in max() never
 counts below zero; while it would, steps go against it.
 
-Features are words, and one, two or three different words that begin with the same 4, 5 or 6 bytes. The FEATURES of
-them are taken that tell positives from unlabelled texts best. Training reads at most about POSITIVES and UNLABELLED texts, chosen by a hash of
-their id; where there are fewer, all. Every text is scored whole.
+Features are words, and one, two or three different words that begin with the same 4, 5 or 6 bytes. All of them are
+taken that LEAST_COUNT positives have and that unlabelled texts have less often than chance explains; how rare or how
+impure a feature is does not matter, the risk and its ridge penalty weigh it. Training reads at most about POSITIVES
+and UNLABELLED texts, chosen by a hash of their id; where there are fewer, all. That bounds the features too. Every text
+is scored whole.
 
 A null or wordless text gets the score of no feature present. Rows without an id are scored, not learned from. A
 document with several labels counts as toxic if one says so; null labels are none. With no positive or no unlabelled
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 from fjordframe.llm.common import mapped, with_columns, written
 from fjordframe.llm.textbytes import cut, mixed, pieces
 
-POSITIVES, UNLABELLED, FEATURES = 10_000, 20_000, 4096
+POSITIVES, UNLABELLED = 10_000, 20_000
 BEGINNINGS, MOST_WORDS = (4, 5, 6), 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-4
-#: A feature's least share of positives; unlabelled texts that have it, against those expected if all were toxic; and
-#: their distance from what chance would give, in deviations.
-LEAST_SHARE, MOST_CLEAN, LEAST_DEVIATION = 0.02, 1.5, 6.0
+#: Positives that have a feature, at least; and the distance of the unlabelled texts that have it from what chance
+#: would give, in deviations.
+LEAST_COUNT, LEAST_DEVIATION = 4, 6.0
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -171,12 +173,9 @@ def trained(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
     if not n_positive or not n_unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     tally = drawn.transform(mapped, _tally, "feature long, positives long, unlabelled long").groupBy("feature").agg(F.sum("positives").alias("p"), F.sum("unlabelled").alias("u"))
-    ratio = F.log((F.col("p") / n_positive) / ((F.col("u") + 1) / n_unlabelled))
     neutral = F.col("p") * n_unlabelled / n_positive  # unlabelled texts that would have a feature unrelated to toxicity
-    pure = F.col("u") <= MOST_CLEAN * prior * neutral
-    telling = (F.col("p") >= max(4, LEAST_SHARE * n_positive)) & pure & (neutral - F.col("u") >= LEAST_DEVIATION * F.sqrt(neutral))
-    picked = tally.where(telling).withColumn("ratio", ratio).orderBy(F.desc(F.col("p") * F.col("ratio")), "feature").limit(FEATURES)
-    wanted = np.sort(picked.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
+    telling = (F.col("p") >= LEAST_COUNT) & (neutral - F.col("u") >= LEAST_DEVIATION * F.sqrt(neutral))
+    wanted = np.sort(tally.where(telling).select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
     table = drawn.transform(mapped, _chosen(wanted), "positive boolean, unlabelled boolean, columns array<int>").toArrow()
     columns = table["columns"].combine_chunks()
     rows = np.repeat(np.arange(len(columns)), np.diff(columns.offsets.to_numpy()))

@@ -88,6 +88,27 @@ def test_toxicity_on_held_out_texts(spark):
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 8 == 0) for r in held]) > 0.97
 
 
+def test_toxicity_by_rare_and_by_mixed_words(spark):
+    """At a prior of 5 %: words that each occur in about 1 % of toxic texts, and words that clean texts have too."""
+    rng = random.Random(17)
+    coined = lambda k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(k)]
+    rare, mixed = coined(130), coined(6)
+    docs, labels = [], []
+    for i in range(12_000):
+        words = prose(rng, 12).split() + [w for w in mixed if rng.random() < 0.04]
+        if i % 20 == 0:
+            words += rng.sample(rare, 3) if i % 40 else rng.sample(mixed, 4)
+        rng.shuffle(words)
+        docs.append((i, " ".join(words), "en", "s", None))
+        labels.append((i, 1, int(i % 20 == 0)))
+    d, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.trained(d, lab, id_fold("doc_id", 5) != 0)
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.toxicity_scores(d.select("doc_id", "text"), model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    share = lambda ids: np.mean([got[i] for i in ids])
+    seen = share([i for i in got if i % 40 == 20]), share([i for i in got if i % 40 == 0]), share([i for i in got if i % 20])
+    assert seen[0] > 0.6 and seen[1] > 0.8 and seen[2] < 0.02, seen
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame(documents(5), SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
