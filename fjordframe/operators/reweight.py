@@ -1,10 +1,17 @@
 """Bias reweighting: final-bias weights, kernel sums over deposited hills, and time-dependent weights.
 
 kbt has no default anywhere: it belongs to the data. height_scale multiplies hill heights (1.0 takes them as stored).
+
+Hill operators take one axis with plain columns, or a list of axes with array columns (centre, sigma and x, as
+read_hills gives them). A hill is the product of its kernels, frames are read off multilinearly, and k is the place of
+a grid point in row-major order, points being lo + step * 0..n on each axis.
 """
 
 from __future__ import annotations
 
+from itertools import product
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,19 +30,48 @@ def final_bias_weights(frames: DataFrame, f: Column, gamma: float, kbt: float, o
     return rows.crossJoin(F.broadcast(top)).withColumn(out, F.coalesce(F.exp(F.col("_e") - F.col("_m")), F.lit(0.0))).drop("_e", "_m")
 
 
-def hill_cells(hills: DataFrame, centre: Column, sigma: Column, height: Column, axis: Axis, cutoff: float = 4.0, extra: list[str] | None = None) -> DataFrame:
-    """(k, g, *extra): what each hill adds to the grid points within cutoff sigmas of it; points are lo + k * step, k = 0..n."""
-    step, lo = F.lit(axis.step), F.lit(float(axis.lo))
-    reach = F.ceil(F.lit(cutoff) * F.col("_s") / step)
-    near = F.rint((F.col("_c") - lo) / step)
-    rows = hills.select(centre.alias("_c"), sigma.alias("_s"), height.alias("_h"), *(extra or []))
-    first, last = F.greatest(near - reach, F.lit(0)).cast("int"), F.least(near + reach, F.lit(axis.n)).cast("int")
-    spread = rows.withColumn("_lo", first).withColumn("_hi", last).where("_lo <= _hi").withColumn("k", F.explode(F.sequence("_lo", "_hi")))
-    delta = F.col("k") * step + lo - F.col("_c")
-    return spread.select("k", (F.col("_h") * F.exp(-delta * delta / (2 * F.col("_s") * F.col("_s")))).alias("g"), *(extra or []))
+Axes = Axis | list[Axis]
+
+
+def _points(axis: Axes) -> int:
+    return prod(a.n + 1 for a in axis) if isinstance(axis, list) else axis.n + 1
+
+
+def _parts(c: Column, axis: Axes) -> list[tuple[Column, Axis]]:
+    """The column of each axis."""
+    return [(c[d], a) for d, a in enumerate(axis)] if isinstance(axis, list) else [(c, axis)]
+
+
+def _corners(x: Column, axis: Axes) -> list[tuple[Column, Column]]:
+    """(k, part) of the grid points around x, clamped to the axes: parts are the weights of multilinear interpolation."""
+    sides = []
+    for c, a in _parts(x, axis):
+        place = F.least(F.greatest((c - F.lit(float(a.lo))) / F.lit(a.step), F.lit(0.0)), F.lit(float(a.n)))
+        low = F.least(F.floor(place), F.lit(a.n - 1)).cast("int")
+        sides.append([(low, 1 - (place - low), a.n + 1), (low + 1, place - low, a.n + 1)])
+    out = []
+    for corner in product(*sides):
+        k, part = F.lit(0), F.lit(1.0)
+        for at, share, n in corner:
+            k, part = k * n + at, part * share
+        out.append((k.cast("int"), part))
+    return out
+
+
+def hill_cells(hills: DataFrame, centre: Column, sigma: Column, height: Column, axis: Axes, cutoff: float = 4.0, extra: list[str] | None = None) -> DataFrame:
+    """(k, g, *extra): what each hill adds to the grid points within cutoff sigmas of it on every axis."""
+    rows = hills.select(centre.alias("_c"), sigma.alias("_s"), height.alias("g"), F.lit(0).alias("k"), *(extra or []))
+    for (c, a), (w, _) in zip(_parts(F.col("_c"), axis), _parts(F.col("_s"), axis), strict=True):
+        step, lo = F.lit(a.step), F.lit(float(a.lo))
+        reach, near = F.ceil(F.lit(cutoff) * w / step), F.rint((c - lo) / step)
+        first, last = F.greatest(near - reach, F.lit(0)).cast("int"), F.least(near + reach, F.lit(a.n)).cast("int")
+        spread = rows.withColumn("_lo", first).withColumn("_hi", last).where("_lo <= _hi").withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
+        delta = F.col("_k") * step + lo - c
+        rows = spread.withColumn("g", F.col("g") * F.exp(-delta * delta / (2 * w * w))).withColumn("k", (F.col("k") * (a.n + 1) + F.col("_k")).cast("int")).drop("_lo", "_hi", "_k")
+    return rows.select("k", "g", *(extra or []))
 
 
-def hill_surface(hills: DataFrame, centre: Column, sigma: Column, height: Column, axis: Axis, cutoff: float = 4.0, height_scale: float = 1.0) -> DataFrame:
+def hill_surface(hills: DataFrame, centre: Column, sigma: Column, height: Column, axis: Axes, cutoff: float = 4.0, height_scale: float = 1.0) -> DataFrame:
     """(k, f): minus the summed hills on the grid, the minimum at 0. Sums are partial per task, so only cells are shuffled."""
     cells = hill_cells(hills, centre, sigma, height * F.lit(height_scale), axis, cutoff).groupBy("k").agg((-F.sum("g")).alias("f"))
     return cells.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy()))
@@ -46,45 +82,55 @@ def pooled_widths(hills: DataFrame, sigmas: list[str], biasf: str) -> DataFrame:
     return hills.agg(*(F.median(c).alias(c) for c in [*sigmas, biasf]))
 
 
-def time_dependent_weights(frames: DataFrame, hills: DataFrame, axis: Axis, gamma: float, kbt: float, batch: float, checkpoint: float, cutoff: float = 4.0, height_scale: float = 1.0, strict: bool = False) -> DataFrame:
+def time_dependent_weights(frames: DataFrame, hills: DataFrame, axis: Axes, gamma: float, kbt: float, batch: float, checkpoint: float, cutoff: float = 4.0, height_scale: float = 1.0, strict: bool = False, exact: bool = False) -> DataFrame:
     """frames (t, x) with v and c at each frame's time, and w = exp((v - c) / kT) over its maximum.
 
     Bias grows in batches: at each edge tb = m * batch all hills with t <= tb are on the grid, and frames with t < tb
     that waited for the edge are evaluated there, so a frame may see hills of its own batch (strict=True takes the
     edge before it). The bias per (cell, batch) is a cumulative sum inside each cell. v is read off by linear
-    interpolation at the two cells around the frame, clamped to the axis. c is computed at every multiple of
-    checkpoint, over the whole grid, and carried forward.
+    interpolation at the cells around the frame, clamped to the axes. c is computed at every multiple of checkpoint,
+    over the whole grid, and carried forward; with exact=True at the first batch that has hills, and then at the first
+    with hills that is a checkpoint or more after the last.
     """
     beta, g = 1 / kbt, gamma / (gamma - 1)
     deposit = hill_cells(hills.withColumn("b", F.greatest(F.lit(1), F.ceil(F.col("t") / F.lit(batch))).cast("int")), F.col("centre"), F.col("sigma"), F.col("height") * F.lit(height_scale), axis, cutoff, ["b"])
     growth = deposit.groupBy("k", "b").agg(F.sum("g").alias("g"))
     history = growth.select("k", "b", F.sum("g").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("v"))
-    place = F.least(F.greatest((F.col("x") - F.lit(float(axis.lo))) / F.lit(axis.step), F.lit(0.0)), F.lit(float(axis.n)))
-    rows = frames.withColumn("_id", F.monotonically_increasing_id()).withColumn("b", (F.floor(F.col("t") / F.lit(batch)) + (0 if strict else 1)).cast("int")).withColumn("_p", place)
-    corner = F.explode(F.array(F.struct(F.least(F.floor("_p"), F.lit(axis.n - 1)).cast("int").alias("k"), (1 - (F.col("_p") - F.least(F.floor("_p"), F.lit(axis.n - 1)))).alias("part")), F.struct((F.least(F.floor("_p"), F.lit(axis.n - 1)) + 1).cast("int").alias("k"), (F.col("_p") - F.least(F.floor("_p"), F.lit(axis.n - 1))).alias("part"))))
+    rows = frames.withColumn("_id", F.monotonically_increasing_id()).withColumn("b", (F.floor(F.col("t") / F.lit(batch)) + (0 if strict else 1)).cast("int"))
+    corner = F.explode(F.array(*(F.struct(k.alias("k"), part.alias("part")) for k, part in _corners(F.col("x"), axis))))
     asked = rows.select("_id", "b", corner.alias("c")).select("_id", "b", "c.k", "c.part")
     # As-of join inside a cell: history rows and questions in one order, history first, the last value carried on.
     mixed = history.select("k", "b", "v", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast("double").alias("part")).unionByName(asked.select("k", "b", F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), "_id", "part"))
     carried = mixed.withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0)))
     bias = carried.where("kind = 1").groupBy("_id").agg(F.sum(F.col("part") * F.col("v")).alias("v"))
-    offsets = checkpoint_offsets(history, axis, beta, g, gamma, max(1, round(checkpoint / batch)))
-    out = rows.join(bias, "_id").withColumn("_cp", F.floor(F.col("b") / max(1, round(checkpoint / batch))).cast("int"))
+    every = max(1, round(checkpoint / batch))
+    out = rows.join(bias, "_id").withColumn("_cp", F.floor(F.col("b") / every).cast("int"))
+    marks = []
+    if exact:
+        for r in history.select("b").distinct().orderBy("b").collect():  # at most one number for each batch
+            if not marks or r["b"] >= marks[-1] + every:
+                marks.append(r["b"])
+        out = out.withColumn("_cp", F.array_size(F.filter(F.array(*map(F.lit, marks)).cast("array<int>"), lambda m: m <= F.col("b"))))
+    offsets = checkpoint_offsets(history, axis, beta, g, gamma, every, marks)
     out = out.join(offsets.withColumnRenamed("cp", "_cp"), "_cp", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
     top = out.agg(F.max(F.col("v") - F.col("c")).alias("_m"))
-    return out.crossJoin(F.broadcast(top)).withColumn("w", F.exp((F.col("v") - F.col("c") - F.col("_m")) * F.lit(beta))).drop("_id", "b", "_p", "_cp", "_m")
+    return out.crossJoin(F.broadcast(top)).withColumn("w", F.exp((F.col("v") - F.col("c") - F.col("_m")) * F.lit(beta))).drop("_id", "b", "_cp", "_m")
 
 
-def checkpoint_offsets(history: DataFrame, axis: Axis, beta: float, g: float, gamma: float, every: int) -> DataFrame:
-    """(cp, c): the offset at each checkpoint, from the dense grid of that moment.
+def checkpoint_offsets(history: DataFrame, axis: Axes, beta: float, g: float, gamma: float, every: int, marks: list[int] | None = None) -> DataFrame:
+    """(cp, c): the offset at each checkpoint, from the dense grid of that moment; marks: the checkpoints' batches, from cp 1 on.
 
     c = (lse(beta * g * v) - lse(beta * v / (gamma - 1))) / beta. Dense rows number cells times checkpoints, which the
     caller keeps small by the choice of checkpoint.
     """
     spark = history.sparkSession
     last = history.agg((F.floor(F.max("b") / every) + 1).cast("int").alias("m"))
-    points = spark.range(axis.n + 1).select(F.col("id").cast("int").alias("k"))
-    grid = points.crossJoin(F.broadcast(last)).select("k", F.explode(F.sequence(F.lit(1), F.greatest("m", F.lit(1)))).alias("cp"))
-    marks = grid.select("k", (F.col("cp") * every).alias("b"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), "cp")
+    points = spark.range(_points(axis)).select(F.col("id").cast("int").alias("k"))
+    if marks:
+        times = spark.createDataFrame(list(enumerate(marks, 1)), "cp int, b int")
+    else:
+        times = last.select(F.explode(F.sequence(F.lit(1), F.greatest("m", F.lit(1)))).alias("cp")).withColumn("b", F.col("cp") * every)
+    marks = points.crossJoin(F.broadcast(times)).select("k", "b", F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), "cp")
     mixed = history.select("k", "b", "v", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("cp")).unionByName(marks)
     carried = mixed.withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))).where("kind = 1")
     tops = carried.groupBy("cp").agg(F.max("v").alias("m"))
@@ -92,26 +138,25 @@ def checkpoint_offsets(history: DataFrame, axis: Axis, beta: float, g: float, ga
     return sums.select("cp", ((F.lit(beta * g) * F.col("m") + F.ln("up") - F.lit(beta / (gamma - 1)) * F.col("m") - F.ln("down")) / F.lit(beta)).alias("c"))
 
 
-def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axis, cuts: list[float], gamma: float, kbt: float, cutoff: float = 4.0) -> DataFrame:
+def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axes, cuts: list[float], gamma: float, kbt: float, cutoff: float = 4.0) -> DataFrame:
     """frames (t, x, ...) once for each cut-off at or after their time, with snap, f and w.
 
-    f is the surface of the hills up to the cut-off, read off by linear interpolation; w = exp(-(1 - 1/gamma) f / kT)
+    f is the surface of the hills up to the cut-off, read off by (multi)linear interpolation; w = exp(-(1 - 1/gamma) f / kT)
     over the snapshot's maximum. Hills and frames are read once; snapshots differ in sums over slices between cuts.
     """
     slot = F.coalesce(*[F.when(F.col("t") <= F.lit(c), k) for k, c in enumerate(cuts)])
     later = F.explode(F.sequence(F.col("s"), F.lit(len(cuts) - 1)))
     cells = hill_cells(hills.withColumn("s", slot).where("s IS NOT NULL"), F.col("centre"), F.col("sigma"), F.col("height"), axis, cutoff, ["s"])
     each = cells.groupBy("k", "s").agg(F.sum("g").alias("g")).withColumn("snap", later).groupBy("snap", "k").agg((-F.sum("g")).alias("f"))
-    grid = frames.sparkSession.range(axis.n + 1).select(F.col("id").cast("int").alias("k")).crossJoin(frames.sparkSession.range(len(cuts)).select(F.col("id").cast("int").alias("snap")))
+    grid = frames.sparkSession.range(_points(axis)).select(F.col("id").cast("int").alias("k")).crossJoin(frames.sparkSession.range(len(cuts)).select(F.col("id").cast("int").alias("snap")))
     dense = grid.join(each, ["snap", "k"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
     low = dense.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap")))
-    segments = low.alias("a").join(low.select("snap", (F.col("k") - 1).alias("k"), F.col("f").alias("_g")), ["snap", "k"]).select("snap", "k", "f", "_g")
-    place = F.least(F.greatest((F.col("x") - F.lit(float(axis.lo))) / F.lit(axis.step), F.lit(0.0)), F.lit(float(axis.n)))
-    rows = frames.withColumn("s", slot).where("s IS NOT NULL").withColumn("_p", place).withColumn("k", F.least(F.floor("_p"), F.lit(axis.n - 1)).cast("int")).withColumn("snap", later)
-    met = rows.join(F.broadcast(segments), ["snap", "k"]).withColumn("f", F.col("f") + (F.col("_g") - F.col("f")) * (F.col("_p") - F.col("k")))
+    met = frames.withColumn("s", slot).where("s IS NOT NULL").withColumn("snap", later).withColumn("f", F.lit(0.0))
+    for k, part in _corners(F.col("x"), axis):
+        met = met.withColumn("_k", k).join(F.broadcast(low.select("snap", F.col("k").alias("_k"), F.col("f").alias("_g"))), ["snap", "_k"]).withColumn("f", F.col("f") + part * F.col("_g")).drop("_k", "_g")
     met = met.withColumn("_e", -F.lit(1 - 1 / gamma) * F.col("f") / F.lit(kbt))
     tops = met.groupBy("snap").agg(F.max("_e").alias("_m"))
-    return met.join(F.broadcast(tops), "snap").withColumn("w", F.exp(F.col("_e") - F.col("_m"))).drop("k", "s", "_p", "_g", "_e", "_m")
+    return met.join(F.broadcast(tops), "snap").withColumn("w", F.exp(F.col("_e") - F.col("_m"))).drop("s", "_e", "_m")
 
 
 def weighted_bundle(weighted: DataFrame, views: dict[str, tuple[Column, Axis]], kbt: float) -> DataFrame:

@@ -126,6 +126,41 @@ def test_time_dependent_weights_by_the_sequential_rule(spark):
             assert got[i][1] == pytest.approx(c, abs=1e-9)
 
 
+def test_hills_in_two_dimensions(spark):
+    axes, kbt, gamma = [Axis(0.0, 6.0, 12), Axis(-1.0, 3.0, 8)], 2.5, 10.0
+    rng = np.random.default_rng(5)
+    hills = [(t + 0.5, [float(rng.uniform(1, 5)), float(rng.uniform(0, 2))], [0.6, 0.4], 0.5) for t in range(2, 9)]
+    frames = [(i, float(t), [float(rng.uniform(-0.5, 6.5)), float(rng.uniform(-1, 3))]) for i, t in enumerate(np.arange(0.1, 8, 0.4))]
+    p, q = (a.lo + a.step * np.arange(a.n + 1) for a in axes)
+
+    def field(last):
+        v = np.zeros((13, 9))
+        for t, c, s, h in hills:
+            if t <= last:
+                near = [abs(np.arange(a.n + 1) - np.rint((m - a.lo) / a.step)) <= np.ceil(4 * w / a.step) for a, m, w in zip(axes, c, s, strict=True)]
+                v += h * np.outer(near[0] * np.exp(-((p - c[0]) ** 2) / (2 * s[0] ** 2)), near[1] * np.exp(-((q - c[1]) ** 2) / (2 * s[1] ** 2)))
+        return v
+
+    def read(v, x):
+        return np.interp(x[1], q, [np.interp(x[0], p, v[:, j]) for j in range(9)])
+
+    d, h = spark.createDataFrame(frames, "id int, t double, x array<double>"), spark.createDataFrame(hills, "t double, centre array<double>, sigma array<double>, height double")
+    surface = dict(values(reweight.hill_surface(h, F.col("centre"), F.col("sigma"), F.col("height"), axes), "k", "f"))
+    want = -field(99)
+    assert all(f == pytest.approx((want - want.min()).flat[k]) for k, f in surface.items())
+    lse = lambda e: np.log(np.exp(e).sum())
+    offset = lambda v: kbt * (lse(gamma / (gamma - 1) / kbt * v) - lse(v / (gamma - 1) / kbt))
+    out = {i: (v, c) for i, v, c in values(reweight.time_dependent_weights(d, h, axes, gamma, kbt, 1.0, 4.0, exact=True), "id", "v", "c")}
+    for i, t, x in frames:
+        b = int(t) + 1  # the first batch with hills is 3, the next checkpoint 7
+        assert out[i][0] == pytest.approx(read(field(b), x)) and out[i][1] == pytest.approx(offset(field(7 if b >= 7 else 3)) if b >= 3 else 0)
+    got = values(reweight.snapshot_weights(d, h, axes, [4.0, 8.0], gamma, kbt), "id", "snap", "f")
+    assert len(got) == sum(1 + (t <= 4) for _, t, _ in frames)
+    for i, snap, f in got:
+        v = -field([4.0, 8.0][snap])
+        assert f == pytest.approx(read(v - v.min(), frames[i][2]))
+
+
 def surface(spark):
     x, y = np.meshgrid(np.arange(9), np.arange(9), indexing="ij")
     f = np.minimum((x - 2) ** 2 + (y - 2) ** 2, 1.5 + (x - 6) ** 2 + (y - 6) ** 2).astype(float)
