@@ -1,25 +1,30 @@
 """Exact top-k inner products by a pivot-distance index.
 
 Every vector is keyed by its nearest pivot and its distance to it, and the keys are sorted, so that a pivot's vectors
-lie in annuli of growing distance; BLOCK vectors of one pivot in a row make a block with its least and largest
+lie in annuli of growing distance; a stretch of the sorted vectors of one pivot makes a block, with its least and largest
 distance and its largest norm. For a query at distance d from the pivot, the triangle inequality bounds the distance
 to every vector of an annulus from below, and with the norms the inner product from above:
-2 q.v = |q|^2 + |v|^2 - |q - v|^2. A query takes its own stretch of the sorted keys first, which gives it k real
-scores, and expands to the other annuli only while their bound reaches its k-th score. So results are exact; where
-bounds do not help, every block is visited.
+2 q.v = |q|^2 + |v|^2 - |q - v|^2; it is also at most |q| |v|.
 
-Queries travel in groups of GROUP in key order; a group visits a block if the bound of any of its queries reaches.
-PIVOTS vectors, least by id hash, serve as pivots: a bounded sample that decides speed, not results. Blocks and groups
-are rows of tables; no task holds more than a block and a group at a time, and equal vectors fill blocks like others.
+A query takes the blocks in the order of their bounds, best first, in rounds: FIRST blocks, then GROWTH times as many, and
+so on. Each round raises its k-th score, and it stops before the first block whose bound does not reach that score. So
+results are exact; where bounds do not help, every block is visited. Rounds number log(blocks) at most.
 
-Components are floor(1024 * x). Vectors that are null, empty, or hold null or non-finite components take no part, and
-vectors of another length than the pivots' take no part. A query's own row is no candidate; rows that repeat an id are
-all left out for a query of that id. Rows with a null id take no part. Other columns, of any name, play no part.
+The directory of blocks has at most DIRECTORY rows and one for each pivot and task, as blocks grow with the table; it goes
+to every task. In a round only the vectors of wanted blocks and the queries that want them are dealt out by block; a block
+that more than VISITS queries want is dealt out several times, to a part of the queries each. A task holds one block and
+one Arrow batch of queries. PIVOTS vectors, least by hash, serve as pivots: a bounded sample that decides speed, not results.
+
+Components are floor(1024 * x). Vectors that are null, empty, or hold null or non-finite components take no part, nor do
+rows with a null id. Vectors of different lengths have no inner product: each length is searched by itself. Every row is
+its own: a query's own row is no candidate, all other rows are, whatever their ids; rows that repeat an id are listed each,
+and each row with a query's id gets its own k results. Other columns, of any name, play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +33,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.llm.common import mapped, written
-
-PIVOTS, BLOCK, GROUP = 64, 1024, 64
+from fjordframe.llm.common import discard, mapped, written
 
+PIVOTS, BLOCK, DIRECTORY = 64, 1024, 1 << 17
+FIRST, GROWTH, VISITS = 8, 8, 4096
+#: Queries whose bounds a task works out at once.
+_AT_ONCE = 64
 
-def _matrix(b: pa.RecordBatch, column: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in b[column]), "<i8").reshape(-1, width)
 
-
-def _spans(key: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Stretches of equal keys, of at most so many rows."""
-    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        for x in range(int(a), int(b), most):
-            yield x, min(x + most, int(b))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), "<i8").reshape(-1, width)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
+    near = np.arange(len(scores))
     if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(scores))
+        near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows: by floats, which is faster, where every sum stays exact."""
+    q, v = queries.astype(float), vectors.astype(float)
+    if (q * q).sum(axis=1).max(initial=0) * (v * v).sum(axis=1).max(initial=0) < 2.0**104:
+        return (q @ v.T).astype(np.int64)
+    return queries @ vectors.T
+
+
 def scaled(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): integer components of the vectors that take part."""
     x = F.transform("embedding", lambda c: c.cast("double"))
@@ -73,104 +79,167 @@ class Pivots:
         return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + self.norms - 2 * x @ self.rows.T.astype(float), 0))
 
 
-_BLOCKS = "block long, pivot int, near double, far double, norm double, ids binary, vectors binary"
-_GROUPS = "grp long, ids binary, vectors binary, floors binary"
+class Directory:
+    """Blocks by number: pivot, least and largest distance to it, and largest squared norm."""
+
+    def __init__(self, pivots: Pivots, block: np.ndarray, pivot: np.ndarray, near: np.ndarray, far: np.ndarray, norm: np.ndarray):
+        self.pivots, self.block, self.pivot, self.near, self.far, self.norm = pivots, block, pivot, near, far, norm
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        """What the score of each query with any vector of each block is at most, with room for rounding."""
+        d = self.pivots.distances(v)[:, self.pivot]
+        own = (v.astype(float) ** 2).sum(axis=1)[:, None]
+        gap = np.maximum(np.maximum(self.near - d, d - self.far), 0)
+        slack = 1e-6 * (1 + own + self.norm + gap * gap)
+        return np.minimum((own + self.norm - gap * gap) / 2, np.sqrt(own * self.norm)) + slack
+
+    def wanted(self, v: np.ndarray, floors: np.ndarray, done: int, upto: int) -> Iterator[np.ndarray]:
+        """For each query, the blocks from place `done` to `upto` in the order of its bounds that may reach its floor."""
+        for at in range(0, len(v), _AT_ONCE):
+            bounds = self.bounds(v[at : at + _AT_ONCE])
+            for row, floor in zip(bounds, floors[at : at + _AT_ONCE], strict=True):
+                order = np.argsort(-row, kind="stable")[done:upto]
+                yield self.block[order[row[order] >= floor]]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best candidates. is_query is a condition over vec_id."""
-    spark = vectors.sparkSession
-    rows = written(scaled(vectors), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    if not sample:
-        return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    width = len(sample[0]["v"])
-    pivots = spark.sparkContext.broadcast(Pivots(np.array(sorted({tuple(r["v"]) for r in sample if len(r["v"]) == width}), np.int64)))
+def _keyed(rows: DataFrame, pivots: Pivots) -> DataFrame:
+    """rows with the nearest pivot, the distance to it, and the vector as bytes."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b["v"].flatten().to_numpy().reshape(-1, width)
-            d = pivots.value.distances(v)
+            v = b["v"].flatten().to_numpy().reshape(-1, shared.value.width)
+            d = shared.value.distances(v)
             nearest = d.argmin(axis=1)
             raw = v.astype("<i8")
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["is_query"], pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest]), pa.array([x.tobytes() for x in raw], pa.binary())], names=["vec_id", "is_query", "pivot", "distance", "v"])
+            yield pa.RecordBatch.from_arrays([b["rid"], b["vec_id"], b["is_query"], pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest]), pa.array([x.tobytes() for x in raw], pa.binary())], names=["rid", "vec_id", "is_query", "pivot", "distance", "v"])
 
-    keyed = rows.where(F.size("v") == width).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
-    keyed = keyed.select("vec_id", "is_query", "v").transform(mapped, key, "vec_id long, is_query boolean, pivot int, distance double, v binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = written(keyed.repartitionByRange(parts, "pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"), "keyed")
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for b in batches:
-            v = _matrix(b, "v", width)
-            ids, pivot, d = (b[c].to_numpy() for c in ("vec_id", "pivot", "distance"))
-            norms = (v.astype(float) ** 2).sum(axis=1)
-            for x, y in _spans(pivot, BLOCK):
-                bounds = [d[x:y].min(), d[x:y].max(), norms[x:y].max()]
-                blobs = [ids[x:y].astype("<i8").tobytes(), v[x:y].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([int(pivot[x])], pa.int32()), *(pa.array([c]) for c in bounds), *(pa.array([c], pa.binary()) for c in blobs)], names=["block", "pivot", "near", "far", "norm", "ids", "vectors"])
-                at += 1
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Query groups with each query's k-th score among the rows that stand with it."""
-        at = TaskContext.get().partitionId() << 32
-        for b in batches:
-            asks = np.flatnonzero(b["is_query"].to_numpy(zero_copy_only=False))
-            if not len(asks):
-                continue
-            v, ids = _matrix(b, "v", width), b["vec_id"].to_numpy()
-            for x in range(0, len(asks), GROUP):
-                own = asks[x : x + GROUP]
-                floors = np.full(len(own), np.iinfo(np.int64).min)
-                for j, q in enumerate(own):
-                    span = slice(max(0, q - 2 * BLOCK), q + 2 * BLOCK)
-                    scores = (v[span] @ v[q])[ids[span] != ids[q]]
-                    if len(scores) >= k:
-                        floors[j] = np.partition(scores, len(scores) - k)[len(scores) - k]
-                yield pa.RecordBatch.from_arrays([pa.array([at]), *(pa.array([c.astype("<i8").tobytes()], pa.binary()) for c in (ids[own], v[own], floors))], names=["grp", "ids", "vectors", "floors"])
-                at += 1
-
-    columns = ordered.select("vec_id", "is_query", "pivot", "distance", "v")
-    index = written(columns.transform(mapped, blocks, _BLOCKS), "blocks")
-    asked = written(columns.transform(mapped, groups, _GROUPS), "groups")
-
-    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per group and pivot, with what a block's bound needs of each query."""
-        n = len(pivots.value.rows)
-        for b in batches:
-            for grp, v, floors in zip(b["grp"].to_pylist(), b["vectors"], b["floors"], strict=True):
-                v, floors = np.frombuffer(v.as_py(), "<i8").reshape(-1, width), np.frombuffer(floors.as_py(), "<i8")
-                d, need = pivots.value.distances(v), 2 * floors.astype(float) - (v.astype(float) ** 2).sum(axis=1)
-                kind = pa.list_(pa.struct([("d", pa.float64()), ("need", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, grp)), pa.array(np.arange(n, dtype=np.int32)), pa.array([[{"d": x, "need": y} for x, y in zip(d[:, p], need, strict=True)] for p in range(n)], kind)], names=["grp", "pivot", "queries"])
-
-    wanted = asked.select("grp", "vectors", "floors").transform(mapped, reaches, "grp long, pivot int, queries array<struct<d: double, need: double>>")
-    directory = index.select("block", "pivot", "near", "far", "norm")
+    return rows.select("rid", "vec_id", "is_query", "v").transform(mapped, key, "rid long, vec_id long, is_query boolean, pivot int, distance double, v binary")
 
-    def open_to(q: Column) -> Column:
-        """|q - v| is at least d's distance from the annulus, and 2 q.v must reach twice the floor; with room for rounding."""
-        gap = F.greatest(F.col("near") - q["d"], q["d"] - F.col("far"), F.lit(0.0))
-        return F.col("norm") - gap * gap + 1e-6 * (1 + F.col("norm") + gap * gap) >= q["need"]
 
-    visits = wanted.join(directory, "pivot").where(F.exists("queries", open_to)).select("grp", "block")
+def _blocked(ordered: DataFrame, width: int, size: int) -> DataFrame:
+    """Sorted rows with the number of their block: `size` rows in a row of one pivot in one task."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, pivot, taken = (TaskContext.get().partitionId() << 32) - 1, -1, size
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            for row in range(b.num_rows):
-                ids, vectors, floors, others, candidates = (np.frombuffer(b[c][row].as_buffer(), "<i8") for c in ("ids", "vectors", "floors", "block_ids", "block_vectors"))
-                scores = vectors.reshape(-1, width) @ candidates.reshape(-1, width).T
-                for q, s, floor in zip(ids, scores, floors, strict=True):
-                    near = np.flatnonzero((s >= floor) & (others != q))
-                    best = near[_best(s[near], others[near], k)]
-                    for column, x in zip(out, (np.full(len(best), q), others[best], s[best]), strict=True):
-                        column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
-
-    payload = index.select("block", F.col("ids").alias("block_ids"), F.col("vectors").alias("block_vectors"))
-    found = visits.join(asked, "grp").join(payload, "block").select("ids", "vectors", "floors", "block_ids", "block_vectors")
-    found = found.transform(mapped, search, "query_id long, vec_id long, score long").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            out = np.empty(b.num_rows, np.int64)
+            pivots = b["pivot"].to_numpy()
+            at = 0
+            while at < len(pivots):
+                if pivots[at] != pivot or taken == size:
+                    block, pivot, taken = block + 1, pivots[at], 0
+                other = np.flatnonzero(pivots[at:] != pivot)
+                to = min(at + size - taken, at + int(other[0]) if len(other) else len(pivots))
+                out[at:to] = block
+                at, taken = to, taken + to - at
+            norms = (_matrix(b["v"], width).astype(float) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out), *(b[c] for c in ("rid", "vec_id", "is_query", "pivot", "distance")), pa.array(norms), b["v"]], names=["block", "rid", "vec_id", "is_query", "pivot", "distance", "norm", "v"])
+
+    return ordered.transform(mapped, number, "block long, rid long, vec_id long, is_query boolean, pivot int, distance double, norm double, v binary")
+
+
+def _scored(width: int, k: int):
+    """Rows of a block come before the queries that want it: each query's best of the block, no worse than its floor."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], None
+        for b in batches:
+            keys = list(zip(b["block"].to_pylist(), b["part"].to_pylist(), b["asks"].to_pylist(), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                s, (block, part, asks) = b.slice(x, y - x), keys[x]
+                v, rids, ids = _matrix(s["v"], width), s["rid"].to_numpy(), s["vec_id"].to_numpy()
+                if not asks:
+                    if now != (block, part):
+                        now, parts = (block, part), []
+                    parts.append((rids, ids, v))
+                    held = None
+                    continue
+                held = held or tuple(map(np.concatenate, zip(*parts, strict=True)))
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for rid, own, floor, scores in zip(rids, ids, s["floor"].to_pylist(), _products(v, held[2]), strict=True):
+                    near = np.flatnonzero((held[0] != rid) & (scores >= floor if floor is not None else True))
+                    best = near[_best(scores[near], held[1][near], k)]
+                    for column, c in zip(out, (np.full(len(best), rid), np.full(len(best), own), held[1][best], scores[best]), strict=True):
+                        column.append(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["qrid", "query_id", "vec_id", "score"])
+
+    return score
+
+
+def _searched(rows: DataFrame, width: int, k: int, stats: dict | None) -> DataFrame:
+    """(qrid, query_id, vec_id, score): the k best candidates of each query among vectors of one length."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id", "rid"), "rid").limit(PIVOTS).collect()
+    pivots = Pivots(np.array(sorted({tuple(r["v"]) for r in sample}), np.int64))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(BLOCK, rows.count() // DIRECTORY + 1)
+    ordered = _keyed(rows, pivots).repartitionByRange(parts, "pivot", "distance", "rid").sortWithinPartitions("pivot", "distance", "rid")
+    index = written(_blocked(ordered, width, size), "index")
+    edges = index.groupBy("block", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("norm")).orderBy("block").toArrow()
+    names = [edges[c].to_numpy() for c in ("block", "pivot", "near", "far", "norm")]
+    directory = spark.sparkContext.broadcast(Directory(pivots, *names))
+    queries = index.where("is_query").select("rid", "vec_id", "v")
+    if stats is not None:
+        stats["pairs"] = stats.get("pairs", 0) + queries.count() * len(names[0])
+
+    def plan(done: int, upto: int):
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                floors = np.array([-np.inf if f is None else float(f) for f in b["floor"].to_pylist()])
+                blocks = list(directory.value.wanted(_matrix(b["v"], width), floors, done, upto))
+                of = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in blocks]))
+                wanted = pa.array(np.concatenate([np.zeros(0, np.int64), *blocks]))
+                yield pa.RecordBatch.from_arrays([wanted, *(b[c].take(of) for c in ("rid", "vec_id", "floor", "v"))], names=["block", "rid", "vec_id", "floor", "v"])
+
+        return emit
+
+    best, done, upto = None, 0, FIRST
+    while True:
+        floor = F.lit(None).cast("long").alias("floor")
+        asked = queries.select("rid", "vec_id", "v", floor)
+        if best is not None:
+            floors = best.groupBy(F.col("qrid").alias("rid")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+            asked = queries.join(floors, "rid", "left").select("rid", "vec_id", "v", "floor")
+        visits = written(asked.transform(mapped, plan(done, upto), "block long, rid long, vec_id long, floor long, v binary"), "visits")
+        counts = written(visits.groupBy("block").agg(F.count("*").alias("n")), "counts")
+        made = counts.agg(F.sum("n")).first()[0] or 0
+        if stats is not None:
+            stats["visits"] = stats.get("visits", 0) + made
+        if made:
+            copies = counts.select("block", F.ceil(F.col("n") / VISITS).cast("int").alias("copies"))
+            # At most one row a block: DIRECTORY rows and one for each pivot and task.
+            held = index.join(F.broadcast(copies), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+            asks = visits.join(F.broadcast(copies), "block").withColumn("part", F.pmod(F.hash("rid"), F.col("copies")))
+            both = held.select("block", "part", F.lit(False).alias("asks"), "rid", "vec_id", F.lit(None).cast("long").alias("floor"), "v").unionByName(asks.select("block", "part", F.lit(True).alias("asks"), "rid", "vec_id", "floor", "v"))
+            found = both.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "asks").transform(mapped, _scored(width, k), "qrid long, query_id long, vec_id long, score long")
+            place = F.row_number().over(Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id"))
+            old = best
+            best = written((found if old is None else found.unionByName(old)).withColumn("_r", place).where(F.col("_r") <= k).drop("_r"), "best")
+            discard(old)
+        discard(visits)
+        discard(counts)
+        done, upto = upto, upto * (GROWTH + 1)
+        if not made or done >= len(names[0]):
+            break
+    if best is not None:
+        return best
+    return spark.createDataFrame([], "qrid long, query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, stats: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best candidates. is_query is a condition over vec_id.
+
+    stats, if given, gets `pairs`, the number of (query, block) pairs, and `visits`, how many of them were searched.
+    """
+    asks = F.coalesce(is_query, F.lit(False)).alias("is_query")
+    # Written once, so that a row keeps its number.
+    rows = written(scaled(vectors).select(F.monotonically_increasing_id().alias("rid"), "vec_id", asks, "v"), "vectors")
+    widths = [r["w"] for r in rows.groupBy(F.size("v").alias("w")).agg(F.max("is_query").alias("asked")).where("asked").orderBy("w").collect()]
+    found = [_searched(rows.where(F.size("v") == w), w, k, stats) for w in widths]
+    every = reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "qrid long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id"))
+    return every.withColumn("rank", place).select("query_id", "rank", "vec_id", "score")

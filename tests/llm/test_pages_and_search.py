@@ -112,19 +112,23 @@ def test_empty_archive(spark):
 
 
 def brute_top(rows, k):
-    sound = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    sound = [(n, i, np.floor(1024 * np.array(v, float)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in {i for i, _ in sound if i % 100 == 0}:
-        asks = [v for i, v in sound if i == q]
-        scores = sorted({(-int(a @ v), i) for a in asks for i, v in sound if i != q})[:k]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    for n, q, asks in sound:
+        if q % 100 == 0:
+            scores = sorted((-int(asks @ v), i) for m, i, v in sound if m != n and len(v) == len(asks))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n", [3, 900])
-def test_search_like_brute_force(spark, monkeypatch, n):
-    for name, value in (("BLOCK", 20), ("GROUP", 3), ("PIVOTS", 5)):
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("BLOCK", 20), ("PIVOTS", 5), ("FIRST", 2), ("GROWTH", 2), ("VISITS", 3), ("_AT_ONCE", 4)):
         monkeypatch.setattr(pivotsearch, name, value)
+
+
+@pytest.mark.parametrize("n", [3, 900])
+def test_search_like_brute_force(spark, small_blocks, n):
     rng = np.random.default_rng(8)
     centre = rng.normal(size=(6, 8))
     rows = [(int(i), [float(np.float32(x)) for x in centre[i % 6] * (1 + i % 3) + 0.1 * rng.normal(size=8)]) for i in range(n)]
@@ -134,6 +138,31 @@ def test_search_like_brute_force(spark, monkeypatch, n):
     assert got == brute_top(rows, 10)
 
 
+def test_search_with_repeated_ids_and_other_lengths(spark, small_blocks):
+    """Copies of one row, of a query among them, fill ranks as rows of their own; each length is searched by itself."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(300)]
+    rows += [rows[7]] * 100 + [rows[200]] * 3 + [(400, [1.0, 2.0, 3.0]), (401, [0.5, 0.5, 0.5]), (500, [1.0])]
+    got = sorted(tuple(r) for r in pivotsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect())
+    assert got == brute_top(rows, 10)
+    assert [r for r in got if r[0] == 400] == [(400, 1, 401, sum(512 * 1024 * x for x in (1, 2, 3)))] and not [r for r in got if r[0] == 500]
+
+
+def test_search_of_large_components_stays_exact(spark, small_blocks):
+    rows = [(i, [float(2**25 + i), float(2**24 - 3 * i)]) for i in range(120)]
+    got = sorted(tuple(r) for r in pivotsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect())
+    assert got == brute_top(rows, 10)
+
+
+def test_search_leaves_far_annuli_out(spark, small_blocks):
+    rng = np.random.default_rng(10)
+    centre = 10 * rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in centre[i % 6] + 0.05 * rng.normal(size=8)]) for i in range(3000)]
+    stats = {}
+    got = sorted(tuple(r) for r in pivotsearch.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10, stats).collect())
+    assert got == brute_top(rows, 10) and stats["visits"] < 0.6 * stats["pairs"]
+
+
 def test_search_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivotsearch.top_k(none, F.col("vec_id") % 100 == 0).count() == 0
