@@ -8,21 +8,28 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Hash slots that part rows of nearly equal counts.
+SLOTS = 1 << 14
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    The fallback is for single-machine sessions such as tests; a cluster sets spark.checkpoint.dir.
+    Where it is unset, a session on one machine (a local master, as in tests) gets a temporary folder; on a cluster that is
+    an error, as executors would not see each other's files.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="fjordframe-")
         context.setCheckpointDir(found)
         found = context.getCheckpointDir()
@@ -34,12 +41,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fjordframe-{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written inside each open scratch(), the innermost last.
+_scratches: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratches:
+        _scratches[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fjordframe_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a written() table that a later written table has replaced; other tables stay."""
+    if path := getattr(df, "_fjordframe_path", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, every table written inside, unless it was written through kept()."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """written(), for a result that outlives the scratch() around it (and goes with the one around that)."""
+    inner = _scratches.pop() if _scratches else None
+    try:
+        return written(df, name)
+    finally:
+        if inner is not None:
+            _scratches.append(inner)
 
 
 def id_fold(id_column: str, folds: int) -> Column:
@@ -79,16 +126,25 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of counts (with a column n) of highest n, at most so many: all above a threshold that fits.
+    """The rows of counts (with a column n) of highest n, at most so many; ties go by a hash of the row.
 
-    The threshold is a step of a 64th of an octave, found from a histogram of at most about 4000 steps. Rows of equal
-    n stay or go together; where the highest step alone has more rows, none stay.
+    A histogram of n by steps of a 64th of an octave (about 4000 at most) gives the step where the limit falls. All rows
+    above it stay; of the rows in it, those of as many hash slots (SLOTS in all) as fit, so that no sort is needed.
     """
     step = F.floor(F.log2("n") * 64)
-    total, least = 0, None
+    total, edge = 0, None
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        if total + r["rows"] > most:
+            edge = r["step"]
+            break
+        total += r["rows"]
+    if edge is None:
+        return counts
+    slot = F.pmod(F.xxhash64(*counts.columns), F.lit(SLOTS))
+    last = 0
+    for r in counts.where(step == edge).groupBy(slot.alias("slot")).agg(F.count("*").alias("rows")).orderBy("slot").collect():
         total += r["rows"]
         if total > most:
             break
-        least = r["step"]
-    return counts.where(F.lit(False) if least is None else step >= least)
+        last = r["slot"] + 1
+    return counts.where((step > edge) | ((step == edge) & (slot < last)))

@@ -3,12 +3,14 @@
 A word is a maximal run of bytes that a 256-entry table marks. The word classes used here hold or leave out all
 bytes of 0x80 and above together, so cutting bytes and cutting characters give the same words.
 
-Hashes have 64 bits: a polynomial over random byte values modulo 2**64, then mixed. They stand for words and word
-windows; two different ones share a hash with a probability near 2**-55.
+Hashes have 64 bits and stand for words and word windows. A word of up to LONG bytes goes eight bytes at a time through
+a bijective mixer that starts from its length; a longer one takes BLAKE2b. So words that differ in one such step only never
+share a hash, and any two others do with a probability near 2**-64, whatever repeats inside them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,21 +29,12 @@ NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse, grown as needed and kept."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word from which on BLAKE2b hashes it.
+LONG = 256
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -95,13 +88,27 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[self.data] * power[:n], out=total[1:])
-        return mixed((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        sizes = self.ends - self.starts
+        out = mixed(sizes.astype(np.uint64) * _STEP + _SEED)
+        for at, lane in lanes(self.data, self.starts, np.where(sizes <= LONG, sizes, 0)):
+            out[at] = mixed(out[at] ^ lane)
+        for i in np.flatnonzero(sizes > LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+
+def lanes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+    """Eight bytes after eight of each run of bytes as a number, zeros beyond its end: (which runs, their numbers)."""
+    if not len(starts):
+        return
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at: np.ndarray | slice = slice(None)
+    while len(starts):
+        yield at, wide[starts] & _FIRST[np.minimum(sizes, 8)]
+        more = np.flatnonzero(sizes > 8)
+        at = more if isinstance(at, slice) else at[more]
+        starts, sizes = starts[more] + 8, sizes[more] - 8
 
 
 def cut(texts: pa.Array, table: np.ndarray) -> Words:

@@ -1,8 +1,9 @@
 """Exact ids of a lower-casing word tokenizer for many texts at once.
 
 The tokenizer file cuts a text into words and encodes each word by itself, so equal words have equal ids. Words are
-found on bytes, each distinct word is encoded once by the tokenizer itself and kept (a bounded number, see KEPT), and
-ids of whole texts are gathered from there. Texts with characters from U+0100 up, or with the start of a special
+found on bytes, each distinct word is encoded once by the tokenizer itself and kept under its bytes (a bounded number, see
+KEPT), and ids of whole texts are gathered from there. Hashes only group a batch's words; the bytes of each word are then
+compared with its group's, and a batch where they differ is grouped by the bytes. Texts with characters from U+0100 up, or with the start of a special
 token, go through the tokenizer whole. The result is the tokenizer's own in every case.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from fjordframe.llm.textbytes import Words, flat
+from fjordframe.llm.textbytes import LONG, Words, flat, lanes
 
 #: Words that a process keeps with their ids before it starts anew.
 KEPT = 300_000
@@ -78,6 +79,24 @@ def cut_words(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(data, at, ends, np.searchsorted(at, bounds))
 
 
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different word, and for every word which of those it is; by hash first, then by the bytes."""
+    _, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    own, sizes = one[back], words.ends - words.starts
+    same = sizes == sizes[own]
+    short = np.where(same & (sizes <= LONG), sizes, 0)
+    for (at, x), (_, y) in zip(lanes(words.data, words.starts, short), lanes(words.data, words.starts[own], short), strict=True):
+        same[at] &= x == y
+    if same.all() and not (sizes > LONG).any():
+        return one, back
+    groups: dict[bytes, int] = {}
+    raw = words.data.tobytes()
+    back = np.array([groups.setdefault(raw[a:b], len(groups)) for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)], np.int64)
+    one = np.zeros(len(groups), np.int64)
+    one[back[::-1]] = np.arange(len(back))[::-1]
+    return one, back
+
+
 class WordEncoder:
     """encode() gives the ids of all texts in a row and the offsets of each text's."""
 
@@ -90,36 +109,37 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = self._whole(" ".join(words))
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        ids = self._whole(" ".join(texts))
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
-            parts = [self._whole(w) for w in words]
+            parts = [self._whole(w) for w in texts]
             ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
         sizes = np.diff(ends, prepend=0)
         base = len(self.starts)
-        self.place.update(zip(keys, range(base, base + len(keys)), strict=True))
+        self.place.update(zip(words, range(base, base + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, ends - sizes + len(self.ids)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, ids])
 
     def _places(self, words: Words) -> np.ndarray:
         """Where each word's ids are kept, encoding those not met before."""
-        distinct, one, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > KEPT:
+        one, back = distinct_words(words)
+        if len(self.place) + len(one) > KEPT:
             self._clear()
-        keys = distinct.tolist()
+        raw = words.data.tobytes()
+        keys = [raw[a:b] for a, b in zip(words.starts[one].tolist(), words.ends[one].tolist(), strict=True)]
         known = [self.place.get(k, -1) for k in keys]
-        fresh = [i for i, p in enumerate(known) if p < 0]
+        fresh = [k for k, p in zip(keys, known, strict=True) if p < 0]
         if fresh:
-            raw = words.data.tobytes()
-            self._learn([keys[i] for i in fresh], [raw[words.starts[one[i]] : words.ends[one[i]]].decode() for i in fresh])
+            self._learn(fresh)
             known = [self.place[k] for k in keys]
         return np.array(known, np.int64)[back]
 
