@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import written
+from fjordframe.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in links (a, b): component is the smallest id reachable.
+    """(id, component) for every id in links (a, b): component is the smallest id reachable. Ids are of any type that has an order.
 
     Each round takes the least label among a node and its neighbours and then the label of that label, so chains
     shorten geometrically. A round is written to the shared folder; rounds end when no label changes. Labels are
@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         hooked = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "least").alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("above"))
         jumped = written(hooked.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
-        labels = jumped.select("id", "component")
+        discard(labels)
+        labels = jumped
         if jumped.where("old <> component").isEmpty():
-            return labels
+            discard(both)
+            return jumped.select("id", "component")

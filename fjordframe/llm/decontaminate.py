@@ -7,11 +7,14 @@ window each and are met by the hash of their whole sequence.
 
 Two ways to join the fingerprints give the same rows. Where the benchmark text is at most `broadcast_bytes` (measured
 first), its fingerprints and word hashes go to every executor and documents are read once, without a shuffle. Beyond
-it the fingerprints of both sides are joined by a shuffle and only candidate pairs bring their texts along.
+it the fingerprints of both sides are joined by a shuffle, after equal ones of a text are taken once, and those of the
+benchmark are dealt out SALT times, so that a passage that many documents share is met in many tasks. The items that a
+document may hold are then brought to it; its own text travels once.
 
 Null or wordless texts have no words, no hits and are not contaminated; null items and items without words never
-match; an item id that occurs twice counts once; items without an id mark words but are not listed. Rows that repeat
-are judged each for itself. Other columns, of any name, play no part.
+match; an item id that occurs twice counts once; items without an id mark words but are not listed. Item ids of any type
+are listed, and told apart, as text. Document ids keep their type. Rows that repeat are judged each for itself. Other
+columns, of any name, play no part.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import batch, mapped
+from fjordframe.llm.common import mapped, written
 from fjordframe.llm.textbytes import ALNUM, Words, cut, inside_texts, pieces, windows
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-_RESULT_SQL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Copies of the benchmark's fingerprints on the join side, each for a part of the documents.
+SALT = 16
+#: Bytes of item texts that are laid beside a document at once on the join side.
+_HELD = 4 << 20
 
 
 def _slide(x: np.ndarray, take: np.ufunc, n: int) -> np.ndarray:
@@ -129,10 +134,6 @@ def _digest(ids: set) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
 
-def _verdict(doc_id, n_words: int, n_hit: int, ids: set) -> tuple:
-    return doc_id, n_words, n_hit, len(ids), _digest(ids), n_hit > 0 and 20 * n_hit >= n_words
-
-
 def _judge(benchmark: Benchmark, texts: pa.Array) -> tuple[np.ndarray, dict[int, tuple[int, set]]]:
     """Words of each text, and for texts with hits the number of words hit and the item ids."""
     words = cut(texts, ALNUM)
@@ -145,18 +146,39 @@ def _judge(benchmark: Benchmark, texts: pa.Array) -> tuple[np.ndarray, dict[int,
     return words.counts, {r: (_covered(runs), ids) for r, (runs, ids) in by.items()}
 
 
+def _items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words hit)."""
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").where("text IS NOT NULL")
-    return _by_broadcast(docs, items) if _text_bytes(items) <= broadcast_bytes else _by_join(docs.withColumn("rid", F.monotonically_increasing_id()), items).drop("rid")
+    docs, items = docs.select("doc_id", "text"), _items(items)
+    if _text_bytes(items) <= broadcast_bytes:
+        found = _by_broadcast(docs, items)
+    else:
+        # Written once, so that a document keeps its number.
+        marked = written(docs.withColumn("rid", F.monotonically_increasing_id()), "marked")
+        counts = marked.transform(mapped, _word_counts, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long")
+        found = counts.join(_by_join(marked.select("rid", "text"), items), "rid", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.lit(_digest(set()))).alias("items_sha256"), _contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
+def _contaminated(n_hit, n_words):
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated."""
-    items = items.select("item_id", "text").where("text IS NOT NULL")
+    items = _items(items)
     if _text_bytes(items) > broadcast_bytes:
-        marked = docs.withColumn("_fjordframe_rid", F.monotonically_increasing_id())
-        bad = _by_join(marked.select("doc_id", "text", F.col("_fjordframe_rid").alias("rid")), items).where("contaminated")
+        marked = written(docs.withColumn("_fjordframe_rid", F.monotonically_increasing_id()), "marked")
+        texts = marked.select(F.col("_fjordframe_rid").alias("rid"), "text")
+        counts = texts.select("rid", F.lit(None).cast("long").alias("doc_id"), "text").transform(mapped, _word_counts, "rid long, doc_id long, n_words long")
+        bad = _by_join(texts, items).join(counts, "rid").where(_contaminated(F.col("n_hit"), F.col("n_words")))
         return marked.join(bad.select(F.col("rid").alias("_fjordframe_rid")), "_fjordframe_rid", "left_anti").drop("_fjordframe_rid")
     shared = _shared(docs, items)
 
@@ -164,7 +186,7 @@ def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 16 << 20) ->
         for whole in batches:
             for b in pieces(whole, "text"):
                 n_words, found = _judge(shared.value, b["text"])
-                yield b.filter(pa.array([r not in found or 20 * found[r][0] < n_words[r] for r in range(b.num_rows)], pa.bool_()))
+                yield b.filter(pa.array([r not in found or not _contaminated(found[r][0], n_words[r]) for r in range(b.num_rows)], pa.bool_()))
 
     return docs.transform(mapped, keep, docs.schema)
 
@@ -178,23 +200,26 @@ def _shared(docs: DataFrame, items: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(Benchmark(table["item_id"].to_pylist(), table["text"].combine_chunks()))
 
 
+_HITS = "n_hit long, n_items long, items_sha256 string"
+
+
 def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256), the last three null without a hit."""
     shared = _shared(docs, items)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
                 n_words, found = _judge(shared.value, b["text"])
-                rows = [_verdict(None, 0, *found.get(r, (0, set()))) for r in range(b.num_rows)]
-                for r in found:
-                    rows[r] = _verdict(None, int(n_words[r]), *found[r])
-                yield batch(_RESULT, [b["doc_id"].cast(pa.int64()), n_words, *map(list, zip(*(x[2:] for x in rows), strict=True))])
+                hits = [(found[r][0], len(found[r][1]), _digest(found[r][1])) if r in found else (None,) * 3 for r in range(b.num_rows)]
+                columns = list(zip(*hits, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n_words, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    return docs.transform(mapped, judge, _RESULT_SQL)
+    return docs.transform(mapped, judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, {_HITS}")
 
 
 def _prints(side: str, lengths: list[int]):
-    """mapInArrow function: winnowed fingerprints of each text as (rid, print), and those of short windows."""
+    """mapInArrow function: each text's winnowed fingerprints, each once, as (rid, print), and those of short windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -214,8 +239,12 @@ def _prints(side: str, lengths: list[int]):
                     whole_item = words.counts[row] == k if side == "item" else np.ones(len(row), bool)
                     rows.append(row[whole_item])
                     prints.append(grams[at][whole_item] ^ np.uint64(k))
-                rid = b["rid"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(rid[np.concatenate(rows)]), pa.array(np.concatenate(prints).view(np.int64))], names=["rid", "print"])
+                row, found = np.concatenate(rows), np.concatenate(prints)
+                order = np.lexsort((found, row))
+                row, found = row[order], found[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(b["rid"].to_numpy()[row[new]]), pa.array(found[new].view(np.int64))], names=["rid", "print"])
 
     return emit
 
@@ -230,41 +259,58 @@ def _item_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, "text"):
-            yield pa.RecordBatch.from_arrays([b["rid"], b["doc_id"].cast(pa.int64()), pa.array(cut(b["text"], ALNUM).counts)], names=["rid", "doc_id", "n_words"])
+            yield pa.RecordBatch.from_arrays([b["rid"], b["doc_id"], pa.array(cut(b["text"], ALNUM).counts)], names=["rid", "doc_id", "n_words"])
+
+
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, n_hit, n_items, items_sha256) of documents with hits; a document's row comes before those of its items."""
+    rid, words, hashes, runs, ids, held = None, None, None, [], set(), []
 
+    def lay() -> None:
+        if held:
+            item = [i for i, _ in held]
+            for _, i, a, b in Benchmark(item, pa.array([t for _, t in held], pa.string())).runs(words, hashes):
+                runs.append((a, b))
+                if item[i] is not None:
+                    ids.add(item[i])
+            held.clear()
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs that each candidate pair of texts shares."""
+    def closed() -> Iterator[pa.RecordBatch]:
+        lay()
+        if runs:
+            row = [rid], [_covered(runs)], [len(ids)], [_digest(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["rid", "n_hit", "n_items", "items_sha256"])
+
+    size = 0
     for b in batches:
-        rid, ids, runs = [], [], []
-        for r, text, i, item_text in zip(*(b[c].to_pylist() for c in ("rid", "text", "item_id", "item_text")), strict=True):
-            words = cut(pa.array([text]), ALNUM)
-            if found := [{"a": x, "b": y} for _, _, x, y in Benchmark([i], pa.array([item_text])).runs(words, words.hashes())]:
-                rid.append(r)
-                ids.append(i)
-                runs.append(found)
-        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, kind)], names=["rid", "item_id", "runs"])
+        for r, is_item, item, text in zip(*(b[c] for c in ("rid", "is_item", "item_id", "text")), strict=True):
+            text = text.as_py()
+            if not is_item.as_py():
+                yield from closed()
+                rid, runs, ids, size = r.as_py(), [], set(), 0
+                words = cut(pa.array([text]), ALNUM)
+                hashes = words.hashes()
+                continue
+            held.append((item.as_py(), text))
+            size += len(text)
+            if size > _HELD:
+                lay()
+                size = 0
+    yield from closed()
 
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    items = items.withColumn("rid", F.monotonically_increasing_id())
+    """(rid, n_hit, n_items, items_sha256) of the documents (rid, text) with hits."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = written(items.withColumn("rid", F.monotonically_increasing_id()), "items")
     lengths = [r["k"] for r in items.transform(mapped, _item_lengths, "k long").distinct().collect()]  # 12 values at most
-    left = docs.select("rid", "text").transform(mapped, _prints("doc", lengths), "rid long, print long")
-    right = items.select("rid", "text").transform(mapped, _prints("item", lengths), "item_rid long, print long").distinct()
-    pairs = left.join(right, "print").select("rid", "item_rid").distinct()
-    texts = items.select(F.col("rid").alias("item_rid"), "item_id", F.col("text").alias("item_text"))
-    runs = pairs.join(texts, "item_rid").join(docs.select("rid", "text"), "rid").select("rid", "text", F.col("item_id").cast("long"), "item_text").transform(mapped, _extended, "rid long, item_id long, runs array<struct<a: long, b: long>>")
-    covered = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("runs"))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")),
-    )["n"]
-    hits = runs.groupBy("rid").agg(covered.alias("n_hit"), F.collect_set("item_id").alias("ids"))
-    counts = docs.select("rid", "doc_id", "text").transform(mapped, _word_counts, "rid long, doc_id long, n_words long")
-    out = counts.join(hits, "rid", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
-    return out.select(
-        "rid", "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.col("ids").cast("array<string>")), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    own = F.pmod(F.hash("rid"), F.lit(SALT)).alias("salt")
+    left = docs.transform(mapped, _prints("doc", lengths), "rid long, print long").select("rid", "print", own)
+    right = items.select("rid", "text").transform(mapped, _prints("item", lengths), "item_rid long, print long").withColumn("salt", salted)
+    pairs = left.join(right, ["print", "salt"]).select("rid", "item_rid", "salt").distinct()
+    texts = items.select(F.col("rid").alias("item_rid"), "item_id", "text").withColumn("salt", salted)
+    brought = written(pairs.join(texts, ["item_rid", "salt"]).select("rid", F.lit(True).alias("is_item"), "item_id", "text"), "brought")
+    asked = docs.join(brought.select("rid").distinct(), "rid", "left_semi").select("rid", F.lit(False).alias("is_item"), F.lit(None).cast("string").alias("item_id"), "text")
+    beside = asked.unionByName(brought).repartition(width, "rid").sortWithinPartitions("rid", "is_item")
+    return beside.transform(mapped, _laid, f"rid long, {_HITS}")

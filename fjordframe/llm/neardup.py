@@ -5,20 +5,23 @@ into one of BANDS * ROWS bins and each bin keeps its minimum; empty bins take th
 sequence that all documents share (optimal densification). A band of ROWS bins is a bucket key: sets of similarity
 0.75 meet in one of 48 buckets with a probability over 0.9999.
 
-Documents of equal sets are one node from the start. A bucket sends one edge per member to its centre, the member of
-least id hash, so pair counts stay linear in members; each edge is confirmed on the full sets, which hold all
+A node of the link graph is a set, known by a 128-bit BLAKE2b digest of all its shingle hashes; documents of equal sets
+are one node from the start, and two texts under one id are two. A bucket sends one edge per member to its centre, the member
+of least digest hash, so pair counts stay linear in members; each edge is confirmed on the full sets, which hold all
 shingle hashes. Buckets that still hold several components are then settled one by one: members are tested against
 those of other components, the smallest component first, until a link joins it or none is left to test. A bucket of
 more than PART members is cut into parts, and every two parts are settled by a task of their own, so that no task
 holds more than about 2 * PART sets. No link inside a bucket is lost, and no bucket is capped.
 
 Null or wordless texts have empty sets, link with nothing and are kept. A null id is no node: such rows come back
-unlinked, with a null component_id, and kept. Rows that repeat an id are one node; each comes back as a row.
+unlinked, with a null component_id, and kept. Every row is judged by its own text: rows that repeat an id with another text
+may lie in another component; rows that repeat both come back each, alike. deduplicated() leaves one row of each component.
 Other columns, of any name, play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,16 +86,20 @@ def band_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A digest of each set, null for an empty one."""
+    raw = values.astype("<u8").tobytes()
+    return pa.array([hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in pieces(whole, "text"):
             values, bounds = shingle_sets(b["text"])
             sizes = np.diff(bounds)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)]) for v in (values, mixed(values ^ np.uint64(0x5851F42D4C957F2D)))]
-            signs = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
             keys = band_keys(values, bounds).astype("<u8")
             blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(sizes), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(sizes), *signs, blob], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["sign"], pa.array(sizes), _digests(values, bounds), blob], names=["doc_id", "sign", "n_shingles", "node", "keys"])
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +107,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(b["keys"].cast(pa.large_binary()).buffers()[2] or b"", np.int64)[: b.num_rows * BANDS] if b.num_rows else np.zeros(0, np.int64)
         for at in range(0, b.num_rows, 1024):
             c = b.slice(at, 1024)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at * BANDS : (at + c.num_rows) * BANDS]), pa.array(np.repeat(c["doc_id"].to_numpy(), BANDS)), pa.array(np.repeat(c["n_shingles"].to_numpy(), BANDS))], names=["bucket", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at * BANDS : (at + c.num_rows) * BANDS]), c["node"].take(pa.array(np.repeat(np.arange(c.num_rows), BANDS))), pa.array(np.repeat(c["n_shingles"].to_numpy(), BANDS))], names=["bucket", "id", "n"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +115,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(whole, "text"):
             values, bounds = shingle_sets(b["text"])
             raw = values.astype("<u8")
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array([raw[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([_digests(values, bounds), pa.array([raw[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "grams"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +135,9 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
-def joined(labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def joined(labels: list, sets: list[np.ndarray]) -> list[tuple]:
     """Links (label, label) that join components of one group of sets; every pair that could is tested or joined."""
-    groups: dict[int, list[int]] = {}
+    groups: dict = {}
     for i, label in enumerate(labels):
         groups.setdefault(label, []).append(i)
     links = []
@@ -150,7 +157,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled() -> pa.RecordBatch:
         links = joined(labels, sets)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
     for b in batches:
         keys = zip(*(b[c].to_pylist() for c in ("bucket", "p", "q")), strict=True)
@@ -163,14 +170,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield settled()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = written(docs.transform(mapped, _sketch, "doc_id long, n_shingles long, s1 long, s2 long, keys binary"), "sketches")
-    classes = written(sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head")), "classes")
-    heads = sketches.join(classes.select(F.col("head").alias("doc_id"), "s1", "s2", "n_shingles"), ["doc_id", "s1", "s2", "n_shingles"], "left_semi")
-    rows = heads.select("doc_id", "n_shingles", "keys").transform(mapped, _unpack, "bucket long, id long, n long")
-    # A head's own place in the order of centres is the hash of its id, the same in every bucket, so that the stars of one group share a centre.
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, sign, n_shingles, component_id, group) of every row; sign is a digest of the text, group a key of the component."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("sign"))
+    sketches = written(docs.transform(mapped, _sketch, "doc_id long, sign string, n_shingles long, node binary, keys binary"), "sketches")
+    nodes = sketches.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "sign")).alias("first"))
+    nodes = written(nodes.select("node", "first.doc_id", "first.sign"), "nodes")
+    heads = sketches.join(nodes, ["node", "doc_id", "sign"], "left_semi").dropDuplicates(["node"])
+    rows = heads.select("node", "n_shingles", "keys").transform(mapped, _unpack, "bucket long, id binary, n long")
+    # A node's place in the order of centres is the hash of its digest, the same in every bucket, so that the stars of one group share a centre.
     place = F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("n"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(place).alias("c")).where("size > 1")
     members = written(rows.join(full, "bucket").select("bucket", "size", "id", "n", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "members")
@@ -179,13 +187,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return F.expr(f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})")
 
     pairs = members.where("id <> centre").where(fits("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(texts.transform(mapped, _full_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
+    met = nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    texts = docs.join(met.select("doc_id", "sign").distinct(), ["doc_id", "sign"], "left_semi")
+    sets = written(texts.transform(mapped, _full_sets, "id binary, grams binary").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
         right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").transform(mapped, _confirm, "a long, b long"), "links")
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").transform(mapped, _confirm, "a binary, b binary"), "links")
 
     links = confirmed(pairs)
     found = components(links)
@@ -200,19 +209,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component").join(sets, "id")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = rows.repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "component", "grams")
-    bridges = components(groups.transform(mapped, _settle, "a long, b long")).select(F.col("id").alias("component"), F.col("component").alias("joint"))
-    named = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
-    out = named.join(found.select(F.col("id").alias("head"), F.col("component").alias("star")), "head", "left")
-    out = out.withColumn("component", F.coalesce("star", "head", "doc_id")).join(bridges, "component", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("joint", "component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    bridges = components(groups.transform(mapped, _settle, "a binary, b binary")).select(F.col("id").alias("component"), F.col("component").alias("joint"))
+    linked = found.join(bridges, "component", "left").select(F.col("id").alias("node"), F.coalesce("joint", "component").alias("group"))
+    alone = bridges.select(F.col("component").alias("node"), F.col("joint").alias("group")).join(found.select(F.col("id").alias("node")), "node", "left_anti")
+    groups = linked.unionByName(alone).join(nodes, "node")
+    # A node outside of every group is its own component, of its least id.
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.join(groups.select("node", "group").join(least, "group"), "node", "left").select("node", F.coalesce("group", "node").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketches.select("doc_id", "sign", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    return out.select("doc_id", "sign", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept."""
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one of each group, and all rows without an id."""
-    ids = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_fjordframe_id")).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_fjordframe_id"))
-    # The join has dealt rows by id already; rows that repeat an id come down to one.
-    place = F.row_number().over(Window.partitionBy("_fjordframe_id").orderBy("text"))
-    one = with_id.withColumn("_fjordframe_place", place).where("_fjordframe_place = 1").drop("_fjordframe_id", "_fjordframe_place")
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs, with all their columns, that stay: one of each component, and all without an id or without words."""
+    judged = _judged(docs).where("group IS NOT NULL")
+    chosen = judged.groupBy("group").agg(F.min(F.struct("doc_id", "sign")).alias("m")).select(F.col("m.doc_id").alias("_fjordframe_id"), F.col("m.sign").alias("_fjordframe_sign"))
+    alone = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.rlike(F.col("text"), F.lit(r"[^\x20\x09-\x0D]"))
+    rows = docs.withColumn("_fjordframe_id", F.col("doc_id").cast("long")).withColumn("_fjordframe_sign", F.md5("text"))
+    one = rows.where(~alone).join(chosen, ["_fjordframe_id", "_fjordframe_sign"], "left_semi")
+    # The join has dealt rows by id and text already; rows that repeat both come down to one.
+    place = F.row_number().over(Window.partitionBy("_fjordframe_id", "_fjordframe_sign").orderBy(F.lit(0)))
+    one = one.withColumn("_fjordframe_place", place).where("_fjordframe_place = 1").drop("_fjordframe_id", "_fjordframe_sign", "_fjordframe_place")
+    return one.unionByName(docs.where(alone))

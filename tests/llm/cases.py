@@ -34,3 +34,11 @@ def with_clashes(df):
 
 def words_of(text, pattern):
     return re.findall(pattern, low(text))
+
+
+def thue_morse(n):
+    """Two different words of n letters, one the complement of the other: every polynomial hash modulo 2**64 takes them for one."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})

@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fjordframe.llm.decontaminate import clean, decontaminate
-from tests.llm.cases import SCHEMA, documents, prose, with_clashes, words_of
+from tests.llm.cases import SCHEMA, documents, prose, thue_morse, with_clashes, words_of
 
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
@@ -59,3 +60,18 @@ def test_empty_tables(spark, most):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(none, items, most).count() == 0
     assert [tuple(r)[:4] for r in decontaminate(one, items, most).collect()] == [(1, 2, 0, 0)]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_items_with_text_ids_and_long_alike_words(spark, tables, most):
+    docs, items = tables
+    a, b = thue_morse(1024)
+    filler = [f"v{k}" for k in range(14)]
+    items = [(None if i is None else f"item {i}", t) for i, t in items] + [("long", " ".join([*filler[:6], a, *filler[6:]]))]
+    docs = docs + [(300, " ".join([*filler[:6], a, *filler[6:]]), "en", "x", None), (301, " ".join([*filler[:6], b, *filler[6:]]), "en", "x", None)]
+    docs += [(302, docs[0][1], "en", "x", None)] * 3
+    d = spark.createDataFrame(docs, SCHEMA)
+    got = sorted((tuple(r) for r in decontaminate(d, spark.createDataFrame(items, "item_id string, text string"), most).collect()), key=str)
+    assert got == brute(docs, items) and [r[2] for r in got if r[0] in (300, 301)] == [15, 0]
+    named = decontaminate(d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), spark.createDataFrame(items, "item_id string, text string"), most)
+    assert sorted(str(r["doc_id"]) for r in named.collect()) == sorted("None" if r[0] is None else f"d{r[0]}" for r in docs)
