@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from fjordframe.llm.common import mapped, with_columns
 from fjordframe.llm.textbytes import cut, pieces
 
-PROFILE, LONGEST = 300, 4
+PROFILE, LONGEST, SALT = 300, 4, 16
 UNKNOWN = "und"
 #: Texts that one sort takes together; their number has 12 bits in the sort key.
 _TEXTS = 4096
@@ -84,8 +84,12 @@ def language_profiles(docs: DataFrame, training: Column) -> DataFrame:
     """(lang, gram, place): the first PROFILE n-grams of every language in the training texts."""
     texts = docs.where(training).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     counts = texts.transform(mapped, _learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("place", place).where(F.col("place") <= PROFILE).select("lang", "gram", "place")
+    # A language's n-grams are first cut down in SALT parts, so that no task takes all of one language's.
+    order = [F.desc("n"), F.col("gram")]
+    part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    few = counts.withColumn("part", F.pmod(F.hash("gram"), F.lit(SALT))).withColumn("place", part).where(F.col("place") <= PROFILE)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return few.withColumn("place", place).where(F.col("place") <= PROFILE).select("lang", "gram", "place")
 
 
 class Profiles:

@@ -3,7 +3,8 @@
 The histogram has a row per distinct encoded length. Suffix sums over it answer, for every context limit: how many
 documents reach it, how many tokens stay when each document is truncated there, and how many are lost. There are at
 most sqrt(2 * tokens) distinct lengths, so the histogram of 10**13 tokens has a few million rows at most; sums run in
-two levels (blocks of lengths, then inside a block) so that no single task sorts all of it.
+two levels (blocks of BLOCK lengths, then inside a block) so that no single task sorts all of it. Texts are encoded once:
+their histogram is written to the shared folder before sums are taken over it.
 
 A null text has length 0. Rows that repeat count each. Other columns, of any name, play no part.
 """
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.llm.common import mapped
+from fjordframe.llm.common import mapped, written
 from fjordframe.llm.textbytes import pieces
 from fjordframe.llm.tokens import default_path, encoder
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def length_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -66,9 +67,23 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The histogram of encoded lengths with its suffix sums."""
-    return suffix_sums(length_counts(docs, tokenizer))
+    return suffix_sums(written(length_counts(docs, tokenizer), "lengths"))
 
 
 def truncated_total(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """(limit, tokens): the tokens that stay at each of a list of context limits, from the histogram alone."""
-    return histogram.select(F.explode(F.array(*map(F.lit, limits))).alias("limit"), "length", "n_docs").groupBy("limit").agg(F.sum(F.least("length", "limit") * F.col("n_docs")).cast("long").alias("tokens"))
+    """(limit, tokens): the tokens that stay at each of a list of context limits, from the suffix sums.
+
+    The sums at the first length that reaches a limit give it: all tokens, less those of documents that long, plus the
+    limit for each of these. No other row of the histogram counts. Without documents every total is 0.
+    """
+    first = [F.min(F.when(F.col("length") >= n, F.struct("length", "docs_at_least", "tokens_at_least"))).alias(f"l{k}") for k, n in enumerate(limits)]
+    sums = histogram.agg(F.max("tokens_at_least").alias("all"), *first)
+    each = F.array(*(F.struct(F.lit(n).alias("limit"), (F.coalesce("all", F.lit(0)) - F.coalesce(F.col(f"l{k}.tokens_at_least"), F.lit(0)) + n * F.coalesce(F.col(f"l{k}.docs_at_least"), F.lit(0))).cast("long").alias("tokens")) for k, n in enumerate(limits)))
+    return sums.select(F.explode(each).alias("e")).select("e.limit", "e.tokens")
+
+
+def length_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, length): the least length that at least such a share of documents does not exceed; null without documents."""
+    least = [F.min(F.when(F.col("docs_share") >= q, F.col("length"))).alias(f"q{k}") for k, q in enumerate(shares)]
+    each = F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(f"q{k}").alias("length")) for k, q in enumerate(shares)))
+    return histogram.agg(*least).select(F.explode(each).alias("e")).select("e.share", "e.length")

@@ -4,8 +4,12 @@ Each task reads its documents in order and closes a shard at SHARD_DOCS document
 a BM25 inverted index over token ids. A window starts with a seed, the document that the window before had to cut or
 else the first one unused; the seed's strongest terms bring back its unused neighbours, best first, and they fill the
 window greedily. The last one that fits only in part is cut and seeds the next window. Where a seed has no neighbour
-left, the next unused document takes its place. So every window of a shard but the last is full; the last one's
-tokens are cut into sequences whose lengths are powers of two, which need no padding.
+left, the next unused document takes its place. A window that a shard leaves open is filled from the task's next shard, so
+every window of a task but its last is full; the last one's tokens are cut into sequences whose lengths are powers of two,
+which need no padding.
+
+A seed searches with its TERMS terms of greatest weight, so a document that shares only others of its terms is found as the
+next unused one at best; with every term a search would read most of the shard's postings for each long seed.
 
 A null text is empty; an empty document is its end id. Every row is packed, also rows that repeat an id or have none.
 No shuffle: a lost task's shards are made anew from the same rows, with the same sequence ids.
@@ -58,7 +62,7 @@ class Index:
         shared = self.df[term] > 1
         term, weight = term[shared], weight[shared]
         if len(term) > TERMS:
-            term = term[np.argpartition(-weight, TERMS)[:TERMS]]
+            term = term[np.lexsort((term, -weight))[:TERMS]]
         score = np.zeros(self.n)
         for t in term:
             x, y = self.first[t], self.first[t + 1]
@@ -68,13 +72,16 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def filled(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) that hold every token of a shard once."""
+def filled(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW, taken: int = 0) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full windows of (document, start, length), and what the last, open one holds: every token of a shard once.
+
+    The first window has `taken` places less.
+    """
     index, sizes = Index(ids, bounds), np.diff(bounds)
     used = np.zeros(len(sizes), bool)
     out: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
-    room, following, seed, at = window, 0, -1, 0
+    room, following, seed, at = window - taken, 0, -1, 0
 
     def place(doc: int, start: int) -> int:
         """Put what fits of a document into the window; what is left of it."""
@@ -90,7 +97,7 @@ def filled(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> list[li
             while following < len(sizes) and used[following]:
                 following += 1
             if following == len(sizes):
-                break
+                return out, now
             seed, at = following, 0
         left = place(seed, at)
         if not room:
@@ -106,45 +113,63 @@ def filled(ids: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> list[li
                 now, room = [], window
                 seed, at = (int(doc), left) if left else (-1, 0)
                 break
-    size = 1 << window.bit_length()
-    rest = window - room
+
+
+def powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """(document, start, length) pieces cut into sequences whose lengths are powers of two, the longest first."""
+    rest, pieces = sum(p[2] for p in pieces), list(pieces)
     while rest:
-        while size > rest:
-            size >>= 1
-        head, need = [], size
+        need = size = 1 << rest.bit_length() - 1
+        head = []
         while need:
-            doc, start, length = now.pop(0)
+            doc, start, length = pieces.pop(0)
             head.append((doc, start, min(need, length)))
             if length > need:
-                now.insert(0, (doc, start + need, length - need))
+                pieces.insert(0, (doc, start + need, length - need))
             need -= min(need, length)
-        out.append(head)
+        yield head
         rest -= size
-    return out
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and its ids (32-bit little-endian)."""
     tokenizer = tokenizer or default_path()
 
-    def shard(doc_ids: list, parts: list, base: int) -> tuple[pa.RecordBatch, int]:
-        sizes = np.concatenate([p[1] for p in parts])
-        ids, bounds = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)])
-        raw = ids.astype("<u4").tobytes()
-        sequences = filled(ids, bounds, window)
-        rows = []
-        for s, sequence in enumerate(sequences):
-            offset = 0
-            for doc, start, length in sequence:
-                a = 4 * (int(bounds[doc]) + start)
-                rows.append((doc_ids[doc], start, length, int(sizes[doc]), base + s, offset, raw[a : a + 4 * length]))
-                offset += length
-        return batch(_PIECES, list(map(list, zip(*rows, strict=True)))), base + len(sequences)
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        base = TaskContext.get().partitionId() << 36
+        sequence = TaskContext.get().partitionId() << 36
         doc_ids, parts, tokens = [], [], 0
+        # The open window's rows, and where it stands.
+        open_rows, offset = [], 0
+
+        def row(doc: tuple, start: int, raw: bytes) -> None:
+            nonlocal offset
+            open_rows.append((doc[0], start, len(raw) // 4, doc[1], sequence, offset, raw))
+            offset += len(raw) // 4
+
+        def closed() -> pa.RecordBatch:
+            made = batch(_PIECES, list(map(list, zip(*open_rows, strict=True))))
+            open_rows.clear()
+            return made
+
+        def shard() -> Iterator[pa.RecordBatch]:
+            nonlocal sequence, offset
+            sizes = np.concatenate([p[1] for p in parts])
+            ids, bounds = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)])
+            raw = ids.astype("<u4").tobytes()
+            full, left = filled(ids, bounds, window, offset)
+            for pieces_of in [*full, left]:
+                for doc, start, length in pieces_of:
+                    a = 4 * (int(bounds[doc]) + start)
+                    row((doc_ids[doc], int(sizes[doc])), start, raw[a : a + 4 * length])
+                if offset == window:
+                    sequence, offset = sequence + 1, 0
+            still = [r for r in open_rows if r[4] == sequence]
+            del open_rows[len(open_rows) - len(still) :]
+            if open_rows:
+                yield closed()
+            open_rows.extend(still)
+
         for whole in batches:
             for b in pieces(whole, "text", 2 << 20):
                 ids, offsets = own.encode(b["text"])
@@ -159,11 +184,19 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
                     tokens += int(ends[to] - ends[at])
                     at = to
                     if len(doc_ids) >= SHARD_DOCS or tokens >= SHARD_TOKENS or at < len(sizes):
-                        made, base = shard(doc_ids, parts, base)
-                        yield made
+                        yield from shard()
                         doc_ids, parts, tokens = [], [], 0
         if doc_ids:
-            yield shard(doc_ids, parts, base)[0]
+            yield from shard()
+        tail = list(open_rows)
+        open_rows.clear()
+        for piece in powers_of_two([(k, 0, r[2]) for k, r in enumerate(tail)]):
+            offset = 0
+            for k, start, length in piece:
+                row((tail[k][0], tail[k][3]), tail[k][1] + start, tail[k][6][4 * start : 4 * (start + length)])
+            sequence += 1
+        if open_rows:
+            yield closed()
 
     return docs.select(F.col("doc_id").cast("long"), "text").transform(mapped, pack, _PIECES_SQL)
 
