@@ -49,28 +49,27 @@ CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE
 """
 
 
-def urls(rules: list) -> str:
-    """The URL query: rules by length, then PageRank of both kinds in unrolled steps over host links."""
+def urls(rules: list, steps: int = 140) -> str:
+    """The URL query: rules by length, then so many steps of PageRank of both kinds over host links, which is to the limit of doubles."""
     from fjordframe.llm.urlfilter import DAMPING, THRESHOLD
 
-    steps = 30
     order = sorted(rules, key=lambda r: -len(r.text))
     fits = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in order)
     verdict = " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in order)
     lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-    ctes = [
-        f"p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
-        f"j AS (SELECT page_id, html, host, path, CASE {rule} END AS rule FROM p)",
-        f"k AS (SELECT *, CASE rule {verdict} END AS v FROM j)",
-        "s AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS share FROM (SELECT CASE v WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM k WHERE v IS NOT NULL AND host <> '' GROUP BY ALL))",
-        rf"""l AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)), {lower}) AS dst FROM p WHERE host <> '') WHERE src <> dst)""",
-        "e AS (SELECT 'trust' AS kind, src, dst FROM l UNION ALL SELECT 'distrust', dst, src FROM l)",
-        "w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY kind, src) AS part FROM e)",
-        "r0 AS (SELECT kind, host, share::DOUBLE AS rank FROM s)",
-    ]
-    for i in range(steps):
-        ctes.append(f"m{i} AS (SELECT w.kind, w.dst AS host, {DAMPING} * r.rank * w.part AS rank FROM r{i} r JOIN w ON r.kind = w.kind AND r.host = w.src)")
-        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT * FROM m{i} UNION ALL SELECT s.kind, s.host, s.share * (1 - coalesce(g.t, 0)) FROM s LEFT JOIN (SELECT kind, sum(rank) AS t FROM m{i} GROUP BY kind) g ON s.kind = g.kind) GROUP BY ALL)")
-    ctes.append(f"h AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r{steps} GROUP BY host)")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, k.host, path, rule, coalesce(v, CASE WHEN coalesce(d, 0) > {THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN h ON k.host = h.host"
+    return rf"""
+WITH RECURSIVE p AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+j AS (SELECT page_id, html, host, path, CASE {rule} END AS rule FROM p),
+k AS (SELECT *, CASE rule {verdict} END AS v FROM j),
+s AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS share FROM (SELECT CASE v WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM k WHERE v IS NOT NULL AND host <> '' GROUP BY ALL)),
+l AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)), {lower}) AS dst FROM p WHERE host <> '') WHERE src <> dst),
+e AS (SELECT 'trust' AS kind, src, dst FROM l UNION ALL SELECT 'distrust', dst, src FROM l),
+w AS MATERIALIZED (SELECT *, 1.0 / count(*) OVER (PARTITION BY kind, src) AS part FROM e),
+r AS (SELECT 0 AS step, kind, host, share::DOUBLE AS rank FROM s
+  UNION ALL SELECT step, kind, host, sum(rank) FROM (
+    SELECT r.step + 1 AS step, w.kind, w.dst AS host, {DAMPING} * r.rank * w.part AS rank FROM r JOIN w ON r.kind = w.kind AND r.host = w.src WHERE r.step < {steps}
+    UNION ALL SELECT g.step, s.kind, s.host, s.share * (1 - g.t) FROM s JOIN (
+      SELECT r.step + 1 AS step, r.kind, {DAMPING} * sum(CASE WHEN o.src IS NULL THEN 0 ELSE r.rank END) AS t FROM r LEFT JOIN (SELECT DISTINCT kind, src FROM w) o ON r.kind = o.kind AND r.host = o.src WHERE r.step < {steps} GROUP BY 1, 2) g ON s.kind = g.kind) GROUP BY ALL),
+h AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r WHERE step = {steps} GROUP BY host)
+SELECT page_id, k.host, path, rule, coalesce(v, CASE WHEN coalesce(d, 0) > {THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM k LEFT JOIN h ON k.host = h.host"""

@@ -7,8 +7,10 @@ distrusted), seeds weighted by their pages. A host whose distrust exceeds `thres
 blocked; a host that neither walk reaches is allowed.
 
 Host links are the hosts of absolute or protocol-relative href and src targets in the html, counted once a pair; a
-host that links nowhere gives its rank back to the seeds. Edges, ranks and seeds are tables: nothing grows on the
-driver, and a host with most of the pages is summed before every shuffle.
+host that links nowhere gives its rank back to the seeds. A step shrinks what ranks still move by DAMPING at least, so the
+walk ends by itself, within about 130 steps, when ranks move by less than TOLERANCE in all. Edges, ranks and seeds are
+tables: nothing grows on the driver. Rank that flows into a host is summed before every shuffle; the links of a host with
+very many of them, and the pages of a host with very many, are dealt out in parts, each with a copy of the host's one row.
 
 A null url, or one without "://", has an empty host and path, fits no rule and is no node; it is allowed. Null html
 has no links. Rows that repeat come back each. Other columns, of any name, play no part.
@@ -21,9 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import written
+from fjordframe.llm.common import discard, written
 
-DAMPING, STEPS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-9, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.5
+#: Links of a host that one part takes, and parts that the pages of any host are dealt out to.
+PART, SALT = 100_000, 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,24 +78,35 @@ def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(kind, host, rank): a personalised PageRank of each kind.
 
     edges has kind, src, dst; seeds has kind, host, share, and shares of a kind sum to 1. Rank that reaches a host
-    without out-links of that kind goes back to the seeds. Steps end when no kind moves by TOLERANCE, or after STEPS.
+    without out-links of that kind goes back to the seeds. Steps end when ranks move by less than TOLERANCE in all.
     """
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    steps = written(edges.join(degree, ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("degree")).alias("part")), "edges")
+    parts = F.ceil(F.col("degree") / PART).cast("int")
+    joined = edges.join(degree, ["kind", "src"])
+    steps = written(joined.select("kind", "src", F.pmod(F.xxhash64("dst"), parts).cast("int").alias("part"), "dst", (1 / F.col("degree")).alias("share")), "edges")
     seeds = written(seeds, "seeds")
     ranks = seeds.select("kind", "host", F.col("share").alias("rank"))
     if steps.isEmpty():
         return ranks
-    for _ in range(STEPS):
-        walked = ranks.join(steps, (ranks["kind"] == steps["kind"]) & (ranks["host"] == steps["src"])).select(steps["kind"], F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("part")).alias("rank"))
+    # Hosts with several parts: at most one in PART links.
+    many = written(degree.where(parts > 1).select("kind", F.col("src").alias("host"), parts.alias("parts")), "many")
+    few = many.isEmpty()
+    step = 0
+    while True:
+        step += 1
+        dealt = ranks.withColumn("part", F.lit(0)) if few else ranks.join(many, ["kind", "host"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        met = (dealt["kind"] == steps["kind"]) & (dealt["host"] == steps["src"]) & (dealt["part"] == steps["part"])
+        walked = dealt.join(steps, met).select(steps["kind"], F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
         given = walked.groupBy("kind").agg(F.sum("rank").alias("given"))
         back = seeds.join(given, "kind", "left").select("kind", "host", (F.col("share") * (1 - F.coalesce("given", F.lit(0.0)))).alias("rank"))
         new = written(walked.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
-        moved = new.join(ranks.withColumnRenamed("rank", "old"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        ranks = new
-        if (moved or 0) < TOLERANCE:
-            break
-    return ranks
+        old, ranks = ranks, new
+        if step % 4 == 0 or step < 3:
+            change = F.abs(F.coalesce(new["rank"], F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
+            moved = new.join(old.withColumnRenamed("rank", "old"), ["kind", "host"], "full").agg(F.sum(change)).first()[0]
+            if (moved or 0) < TOLERANCE:
+                return ranks
+        discard(old)
 
 
 def filtered(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD) -> DataFrame:
@@ -106,6 +121,8 @@ def filtered(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD)
     both = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "src", "dst"), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))))
     ranks = propagated(links.select(both.alias("e")).select("e.*"), seeds)
     hosts = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    out = judged.drop("html").join(hosts, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
+    copies = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = judged.drop("html").withColumn("part", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    out = dealt.join(copies, ["host", "part"], "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     by_host = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), "trust", "distrust")

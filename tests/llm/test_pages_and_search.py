@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fjordframe.llm import pivotsearch, warc
+from fjordframe.llm import pivotsearch, urlfilter, warc
 from fjordframe.llm.queries import URL_RULES
 from fjordframe.llm.urlfilter import DAMPING, filtered
 
@@ -83,6 +83,29 @@ def test_urls_like_brute_force(spark):
     assert filtered(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
 
 
+def test_slow_walks_end_by_themselves_and_split_hosts_change_nothing(spark, monkeypatch):
+    """A long ring that is fed at one place mixes slowly; a host with many links is walked in parts."""
+    ring = [f"h{k}" for k in range(90)]
+    links = [(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)] + [("h0", f"x{k}") for k in range(7)] + [(f"x{k}", "h1") for k in range(6)]
+    edges = spark.createDataFrame([("trust", *e) for e in links], "kind string, src string, dst string")
+    seeds = spark.createDataFrame([("trust", "h0", 0.75), ("trust", "far", 0.25)], "kind string, host string, share double")
+    rank, out = {"h0": 0.75, "far": 0.25}, {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    for _ in range(300):
+        new = {}
+        for a, x in rank.items():
+            for b in out.get(a, []):
+                new[b] = new.get(b, 0) + DAMPING * x / len(out[a])
+        left = 1 - sum(new.values())
+        for h, x in (("h0", 0.75), ("far", 0.25)):
+            new[h] = new.get(h, 0) + x * left
+        rank = new
+    monkeypatch.setattr(urlfilter, "PART", 3)
+    got = {r["host"]: r["rank"] for r in urlfilter.propagated(edges, seeds).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[h] - rank[h]) < 2e-9 for h in rank) and got["h60"] > 0
+
+
 @pytest.mark.parametrize("least", [0, 60])
 def test_archives_round_trip(spark, least, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 7)
