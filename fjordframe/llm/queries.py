@@ -70,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived(spark, table(spark, sf_dir, "pages"))
+    return archived(table(spark, sf_dir, "pages"))
 
 
 QUERIES = (op1_urls, op2_topk, op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing, op10_warc)

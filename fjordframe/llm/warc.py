@@ -3,10 +3,14 @@
 write_archives() writes one gzip member per page into WARC files of the shared folder, one file a task. Of pages with
 equal payloads of at least `least_bytes`, the one with the largest id is a response record and the others are revisit
 records that name it; smaller payloads are always responses. Captures are then sorted by key (reversed host, path and
-query) into compressed blocks of BLOCK lines, and a directory keeps each block's first key, file, offset and length.
+query) into compressed blocks of BLOCK lines. Each sorting task also writes its sparse directory, a file with an entry a
+block (first key, block file, offset, length) and, at its end, the entries' offsets. The driver keeps a line a task.
 
-A reader finds a key by binary search in the sparse directory, reads the blocks' byte ranges, and reads the records'
-byte ranges from the archives. read_captures() does so for every block, in parallel; lookup() for given urls.
+A search is binary at both levels: over the tasks' first keys in memory, then over a directory's entries by range reads of
+an offset and an entry; it then reads the block's byte range and the records' byte ranges. lookup() finds the captures of a
+table of urls: their keys are sorted, and a task searches for a key only where it lies beyond the block it stands on. A key
+with very many captures names many blocks, which are read by as many tasks as there are. read_captures() is the lookup of
+all urls of a table, and archived() reads its archives back by it.
 
 Null html is an empty payload; a null url has an empty key and no target line. A page without an id is a revisit if
 its payload has another page's, else a response. Rows that repeat are written and come back each; rows that repeat
@@ -20,29 +24,42 @@ import base64
 import gzip
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, batched, groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordframe.llm.common import mapped, new_path, written
 
 BLOCK, LEVEL = 500, 4
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+_SHARD_SQL = "part int, first_key string, file string, entries long, offsets long"
 _CAPTURE_SQL = "key string, page_id long, file string, offset long, length long"
 _PAGE_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+@dataclass(frozen=True)
+class Shard:
+    """The directory of one sorting task: its file, number of entries, where their offsets begin, and the first key."""
+
+    first_key: str
+    file: str
+    entries: int
+    offsets: int
+
+
 @dataclass(frozen=True)
 class Archive:
-    """folder: where the files are; directory: the block directory (first_key, file, offset, length, lines)."""
+    """folder: where the files are; shards: the tasks' directories in the order of their keys."""
 
     folder: str
-    directory: DataFrame
+    shards: list[Shard]
 
 
 def _files(folder: str) -> tuple[fs.FileSystem, str]:
@@ -51,9 +68,9 @@ def _files(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def capture_key(url: str | None) -> str:
-    """Reversed host, ")", then path and query: "http://a.b.org/x?y" gives "org,b,a)/x?y"."""
+    """Reversed host, ")", then path and query: "http://a.b.org/x?y" gives "org,b,a)/x?y"; blanks and controls as %XX."""
     m = re.match(r"(?s).*?://(?:[^/?#]*@)?([^/?#]*)([^#]*)", url or "")
-    return f"{','.join(reversed(m[1].lower().split('.')))}){m[2] or '/'}" if m else (url or "")
+    return _one_line(f"{','.join(reversed(m[1].lower().split('.')))}){m[2] or '/'}" if m else (url or ""))
 
 
 def _one_line(text: str) -> str:
@@ -124,40 +141,47 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> Archive:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _files(folder)
-        out, name, offset = None, f"{_attempt('index')}.gz", 0
+        out, name, offset, entries = None, f"{_attempt('index')}.gz", 0, []
         for b in batches:
             out = out or system.open_output_stream(f"{path}/{name}", compression=None)
             lines = list(zip(*(b[c].to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True))
-            found = []
             for at in range(0, len(lines), BLOCK):
                 part = lines[at : at + BLOCK]
-                raw = gzip.compress("\n".join(f"{_one_line(k)}\t{'' if p is None else p}\t{f}\t{o}\t{n}" for k, p, f, o, n in part).encode(), LEVEL, mtime=0)
+                raw = gzip.compress("\n".join(f"{k}\t{'' if p is None else p}\t{f}\t{o}\t{n}" for k, p, f, o, n in part).encode(), LEVEL, mtime=0)
                 out.write(raw)
-                found.append((_one_line(part[0][0]), name, offset, len(raw), len(part)))
+                entries.append((part[0][0], f"{part[0][0]}\t{name}\t{offset}\t{len(raw)}".encode()))
                 offset += len(raw)
-            yield _batch(found, "first_key string, file string, offset long, length long, lines long")
         if out:
             out.close()
+            name = f"{_attempt('directory')}.bin"
+            ends = list(accumulate((len(e) for _, e in entries), initial=0))
+            with system.open_output_stream(f"{path}/{name}", compression=None) as directory:
+                for _, e in entries:
+                    directory.write(e)
+                directory.write(b"".join(e.to_bytes(8, "little") for e in ends))
+            yield _batch([(TaskContext.get().partitionId(), entries[0][0], name, len(entries), ends[-1])], _SHARD_SQL)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = captures.repartitionByRange(parts, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    return Archive(folder, written(ordered.transform(mapped, index, "first_key string, file string, offset long, length long, lines long"), "directory"))
+    rows = ordered.transform(mapped, index, _SHARD_SQL).collect()  # a row a task
+    return Archive(folder, [Shard(*r[1:]) for r in sorted(map(tuple, rows))])
 
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in ddl.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-class _Ranges:
-    """Byte ranges of a folder's files; a few files stay open."""
+class Ranges:
+    """Byte ranges of a folder's files; a few files stay open. reads counts them."""
 
     def __init__(self, folder: str, most: int = 64):
-        (self.system, self.path), self.open, self.most = _files(folder), {}, most
+        (self.system, self.path), self.open, self.most, self.reads = _files(folder), {}, most, 0
 
     def read(self, name: str, offset: int, length: int) -> bytes:
+        self.reads += 1
         if name not in self.open:
             if len(self.open) >= self.most:
                 self.open.pop(next(iter(self.open))).close()
@@ -165,43 +189,102 @@ class _Ranges:
         return self.open[name].read_at(length, offset)
 
 
-def _captures(ranges: _Ranges, name: str, offset: int, length: int) -> Iterator[tuple[str, str, int, int]]:
+class Directory:
+    """The blocks of an archive in the order of their keys, numbered through all shards, read an entry at a time."""
+
+    def __init__(self, archive: Archive, ranges: Ranges):
+        self.shards, self.ranges = archive.shards, ranges
+        self.bases = list(accumulate((s.entries for s in archive.shards), initial=0))
+        self.first_keys = [s.first_key for s in archive.shards]
+
+    def __len__(self) -> int:
+        return self.bases[-1]
+
+    def entry(self, block: int) -> tuple[str, str, int, int]:
+        """(first key, file, offset, length) of a block."""
+        k = bisect_right(self.bases, block) - 1
+        shard, at = self.shards[k], block - self.bases[k]
+        a, b = (int.from_bytes(x, "little") for x in batched(self.ranges.read(shard.file, shard.offsets + 8 * at, 16), 8))
+        key, file, offset, length = self.ranges.read(shard.file, a, b - a).decode().rsplit("\t", 3)
+        return key, file, int(offset), int(length)
+
+    def place(self, key: str) -> int:
+        """The last block whose first key is below the key, or 0: no block before it has the key."""
+        k = max(0, bisect_left(self.first_keys, key) - 1)
+        if k == len(self.shards) or self.first_keys[k] >= key:
+            return 0
+        low, high = self.bases[k], self.bases[k + 1]  # entry(low) is below the key, entry(high), if any, is not
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.entry(middle)[0] < key else (low, middle)
+        return low
+
+    def blocks(self, keys: Iterator[str]) -> Iterator[tuple[str, tuple[str, str, int, int]]]:
+        """(key, entry) of every block that may have a key; keys come in order."""
+        at, now, following = 0, None, None
+        for key in keys:
+            if not len(self):
+                return
+            if now is not None and following is not None and following[0] < key:  # the next block, if the key is not beyond it
+                at, now = at + 1, following
+                following = self.entry(at + 1) if at + 1 < len(self) else None
+            if now is None or (following is not None and following[0] < key):
+                at = self.place(key)
+                now, following = self.entry(at), self.entry(at + 1) if at + 1 < len(self) else None
+            yield key, now
+            step, more = at + 1, following
+            while more is not None and more[0] <= key:
+                yield key, more
+                step += 1
+                more = self.entry(step) if step < len(self) else None
+
+
+def captures_in(ranges: Ranges, name: str, offset: int, length: int) -> Iterator[tuple[str, str, int, int]]:
+    """(key, file, offset, length) of a block's captures."""
     for line in gzip.decompress(ranges.read(name, offset, length)).decode().split("\n"):
-        key, _, file, at, size = line.split("\t")
+        key, _, file, at, size = line.rsplit("\t", 4)
         yield key, file, int(at), int(size)
 
 
-def read_captures(archive: Archive, payloads: bool = True) -> DataFrame:
-    """Every record of the archive, found by way of the index; without payloads if not wanted."""
-    folder, directory = archive.folder, archive.directory
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _batch([(capture_key(u),) for u in b["url"].to_pylist()], "key string")
+
+
+def lookup(archive: Archive, urls: DataFrame, payloads: bool = True) -> DataFrame:
+    """(key, page_id, url, ...): the records of every url in urls (a column url; null stands for pages without one), each once."""
+    spark, folder = urls.sparkSession, archive.folder
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = urls.select("url").distinct().transform(mapped, _keys, "key string").distinct()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = Directory(archive, Ranges(folder))
+        found = directory.blocks(key for b in batches for key in b["key"].to_pylist())
+        for some in batched(found, 10_000):
+            yield _batch([(key, *entry[1:]) for key, entry in some], "key string, file string, offset long, length long")
+
+    blocks = keys.repartitionByRange(parts, "key").sortWithinPartitions("key").transform(mapped, search, "key string, file string, offset long, length long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = _Ranges(folder)
-        for b in batches:
-            for name, offset, length in zip(*(b[c].to_pylist() for c in ("file", "offset", "length")), strict=True):
-                places = sorted(c[1:] for c in _captures(ranges, name, offset, length))
-                rows = [parsed(ranges.read(*place)) for place in places]
-                yield _batch([r if payloads else (*r[:6], None) for r in rows], _PAGE_SQL)
-
-    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return directory.repartition(parts).transform(mapped, read, _PAGE_SQL)
-
-
-def lookup(archive: Archive, urls: list[str]) -> list[tuple]:
-    """The records of each url, by search in the directory and range reads: (url, *fields of parsed())."""
-    ranges, out = _Ranges(archive.folder), []
-    for url in urls:
-        key = _one_line(capture_key(url))
-        d = archive.directory.where(F.col("first_key") <= key)
-        before = d.where(F.col("first_key") < key).orderBy(F.desc("first_key"), F.desc("file"), F.desc("offset")).limit(1)
-        last = before.collect()
-        # A key may begin in the last block that starts below it, or in several that do where first keys repeat.
-        blocks = d.where(F.col("first_key") >= (last[0]["first_key"] if last else "")).collect()
-        for r in sorted(blocks, key=lambda r: (r["first_key"], r["file"], r["offset"])):
-            out += [(url, *parsed(ranges.read(*c[1:]))) for c in _captures(ranges, r["file"], r["offset"], r["length"]) if c[0] == key]
-    return out
-
-
-def archived(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write the pages, read them back by the index, and return their digests."""
-    return read_captures(write_archives(pages, least_bytes), payloads=False).drop("payload", "url")
+        """Rows of one block come together; it is read once."""
+        ranges = Ranges(folder)
+        rows = ((block, key) for b in batches for *block, key in zip(*(b[c].to_pylist() for c in ("file", "offset", "length", "key")), strict=True))
+        for block, group in groupby(rows, key=lambda r: r[0]):
+            wanted = {key for _, key in group}
+            places = sorted(c[1:] + c[:1] for c in captures_in(ranges, *block) if c[0] in wanted)
+            for some in batched(places, BLOCK):
+                records = [(place[3], *parsed(ranges.read(*place[:3]))) for place in some]
+                yield _batch([r if payloads else (*r[:7], None) for r in records], f"key string, {_PAGE_SQL}")
+
+    by_block = blocks.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset")
+    return by_block.transform(mapped, read, f"key string, {_PAGE_SQL}")
+
+
+def read_captures(archive: Archive, pages: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of all urls of pages, found by way of the index; without payloads if not wanted."""
+    return lookup(archive, pages, payloads).drop("key")
+
+
+def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Write the pages, read them back by their urls through the index, and return their digests."""
+    return read_captures(write_archives(pages, least_bytes), pages, payloads=False).drop("payload", "url")

@@ -110,8 +110,9 @@ def test_slow_walks_end_by_themselves_and_split_hosts_change_nothing(spark, monk
 def test_archives_round_trip(spark, least, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 7)
     rows = pages() + [(2000 + i, "http://h0.example.com/same", "same payload, long enough to be deduplicated if asked for it") for i in range(50)]
-    archive = warc.write_archives(spark.createDataFrame(rows, PAGES).withColumn("key", F.lit("clash")), least)
-    got = warc.read_captures(archive).collect()
+    df = spark.createDataFrame(rows, PAGES).withColumn("key", F.lit("clash"))
+    archive = warc.write_archives(df, least)
+    got = warc.read_captures(archive, df).collect()
     last = {}
     for i, _, html in rows:
         if i is not None:
@@ -123,15 +124,43 @@ def test_archives_round_trip(spark, least, monkeypatch):
         revisit = len(raw) >= least and big is not None and (i is None or i < big)
         want.append((str(i), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if revisit else "response", big if revisit else None, None if revisit else raw))
     assert sorted(((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got), key=str) == sorted(want, key=str)
-    found = warc.lookup(archive, ["http://h0.example.com/same", rows[3][1], "http://nowhere.example/"])
-    assert [r[1] for r in found if r[0].endswith("same")] == [2000 + i for i in range(50)]
-    assert {r[1] for r in found if r[0] == rows[3][1]} == {i for i, u, _ in rows if u and warc.capture_key(u) == warc.capture_key(rows[3][1])}
-    assert not [r for r in found if "nowhere" in r[0]]
+    asked = ["http://h0.example.com/same", rows[3][1], "http://nowhere.example/", "http://h0.example.com/same#part"]
+    found = warc.lookup(archive, spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    assert sorted(r["page_id"] for r in found if r["key"].endswith("/same")) == [2000 + i for i in range(50)]
+    assert {r["page_id"] for r in found if r["key"] == warc.capture_key(rows[3][1])} == {i for i, u, _ in rows if u and warc.capture_key(u) == warc.capture_key(rows[3][1])}
+    assert {r["key"] for r in found} == {warc.capture_key(u) for u in asked[:2]}
+
+
+def test_searches_read_a_logarithm_of_the_directory(spark, monkeypatch):
+    """Each search bisects the shards' first keys and one shard's directory: two range reads a step, whatever the key."""
+    monkeypatch.setattr(warc, "BLOCK", 2)
+    rows = [(i, f"http://h{i % 97}.example.com/{i // 5} x\x01y", f"<p>{i}") for i in range(1500)] + [(5000 + i, "http://h5.example.com/hot", "x") for i in range(400)]
+    archive = warc.write_archives(spark.createDataFrame(rows, PAGES))
+    ranges = warc.Ranges(archive.folder)
+    directory = warc.Directory(archive, ranges)
+    entries = [directory.entry(k) for k in range(len(directory))]
+    assert len(entries) > 900 and [e[0] for e in entries] == sorted(e[0] for e in entries)
+    most = max(s.entries for s in archive.shards)
+    keys = sorted({warc.capture_key(u) for _, u, _ in rows} | {"", "zzz", "com,example,h5)/hos", "com,example,h5)/hou"})
+    for key in keys:
+        before = ranges.reads
+        at = directory.place(key)
+        assert ranges.reads - before <= 2 * (most.bit_length() + 1)
+        assert at == max([k for k, e in enumerate(entries) if e[0] < key], default=0)
+    want = {(key, e) for key in keys for k, e in enumerate(entries) if e[0] <= key and (k + 1 == len(entries) or entries[k + 1][0] >= key) or k == 0 and e[0] > key}
+    assert set(directory.blocks(iter(keys))) >= {(k, e) for k, e in want if e[0] <= k}
+    hot = [b for k, b in directory.blocks(iter(["com,example,h5)/hot"]))]
+    assert len(hot) >= 200
+    before = ranges.reads
+    assert list(directory.blocks(iter(keys))) and ranges.reads - before < 8 * len(keys)
 
 
 def test_empty_archive(spark):
-    archive = warc.write_archives(spark.createDataFrame([], PAGES))
-    assert warc.read_captures(archive).count() == 0 and warc.lookup(archive, ["http://a/"]) == []
+    none = spark.createDataFrame([], PAGES)
+    archive = warc.write_archives(none)
+    assert warc.read_captures(archive, none).count() == 0 and warc.lookup(archive, spark.createDataFrame([("http://a/",)], "url string")).count() == 0
+    one = spark.createDataFrame([(1, None, None)], PAGES)
+    assert [tuple(r)[:2] for r in warc.archived(one).collect()] == [(1, 0)]
 
 
 def brute_top(rows, k):
