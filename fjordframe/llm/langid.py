@@ -101,14 +101,15 @@ class Profiles:
         self.places = np.full((len(self.grams) + 1, len(self.names)), -1, np.int32)
         self.places[at, of] = place - 1
 
-    def judge(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def judge(self, texts: pa.Array, declared: list | None = None) -> tuple[list[str], np.ndarray, list]:
+        """Each text's language and score, and the score of its declared language; null if that is none or was not learned."""
         n = len(texts)
         found, has_letter = _grams(texts)
         for r in np.flatnonzero(~has_letter):
             has_letter[r] = any(map(str.isalpha, texts[int(r)].as_py() or ""))
         names, scores = [UNKNOWN] * n, np.zeros(n)
         if not len(self.names):
-            return names, scores
+            return names, scores, [None] * n
         keys, counts = np.unique(found, return_counts=True)
         fewer = np.uint64((1 << 20) - 1) - np.minimum(counts, (1 << 20) - 1).astype(np.uint64)
         keys = np.sort(keys >> np.uint64(32) << np.uint64(52) | fewer << np.uint64(32) | keys & np.uint64(0xFFFFFFFF))
@@ -127,18 +128,26 @@ class Profiles:
         best = distance.argmin(axis=1)
         for r in np.flatnonzero(has_letter):
             names[r], scores[r] = str(self.names[best[r]]), 1 - distance[r, best[r]]
-        return names, scores
+        place = {str(name): k for k, name in enumerate(self.names)}
+        own = [place.get(d) for d in declared or [None] * n]
+        return names, scores, [None if k is None or not has_letter[r] else float(1 - distance[r, k]) for r, k in enumerate(own)]
 
 
-def identify(docs: DataFrame, profiles: DataFrame, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and its score added, under names that docs does not have; docs must have a text column."""
+def identify(docs: DataFrame, profiles: DataFrame, columns: tuple[str, str] = ("lang_pred", "score"), declared: tuple[str, str] | None = None) -> DataFrame:
+    """docs with the language and its score added, under names that docs does not have; docs must have a text column.
+
+    declared, if given, names a column with a language, and a new one for that language's score; it is no input of the rest.
+    """
     p = profiles.toArrow()  # PROFILE rows a language
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(p["lang"].to_numpy(zero_copy_only=False), p["gram"].to_numpy(), p["place"].to_numpy()))
+    more = [*columns, *(declared or ())[1:]]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole):
-                names, scores = shared.value.judge(b["text"])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*b.schema.names, *columns])
+                names, scores, own = shared.value.judge(b["text"], b[declared[0]].to_pylist() if declared else None)
+                found = [pa.array(names, pa.string()), pa.array(scores), pa.array(own, pa.float64())][: len(more)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, *more])
 
-    return docs.transform(mapped, judge, with_columns(docs, f"`{columns[0]}` string, `{columns[1]}` double"))
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in zip(more, ("string", "double", "double")))  # noqa: B905
+    return docs.transform(mapped, judge, with_columns(docs, kinds))

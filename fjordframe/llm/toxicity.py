@@ -101,20 +101,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_features: int) -> tuple[np.ndarray, float]:
+def risk_slope(z: np.ndarray, plus: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The step's gradient by text scores z; plus and u are the texts' shares in p E+ and in Eu.
+
+    While the negative risk is below zero the step goes against it, and against nothing else.
+    """
+    as_negative = np.logaddexp(0, z)
+    against = (u - plus) * _sigmoid(z)
+    return against - plus * _sigmoid(-z) if u @ as_negative >= plus @ as_negative else -against
+
+
+def fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, n_features: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative positive-unlabelled logistic risk, by Adam over all texts."""
     n = len(positive)
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     plus, u = prior * positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         z = np.bincount(rows, w[columns], n) + w[-1]
-        up, down = _sigmoid(z), _sigmoid(-z)
-        as_negative = np.logaddexp(0, z)
-        negative_risk = u @ as_negative - plus @ as_negative
-        against = (u - plus) * up
-        slope = against - plus * down if negative_risk >= 0 else -against
+        slope = risk_slope(z, plus, u)
         g = np.append(np.bincount(columns, slope[rows], n_features), slope.sum()) + RIDGE * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fjordframe.llm import ctw
-from fjordframe.llm.common import id_fold
-from tests.llm.cases import SCHEMA, documents, with_clashes, words_of
+from fjordframe.llm.common import id_fold, most_frequent
+from tests.llm.cases import SCHEMA, documents, low, with_clashes, words_of
 
 
 def test_normal_form():
@@ -112,6 +112,33 @@ def test_base_line_like_brute_force(spark, monkeypatch):
     assert long["bits_per_byte"] < 4
 
 
+def test_scores_from_raw_texts_by_plain_recursion(spark):
+    """The whole way through Spark against a weighting that starts from the texts' characters and knows no table."""
+    docs = [(1, "Ab  ab\tba", "en", "s", 1), (2, "abba", "en", "s", 1), (2, "abba", "en", "s", 1), (3, None, "en", "s", 1), (5, "ba é", "en", "s", 1), (None, "b", "en", "s", 1)]
+    held = {i for i, *_ in docs if i is not None and zlib.crc32(str(i).encode()) % 2 == 0}
+    assert held and held != {1, 2, 3, 5}
+    line = lambda t: b"\n" * 5 + b" ".join(low(t).encode().split()) + b"\n"
+    counts = collections.Counter((x[k - 5 : k], x[k]) for i, t, *_ in docs if i not in held for x in [line(t)] for k in range(5, len(x)))
+    contexts = {c[5 - d :] for c, _ in counts for d in range(1, 6)}
+    p, want = brute(counts, 5, contexts), []
+    for i, t, *_ in docs:
+        x = line(t)
+        total = 0.0
+        for k in range(5, len(x)):
+            total += p(x[k - 5 : k], x[k])
+        want.append((str(i), total))
+    got = ctw.language_scores(spark.createDataFrame(docs, SCHEMA), id_fold("doc_id", 2) == 0).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in got) == sorted((i, round(x, 5)) for i, x in want)
+
+
+def test_most_frequent_with_ties(spark):
+    rows = spark.createDataFrame([(k, 1) for k in range(1000)] + [(2000 + k, 5) for k in range(10)], "key long, n long")
+    assert most_frequent(rows, 1010).count() == 1010 and most_frequent(rows, 10).count() == 10
+    some = {r["key"] for r in most_frequent(rows, 999).collect()}
+    assert 900 < len(some) <= 999 and some >= set(range(2000, 2010)) and some == {r["key"] for r in most_frequent(rows.repartition(7), 999).collect()}
+    assert 0 < most_frequent(rows.where("n = 1"), 999).count() <= 999 and most_frequent(rows.limit(0), 5).count() == 0
+
+
 def test_no_training_text(spark):
     df = spark.createDataFrame([(1, "ab", "en", "s", 1)], SCHEMA)
     r = ctw.language_scores(df, F.lit(True)).first()

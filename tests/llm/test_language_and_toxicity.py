@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fjordframe.llm import langid, toxicity
 from fjordframe.llm.common import id_fold
-from tests.llm.cases import SCHEMA, documents, prose
+from tests.llm.cases import SCHEMA, documents, prose, thue_morse, with_clashes
 
 TONGUES = {"en": "the of and that with this have from they were which", "de": "der die und das nicht eine über schön mit auch für", "fr": "le la les des été même avec où très pour dans"}
 
@@ -57,6 +57,33 @@ def test_languages_like_brute_force_and_on_held_out_texts(spark):
     held = [r for r in docs if r[2] in TONGUES and r[3] == "s" and zlib.crc32(str(r[0]).encode()) % 3 == 1]
     assert np.mean([got[r[0]][0] == r[2] for r in held]) > 0.98
     assert {got[k][0] for k in (100, 101, 102, 103)} == {"und"}
+    named = langid.identify(df.select("doc_id", "text", "lang"), rows, ("a", "b"), ("lang", "c")).collect()
+    assert all((r["a"], r["b"]) == got[r["doc_id"]] and (r["c"] is None) == (r["lang"] not in profiles or r["a"] == "und") for r in named)
+    assert all(r["c"] == r["b"] for r in named if r["lang"] == r["a"]) and all(r["c"] <= r["b"] for r in named if r["c"] is not None)
+
+
+def test_profiles_by_plain_counts(spark):
+    """Profiles counted with dictionaries: repeated rows count each, null languages, null ids and the other fold do not."""
+    docs = spoken(40) + [(3, "the the thé", "en", "s", None)] * 3 + [(None, "zzzz zzzz", "en", "s", None), (4, "yyyy", None, "s", None), (7, None, "de", "s", None)]
+    counts = {}
+    for i, text, lang, *_ in docs:
+        if lang and text and i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            data = "".join(chr(c) if 97 <= c <= 122 or c >= 128 else " " for c in text.lower().encode())
+            line = f" {' '.join(data.split())} "
+            for n in range(1, 5):
+                for k in range(len(line) - n + 1):
+                    if (g := line[k : k + n]) != " ":
+                        key = lang, int.from_bytes(g.encode("latin-1"), "big")
+                        counts[key] = counts.get(key, 0) + 1
+    want = set()
+    for lang in {x for x, _ in counts}:
+        ranked = sorted((k for k in counts if k[0] == lang), key=lambda k: (-counts[k], k[1]))
+        want |= {(*k, place) for place, k in enumerate(ranked[: langid.PROFILE], 1)}
+    clashing = with_clashes(spark.createDataFrame(docs, SCHEMA)).withColumns({"gram": F.lit("clash"), "place": F.lit("clash"), "part": F.lit("clash")})
+    assert {tuple(r) for r in langid.language_profiles(clashing, id_fold("doc_id", 3) != 1).collect()} == want
+    rows = langid.language_profiles(clashing, id_fold("doc_id", 3) != 1)
+    judged = langid.identify(clashing.drop("score"), rows).collect()
+    assert len(judged) == len(docs) and len({(r["lang_pred"], r["score"]) for r in judged if r["doc_id"] == 3 and r["text"] == "the the thé"}) == 1
 
 
 def test_nothing_to_learn_from(spark):
@@ -123,6 +150,65 @@ def test_risk_never_counts_below_zero():
     assert np.isfinite(w).all() and abs(w).max() < 50 and w[0] > w[1]
 
 
+def nn_risk(w, table, positive, unlabelled, prior):
+    """The risk as the paper writes it, with plain sums: (pi E+[l(1)], Eu[l(0)] - pi E+[l(0)])."""
+    z = table @ w[:-1] + w[-1]
+    as_positive, as_negative = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+    mean = lambda x, of: (x * of).sum() / of.sum()
+    return prior * mean(as_positive, positive), mean(as_negative, unlabelled) - prior * mean(as_negative, positive)
+
+
+def test_slopes_are_those_of_the_risk():
+    """risk_slope() against differences of the risk itself, where the negative risk is above and below zero."""
+    rng = np.random.default_rng(4)
+    table = (rng.random((30, 4)) < 0.4).astype(float)
+    positive, unlabelled = (rng.random(30) < 0.4).astype(float), (rng.random(30) < 0.7).astype(float)
+    sides = set()
+    for prior in (0.2, 0.9):
+        for _ in range(10):
+            w = rng.normal(size=5)
+            below = nn_risk(w, table, positive, unlabelled, prior)[1] < 0
+            sides.add(bool(below))
+
+            def risk(x):
+                plus, minus = nn_risk(x, table, positive, unlabelled, prior)  # noqa: B023
+                return -minus if below else plus + minus  # noqa: B023
+
+            slope = toxicity.risk_slope(table @ w[:-1] + w[-1], prior * positive / positive.sum(), unlabelled / unlabelled.sum())
+            want = [(risk(w + e) - risk(w - e)) / 2e-6 for e in np.eye(5) * 1e-6]
+            assert np.allclose([*(table.T @ slope), slope.sum()], want, atol=1e-7)
+    assert sides == {True, False}
+
+
+def test_fit_lowers_the_risk():
+    rng = np.random.default_rng(5)
+    table = (rng.random((200, 6)) < 0.3).astype(float)
+    truth = (table @ [3, 2, 0, 0, -1, 0] + rng.normal(size=200) > 2).astype(float)
+    positive, unlabelled = truth * (rng.random(200) < 0.5), (rng.random(200) < 0.8).astype(float)
+    rows, columns = np.nonzero(table)
+    before = np.append(np.zeros(6), np.log(0.25 / 0.75))
+    weights, bias = toxicity.fit(rows, columns, positive, unlabelled, 0.25, 6)
+    risk = lambda w: sum(max(0, x) for x in nn_risk(w, table, positive, unlabelled, 0.25))
+    assert risk(np.append(weights, bias)) < 0.6 * risk(before) and weights[0] > weights[4]
+
+
+def test_scores_are_the_sigmoid_of_the_present_features(spark):
+    """Scores of clashing, repeated, null and long rows, against features gathered word by word."""
+    words = ["vilest", "vilely", "river", "stone"]
+    root = {k: int(toxicity.features(pa.array([k]))[1][0]) for k in words}
+    wanted = np.unique(np.array(list(root.values()), np.uint64))
+    model = toxicity.Model(wanted, np.arange(1.0, len(wanted) + 1) / 4, -1.0)
+    weight = {k: model.weights[int(np.searchsorted(wanted, np.uint64(v)))] for k, v in root.items()}
+    a, b = thue_morse(1024)
+    docs = [(1, "vilest RIVER river", 1), (1, "vilest RIVER river", 1), (2, None, 1), (None, "stone", 1), (3, "river " * 30_000 + "Vilely", 1), (4, f"{a} {b}", 1)]
+    df = with_clashes(spark.createDataFrame(docs, "doc_id long, text string, n_chars int")).drop("score").withColumns({"feature": F.lit("x"), "positive": F.lit("x")})
+    got = toxicity.toxicity_scores(df, model).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        present = {w for w in (r["text"] or "").lower().split() if w in weight}
+        assert abs(r["score"] - 1 / (1 + np.exp(1.0 - sum(weight[w] for w in present)))) < 1e-12
+
+
 def test_features_count_words_that_share_a_beginning():
     texts = pa.array(["abcdx abcdy", "abcdx", None])
     rows, keys = toxicity.features(texts)
