@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir; where a session has none (tests, one machine), into a temporary folder."""
+    """df.checkpoint() into spark.checkpoint.dir; where a session on one machine has none (tests), into a temporary folder.
+
+    On a cluster the setting is needed: executors would not see each other's files.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fjordframe-"))
+        place = context.getConf().get("spark.checkpoint.dir")
+        if not place and not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="fjordframe-"))
     return df.checkpoint()
