@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into spark.checkpoint.dir; where a session on one machine has none (tests), into a temporary folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    On a cluster the setting is needed: executors would not see each other's files.
+    Where a session on one machine has none (tests), a temporary folder; on a cluster the setting is needed, as executors
+    would not see each other's files.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        place = context.getConf().get("spark.checkpoint.dir")
-        if not place and not (context.master or "").startswith("local"):
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not (context.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="fjordframe-"))
+        found = tempfile.mkdtemp(prefix="fjordframe-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

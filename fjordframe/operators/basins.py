@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from fjordframe.functions.lineage import cut
 from fjordframe.operators.grid import NEIGHBOURS
+from fjordframe.operators.selection import boltzmann_sample
+from fjordframe.operators.structure import frame_arrays, pair_deviations
 
 
 def watershed(grid: DataFrame, ceiling: float) -> DataFrame:
@@ -84,7 +86,7 @@ def segmented(grid: DataFrame, ceiling: float, barrier: float) -> DataFrame:
 def basin_table(segments: DataFrame, delta: float) -> DataFrame:
     """(label, i, j, fmin, ncells): each basin's minimum and its cells within delta of it."""
     low = segments.where("label > 0").groupBy("label").agg(F.min(F.struct("f", "i", "j")).alias("m"))
-    rows = segments.where("label > 0").join(F.broadcast(low), "label")
+    rows = segments.where("label > 0").join(low, "label")
     return rows.groupBy("label", "m.i", "m.j", F.col("m.f").alias("fmin")).agg(F.count_if(F.col("f") < F.col("m.f") + delta).alias("ncells"))
 
 
@@ -95,18 +97,36 @@ def with_shoulder(segments: DataFrame, window: Column, label: int) -> DataFrame:
 
 def assigned(candidates: DataFrame, i: Column, j: Column, segments: DataFrame, basins: DataFrame, delta: float) -> DataFrame:
     """Candidates with the label of their cell, only where the cell lies within delta of its basin's minimum."""
-    cells = segments.where("label > 0").select("i", "j", "f", "label").join(F.broadcast(basins.select("label", "fmin")), "label").where(F.col("f") < F.col("fmin") + delta)
-    return candidates.withColumn("i", i).withColumn("j", j).join(F.broadcast(cells.select("i", "j", "label")), ["i", "j"])
+    cells = segments.where("label > 0").select("i", "j", "f", "label").join(basins.select("label", "fmin"), "label").where(F.col("f") < F.col("fmin") + delta)
+    return candidates.withColumn("i", i).withColumn("j", j).join(cells.select("i", "j", "label"), ["i", "j"])
 
 
-def medoids(items: DataFrame, by: str, key: str, vector: str) -> DataFrame:
+def medoids(items: DataFrame, by: str, key: str, vector: str, most: int | None = None, w: Column | None = None, seed: int = 42) -> DataFrame:
     """(by, key, total): per state the item with the least summed Euclidean distance to the others, ties to the smaller key.
 
-    Pairs arise inside a state; states are the few representatives drawn per basin.
+    most bounds the members of a state that are compared: so many are drawn without replacement, by weight w or evenly.
     """
-    a = items.select(by, F.col(key).alias("_a"), F.col(vector).alias("_va"))
-    b = items.select(by, F.col(key).alias("_b"), F.col(vector).alias("_vb"))
+    few = items if most is None else boltzmann_sample(items, by, key, F.lit(1.0) if w is None else w, most, seed)
+    a = few.select(by, F.col(key).alias("_a"), F.col(vector).alias("_va"))
+    b = few.select(by, F.col(key).alias("_b"), F.col(vector).alias("_vb"))
     square = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    sums = a.join(b, by).groupBy(by, "_a").agg(F.sum(F.sqrt(square)).alias("total"))
+    return _least_total(a.join(b, by).select(by, "_a", F.sqrt(square).alias("d")), by, key)
+
+
+def _least_total(pairs: DataFrame, by: str, key: str) -> DataFrame:
+    sums = pairs.groupBy(by, "_a").agg(F.sum("d").alias("total"))
     best = F.row_number().over(Window.partitionBy(by).orderBy("total", "_a"))
     return sums.withColumn("_r", best).where("_r = 1").select(by, F.col("_a").alias(key), "total")
+
+
+def structural_medoids(coords: DataFrame, by: str, most: int, seed: int = 42) -> DataFrame:
+    """(by, frame, total): per state the frame whose summed deviation from the others, each pair superposed, is least.
+
+    coords has by, frame, atom, x, y, z of the atoms to compare (heavy ones, by the caller's choice). At most `most` frames of a
+    state are drawn and compared, so pairs stay bounded.
+    """
+    drawn = boltzmann_sample(coords.select(by, "frame").distinct(), by, "frame", F.lit(1.0), most, seed).select(by, "frame")
+    shapes = frame_arrays(coords.join(drawn, [by, "frame"]), [by])
+    a = shapes.select(by, F.col("frame").alias("_a"), F.col("xyz").alias("p"))
+    b = shapes.select(by, F.col("frame").alias("_b"), F.col("xyz").alias("q"))
+    return _least_total(pair_deviations(a.join(b, by)), by, "frame")

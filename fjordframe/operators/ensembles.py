@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from fjordframe.functions.binning import Axis
 from fjordframe.operators.hist import free_energy, min_shifted
+from fjordframe.operators.ordering import row_index
 
 
 def fixed_cuts(t_max: float, n: int) -> list[float]:
@@ -20,6 +21,24 @@ def converged_cuts(t_conv: float, t_max: float, n: int) -> list[float]:
     return [t_conv + (t_max - t_conv) * (i + 1) / n for i in range(n)]
 
 
+def cuts_after(start: float, t_max: float, n: int) -> list[float]:
+    """n cut-offs, evenly after a discarded start up to t_max; frames before the start are the caller's to leave out."""
+    return converged_cuts(start, t_max, n)
+
+
+def hill_count_cuts(hills: DataFrame, t: str, n: int, ties: str | None = None) -> DataFrame:
+    """(snap, hills, t_cut): a cut-off at every max(1, hills // n)-th hill in time order and one at the last.
+
+    Where the stride divides the hills exactly the last cut-off would come twice; it comes once.
+    """
+    placed = row_index(hills, t, "_p", ties)
+    total = placed.agg(F.count("*").alias("_n"))  # one row
+    rows = placed.join(F.broadcast(total)).withColumn("_s", F.greatest(F.lit(1), F.floor(F.col("_n") / n)))
+    kept = rows.where((F.col("_p") % F.col("_s") == 0) | (F.col("_p") == F.col("_n")))
+    # Cut-offs number about n.
+    return kept.select((F.row_number().over(Window.orderBy("_p")) - 1).alias("snap"), F.col("_p").cast("long").alias("hills"), F.col(t).alias("t_cut"))
+
+
 def snapshot_table(spark: SparkSession, cuts: list[float]) -> DataFrame:
     """(snap, t_cut), one row per snapshot."""
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, {t!r}D)" for k, t in enumerate(cuts)) + " AS s(snap, t_cut)")
@@ -57,7 +76,8 @@ def consecutive_difference(surfaces: DataFrame, bins: list[str], least: int = 4,
 def drift_from_last(surfaces: DataFrame, bins: list[str], below: float, f: str = "f") -> DataFrame:
     """(snap, drift): mean absolute difference to the last snapshot over its bins under a ceiling."""
     last = surfaces.agg(F.max("snap").alias("_l"))
-    final = surfaces.join(F.broadcast(last), F.col("snap") == F.col("_l")).where(F.col(f) < below).select(*bins, F.col(f).alias("_f"))
+    final = surfaces.join(F.broadcast(last), F.col("snap") == F.col("_l"))  # one row
+    final = final.where(F.col(f) < below).select(*bins, F.col(f).alias("_f"))
     return surfaces.join(final, bins).groupBy("snap").agg(F.avg(F.abs(F.col(f) - F.col("_f"))).alias("drift"))
 
 

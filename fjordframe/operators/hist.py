@@ -6,11 +6,17 @@ partially aggregated groupBy; windows run over bins only, whose number the axes
 
 from __future__ import annotations
 
+from math import pi, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fjordframe.functions.binning import Axis
+from fjordframe.operators.grid import gaussian_smoothed
+from fjordframe.operators.hills import hill_cells
+from fjordframe.operators.ordering import exact_percentiles
+
 
 def _all():
     """The window over a whole (bin) table."""
@@ -50,12 +56,36 @@ def fes_1d(frames: DataFrame, x: Column, w: Column, axis: Axis, kbt: float, norm
     return f if normalised else min_shifted(f, "f")
 
 
-def fes_2d(frames: DataFrame, x: Column, y: Column, w: Column, ax: Axis, ay: Axis, kbt: float) -> DataFrame:
-    """(i, j, f) for the bins that have frames, the minimum at 0."""
+def fes_2d(frames: DataFrame, x: Column, y: Column, w: Column, ax: Axis, ay: Axis, kbt: float, normalised: bool = False, bandwidth: tuple[float, float] | None = None) -> DataFrame:
+    """(i, j, f) for the bins that have weight, the minimum at 0; normalised takes each bin's share of the weight first.
+
+    With a bandwidth, in units of the axes, the density is smoothed before the logarithm (0 leaves an axis alone), on the
+    whole grid, bins beyond its border taking the border's weight.
+    """
     h = histogram(frames, {"i": (x, ax), "j": (y, ay)}, w)
+    if bandwidth is not None and any(bandwidth):
+        h = dense(h.select("i", "j", "h"), {"i": ax, "j": ay}).withColumn("h", F.coalesce("h", F.lit(0.0)))
+        for index, other, axis, width in (("i", "j", ax, bandwidth[0]), ("j", "i", ay, bandwidth[1])):
+            if width:
+                h = gaussian_smoothed(h, index, [other], "h", axis.n, width / axis.step)
+    h = h.withColumn("h", F.col("h") / F.sum("h").over(_all())) if normalised else h
     return min_shifted(h.select("i", "j", free_energy(F.col("h"), kbt).alias("f")).dropna(), "f")
 
 
+def kernel_histogram(frames: DataFrame, x: Column, bias: Column, axis: Axis, bandwidth: float, kbt: float, cutoff: float = 4.0) -> DataFrame:
+    """(k, density, f) on the points lo + step * 0..n: Gaussian kernels weighted by exp(bias / kT), and -kT ln of the density.
+
+    Weights are taken over their maximum; points within cutoff bandwidths of no frame have no row.
+    """
+    rows = frames.select(x.alias("_x"), bias.alias("_b"))
+    top = rows.agg(F.max("_b").alias("_m"))  # one row
+    rows = rows.join(F.broadcast(top)).withColumn("_w", F.exp((F.col("_b") - F.col("_m")) / F.lit(kbt)))
+    cells = hill_cells(rows, F.col("_x"), F.lit(float(bandwidth)), F.col("_w"), axis, cutoff).groupBy("k").agg(F.sum("g").alias("g"))
+    total = rows.agg(F.sum("_w").alias("_t"))  # one row
+    density = F.col("g") / (F.col("_t") * F.lit(bandwidth * sqrt(2 * pi)))
+    return cells.join(F.broadcast(total)).select("k", density.alias("density"), free_energy(density, kbt).alias("f"))
+
+
 def effective_size(w: Column) -> Column:
     """Kish's effective sample size of a group's weights, 0 where they are all 0."""
     return F.coalesce(F.try_divide(F.pow(F.sum(w), 2), F.sum(w * w)), F.lit(0.0))
@@ -75,7 +105,7 @@ def weighted_error(frames: DataFrame, x: Column, axis: Axis, w: Column, v: Colum
     """
     rows = frames.select(axis.index(x).alias("k"), w.alias("_w"), v.alias("_v")).where("k IS NOT NULL")
     means = rows.groupBy("k").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"), effective_size(F.col("_w")).alias("ess"), F.count("*").alias("n"))
-    spread = rows.join(F.broadcast(means), "k").groupBy("k", "mean", "ess", "n").agg((F.sum(F.col("_w") * F.pow(F.col("_v") - F.col("mean"), 2)) / F.sum("_w")).alias("var"))
+    spread = rows.join(means, "k").groupBy("k", "mean", "ess", "n").agg((F.sum(F.col("_w") * F.pow(F.col("_v") - F.col("mean"), 2)) / F.sum("_w")).alias("var"))
     return spread.where(F.col("n") >= least).select("k", "mean", F.sqrt(F.col("var") / F.greatest(F.col("ess"), F.lit(1.0))).alias("se"), "n")
 
 
@@ -123,9 +153,17 @@ def rebinned_density(counts: DataFrame, axis: Axis, factor: int) -> DataFrame:
     return rows.withColumn("density", F.col("n") / (F.sum("n").over(_all()) * F.lit(axis.step * factor)))
 
 
+def density_mean(density: DataFrame, axis: Axis, factor: int) -> DataFrame:
+    """(mean, n): the mean of a rebinned density, from the centres of its bins (k, n)."""
+    centre = F.lit(float(axis.lo)) + (F.col("k") + 0.5) * F.lit(axis.step * factor)
+    return density.agg(F.try_divide(F.sum(centre * F.col("n")), F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+
+
 def summary(frames: DataFrame, v: Column, condition: Column) -> DataFrame:
     """Mean, population deviation, median, extremes, and the share that meets a condition."""
-    return frames.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(condition.cast("int")).alias("frac"), F.count(v).alias("n"))
+    plain = frames.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(condition.cast("int")).alias("frac"), F.count(v).alias("n"))
+    middle = exact_percentiles(frames.select(v.alias("v")), "v", {"median": 0.5})
+    return plain.join(F.broadcast(middle), F.lit(True), "left").select("mean", "std", "median", "low", "high", "frac", "n")  # one row each
 
 
 def clipped_means(frames: DataFrame, x: Column, axis: Axis, v: Column) -> DataFrame:

@@ -1,40 +1,65 @@
-"""Orders over whole tables without putting the table into one task.
+"""Orders over whole tables and over long series without putting either into one task.
 
-A column's approximate quantiles, a fixed number of them, cut the table into buckets; totals of the buckets make a
-small table whose prefix sums give each bucket its base, and windows run inside buckets.
+A table is dealt out by range into slices, in number proportional to its rows, and written once. Each slice is summed up
+to a row; that small table carries sums and last values from slice to slice, and windows run inside slices only. Ties may
+be broken by a further column, which also parts very frequent values; a series may be named by columns (null is a name too).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 64
+from fjordframe.functions.lineage import cut
+
+#: Rows of a slice, about.
+ROWS = 1_000_000
+
+
+def sliced(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with _slice, a number that grows with (by, order)."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS + 1)
+    return df.repartitionByRange(parts, *by, *order).withColumn("_slice", F.spark_partition_id()).transform(cut)
+
 
+def _with_base(rows: DataFrame, bases: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with their slice's row of bases; null keys meet."""
+    other = bases.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in bases.columns if c not in keys))
+    met = reduce(Column.__and__, [rows[k].eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(keys)])
+    return rows.join(other, met).drop(*(f"_k{i}" for i in range(len(keys))))
 
-def with_bucket(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with _bucket, which grows with column; equal values share a bucket."""
-    cuts = sorted(set(df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.001)))
-    if not cuts:
-        return df.withColumn("_bucket", F.lit(0))
-    marks = F.array(*map(F.lit, cuts))
-    return df.withColumn("_bucket", F.size(F.filter(marks, lambda c: c <= F.col(column))))
 
+def running_total(df: DataFrame, order: str, value: str, out: str, ties: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """df with out, the sum of value over all rows (of the series) up to this one in the order of a column, then of ties."""
+    by = by or []
+    columns = [order, *([ties] if ties else [])]
+    rows = sliced(df, by, columns)
+    keys = [*by, "_slice"]
+    totals = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys).orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _with_base(rows, bases, keys).withColumn(out, F.sum(value).over(inside) + F.col("_base")).drop("_slice", "_base")
 
-def running_total(df: DataFrame, order: str, value: str, out: str, ties: str | None = None) -> DataFrame:
-    """df with out, the sum of value over all rows up to this one in the order of a numeric column (then of ties)."""
-    rows = with_bucket(df, order)
-    totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy(*[order, ties][: 1 + bool(ties)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(F.broadcast(bases), "_bucket").withColumn(out, F.sum(value).over(inside) + F.col("_base")).drop("_bucket", "_base")
 
+def row_index(df: DataFrame, order: str, out: str, ties: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """df with its 1-based place (in its series) in the order of a column."""
+    return running_total(df.withColumn("_one", F.lit(1)), order, "_one", out, ties, by).drop("_one")
 
-def row_index(df: DataFrame, order: str, out: str, ties: str | None = None) -> DataFrame:
-    """df with its 1-based place in the order of a numeric column."""
-    return running_total(df.withColumn("_one", F.lit(1)), order, "_one", out, ties).drop("_one")
+
+def lagged(df: DataFrame, order: str, column: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """df with out, the column's value in the row before (of the series), null in the first."""
+    by = by or []
+    keys = [*by, "_slice"]
+    rows = sliced(df, by, [order])
+    ends = rows.groupBy(*keys).agg(F.max_by(column, order).alias("_end"))
+    bases = ends.select(*keys, F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")).alias("_base"))
+    inside = Window.partitionBy(*keys).orderBy(order)
+    first = F.row_number().over(inside) == 1
+    return _with_base(rows, bases, keys).withColumn(out, F.when(first, F.col("_base")).otherwise(F.lag(column).over(inside))).drop("_slice", "_base")
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -44,6 +69,25 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ends, column)
 
 
+def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(*by, one column per share): linearly interpolated percentiles of the column's values; null values count for nothing.
+
+    Distinct values are counted, their running counts taken by slices, and the two values around each place picked out.
+    """
+    by = by or []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    upto = running_total(counts, column, "_n", "_end", by=by).withColumn("_one", F.lit(1))
+    totals = upto.groupBy(*by, "_one").agg(F.max("_end").alias("_all"))
+    rows = _with_base(upto, totals, [*by, "_one"])
+    picked = []
+    for name, q in shares.items():
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        at = lambda p: F.max(F.when((F.col("_end") - F.col("_n") <= p) & (p < F.col("_end")), F.col(column)))
+        picked += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_f_{name}")]
+    found = rows.groupBy(*by).agg(*picked)
+    return found.select(*by, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in shares))
+
+
 def running_mean(df: DataFrame, index: str, value: str, width: int, out: str) -> DataFrame:
     """Mean of each full run of width rows in a row; the row at width // 2 of the run stands for it.
 

@@ -9,14 +9,18 @@ a grid point in row-major order, points being lo + step * 0..n on each axis.
 
 from __future__ import annotations
 
-from itertools import product
-from math import prod
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fjordframe.functions.binning import Axis
+from fjordframe.functions.lineage import cut
+from fjordframe.operators.hills import Axes, corners, grid_points, hill_cells
+from fjordframe.operators.ordering import exact_percentiles
 
 
 def final_bias_weights(frames: DataFrame, f: Column, gamma: float, kbt: float, out: str = "w") -> DataFrame:
@@ -30,47 +34,6 @@ def final_bias_weights(frames: DataFrame, f: Column, gamma: float, kbt: float, o
     return rows.crossJoin(F.broadcast(top)).withColumn(out, F.coalesce(F.exp(F.col("_e") - F.col("_m")), F.lit(0.0))).drop("_e", "_m")
 
 
-Axes = Axis | list[Axis]
-
-
-def _points(axis: Axes) -> int:
-    return prod(a.n + 1 for a in axis) if isinstance(axis, list) else axis.n + 1
-
-
-def _parts(c: Column, axis: Axes) -> list[tuple[Column, Axis]]:
-    """The column of each axis."""
-    return [(c[d], a) for d, a in enumerate(axis)] if isinstance(axis, list) else [(c, axis)]
-
-
-def _corners(x: Column, axis: Axes) -> list[tuple[Column, Column]]:
-    """(k, part) of the grid points around x, clamped to the axes: parts are the weights of multilinear interpolation."""
-    sides = []
-    for c, a in _parts(x, axis):
-        place = F.least(F.greatest((c - F.lit(float(a.lo))) / F.lit(a.step), F.lit(0.0)), F.lit(float(a.n)))
-        low = F.least(F.floor(place), F.lit(a.n - 1)).cast("int")
-        sides.append([(low, 1 - (place - low), a.n + 1), (low + 1, place - low, a.n + 1)])
-    out = []
-    for corner in product(*sides):
-        k, part = F.lit(0), F.lit(1.0)
-        for at, share, n in corner:
-            k, part = k * n + at, part * share
-        out.append((k.cast("int"), part))
-    return out
-
-
-def hill_cells(hills: DataFrame, centre: Column, sigma: Column, height: Column, axis: Axes, cutoff: float = 4.0, extra: list[str] | None = None) -> DataFrame:
-    """(k, g, *extra): what each hill adds to the grid points within cutoff sigmas of it on every axis."""
-    rows = hills.select(centre.alias("_c"), sigma.alias("_s"), height.alias("g"), F.lit(0).alias("k"), *(extra or []))
-    for (c, a), (w, _) in zip(_parts(F.col("_c"), axis), _parts(F.col("_s"), axis), strict=True):
-        step, lo = F.lit(a.step), F.lit(float(a.lo))
-        reach, near = F.ceil(F.lit(cutoff) * w / step), F.rint((c - lo) / step)
-        first, last = F.greatest(near - reach, F.lit(0)).cast("int"), F.least(near + reach, F.lit(a.n)).cast("int")
-        spread = rows.withColumn("_lo", first).withColumn("_hi", last).where("_lo <= _hi").withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
-        delta = F.col("_k") * step + lo - c
-        rows = spread.withColumn("g", F.col("g") * F.exp(-delta * delta / (2 * w * w))).withColumn("k", (F.col("k") * (a.n + 1) + F.col("_k")).cast("int")).drop("_lo", "_hi", "_k")
-    return rows.select("k", "g", *(extra or []))
-
-
 def hill_surface(hills: DataFrame, centre: Column, sigma: Column, height: Column, axis: Axes, cutoff: float = 4.0, height_scale: float = 1.0) -> DataFrame:
     """(k, f): minus the summed hills on the grid, the minimum at 0. Sums are partial per task, so only cells are shuffled."""
     cells = hill_cells(hills, centre, sigma, height * F.lit(height_scale), axis, cutoff).groupBy("k").agg((-F.sum("g")).alias("f"))
@@ -79,62 +42,88 @@ def hill_surface(hills: DataFrame, centre: Column, sigma: Column, height: Column
 
 def pooled_widths(hills: DataFrame, sigmas: list[str], biasf: str) -> DataFrame:
     """Median widths and bias factor of the pooled hills."""
-    return hills.agg(*(F.median(c).alias(c) for c in [*sigmas, biasf]))
+    long = hills.unpivot([], [*sigmas, biasf], "name", "value")
+    found = exact_percentiles(long, "value", {"median": 0.5}, ["name"])
+    return found.agg(*(F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in [*sigmas, biasf]))
+
+
+#: Stretches of time that a cell's history is cut into, so that no cell is one task's.
+EPOCHS = 64
+
+
+def bias_history(hills: DataFrame, axis: Axes, batch: float, cutoff: float, height_scale: float) -> DataFrame:
+    """(k, b, g): what hills add to each grid point in each batch they touch it; hills up to an edge b * batch belong to it."""
+    edge = F.greatest(F.lit(1), F.ceil(F.col("t") / F.lit(batch))).cast("int")
+    deposit = hill_cells(hills.withColumn("b", edge), F.col("centre"), F.col("sigma"), F.col("height") * F.lit(height_scale), axis, cutoff, ["b"])
+    return deposit.groupBy("k", "b").agg(F.sum("g").alias("g")).transform(cut)
 
 
-def time_dependent_weights(frames: DataFrame, hills: DataFrame, axis: Axes, gamma: float, kbt: float, batch: float, checkpoint: float, cutoff: float = 4.0, height_scale: float = 1.0, strict: bool = False, exact: bool = False) -> DataFrame:
+def bias_at(history: DataFrame, asked: DataFrame, batches: int) -> DataFrame:
+    """asked (k, b, ...) with v, the bias of grid point k after batch b; batches: the last one with hills.
+
+    Time is cut into EPOCHS stretches. A point's growth is summed up by stretch, that small table gives each stretch its
+    start, and the as-of order runs inside (point, stretch): history first, then questions, the last value carried on.
+    """
+    width = max(1, -(-batches // EPOCHS))
+    epoch = F.floor((F.least(F.col("b"), F.lit(batches)) - 1) / width).cast("int")
+    rows = history.withColumn("e", epoch)
+    sums = rows.groupBy("k", "e").agg(F.sum("g").alias("g"))
+    # Each stretch's sum counts in all later ones.
+    later = F.explode(F.sequence(F.col("e") + 1, F.lit(EPOCHS)))
+    starts = sums.select("k", "g", later.alias("e")).groupBy("k", "e").agg(F.sum("g").alias("g")).select("k", "e", F.lit(0).alias("b"), "g", F.lit(0).alias("kind"))
+    grown = rows.select("k", "e", "b", "g", F.lit(1).alias("kind"))
+    questions = asked.withColumn("e", epoch).withColumn("g", F.lit(0.0)).withColumn("kind", F.lit(2))
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema if f.name not in ("k", "b")]
+    mixed = starts.unionByName(grown).select("k", "e", "b", "g", "kind", *more).unionByName(questions)
+    upto = Window.partitionBy("k", "e").orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return mixed.withColumn("v", F.sum("g").over(upto)).where("kind = 2").drop("e", "g", "kind")
+
+
+def time_dependent_weights(frames: DataFrame, hills: DataFrame, axis: Axes, gamma: float, kbt: float, batch: float, checkpoint: float, cutoff: float = 4.0, height_scale: float = 1.0, strict: bool = False) -> DataFrame:
     """frames (t, x) with v and c at each frame's time, and w = exp((v - c) / kT) over its maximum.
 
     Bias grows in batches: at each edge tb = m * batch all hills with t <= tb are on the grid, and frames with t < tb
     that waited for the edge are evaluated there, so a frame may see hills of its own batch (strict=True takes the
-    edge before it). The bias per (cell, batch) is a cumulative sum inside each cell. v is read off by linear
-    interpolation at the cells around the frame, clamped to the axes. c is computed at every multiple of checkpoint,
-    over the whole grid, and carried forward; with exact=True at the first batch that has hills, and then at the first
-    with hills that is a checkpoint or more after the last.
+    edge before it). v is read off by (multi)linear interpolation at the points around the frame, clamped to the axes. c is
+    computed over the whole grid at the first edge that brings hills, and then at the first one that does a checkpoint or
+    more after the last time; every frame takes the last c at or before its edge, 0 before the first.
     """
-    beta, g = 1 / kbt, gamma / (gamma - 1)
-    deposit = hill_cells(hills.withColumn("b", F.greatest(F.lit(1), F.ceil(F.col("t") / F.lit(batch))).cast("int")), F.col("centre"), F.col("sigma"), F.col("height") * F.lit(height_scale), axis, cutoff, ["b"])
-    growth = deposit.groupBy("k", "b").agg(F.sum("g").alias("g"))
-    history = growth.select("k", "b", F.sum("g").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("v"))
-    rows = frames.withColumn("_id", F.monotonically_increasing_id()).withColumn("b", (F.floor(F.col("t") / F.lit(batch)) + (0 if strict else 1)).cast("int"))
-    corner = F.explode(F.array(*(F.struct(k.alias("k"), part.alias("part")) for k, part in _corners(F.col("x"), axis))))
-    asked = rows.select("_id", "b", corner.alias("c")).select("_id", "b", "c.k", "c.part")
-    # As-of join inside a cell: history rows and questions in one order, history first, the last value carried on.
-    mixed = history.select("k", "b", "v", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast("double").alias("part")).unionByName(asked.select("k", "b", F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), "_id", "part"))
-    carried = mixed.withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0)))
-    bias = carried.where("kind = 1").groupBy("_id").agg(F.sum(F.col("part") * F.col("v")).alias("v"))
-    every = max(1, round(checkpoint / batch))
-    out = rows.join(bias, "_id").withColumn("_cp", F.floor(F.col("b") / every).cast("int"))
-    marks = []
-    if exact:
-        for r in history.select("b").distinct().orderBy("b").collect():  # at most one number for each batch
-            if not marks or r["b"] >= marks[-1] + every:
-                marks.append(r["b"])
-        out = out.withColumn("_cp", F.array_size(F.filter(F.array(*map(F.lit, marks)).cast("array<int>"), lambda m: m <= F.col("b"))))
-    offsets = checkpoint_offsets(history, axis, beta, g, gamma, every, marks)
-    out = out.join(offsets.withColumnRenamed("cp", "_cp"), "_cp", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
-    top = out.agg(F.max(F.col("v") - F.col("c")).alias("_m"))
-    return out.crossJoin(F.broadcast(top)).withColumn("w", F.exp((F.col("v") - F.col("c") - F.col("_m")) * F.lit(beta))).drop("_id", "b", "_cp", "_m")
-
-
-def checkpoint_offsets(history: DataFrame, axis: Axes, beta: float, g: float, gamma: float, every: int, marks: list[int] | None = None) -> DataFrame:
-    """(cp, c): the offset at each checkpoint, from the dense grid of that moment; marks: the checkpoints' batches, from cp 1 on.
-
-    c = (lse(beta * g * v) - lse(beta * v / (gamma - 1))) / beta. Dense rows number cells times checkpoints, which the
-    caller keeps small by the choice of checkpoint.
+    beta = 1 / kbt
+    history = bias_history(hills, axis, batch, cutoff, height_scale)
+    edge = F.greatest(F.lit(1), F.ceil(F.col("t") / F.lit(batch))).cast("int")
+    filled = np.sort(hills.select(edge.alias("b")).distinct().toArrow()["b"].to_numpy())  # a number for each batch at most
+    last = int(filled[-1]) if len(filled) else 0
+    every, marks = ceil(round(checkpoint / batch, 9)), []
+    for b in filled:
+        if not marks or b >= marks[-1] + every:
+            marks.append(int(b))
+    # Numbered and written once, so that a frame keeps its number.
+    at = F.floor(F.col("t") / F.lit(batch)) + (0 if strict else 1)
+    rows = frames.withColumn("_id", F.monotonically_increasing_id()).withColumn("b", F.least(at, F.lit(last)).cast("int")).transform(cut)
+    corner = F.explode(F.array(*(F.struct(k.alias("k"), part.alias("part")) for k, part in corners(F.col("x"), axis))))
+    asked = rows.where("b > 0").select("_id", "b", corner.alias("c")).select("_id", "b", "c.k", "c.part")
+    bias = bias_at(history, asked, last).groupBy("_id").agg(F.sum(F.col("part") * F.col("v")).alias("v"))
+    known = np.arange(1, last + 1, dtype=np.int32)
+    places = rows.sparkSession.createDataFrame(pa.table({"b": known, "_cp": np.searchsorted(marks, known, "right").astype(np.int32)}))
+    offsets = checkpoint_offsets(history, axis, gamma, kbt, marks, last).withColumnRenamed("cp", "_cp")
+    out = rows.join(bias, "_id", "left").join(places.join(offsets, "_cp"), "b", "left")
+    out = out.withColumn("v", F.coalesce("v", F.lit(0.0))).withColumn("c", F.coalesce("c", F.lit(0.0)))
+    top = out.agg(F.max(F.col("v") - F.col("c")).alias("_m"))  # one row
+    return out.join(F.broadcast(top)).withColumn("w", F.exp((F.col("v") - F.col("c") - F.col("_m")) * F.lit(beta))).drop("_id", "b", "_cp", "_m")
+
+
+def checkpoint_offsets(history: DataFrame, axis: Axes, gamma: float, kbt: float, marks: list[int], batches: int) -> DataFrame:
+    """(cp, c): the offset after each of the marked batches, cp from 1 on, over the dense grid of that moment.
+
+    c = (lse(beta * g * v) - lse(beta * v / (gamma - 1))) / beta with g = gamma / (gamma - 1). Dense rows number points times
+    marks, which the caller keeps small by the choice of checkpoint.
     """
-    spark = history.sparkSession
-    last = history.agg((F.floor(F.max("b") / every) + 1).cast("int").alias("m"))
-    points = spark.range(_points(axis)).select(F.col("id").cast("int").alias("k"))
-    if marks:
-        times = spark.createDataFrame(list(enumerate(marks, 1)), "cp int, b int")
-    else:
-        times = last.select(F.explode(F.sequence(F.lit(1), F.greatest("m", F.lit(1)))).alias("cp")).withColumn("b", F.col("cp") * every)
-    marks = points.crossJoin(F.broadcast(times)).select("k", "b", F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), "cp")
-    mixed = history.select("k", "b", "v", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("cp")).unionByName(marks)
-    carried = mixed.withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0.0))).where("kind = 1")
-    tops = carried.groupBy("cp").agg(F.max("v").alias("m"))
-    sums = carried.join(tops, "cp").groupBy("cp", "m").agg(F.sum(F.exp(F.lit(beta * g) * (F.col("v") - F.col("m")))).alias("up"), F.sum(F.exp(F.lit(beta / (gamma - 1)) * (F.col("v") - F.col("m")))).alias("down"))
+    spark, beta, g = history.sparkSession, 1 / kbt, gamma / (gamma - 1)
+    times = spark.createDataFrame(pa.table({"cp": np.arange(1, len(marks) + 1, dtype=np.int32), "b": np.array(marks, np.int32)}))
+    points = spark.range(grid_points(axis)).select(F.col("id").cast("int").alias("k"))
+    moments = bias_at(history, points.crossJoin(times), batches)
+    tops = moments.groupBy("cp").agg(F.max("v").alias("m"))
+    sums = moments.join(tops, "cp").groupBy("cp", "m").agg(F.sum(F.exp(F.lit(beta * g) * (F.col("v") - F.col("m")))).alias("up"), F.sum(F.exp(F.lit(beta / (gamma - 1)) * (F.col("v") - F.col("m")))).alias("down"))
     return sums.select("cp", ((F.lit(beta * g) * F.col("m") + F.ln("up") - F.lit(beta / (gamma - 1)) * F.col("m") - F.ln("down")) / F.lit(beta)).alias("c"))
 
 
@@ -148,21 +137,29 @@ def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axes, cuts: list
     later = F.explode(F.sequence(F.col("s"), F.lit(len(cuts) - 1)))
     cells = hill_cells(hills.withColumn("s", slot).where("s IS NOT NULL"), F.col("centre"), F.col("sigma"), F.col("height"), axis, cutoff, ["s"])
     each = cells.groupBy("k", "s").agg(F.sum("g").alias("g")).withColumn("snap", later).groupBy("snap", "k").agg((-F.sum("g")).alias("f"))
-    grid = frames.sparkSession.range(_points(axis)).select(F.col("id").cast("int").alias("k")).crossJoin(frames.sparkSession.range(len(cuts)).select(F.col("id").cast("int").alias("snap")))
+    grid = frames.sparkSession.range(grid_points(axis)).select(F.col("id").cast("int").alias("k")).crossJoin(frames.sparkSession.range(len(cuts)).select(F.col("id").cast("int").alias("snap")))
     dense = grid.join(each, ["snap", "k"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
     low = dense.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap")))
     met = frames.withColumn("s", slot).where("s IS NOT NULL").withColumn("snap", later).withColumn("f", F.lit(0.0))
-    for k, part in _corners(F.col("x"), axis):
-        met = met.withColumn("_k", k).join(F.broadcast(low.select("snap", F.col("k").alias("_k"), F.col("f").alias("_g"))), ["snap", "_k"]).withColumn("f", F.col("f") + part * F.col("_g")).drop("_k", "_g")
+    for k, part in corners(F.col("x"), axis):
+        met = met.withColumn("_k", k).join(low.select("snap", F.col("k").alias("_k"), F.col("f").alias("_g")), ["snap", "_k"]).withColumn("f", F.col("f") + part * F.col("_g")).drop("_k", "_g")
     met = met.withColumn("_e", -F.lit(1 - 1 / gamma) * F.col("f") / F.lit(kbt))
     tops = met.groupBy("snap").agg(F.max("_e").alias("_m"))
-    return met.join(F.broadcast(tops), "snap").withColumn("w", F.exp(F.col("_e") - F.col("_m"))).drop("s", "_e", "_m")
+    return met.join(tops, "snap").withColumn("w", F.exp(F.col("_e") - F.col("_m"))).drop("s", "_e", "_m")
 
 
-def weighted_bundle(weighted: DataFrame, views: dict[str, tuple[Column, Axis]], kbt: float) -> DataFrame:
-    """(view, k, mean, std, n): each view's free energy per snapshot from one weighting, then mean and deviation over snapshots."""
-    binned = F.explode(F.array(*(F.struct(F.lit(name).alias("view"), a.index(x).alias("k")) for name, (x, a) in views.items())))
-    h = weighted.select("snap", "w", binned.alias("b")).select("snap", "b.view", "b.k", "w").where("k IS NOT NULL").groupBy("snap", "view", "k").agg(F.sum("w").alias("h"))
+def weighted_bundle(weighted: DataFrame, views: dict[str, tuple[Column, Axis] | list[tuple[Column, Axis]]], kbt: float) -> DataFrame:
+    """(view, k, mean, std, n): each view's free energy per snapshot from one weighting, then mean and deviation over snapshots.
+
+    A view is a column with its axis, or a list of them; k is then the place of the bin in row-major order.
+    """
+    bins = []
+    for name, view in views.items():
+        k = None
+        for x, a in view if isinstance(view, list) else [view]:
+            k = a.index(x) if k is None else k * a.n + a.index(x)
+        bins.append(F.struct(F.lit(name).alias("view"), k.cast("int").alias("k")))
+    h = weighted.select("snap", "w", F.explode(F.array(*bins)).alias("b")).select("snap", "b.view", "b.k", "w").where("k IS NOT NULL").groupBy("snap", "view", "k").agg(F.sum("w").alias("h"))
     f = h.where("h > 0").withColumn("f", -F.lit(kbt) * F.ln("h"))
     f = f.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap", "view")))
     m = f.groupBy("view", "k").agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("std"), F.count("*").alias("n"))

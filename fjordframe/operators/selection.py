@@ -25,9 +25,16 @@ def on_lattice(frames: DataFrame, t: Column, dt: float, cap: Column | float, tol
     return frames.where((F.abs(ratio - F.rint(ratio)) < tolerance) & (t <= F.lit(cap) + 1e-6 if isinstance(cap, float) else t <= cap + 1e-6))
 
 
-def lookup_last(frames: DataFrame, series: DataFrame, by: list[str], t: str, order: str, decimals: int, how: str = "inner") -> DataFrame:
-    """frames joined with the last row, in file order, of the series at the same rounded time."""
+def lookup_last(frames: DataFrame, series: DataFrame, by: list[str], t: str, order: str, decimals: int, how: str = "inner", exact_first: bool = False) -> DataFrame:
+    """frames joined with the last row, in file order, of the series at the same rounded time.
+
+    exact_first keeps the last row of each exact time before times are rounded; two times that then round to one are an error.
+    """
     key = F.round(F.col(t), decimals)
+    if exact_first:
+        series = series.withColumn("_r", F.row_number().over(Window.partitionBy(*by, t).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+        if not series.groupBy(*by, key.alias("_k")).count().where("count > 1").isEmpty():
+            raise ValueError("different times round to one")
     last = series.withColumn("_k", key).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_k").orderBy(F.desc(order)))).where("_r = 1").drop("_r", t, order)
     return frames.withColumn("_k", key).join(last, [*by, "_k"], how).drop("_k")
 
@@ -40,29 +47,37 @@ def matched_enough(frames: DataFrame, joined: DataFrame, present: Column, least:
     return joined
 
 
-def nearby_pairs(points: DataFrame, key: str, residue: str, xyz: tuple[str, str, str], cutoff: float, separation: int) -> DataFrame:
-    """(a, b, dist): pairs a < b nearer than the cutoff and at least so many residues apart.
+def nearby_pairs(points: DataFrame, key: str, residue: str, xyz: tuple[str, str, str], cutoff: float, separation: int, by: list[str] | None = None) -> DataFrame:
+    """(*by, a, b, dist): pairs a < b nearer than the cutoff and at least so many residues apart, of each structure that by names.
 
     Space is cut into cubes of the cutoff; a point meets only the points of the 27 cubes around its own, so pairs
     grow with density, not with the square of the points.
     """
     cell = [F.floor(F.col(c) / F.lit(cutoff)).cast("int").alias(f"_{c}") for c in xyz]
-    left = points.select(F.col(key).alias("a"), F.col(residue).alias("_ra"), *(F.col(c).alias(f"_a{c}") for c in xyz), *cell)
+    by = by or []
+    left = points.select(*by, F.col(key).alias("a"), F.col(residue).alias("_ra"), *(F.col(c).alias(f"_a{c}") for c in xyz), *cell)
     offsets = F.array(*(F.struct(*(F.lit(o).alias(n) for o, n in zip((dx, dy, dz), "xyz", strict=True))) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)))
-    right = points.select(F.col(key).alias("b"), F.col(residue).alias("_rb"), *(F.col(c).alias(f"_b{c}") for c in xyz), *cell, F.explode(offsets).alias("_o"))
-    right = right.select("b", "_rb", *(f"_b{c}" for c in xyz), *((F.col(f"_{c}") + F.col(f"_o.{n}")).alias(f"_{c}") for c, n in zip(xyz, "xyz", strict=True)))
+    right = points.select(*by, F.col(key).alias("b"), F.col(residue).alias("_rb"), *(F.col(c).alias(f"_b{c}") for c in xyz), *cell, F.explode(offsets).alias("_o"))
+    right = right.select(*by, "b", "_rb", *(f"_b{c}" for c in xyz), *((F.col(f"_{c}") + F.col(f"_o.{n}")).alias(f"_{c}") for c, n in zip(xyz, "xyz", strict=True)))
     dist = F.sqrt(reduce(Column.__add__, [F.pow(F.col(f"_a{c}") - F.col(f"_b{c}"), 2) for c in xyz]))
-    pairs = left.join(right, [f"_{c}" for c in xyz]).where((F.col("a") < F.col("b")) & (F.abs(F.col("_ra") - F.col("_rb")) >= separation))
-    return pairs.select("a", "b", dist.alias("dist")).where(F.col("dist") < cutoff)
+    pairs = left.join(right, [*by, *(f"_{c}" for c in xyz)]).where((F.col("a") < F.col("b")) & (F.abs(F.col("_ra") - F.col("_rb")) >= separation))
+    return pairs.select(*by, "a", "b", dist.alias("dist")).where(F.col("dist") < cutoff)
 
 
 def boltzmann_sample(candidates: DataFrame, by: str, key: str, w: Column, n: int, seed: int) -> DataFrame:
-    """n candidates per basin without replacement, by weight: the n largest ln(u) / w with u from a hash of key and seed."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
+    """n candidates per basin without replacement, by weight: the n largest ln(u) / w, u being 50 bits of the MD5 of "seed:key"."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 13), 16, 10).cast("long")
+    u = (F.shiftrightunsigned(bits, 2) + 1) / F.lit(float((1 << 50) + 1))
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_score"), key))
     return candidates.where(w > 0).withColumn("_score", F.ln(u) / w).withColumn("draw", best).where(F.col("draw") <= n).drop("_score")
 
 
+def pool_candidates(parts: list[DataFrame], t: Column, dt: float, cap: float, values: dict[str, Column], tolerance: float = 1e-3) -> DataFrame:
+    """The frames of all walkers that lie on a lattice of times up to a cap, with derived values beside their own columns."""
+    rows = [on_lattice(p, t, dt, cap, tolerance) for p in parts]
+    return reduce(DataFrame.unionByName, rows).withColumns(values)
+
+
 def pooled(parts: list[DataFrame], order: list[str]) -> DataFrame:
     """Union of walkers in a stable order."""
     return reduce(DataFrame.unionByName, parts).orderBy(*order)

@@ -1,15 +1,23 @@
 """Structural operators on atoms, contacts and coordinates: selections, contact fractions, fluctuations, collective variables.
 
-Coordinates are rows (frame, atom, x, y, z); what needs linear algebra of a whole frame runs as an Arrow group.
+Coordinates are rows (frame, atom, x, y, z). What needs linear algebra of a whole frame takes a row per frame with its
+coordinates as an array, many frames to an Arrow batch, and works on all of a batch at once. Joins with topologies and
+contact maps carry no hint: Spark sends a side out where its size allows and shuffles otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from fjordframe.functions.ranges import format_ranges
+from fjordframe.functions.shipping import mapped
+from fjordframe.operators.ordering import lagged, row_index, running_total
 
 
 def atoms_in(atoms: DataFrame, residues: tuple[int, int] | None = None, names: list[str] | None = None, chains: list[str] | None = None, prefix: str | None = None) -> DataFrame:
@@ -25,15 +33,15 @@ def atoms_in(atoms: DataFrame, residues: tuple[int, int] | None = None, names: l
 
 def copies_by_reset(atoms: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
     """atoms with copy, which goes up by one wherever the residue number falls."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    fell = F.coalesce((F.col("resnum") < F.lag("resnum").over(w)).cast("int"), F.lit(0))
-    return atoms.withColumn("_f", fell).withColumn("copy", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_f")
+    rows = lagged(atoms, order, "resnum", "_before", by)
+    fell = F.coalesce((F.col("resnum") < F.col("_before")).cast("int"), F.lit(0))
+    return running_total(rows.withColumn("_f", fell), order, "_f", "copy", by=by).drop("_f", "_before")
 
 
 def terminal(atoms: DataFrame) -> DataFrame:
     """atoms of the first or last residue of their chain."""
-    w = Window.partitionBy("chain")
-    return atoms.withColumn("_a", F.min("resnum").over(w)).withColumn("_b", F.max("resnum").over(w)).where("resnum = _a OR resnum = _b").drop("_a", "_b")
+    ends = atoms.groupBy("chain").agg(F.min("resnum").alias("_a"), F.max("resnum").alias("_b"))
+    return atoms.join(ends, "chain").where("resnum = _a OR resnum = _b").drop("_a", "_b")
 
 
 def distance(a: str, b: str) -> Column:
@@ -45,7 +53,7 @@ def pair_distances(coords: DataFrame, contacts: DataFrame) -> DataFrame:
     """(frame, a, b, ref, weight, dist) for each contact in each frame; contacts are a small table."""
     left = coords.select("frame", F.col("atom").alias("a"), *(F.col(c).alias(f"p{c}") for c in "xyz"))
     right = coords.select("frame", F.col("atom").alias("b"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
-    return left.join(F.broadcast(contacts), "a").join(right, ["frame", "b"]).withColumn("dist", distance("p", "q")).drop(*(f"{s}{c}" for s in "pq" for c in "xyz"))
+    return left.join(contacts, "a").join(right, ["frame", "b"]).withColumn("dist", distance("p", "q")).drop(*(f"{s}{c}" for s in "pq" for c in "xyz"))
 
 
 def contact_switch(dist: Column, ref: Column, beta: float = 50.0, lam: float = 1.0) -> Column:
@@ -65,14 +73,14 @@ def contact_map_value(coords: DataFrame, contacts: DataFrame, beta: float = 50.0
 
 def coordination(coords: DataFrame, left: DataFrame, right: DataFrame, r0: float) -> DataFrame:
     """(frame, value): sum over pairs of (1 - (r/r0)^6) / (1 - (r/r0)^12), which is 1 / (1 + (r/r0)^6)."""
-    a = coords.join(F.broadcast(left.select("atom")), "atom").select("frame", *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    b = coords.join(F.broadcast(right.select("atom")), "atom").select("frame", *(F.col(c).alias(f"q{c}") for c in "xyz"))
+    a = coords.join(left.select("atom"), "atom").select("frame", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    b = coords.join(right.select("atom"), "atom").select("frame", *(F.col(c).alias(f"q{c}") for c in "xyz"))
     return a.join(b, "frame").groupBy("frame").agg(F.sum(1 / (1 + F.pow(distance("p", "q") / F.lit(r0), 6))).alias("value"))
 
 
 def centres(coords: DataFrame, groups: DataFrame) -> DataFrame:
     """(frame, grp, x, y, z): mass-weighted centres; groups has grp, atom, mass."""
-    rows = coords.join(F.broadcast(groups), "atom")
+    rows = coords.join(groups, "atom")
     return rows.groupBy("frame", "grp").agg(*((F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(c) for c in "xyz"))
 
 
@@ -95,13 +103,41 @@ def upper_wall(x: Column, at: float, kappa: float) -> Column:
     return F.when(x > at, F.lit(kappa) * F.pow(x - F.lit(at), 2)).otherwise(0.0)
 
 
-def residue_contacts(coords: DataFrame, atoms: DataFrame, first: Column, second: Column, cutoff: float) -> DataFrame:
-    """(frame, n): residue pairs of two selections whose nearest heavy atoms are under the cutoff."""
-    heavy = coords.join(F.broadcast(atoms.where("substring(name, 1, 1) <> 'H'").select("atom", "resnum", "chain", first.alias("_1"), second.alias("_2"))), "atom")
-    a = heavy.where("_1").select("frame", F.struct("chain", "resnum").alias("ra"), *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    b = heavy.where("_2").select("frame", F.struct("chain", "resnum").alias("rb"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
-    nearest = a.join(b, "frame").groupBy("frame", "ra", "rb").agg(F.min(distance("p", "q")).alias("d"))
-    return nearest.groupBy("frame").agg(F.count_if(F.col("d") < cutoff).alias("n"))
+def _cells(rows: DataFrame, boxes: DataFrame | None, cutoff: float) -> DataFrame:
+    """rows with their place (u, v, w) in the box, or in units of the cutoff, and the cell (_u, _v, _w) of _nu, _nv, _nw it lies in."""
+    if boxes is None:
+        return rows.select("*", *(F.col(c).alias(u) for c, u in zip("xyz", "uvw", strict=True)), *(F.floor(F.col(c) / F.lit(cutoff)).alias(f"_{u}") for c, u in zip("xyz", "uvw", strict=True)))
+    rows = rows.join(boxes, "frame")
+    w = F.col("z") / F.col("cz")
+    v = (F.col("y") - w * F.col("cy")) / F.col("by")
+    u = (F.col("x") - w * F.col("cx") - v * F.col("bx")) / F.col("ax")
+    bc = F.sqrt(F.pow(F.col("by") * F.col("cz"), 2) + F.pow(F.col("bx") * F.col("cz"), 2) + F.pow(F.col("bx") * F.col("cy") - F.col("by") * F.col("cx"), 2))
+    heights = (F.col("ax") * F.col("by") * F.col("cz") / bc, F.col("by") * F.col("cz") / F.sqrt(F.col("cy") * F.col("cy") + F.col("cz") * F.col("cz")), F.col("cz"))
+    rows = rows.select("*", *((p - F.floor(p)).alias(n) for n, p in zip("uvw", (u, v, w), strict=True)), *(F.greatest(F.lit(1), F.floor(h / F.lit(cutoff))).alias(f"_n{n}") for n, h in zip("uvw", heights, strict=True)))
+    return rows.select("*", *(F.least(F.floor(F.col(n) * F.col(f"_n{n}")), F.col(f"_n{n}") - 1).alias(f"_{n}") for n in "uvw"))
+
+
+def residue_contacts(coords: DataFrame, atoms: DataFrame, first: Column, second: Column, cutoff: float, boxes: DataFrame | None = None) -> DataFrame:
+    """(frame, n): residue pairs of two selections whose nearest heavy atoms are under the cutoff; 0 where there are none.
+
+    Space is cut into cells no narrower than the cutoff and an atom meets those of the cells around its own. With boxes
+    (frame, ax, bx, by, cx, cy, cz: a lower triangular box, angled ones too) distances are to the nearest image, which is exact
+    for cutoffs under half the box's least height.
+    """
+    heavy = coords.join(atoms.where("substring(name, 1, 1) <> 'H'").select("atom", "resnum", "chain", first.alias("_1"), second.alias("_2")), "atom")
+    placed = _cells(heavy, boxes, cutoff)
+    periodic = boxes is not None
+    around = [F.struct(*((F.pmod(F.col(f"_{n}") + o, F.col(f"_n{n}")) if periodic else F.col(f"_{n}") + o).alias(f"_{n}") for n, o in zip("uvw", at, strict=True))) for at in np.ndindex(3, 3, 3) for at in [tuple(k - 1 for k in at)]]
+    a = placed.where("_1").select("frame", F.struct("chain", "resnum").alias("ra"), *(F.col(c).alias(f"p{c}") for c in "uvw"), F.explode(F.array_distinct(F.array(*around))).alias("_c")).select("frame", "ra", "pu", "pv", "pw", "_c.*")
+    shape = ["ax", "bx", "by", "cx", "cy", "cz"] if periodic else []
+    b = placed.where("_2").select("frame", F.struct("chain", "resnum").alias("rb"), *(F.col(c).alias(f"q{c}") for c in "uvw"), *shape, "_u", "_v", "_w")
+    u, v, w = (F.col(f"p{c}") - F.col(f"q{c}") for c in "uvw")
+    if periodic:
+        u, v, w = (d - F.rint(d) for d in (u, v, w))
+        u, v, w = u * F.col("ax") + v * F.col("bx") + w * F.col("cx"), v * F.col("by") + w * F.col("cy"), w * F.col("cz")
+    near = a.join(b, ["frame", "_u", "_v", "_w"]).where(F.sqrt(u * u + v * v + w * w) < cutoff).select("frame", "ra", "rb").distinct()
+    counts = near.groupBy("frame").agg(F.count("*").alias("n"))
+    return coords.select("frame").distinct().join(counts, "frame", "left").select("frame", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def weighted_fluctuation(values: DataFrame, atom: str, components: list[str], w: str, by: list[str] | None = None) -> DataFrame:
@@ -120,28 +156,68 @@ def walker_error(values: DataFrame, atom: str, components: list[str], w: str, wa
 
 def segment_means(profile: DataFrame, residue: str, v: str, segments: DataFrame) -> DataFrame:
     """(segment, mean): mean over residue ranges, both ends included; segments has segment, first, last and is small."""
-    return profile.join(F.broadcast(segments), F.col(residue).between(F.col("first"), F.col("last"))).groupBy("segment").agg(F.avg(v).alias("mean"))
+    return profile.join(segments, F.col(residue).between(F.col("first"), F.col("last"))).groupBy("segment").agg(F.avg(v).alias("mean"))
+
+
+def frame_arrays(coords: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, frame, atoms, xyz): a row per frame, its coordinates in one array in the order of the atoms."""
+    atoms = F.array_sort(F.collect_list(F.struct("atom", "x", "y", "z")))  # as many as a structure has
+    rows = coords.groupBy(*(by or []), "frame").agg(atoms.alias("_a"))
+    xyz = F.flatten(F.transform("_a", lambda a: F.array(a["x"], a["y"], a["z"]))).cast("array<double>")
+    return rows.select(*(by or []), "frame", F.transform("_a", lambda a: a["atom"]).alias("atoms"), xyz.alias("xyz"))
+
+
+def _stacks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, coordinates) of the frames of each number of atoms, coordinates as (frame, atom, 3)."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    sizes = np.diff(ends)
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        yield rows, np.stack([flat[ends[r] : ends[r + 1]] for r in rows]).reshape(len(rows), -1, 3)
 
 
-def _kabsch(moving: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, float]:
-    """moving laid over fixed, and the root mean square deviation that is left."""
-    a, b = moving - moving.mean(0), fixed - fixed.mean(0)
-    u, _, vt = np.linalg.svd(a.T @ b)
-    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))])
-    laid = a @ u @ flip @ vt
-    return laid + fixed.mean(0), float(np.sqrt(((laid - b) ** 2).sum(1).mean()))
+def kabsch(moving: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stacks of structures (n, atoms, 3), moving ones laid over fixed ones, and the root mean square deviations that are left."""
+    middle = fixed.mean(axis=-2, keepdims=True)
+    a, b = moving - moving.mean(axis=-2, keepdims=True), fixed - middle
+    u, _, vt = np.linalg.svd(np.swapaxes(a, -1, -2) @ b)
+    u = u.copy()
+    u[..., :, 2] *= np.sign(np.linalg.det(u @ vt))[..., None]
+    laid = a @ (u @ vt)
+    return laid + middle, np.sqrt(((laid - b) ** 2).sum(axis=-1).mean(axis=-1))
 
 
 def superposed(coords: DataFrame, reference: pd.DataFrame) -> DataFrame:
-    """coords of each frame laid over a reference structure (atom, x, y, z), with rmsd."""
+    """coords of each frame laid over a reference structure (atom, x, y, z), with rmsd; atoms that it lacks are left out."""
     fixed = reference.sort_values("atom")
+    atoms, spots = fixed["atom"].tolist(), fixed[["x", "y", "z"]].to_numpy(dtype=float)
 
-    def lay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("atom")
-        laid, rmsd = _kabsch(frame[["x", "y", "z"]].to_numpy(), fixed[["x", "y", "z"]].to_numpy())
-        return pd.DataFrame({"frame": frame["frame"], "atom": frame["atom"], "x": laid[:, 0], "y": laid[:, 1], "z": laid[:, 2], "rmsd": rmsd})
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, shapes in _stacks(b["xyz"]):
+                laid, rmsd = kabsch(shapes, spots[None])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 3 * shapes.shape[1]), pa.array(laid.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b["frame"].take(pa.array(rows)), b["atoms"].take(pa.array(rows)), flat, pa.array(rmsd)], names=["frame", "atoms", "xyz", "rmsd"])
 
-    return coords.select("frame", "atom", "x", "y", "z").groupBy("frame").applyInPandas(lay, "frame long, atom int, x double, y double, z double, rmsd double")
+    shapes = frame_arrays(coords.where(F.col("atom").isin(atoms)))
+    kind = ", ".join(f"{c} {shapes.schema[c].dataType.simpleString()}" for c in ("frame", "atoms", "xyz"))
+    out = shapes.transform(mapped, lay, f"{kind}, rmsd double").select("frame", "rmsd", "xyz", F.posexplode("atoms").alias("_p", "atom"))
+    return out.select("frame", "atom", *(F.get("xyz", F.col("_p") * 3 + k).alias(c) for k, c in enumerate("xyz")), "rmsd")
+
+
+def pair_deviations(pairs: DataFrame) -> DataFrame:
+    """pairs with d in place of p and q, two structures as arrays: the root mean square deviation once superposed."""
+    rest = [c for c in pairs.columns if c not in ("p", "q")]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = np.zeros(b.num_rows)
+            for rows, shapes in _stacks(b["p"]):
+                d[rows] = kabsch(shapes, np.stack([np.asarray(b["q"][int(r)].as_py()).reshape(-1, 3) for r in rows]))[1]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(d)], names=[*rest, "d"])
+
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in rest)
+    return pairs.transform(mapped, measure, f"{kinds}, d double")
 
 
 def gyration(coords: DataFrame) -> DataFrame:
@@ -154,14 +230,20 @@ def gyration(coords: DataFrame) -> DataFrame:
 def axis_angle(coords: DataFrame, first: list[int], second: list[int]) -> DataFrame:
     """(frame, angle): angle in degrees, 0 to 90, between the main axes of two groups of atoms."""
 
-    def angle(frame: pd.DataFrame) -> pd.DataFrame:
-        axes = []
-        for atoms in (first, second):
-            x = frame[frame["atom"].isin(atoms)][["x", "y", "z"]].to_numpy()
-            axes.append(np.linalg.svd(x - x.mean(0))[2][0])
-        return pd.DataFrame({"frame": frame["frame"].iloc[:1], "angle": [float(np.degrees(np.arccos(np.clip(abs(axes[0] @ axes[1]), 0, 1))))]})
+    def angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            axes = []
+            for side in ("p", "q"):
+                main = np.zeros((b.num_rows, 3))
+                for rows, x in _stacks(b[side]):
+                    main[rows] = np.linalg.svd(x - x.mean(axis=1, keepdims=True), full_matrices=False)[2][:, 0]
+                axes.append(main)
+            cosine = np.clip(np.abs((axes[0] * axes[1]).sum(axis=1)), 0, 1)
+            yield pa.RecordBatch.from_arrays([b["frame"], pa.array(np.degrees(np.arccos(cosine)))], names=["frame", "angle"])
 
-    return coords.select("frame", "atom", "x", "y", "z").groupBy("frame").applyInPandas(angle, "frame long, angle double")
+    p, q = (frame_arrays(coords.where(F.col("atom").isin(atoms))).select("frame", F.col("xyz").alias(n)) for n, atoms in (("p", first), ("q", second)))
+    both = p.join(q, "frame")
+    return both.transform(mapped, angle, f"frame {both.schema['frame'].dataType.simpleString()}, angle double")
 
 
 def renamed(atoms: DataFrame, residues: dict[str, str], names: dict[str, str]) -> DataFrame:
@@ -181,7 +263,14 @@ def mutated(atoms: DataFrame, resnum: int, chain: str, resname: str, keep: list[
 
 
 def contact_lines(contacts: DataFrame) -> DataFrame:
-    """(line): contact-map entries with 1-based atoms and equal weights."""
-    n = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy("a", "b"))
-    return contacts.select(place.alias("k"), (F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b"), "ref", (1.0 / n).alias("w")).select(F.format_string("ATOMS%d=%d,%d REFERENCE%d=%.6f WEIGHT%d=%.6f", "k", "a", "b", "k", "ref", "k", "w").alias("line"))
+    """(line): contact-map entries with 1-based atoms and equal weights, numbered by their atoms."""
+    total = contacts.agg(F.count("*").alias("_n"))  # one row
+    placed = row_index(contacts.withColumn("_key", F.col("a").cast("long") * (1 << 32) + F.col("b")), "_key", "_k", "ref")
+    rows = placed.join(F.broadcast(total)).select("_k", (F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b"), "ref", (1.0 / F.col("_n")).alias("w"))
+    return rows.select(F.format_string("ATOMS%d=%d,%d REFERENCE%d=%.6f WEIGHT%d=%.6f", "_k", "a", "b", "_k", "ref", "_k", "w").alias("line"))
+
+
+def group_lines(atoms: DataFrame, by: str) -> DataFrame:
+    """(grp, line): a group definition per value of a column, its atoms as first-last where they run on, else one by one."""
+    groups = atoms.groupBy(F.col(by).alias("grp")).agg(F.collect_set("serial").alias("_s"))  # as many as a group has
+    return groups.select("grp", F.format_string("%s: GROUP ATOMS=%s", F.col("grp").cast("string"), format_ranges(F.col("_s"))).alias("line"))

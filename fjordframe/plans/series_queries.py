@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fjordframe.functions.ranges import bend_degrees
 from fjordframe.operators import runs as R
 from fjordframe.operators import selection as S
 from fjordframe.operators.ordering import row_index, running_mean
@@ -77,11 +78,66 @@ def boltzmann_sample(spark, d):
     return S.boltzmann_sample(frames(spark, d), "walker", "row", F.col("w"), 20, 42).select("walker", "row", "draw")
 
 
+def until(spark, d):
+    return rounded(S.until(frames(spark, d), F.col("t"), 300.0).groupBy("walker").agg(F.count("*").alias("n"), F.max("t").alias("t")))
+
+
+def bend_degrees_of(spark, d):
+    return rounded(frames(spark, d).select("row", bend_degrees(F.radians("y")).alias("bend"), (F.col("x") + F.col("y")).alias("total")))
+
+
+def lookup_left(spark, d):
+    f = frames(spark, d)
+    series = f.where("kind = 'purchase'").select("walker", F.rint(F.col("t") * 1000).alias("t"), F.col("row").alias("o"), F.col("x").alias("v"))
+    asked = f.where("row % 2 = 0").select("walker", "row", F.rint(F.col("t") * 1000).alias("t"))
+    met = S.lookup_last(asked, series, ["walker"], "t", "o", 1, "left", exact_first=True)
+    return rounded(S.matched_enough(asked, met, F.col("v").isNotNull() | F.col("v").isNull()).select("walker", "row", "v"))
+
+
+def frame_place(spark, d):
+    return frames(spark, d).select("row", S.frame_place(F.col("t"), 0.25).alias("place"))
+
+
+def pool_candidates(spark, d):
+    f = frames(spark, d).select("walker", "row", "t", "x", "y")
+    parts = [f.where(F.col("walker") == k) for k in range(3)]
+    return rounded(S.pool_candidates(parts, F.col("t"), 0.25, 400.0, {"total": F.col("x") + F.col("y")}, 0.05).select("walker", "row", "t", "total"))
+
+
+def drop_repeated_last(spark, d):
+    """Snapshots at every 100th hill of one walker and at the last; the last one comes twice where the stride fits."""
+    hills = row_index(frames(spark, d).where("kind = 'purchase' AND walker = 0").select("row", "t"), "t", "place", "row")
+    most = hills.agg(F.max("place").alias("most"))
+    snaps = hills.where("place % 20 = 0").select("place").unionByName(most.select((F.col("most") - F.col("most") % 20).alias("place")))
+    placed = snaps.withColumn("order", F.col("place") * 2).unionByName(most.select(F.col("most").alias("place"), (F.col("most") * 2 + 1).alias("order")))
+    return R.drop_repeated_last(placed, "order", "place").select("place")
+
+
+def contact_verdict(spark, d):
+    f = frames(spark, d)
+    runs = R.longest_run(f, ["walker"], "t", F.col("x") < 5.0)
+    lows = f.groupBy("walker").agg(F.min("x").alias("low"))
+    return rounded(R.contact_verdict(runs, lows, ["walker"], 5.0, 1.0))
+
+
 _FES = f"(SELECT g.k::INTEGER AS k, round(f - min(f) OVER (), 6) AS f FROM range({AX.n}) g(k) LEFT JOIN (SELECT {AX.sql('x')} AS k, -{KBT}::DOUBLE * ln(sum(w)) AS f FROM {FRAMES} GROUP BY 1) h ON g.k = h.k)"
 _HILLS = f"(SELECT row, t, x, row_number() OVER (ORDER BY t, row) AS p FROM {FRAMES} WHERE kind = 'purchase')"
 
-QUERIES = {f.__name__: f for f in (roundtrips, longest_dip, reliable_run, block_means, block_means_count, running_mean_tconv, monotonic_check, dedup_keep_last, lattice_filter, stride_rows, transient_weights, lookup_last, pooled_order, least_cell, boltzmann_sample)}
+QUERIES = {f.__name__: f for f in (roundtrips, longest_dip, reliable_run, block_means, block_means_count, running_mean_tconv, monotonic_check, dedup_keep_last, lattice_filter, stride_rows, transient_weights, lookup_last, pooled_order, least_cell, boltzmann_sample, until, bend_degrees_of, lookup_left, frame_place, pool_candidates, drop_repeated_last, contact_verdict)}
+_DIPS = """WITH a AS (SELECT walker, t, x < 5 AS ok, t - lag(t) OVER (PARTITION BY walker ORDER BY t) AS dt FROM {f}), b AS (SELECT *, sum((NOT ok)::INTEGER) OVER (PARTITION BY walker ORDER BY t) AS g FROM a),
+c AS (SELECT walker, max(n) AS n FROM (SELECT walker, g, count(*) FILTER (WHERE ok) AS n FROM b GROUP BY 1, 2) GROUP BY 1), s AS (SELECT walker, median(dt) AS step FROM a GROUP BY 1), l AS (SELECT walker, min(x) AS low FROM {f} GROUP BY 1),
+v AS (SELECT walker, low, n AS rows, step, n * step AS time, n * step > 1.0 AS lasting FROM c JOIN s USING (walker) JOIN l USING (walker))
+SELECT walker, round(low, 6) AS low, rows, round(step, 6) AS step, round(time, 6) AS time, lasting, CASE WHEN min(low) OVER () >= 5 THEN 'clear' WHEN NOT bool_or(lasting) OVER () THEN 'transient' ELSE 'sustained' END AS verdict FROM v"""
 ORACLES = {
+    "until": f"SELECT walker, count(*) AS n, {r('max(t)', 't')} FROM {FRAMES} WHERE t <= 300 GROUP BY 1",
+    "bend_degrees_of": f"SELECT row, {r('180 - y', 'bend')}, {r('x + y', 'total')} FROM {FRAMES}",
+    "lookup_left": f"""WITH s AS (SELECT walker, round_even(t * 1000, 0) AS k, x AS v FROM {FRAMES} WHERE kind = 'purchase' QUALIFY row_number() OVER (PARTITION BY walker, round_even(t * 1000, 0) ORDER BY row DESC) = 1)
+SELECT f.walker, row, {r("v", "v")} FROM {FRAMES} f LEFT JOIN s ON f.walker = s.walker AND round_even(f.t * 1000, 0) = s.k WHERE row % 2 = 0""",
+    "frame_place": f"SELECT row, round_even(t / 0.25::DOUBLE, 0)::BIGINT AS place FROM {FRAMES}",
+    "pool_candidates": f"SELECT walker, row, {r('t', 't')}, {r('x + y', 'total')} FROM {FRAMES} WHERE walker < 3 AND abs(t / 0.25::DOUBLE - round_even(t / 0.25::DOUBLE, 0)) < 0.05 AND t <= 400 + 1e-6",
+    "drop_repeated_last": f"SELECT DISTINCT place FROM (SELECT row_number() OVER (ORDER BY t, row) AS place, count(*) OVER () AS most FROM {FRAMES} WHERE kind = 'purchase' AND walker = 0) WHERE place % 20 = 0 OR place = most OR place = most - most % 20",
+    "contact_verdict": _DIPS.format(f=FRAMES),
+    "boltzmann_sample": f"""SELECT walker, row, draw FROM (SELECT walker, row, (row_number() OVER (PARTITION BY walker ORDER BY ln(((('0x' || substr(md5('42:' || row), 1, 13))::BIGINT >> 2) + 1) / {float((1 << 50) + 1)!r}::DOUBLE) / w DESC, row))::INTEGER AS draw FROM {FRAMES} WHERE w > 0) WHERE draw <= 20""",
     "roundtrips": f"""SELECT walker, sum(c)::BIGINT AS switches, floor(sum(c) / 2)::BIGINT AS trips FROM (
 SELECT walker, CASE WHEN lag(s) OVER (PARTITION BY walker ORDER BY t) <> s THEN 1 ELSE 0 END AS c, t FROM (
 SELECT walker, t, last_value(CASE WHEN x <= 20 THEN -1 WHEN x >= 54 THEN 1 END IGNORE NULLS) OVER (PARTITION BY walker ORDER BY t) AS s FROM {FRAMES})) GROUP BY walker""",

@@ -8,24 +8,26 @@ from fjordframe.functions.ranges import format_ranges, parse_ranges
 from fjordframe.operators import basins as B
 from fjordframe.operators import selection as S
 from fjordframe.operators import structure as A
+from fjordframe.plans.source_queries import ATOMS as ATOM_ROWS
+from fjordframe.plans.source_queries import atoms
 from fjordframe.plans.standin import r, rounded
 
-ATOMS = 20
+ATOMS = 22
 
 
 def _coords(spark, d):
-    """Each embedding as 20 atoms of three coordinates (the first 60 components), scaled to neighbouring distances."""
+    """Each embedding as 22 atoms of three coordinates: all 64 components, then zeros."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    triple = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ATOMS - 1)), lambda k: F.struct(k.alias("atom"), *(F.col("embedding")[(k * 3 + c).cast("int")].cast("double").alias(n) for c, n in enumerate("xyz")))))
+    triple = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ATOMS - 1)), lambda k: F.struct(k.alias("atom"), *(F.coalesce(F.get("embedding", (k * 3 + c).cast("int")).cast("double"), F.lit(0.0)).alias(n) for c, n in enumerate("xyz")))))
     return v.select(F.col("vec_id").alias("frame"), "label", triple.alias("a")).select("frame", "label", "a.*")
 
 
-_COORDS = f"(SELECT vec_id AS frame, label, k::INTEGER AS atom, embedding[k * 3 + 1]::DOUBLE AS x, embedding[k * 3 + 2]::DOUBLE AS y, embedding[k * 3 + 3]::DOUBLE AS z FROM embeddings, range({ATOMS}) g(k))"
+_COORDS = f"(SELECT vec_id AS frame, label, k::INTEGER AS atom, coalesce(embedding[k * 3 + 1]::DOUBLE, 0) AS x, coalesce(embedding[k * 3 + 2]::DOUBLE, 0) AS y, coalesce(embedding[k * 3 + 3]::DOUBLE, 0) AS z FROM embeddings, range({ATOMS}) g(k))"
 
 
 def contacts(spark, d):
-    one = _coords(spark, d).where("frame = 0").withColumn("resnum", F.col("atom"))
-    return rounded(S.nearby_pairs(one, "atom", "resnum", ("x", "y", "z"), 0.25, 4))
+    every = _coords(spark, d).withColumn("resnum", F.col("atom"))
+    return rounded(S.nearby_pairs(every, "atom", "resnum", ("x", "y", "z"), 0.25, 4, ["frame"]))
 
 
 def q_mean(spark, d):
@@ -49,7 +51,7 @@ def gyration(spark, d):
 
 def segment_means(spark, d):
     profile = A.weighted_fluctuation(_coords(spark, d).withColumn("w", F.lit(1.0)), "atom", ["x", "y", "z"], "w")
-    segments = spark.sql("SELECT * FROM VALUES ('a', 0, 5), ('b', 6, 12), ('c', 13, 19) AS s(segment, first, last)")
+    segments = spark.sql("SELECT * FROM VALUES ('a', 0, 5), ('b', 6, 12), ('c', 13, 21) AS s(segment, first, last)")
     return rounded(A.segment_means(profile, "atom", "rmsf", segments))
 
 
@@ -63,6 +65,79 @@ def medoid(spark, d):
     return rounded(B.medoids(v, "label", "vec_id", "v"))
 
 
+def medoid_of_drawn(spark, d):
+    """At most 20 members of a state are drawn and compared."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(B.medoids(v, "label", "vec_id", "v", most=20))
+
+
+def structural_medoid(spark, d):
+    return B.structural_medoids(_coords(spark, d), "label", 12).select("label", "frame", F.round("total", 5).alias("total"))
+
+
+def superposed_rmsd(spark, d):
+    """Every structure laid over structure 0: its deviation and the spread of its laid atoms about the reference's centre."""
+    c = _coords(spark, d)
+    reference = c.where("frame = 0").select("atom", "x", "y", "z").toPandas()  # one structure
+    laid = A.superposed(c, reference)
+    return laid.groupBy("frame").agg(F.round(F.max("rmsd"), 6).alias("rmsd"), F.round(F.avg("x"), 6).alias("x"), F.count("*").alias("n"))
+
+
+def axis_angle(spark, d):
+    return rounded(A.axis_angle(_coords(spark, d), list(range(8)), list(range(12, 21))))
+
+
+def contact_map_value(spark, d):
+    contacts = spark.range(6).select(F.col("id").cast("int").alias("a"), (F.col("id") * 2 + 8).cast("int").alias("b"), (F.col("id") / 20 + 0.1).alias("ref"), ((F.col("id") + 1) / 21).alias("weight"))
+    return rounded(A.contact_map_value(_coords(spark, d), contacts, 10.0, 1.2))
+
+
+def centre_geometry(spark, d):
+    groups = spark.range(15).select(F.element_at(F.array(F.lit("p"), F.lit("o"), F.lit("q")), (F.floor(F.col("id") / 5) + 1).cast("int")).alias("grp"), F.col("id").cast("int").alias("atom"), (F.col("id") % 3 + 1.0).alias("mass"))
+    return rounded(A.centre_geometry(A.centres(_coords(spark, d), groups), "p", "o", "q"))
+
+
+def walls(spark, d):
+    c = _coords(spark, d).groupBy("frame").agg(F.avg("x").alias("m"))
+    return rounded(c.select("frame", A.lower_wall(F.col("m"), 0.01, 5000.0).alias("lower"), A.upper_wall(F.col("m"), 0.005, 5000.0).alias("upper")))
+
+
+def _residue_atoms(spark):
+    return spark.range(ATOMS).select(F.col("id").cast("int").alias("atom"), F.floor(F.col("id") / 3).cast("int").alias("resnum"), F.when(F.col("id") < 12, "A").otherwise("B").alias("chain"), F.when(F.col("id") % 5 == 4, "HX").otherwise("CX").alias("name"))
+
+
+def residue_contacts(spark, d):
+    return A.residue_contacts(_coords(spark, d), _residue_atoms(spark), F.col("chain") == "A", F.col("chain") == "B", 0.25)
+
+
+def residue_contacts_periodic(spark, d):
+    """Distances to the nearest image in an angled box that is smaller than the structures."""
+    boxes = _coords(spark, d).select("frame").distinct().select("frame", F.lit(0.6).alias("ax"), F.lit(0.1).alias("bx"), F.lit(0.55).alias("by"), F.lit(-0.05).alias("cx"), F.lit(0.08).alias("cy"), F.lit(0.5).alias("cz"))
+    return A.residue_contacts(_coords(spark, d), _residue_atoms(spark), F.col("chain") == "A", F.col("chain") == "B", 0.2, boxes)
+
+
+def atom_groups(spark, d):
+    return A.atoms_in(atoms(spark, d), (5, 60), ["CA", "N"], ["A", "B"], "C").select("serial", "name", "chain", "resnum")
+
+
+def copies_by_reset(spark, d):
+    return A.copies_by_reset(atoms(spark, d), "serial").groupBy("copy").agg(F.count("*").alias("n"), F.min("serial").alias("first"))
+
+
+def terminal_atoms(spark, d):
+    return A.terminal(atoms(spark, d)).select("serial", "chain", "resnum")
+
+
+def renamed_atoms(spark, d):
+    return A.renamed(atoms(spark, d), {"DA": "DA5", "ALA": "GLY"}, {"HB": "H1"}).groupBy("resname", "name").count()
+
+
+def mutated_atoms(spark, d):
+    a = atoms(spark, d)
+    placed = a.where("serial = 1").withColumns({"serial": F.lit(99_999), "name": F.lit("OG"), "resname": F.lit("SER"), "resnum": F.lit(21), "chain": F.lit("A")})
+    return A.mutated(a, 21, "A", "SER", ["N", "CA", "C"], placed).where("resnum = 21").select("serial", "name", "resname", "chain")
+
+
 def ranges_text(spark, d):
     rows = spark.sql("SELECT * FROM VALUES ('27-42,48-61'), ('5'), ('3-3,9,7'), ('1-4') AS t(text)")
     return rows.select("text", F.size(parse_ranges(F.col("text"))).alias("n"), format_ranges(parse_ranges(F.col("text"))).alias("back"))
@@ -78,14 +153,38 @@ def _rmsf(source: str, by: str) -> str:
 _D = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 _PAIRS = f"(SELECT a.atom AS a, b.atom AS b, {_D} AS dist FROM {_COORDS} a JOIN {_COORDS} b ON a.frame = 0 AND b.frame = 0 AND a.atom < b.atom AND b.atom - a.atom >= 4 WHERE {_D} < 0.25)"
 
-QUERIES = {f.__name__: f for f in (contacts, q_mean, weighted_rmsf, rmsf_walker_err, gyration, segment_means, coordination, medoid, ranges_text)}
+QUERIES = {f.__name__: f for f in (contacts, q_mean, weighted_rmsf, rmsf_walker_err, gyration, segment_means, coordination, medoid, medoid_of_drawn, structural_medoid, superposed_rmsd, axis_angle, contact_map_value, centre_geometry, walls, residue_contacts, residue_contacts_periodic, atom_groups, copies_by_reset, terminal_atoms, renamed_atoms, mutated_atoms, ranges_text)}
+_MEDOID = "SELECT label, a AS vec_id, round(total, 6) AS total FROM (SELECT p.label, p.vec_id AS a, sum(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: pow(e[1]::DOUBLE - e[2]::DOUBLE, 2))))) AS total FROM {e} p JOIN {e} q ON p.label = q.label GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, a) = 1"
+_DRAWN = f"(SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY ln(((('0x' || substr(md5('42:' || vec_id), 1, 13))::BIGINT >> 2) + 1) / {float((1 << 50) + 1)!r}::DOUBLE) DESC, vec_id) <= 20)"
+_CENTRES = f"(SELECT frame, (['p', 'o', 'q'])[atom // 5 + 1] AS grp, " + ", ".join(f"sum((atom % 3 + 1) * {c}) / sum(atom % 3 + 1) AS {c}" for c in "xyz") + f" FROM {_COORDS} WHERE atom < 15 GROUP BY 1, 2)"
+_RES = f"(SELECT frame, atom // 3 AS res, atom < 12 AS a, x, y, z FROM {_COORDS} WHERE atom % 5 <> 4)"
+_IMAGE = "sqrt(pow(a.x - b.x + i * 0.6 + j * 0.1 - k * 0.05, 2) + pow(a.y - b.y + j * 0.55 + k * 0.08, 2) + pow(a.z - b.z + k * 0.5, 2))"
+
+
+def _near(distance: str, images: str, cutoff: float) -> str:
+    return f"SELECT f.frame, coalesce(n, 0) AS n FROM (SELECT DISTINCT vec_id AS frame FROM embeddings) f LEFT JOIN (SELECT a.frame, count(DISTINCT a.res * 100 + b.res) AS n FROM {_RES} a JOIN {_RES} b ON a.frame = b.frame AND a.a AND NOT b.a {images} WHERE {distance} < {cutoff} GROUP BY 1) c ON c.frame = f.frame"
+
+
 ORACLES = {
-    "contacts": f"SELECT a, b, {r('dist', 'dist')} FROM {_PAIRS}",
+    "medoid_of_drawn": _MEDOID.format(e=_DRAWN),
+    "contact_map_value": f"SELECT a.frame, {r(f'sum((p.id + 1) / 21.0::DOUBLE / (1 + exp(10 * ({_D} - 1.2::DOUBLE * (p.id / 20.0::DOUBLE + 0.1::DOUBLE)))))', 'cmap')} FROM range(6) p(id) JOIN {_COORDS} a ON a.atom = p.id JOIN {_COORDS} b ON b.frame = a.frame AND b.atom = p.id * 2 + 8 GROUP BY 1",
+    "centre_geometry": f"""WITH c AS (SELECT * FROM {_CENTRES}), v AS (SELECT p.frame, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS dist, (p.x - o.x) * (q.x - o.x) + (p.y - o.y) * (q.y - o.y) + (p.z - o.z) * (q.z - o.z) AS dot,
+sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2) + pow(p.z - o.z, 2)) * sqrt(pow(q.x - o.x, 2) + pow(q.y - o.y, 2) + pow(q.z - o.z, 2)) AS n FROM c p JOIN c o USING (frame) JOIN c q USING (frame) WHERE p.grp = 'p' AND o.grp = 'o' AND q.grp = 'q')
+SELECT frame, round(dist, 6) AS dist, round(acos(greatest(-1, least(1, dot / n))), 6) AS theta FROM v""",
+    "walls": f"SELECT frame, round(CASE WHEN m < 0.01 THEN 5000 * pow(m - 0.01::DOUBLE, 2) ELSE 0 END, 6) AS lower, round(CASE WHEN m > 0.005 THEN 5000 * pow(m - 0.005::DOUBLE, 2) ELSE 0 END, 6) AS upper FROM (SELECT frame, avg(x) AS m FROM {_COORDS} GROUP BY 1)",
+    "residue_contacts": _near(_D, "", 0.25),
+    "residue_contacts_periodic": _near(_IMAGE, ", range(-4, 5) u(i), range(-4, 5) v(j), range(-4, 5) w(k)", 0.2),
+    "atom_groups": f"SELECT serial, name, chain, resnum FROM {ATOM_ROWS} WHERE resnum BETWEEN 5 AND 60 AND name = 'CA' AND chain IN ('A', 'B')",
+    "copies_by_reset": f"SELECT copy, count(*) AS n, min(serial) AS first FROM (SELECT serial, sum(f) OVER (ORDER BY serial)::BIGINT AS copy FROM (SELECT serial, coalesce(resnum < lag(resnum) OVER (ORDER BY serial), false)::INTEGER AS f FROM {ATOM_ROWS})) GROUP BY 1",
+    "terminal_atoms": f"SELECT serial, chain, resnum FROM {ATOM_ROWS} QUALIFY resnum IN (min(resnum) OVER (PARTITION BY chain), max(resnum) OVER (PARTITION BY chain))",
+    "renamed_atoms": f"SELECT CASE resname WHEN 'DA' THEN 'DA5' WHEN 'ALA' THEN 'GLY' ELSE resname END AS resname, CASE name WHEN 'HB' THEN 'H1' ELSE name END AS name, count(*) AS count FROM {ATOM_ROWS} GROUP BY 1, 2",
+    "mutated_atoms": f"SELECT serial, name, CASE WHEN chain = 'A' THEN 'SER' ELSE resname END AS resname, chain FROM {ATOM_ROWS} WHERE resnum = 21 AND (chain <> 'A' OR name IN ('N', 'CA', 'C')) UNION ALL VALUES (99999, 'OG', 'SER', 'A')",
+    "contacts": f"SELECT frame, a.atom AS a, b.atom AS b, {r(_D, 'dist')} FROM {_COORDS} a JOIN {_COORDS} b USING (frame) WHERE a.atom < b.atom AND b.atom - a.atom >= 4 AND {_D} < 0.25",
     "q_mean": f"SELECT a.frame, {r(f'avg(1 / (1 + exp(10 * ({_D} - p.dist))))', 'q')} FROM {_COORDS} a JOIN {_COORDS} b USING (frame) JOIN {_PAIRS} p ON a.atom = p.a AND b.atom = p.b GROUP BY 1",
     "weighted_rmsf": f"SELECT atom, {r('rmsf', 'rmsf')} FROM {_rmsf(_W, 'atom')}",
     "rmsf_walker_err": f"SELECT atom, {r('stddev_samp(rmsf)', 'err')} FROM {_rmsf(_W, 'label, atom')} GROUP BY atom",
     "gyration": f"SELECT frame, {r('sqrt(var_pop(x) + var_pop(y) + var_pop(z))', 'rg')} FROM {_COORDS} GROUP BY frame",
-    "segment_means": f"SELECT segment, {r('avg(rmsf)', 'mean')} FROM {_rmsf(f'(SELECT *, 1.0::DOUBLE AS w FROM {_COORDS})', 'atom')} JOIN (VALUES ('a', 0, 5), ('b', 6, 12), ('c', 13, 19)) s(segment, first, last) ON atom BETWEEN first AND last GROUP BY segment",
+    "segment_means": f"SELECT segment, {r('avg(rmsf)', 'mean')} FROM {_rmsf(f'(SELECT *, 1.0::DOUBLE AS w FROM {_COORDS})', 'atom')} JOIN (VALUES ('a', 0, 5), ('b', 6, 12), ('c', 13, 21)) s(segment, first, last) ON atom BETWEEN first AND last GROUP BY segment",
     "coordination": f"SELECT a.frame, {r(f'sum(1 / (1 + pow({_D} / 0.2::DOUBLE, 6)))', 'value')} FROM {_COORDS} a JOIN {_COORDS} b USING (frame) WHERE a.atom < 8 AND b.atom >= 12 GROUP BY 1",
     "medoid": f"SELECT label, a AS vec_id, {r('total', 'total')} FROM (SELECT p.label, p.vec_id AS a, sum(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: pow(e[1]::DOUBLE - e[2]::DOUBLE, 2))))) AS total FROM embeddings p JOIN embeddings q ON p.label = q.label GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, a) = 1",
     "ranges_text": "SELECT * FROM (VALUES ('27-42,48-61', 30, '" + ",".join(map(str, [*range(27, 43), *range(48, 62)])) + "'), ('5', 1, '5'), ('3-3,9,7', 3, '3,7,9'), ('1-4', 4, '1-4')) t(text, n, back)",

@@ -8,6 +8,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fjordframe.functions.binning import Axis
+from fjordframe.operators.hist import dense
+
 
 def archive(table: DataFrame, path: str, order: list[str], meta: dict | None = None) -> None:
     """The full-range table as parquet in row-major order, with its metadata beside it. Masks are views, not writes."""
@@ -16,12 +19,30 @@ def archive(table: DataFrame, path: str, order: list[str], meta: dict | None = N
         upsert_meta(table.sparkSession, f"{path}.meta", meta)
 
 
-def export_text(table: DataFrame, path: str, order: list[str], header: str = "") -> None:
-    """Columns as %14.6g text with a comment header, one file, in order."""
-    row = F.concat_ws(" ", *(F.format_string("%14.6g", F.col(c).cast("double")) for c in table.columns))
-    body = table.orderBy(*order).select(row.alias("value"))
-    head = table.sparkSession.createDataFrame([(f"# {line}",) for line in header.splitlines()], "value string") if header else None
-    (head.union(body) if head is not None else body).coalesce(1).write.mode("overwrite").text(path)
+#: The layouts of a 2D surface's text export: the formats of x, y, mean, std and count, and of walkers where there are any.
+WIDE, NARROW = ["%14.6g"] * 6, ["%9.5f", "%10.4f", "%12.4f", "%10.4f", "%10.0f"]
+
+
+def export_text(table: DataFrame, path: str, order: list[str], header: str = "", formats: list[str] | None = None) -> None:
+    """Columns as text, %14.6g unless formats are given, with a comment header, one file, in order; null as nan."""
+    formats = formats or ["%14.6g"] * len(table.columns)
+    shown = lambda c, f: F.when(F.col(c).isNull(), F.lit("nan")).otherwise(F.format_string(f, F.col(c).cast("double")))
+    row = F.concat_ws(" ", *(shown(c, f) for c, f in zip(table.columns, formats, strict=False)))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
+    body = table.select(F.lit(len(header.splitlines())).alias("_h"), *keys, row.alias("value"))
+    if header:
+        kinds = ", ".join(f"_k{i} {table.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
+        head = table.sparkSession.createDataFrame([(k, *[None] * len(order), f"# {line}") for k, line in enumerate(header.splitlines())], f"_h int, {kinds}, value string")
+        body = head.unionByName(body)
+    # One file is what a text export is; tables for it are grids and profiles.
+    body.repartition(1).sortWithinPartitions("_h", *(f"_k{i}" for i in range(len(order)))).select("value").write.mode("overwrite").text(path)
+
+
+def export_surface(surface: DataFrame, path: str, ax: Axis, ay: Axis, header: str = "", narrow: bool = False) -> None:
+    """A surface (i, j, mean, std, n[, walkers]) as long text on the full grid, x outermost: cv1 cv2 mean std count [walkers]."""
+    more = [c for c in ("walkers",) if c in surface.columns]
+    rows = dense(surface, {"i": ax, "j": ay}).select(ax.centre(F.col("i")).alias("cv1"), ay.centre(F.col("j")).alias("cv2"), "mean", "std", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ["n", *more]))
+    export_text(rows, path, ["cv1", "cv2"], header, NARROW if narrow else WIDE)
 
 
 def upsert_meta(spark: SparkSession, path: str, entries: dict) -> dict:

@@ -7,9 +7,14 @@ reads it; a column `walker` comes from the file name's number.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fjordframe.operators.ordering import row_index
+
 _COMMENT = r"^\s*[#!@]"
 
 
@@ -19,8 +24,26 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.withColumn("row", F.monotonically_increasing_id())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a glob, names any file."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
+def found_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths of a glob, sorted; none is an error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    paths = sorted(f.getPath().toString() for f in found or [])
+    if not paths:
+        raise FileNotFoundError(f"no file matches {pattern}")
+    return paths
+
+
 def walker_of(file: Column) -> Column:
-    """The number at the end of a file name."""
+    """The number at the end of a file name, or of its folder's where the file is a part of a written table."""
+    file = F.regexp_replace(file, r"/part-[^/]*$", "")
     return F.try_to_number(F.regexp_extract(file, r"(\d+)\D*$", 1), F.lit("999999")).cast("int")
 
 
@@ -45,13 +68,12 @@ def read_series(spark: SparkSession, paths: str | list[str], columns: dict[str,
 
 
 def header(spark: SparkSession, path: str, marks: str = "#!@") -> list[str]:
-    """The leading comment lines of a file."""
-    head = []
-    for r in spark.read.text(path).limit(200).collect():  # a header is a few lines
-        if not r["value"].lstrip()[:1] or r["value"].lstrip()[0] not in marks:
-            break
-        head.append(r["value"])
-    return head
+    """The leading comment lines of a file, however many, read line by line from its beginning."""
+    text = lines(spark, path)
+    plain = ~F.substring(F.ltrim("value"), 1, 1).isin(list(marks))
+    first = text.where(plain).agg(F.min("row").alias("r")).first()["r"]
+    head = text if first is None else text.where(F.col("row") < first)
+    return [r["value"] for r in head.orderBy("row").collect()]
 
 
 def header_fields(spark: SparkSession, path: str) -> list[str]:
@@ -64,8 +86,13 @@ def header_fields(spark: SparkSession, path: str) -> list[str]:
     return [n.partition("(")[0] for n in head[-1].lstrip("#!@ ").split()] if head else []
 
 
-def read_with_header(spark: SparkSession, path: str, rename: dict[str, str] | None = None, required: list[str] | None = None) -> DataFrame:
-    """A series whose names come from its header; short or half-written lines are left out. Missing required names are an error."""
+def read_with_header(spark: SparkSession, path: str, rename: dict[str, str] | None = None, required: list[str] | None = None, missing_ok: bool = False) -> DataFrame | None:
+    """A series whose names come from its header; short or half-written lines are left out. Missing required names are an error.
+
+    A file that is not there is an error too, or None with missing_ok.
+    """
+    if missing_ok and not exists(spark, path):
+        return None
     names = header_fields(spark, path)
     if missing := set(required or []) - set(names):
         raise ValueError(f"{path} lacks {sorted(missing)}")
@@ -80,8 +107,9 @@ def skipped_lines(spark: SparkSession, path: str, column: int) -> DataFrame:
 
 
 def read_hills(spark: SparkSession, paths: str | list[str], dimensions: int) -> DataFrame:
-    """(file, row, walker, t, centre[], sigma[], height, biasf) with time as stored."""
+    """(file, row, walker, t, centre[], sigma[], height, biasf) with time as stored; a glob without files is an error."""
     d = dimensions
+    paths = found_paths(spark, paths) if isinstance(paths, str) else paths
     rows = _fields(lines(spark, paths))
     out = rows.select(
         "file", "row", walker_of(F.col("file")).alias("walker"), _number(0).alias("t"),
@@ -101,14 +129,53 @@ def last_time(series: DataFrame) -> DataFrame:
     return series.groupBy("file").agg(F.max_by("t", "row").alias("t"))
 
 
+def read_capped(spark: SparkSession, paths: str | list[str], columns: dict[str, int | list[int]], cap: float, scale: float = 1.0) -> DataFrame:
+    """A series up to a last time, which rounding must not cut off."""
+    return read_series(spark, paths, columns, scale=scale).where(F.col("t") <= F.lit(cap) + 1e-6)
+
+
+def read_saved(spark: SparkSession, paths: dict[str, list[str]], names: list[str]) -> DataFrame:
+    """(name, part, row, *names): tables saved under each name, one or more parts; a name whose parts are not all there is left out."""
+    here = {name: parts for name, parts in paths.items() if all(exists(spark, p) for p in parts)}
+    tables = [read_table(spark, p, names).select(F.lit(name).alias("name"), F.lit(k).alias("part"), "row", *names) for name, parts in here.items() for k, p in enumerate(parts)]
+    if not tables:
+        return spark.createDataFrame([], "name string, part int, row long, " + ", ".join(f"{n} double" for n in names))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def read_table(spark: SparkSession, path: str, names: list[str], optional: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
+    """(row, *names, *optional): columns of a text table by place; an optional column that the table lacks is null.
+
+    A required one that it lacks is an error.
+    """
+    rows = _fields(lines(spark, path))
+    every = [*names, *(optional or [])]
+    width = rows.agg(F.max(F.size("_p")).alias("w")).first()["w"] or 0
+    if lacking := [n for k, n in enumerate(every) if k >= width and n in (required or [])]:
+        raise ValueError(f"{path} lacks {lacking}")
+    return rows.select("row", *(_number(k).alias(n) for k, n in enumerate(every))).dropna(subset=names)
+
+
+def read_medoids(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(state, replica, time, *names) of a table of chosen frames."""
+    rows = read_table(spark, path, ["state", "replica", "time", *names])
+    return rows.withColumn("state", F.col("state").cast("int")).withColumn("replica", F.col("replica").cast("int")).drop("row")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """A provenance document, empty where there is none."""
+    if not exists(spark, path):
+        return {}
+    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))  # one small document
+
+
 def read_grid(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
     """(i[, j], x[, y], f): a surface in long rows; indices are places among the distinct axis values."""
     names = ["x", "y"][:dimensions]
     rows = _fields(lines(spark, path)).select(*(_number(k).alias(n) for k, n in enumerate(names)), _number(dimensions).alias("f")).dropna(subset=names)
     for index, n in zip(["i", "j"], names, strict=False):
-        axis = rows.select(n).distinct()
-        place = axis.alias("a").join(axis.select(F.col(n).alias("_v")), F.col("_v") < F.col(f"a.{n}"), "left").groupBy(n).agg(F.count("_v").cast("int").alias(index))
-        rows = rows.join(F.broadcast(place), n)
+        place = row_index(rows.select(n).distinct(), n, index).withColumn(index, (F.col(index) - 1).cast("int"))
+        rows = rows.join(place, n)
     return rows.select(*["i", "j"][:dimensions], *names, "f")
 
 
@@ -119,13 +186,14 @@ def read_xvg(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """ATOM rows: serial, name, resname, chain, resnum, x, y, z."""
+    """ATOM rows: serial, name, resname, chain, resnum, x, y, z; lines whose numbers do not parse are left out."""
     v = lambda a, n: F.trim(F.substring("value", a, n))
+    number = lambda a, n, kind: F.expr(f"try_cast(trim(substring(value, {a}, {n})) AS {kind})")
     atoms = lines(spark, path).where(F.startswith("value", F.lit("ATOM")))
     return atoms.select(
-        "row", v(7, 5).cast("int").alias("serial"), v(13, 4).alias("name"), v(18, 3).alias("resname"), F.substring("value", 22, 1).alias("chain"),
-        v(23, 4).cast("int").alias("resnum"), *(v(31 + 8 * k, 8).cast("double").alias(c) for k, c in enumerate("xyz")),
-    )
+        "row", number(7, 5, "INT").alias("serial"), v(13, 4).alias("name"), v(18, 3).alias("resname"), F.substring("value", 22, 1).alias("chain"),
+        number(23, 4, "INT").alias("resnum"), *(number(31 + 8 * k, 8, "DOUBLE").alias(c) for k, c in enumerate("xyz")),
+    ).dropna(subset=["serial", "resnum", "x", "y", "z"])
 
 
 def read_gro(spark: SparkSession, path: str) -> DataFrame:
