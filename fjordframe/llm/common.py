@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fjordframe.functions.lineage import shared_folder
+from fjordframe.functions.shipping import mapped as mapped
+
 #: Hash slots that part rows of nearly equal counts.
 SLOTS = 1 << 14
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a session on one machine (a local master, as in tests) gets a temporary folder; on a cluster that is
-    an error, as executors would not see each other's files.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="fjordframe-")
-        context.setCheckpointDir(found)
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/fjordframe-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/fjordframe-{name}-{uuid.uuid4().hex}"
 
 
 #: Paths written inside each open scratch(), the innermost last.
@@ -94,26 +75,6 @@ def id_fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
 
 
-def shipped(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once for each SparkContext, so that they need not have it installed."""
-    context = spark.sparkContext
-    if not getattr(context, "_fjordframe_shipped", False):
-        root = Path(__file__).resolve().parents[2]
-        folder = tempfile.mkdtemp(prefix="fjordframe-package-")  # the driver serves the archive from here for as long as it lives
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with zipfile.ZipFile(archive := f"{folder}/fjordframe.zip", "w") as z:
-            for source in (root / "fjordframe").rglob("*.py"):
-                z.write(source, source.relative_to(root))
-        context.addPyFile(archive)
-        context._fjordframe_shipped = True
-
-
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow by executors that are given this package."""
-    shipped(df.sparkSession)
-    return df.mapInArrow(f, schema)
-
-
 def with_columns(df: DataFrame, more: str) -> str:
     """The schema of df as text, with more columns."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
