@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fjordframe.llm.common import mapped, most_frequent, written
-from fjordframe.llm.textbytes import NOT_BLANK, cut, pieces
+from fjordframe.llm.textbytes import NOT_BLANK, Words, cut, joined_words, pieces, summed
 
 DEPTH, SPLIT, HEAD, HEAD_GRAMS = 5, 3, 1 << 18, 1 << 20
 END_BYTE = 0x0A
@@ -40,49 +40,36 @@ END_KEY = np.uint64(0x27D4EB2F165667C5)
 _GRAM, _WORD, _AWAY = 0, 1, 2
 #: Distinct keys that a task holds before it hands them on, and (context, byte) pairs that are weighted at once.
 _HELD, _BLOCK = 3_000_000, 200_000
+#: Bytes whose contexts are in memory at once, whatever the length of a text.
+_STRETCH = 1 << 21
 
 
 def normal_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
     """Bytes of all texts in normal form with DEPTH end bytes before each; first and last-plus-one place of each."""
-    words = cut(texts, NOT_BLANK)
-    n, counts = len(words.counts), words.counts
-    empty = np.flatnonzero(counts == 0)
-    starts, ends = words.starts, words.ends
-    starts, ends = np.insert(starts, words.first[empty], 0), np.insert(ends, words.first[empty], 0)
-    per = np.maximum(counts, 1)
-    last = np.cumsum(per) - 1
-    sizes = ends - starts + 1
-    sizes[last] += DEPTH - 1
-    total = np.cumsum(sizes)
-    source = np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if n else 0)
-    out = words.data[np.minimum(source, max(0, len(words.data) - 1))] if len(words.data) else np.zeros(len(source), np.uint8)
-    gap = total - sizes + (ends - starts)
-    out[gap] = 0x20
-    final = gap[last]
-    for k in range(DEPTH):
-        out[final + k] = END_BYTE
-    out = np.concatenate([np.full(DEPTH, END_BYTE, np.uint8), out])
-    stops = final + DEPTH + 1
-    begins = np.concatenate([[DEPTH], total[last][:-1] + DEPTH]) if n else np.zeros(0, np.int64)
-    return out, begins, stops, words
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
-
-
-def _grams(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """The DEPTH + 1 bytes up to each byte of the texts, the last byte lowest."""
-    scored = np.zeros(len(data) + 1, np.int8)
-    scored[begins], scored[stops] = 1, -1
-    wide = data.astype(np.uint64)
-    key = wide.copy()
-    for d in range(1, DEPTH + 1):
-        key[d:] |= wide[:-d] << np.uint64(8 * d)
-    return key[np.cumsum(scored[:-1]) > 0]
+    out, bounds = joined_words(texts, NOT_BLANK)
+    sizes, n = np.diff(bounds), len(bounds) - 1
+    some = sizes > 0
+    out[bounds[1:][some] - 1] = END_BYTE
+    out = np.insert(out, np.repeat(bounds[1:], DEPTH - 1 + ~some), END_BYTE)
+    sizes = np.maximum(sizes, 1)
+    begins = DEPTH + np.cumsum(sizes + DEPTH - 1) - (sizes + DEPTH - 1)
+    return np.concatenate([np.full(DEPTH, END_BYTE, np.uint8), out]), begins, begins + sizes, cut(texts, NOT_BLANK) if n else Words(out, *np.zeros((2, 0), np.int64), np.zeros(1, np.int64))
+
+
+def _grams(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, rows): the DEPTH + 1 bytes up to each byte of the texts, the last byte lowest, and its text; by stretches."""
+    for a in range(DEPTH, len(data), _STRETCH):
+        b = min(len(data), a + _STRETCH)
+        wide = data[a - DEPTH : b].astype(np.uint64)
+        key = wide[DEPTH:].copy()
+        for d in range(1, DEPTH + 1):
+            key |= wide[DEPTH - d : len(wide) - d] << np.uint64(8 * d)
+        first, last = np.searchsorted(stops, a, "right"), np.searchsorted(begins, b)
+        low, high = np.clip(begins[first:last], a, b), np.clip(stops[first:last], a, b)
+        scored = np.zeros(b - a + 1, np.int8)
+        scored[low - a] += 1
+        scored[high - a] -= 1
+        yield key[np.cumsum(scored[:-1], dtype=np.int8) > 0], np.repeat(np.arange(first, last), high - low)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,26 +78,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {_GRAM: [], _WORD: [], _AWAY: []}
 
     def emit(kind: int) -> Iterator[pa.RecordBatch]:
-        keys, counts = _summed(*map(np.concatenate, zip(*held[kind], strict=True)))
+        keys, counts = summed(*map(np.concatenate, zip(*held[kind], strict=True)))
         for at in range(0, len(keys), 100_000):
             k, m = keys[at : at + 100_000], counts[at : at + 100_000]
             n, of = (m * 0, _GRAM) if kind == _AWAY else (m, kind)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), of, np.int8)), pa.array(k.view(np.int64)), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
         held[kind] = []
 
+    def hold(kind: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held[kind].append(np.unique(keys, return_counts=True))
+        if len(held[kind]) > 8:
+            held[kind] = [summed(*map(np.concatenate, zip(*held[kind], strict=True)))]
+        if sum(len(k) for k, _ in held[kind]) > _HELD:
+            yield from emit(kind)
+
     for whole in batches:
         away = whole["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         for b, gram in ((b, gram) for gram, rows in ((_GRAM, ~away), (_AWAY, away)) if rows.any() for b in pieces(whole.filter(pa.array(rows)), "text", 2 << 20)):
             data, begins, stops, words = normal_bytes(b["text"])
-            found = {gram: _grams(data, begins, stops)}
+            for keys, _ in _grams(data, begins, stops):
+                yield from hold(gram, keys)
             if gram == _GRAM:
-                found[_WORD] = np.concatenate([words.hashes(), np.full(b.num_rows, END_KEY)])
-            for kind, keys in found.items():
-                held[kind].append(np.unique(keys, return_counts=True))
-                if len(held[kind]) > 8:
-                    held[kind] = [_summed(*map(np.concatenate, zip(*held[kind], strict=True)))]
-                if sum(len(k) for k, _ in held[kind]) > _HELD:
-                    yield from emit(kind)
+                yield from hold(_WORD, np.concatenate([words.hashes(), np.full(b.num_rows, END_KEY)]))
     for kind in held:
         if held[kind]:
             yield from emit(kind)
@@ -405,11 +394,13 @@ def language_scores(docs: DataFrame, held_out: Column) -> DataFrame:
             for b in pieces(whole, "text"):
                 n = b.num_rows
                 data, begins, stops, words = normal_bytes(b["text"])
-                keys, sizes = _grams(data, begins, stops), stops - begins
-                distinct, at = np.unique(keys, return_inverse=True)
-                found, logp = often.value.find(distinct)
-                byte_rows, rare = np.repeat(np.arange(n), sizes), ~found[at]
-                scores = np.bincount(byte_rows, logp[at], n)
+                sizes, scores, rare = stops - begins, np.zeros(n), []
+                for keys, byte_rows in _grams(data, begins, stops):
+                    distinct, at = np.unique(keys, return_inverse=True)
+                    found, logp = often.value.find(distinct)
+                    scores += np.bincount(byte_rows, logp[at], n)
+                    rare.append((byte_rows[~found[at]], keys[~found[at]]))
+                rare_rows, rare_keys = map(np.concatenate, zip(*rare, strict=True))
                 hashes, rows = words.hashes(), words.rows()
                 here, logs = head.value.find(hashes)
                 end_here, end_log = head.value.find(np.array([END_KEY]))
@@ -419,7 +410,7 @@ def language_scores(docs: DataFrame, held_out: Column) -> DataFrame:
                 of = np.append(rows[~here], np.arange(0 if end_here[0] else n))
                 order = np.argsort(of, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid + np.arange(n)), b["doc_id"], b["held_out"], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(scores), pa.array(sizes), _lists(of, away[order], n), _lists(byte_rows[rare], keys[rare], n)],
+                    [pa.array(rid + np.arange(n)), b["doc_id"], b["held_out"], pa.array(words.counts + 1), pa.array(known), pa.array(base), pa.array(scores), pa.array(sizes), _lists(of, away[order], n), _lists(rare_rows, rare_keys, n)],
                     names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "tail", "rare"],
                 )
                 rid += n

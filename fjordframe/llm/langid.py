@@ -21,46 +21,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fjordframe.llm.common import mapped, with_columns
-from fjordframe.llm.textbytes import cut, pieces
+from fjordframe.llm.textbytes import joined_words, owners, pieces, summed
 
 PROFILE, LONGEST, SALT = 300, 4, 16
 UNKNOWN = "und"
 #: Texts that one sort takes together; their number has 12 bits in the sort key.
 _TEXTS = 4096
+#: Places whose n-grams are in memory at once, whatever the length of a text.
+_STRETCH = 1 << 20
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text << 32 | n-gram) for every n-gram of every text, and which texts have an ASCII letter."""
-    words = cut(texts, _LETTERS)
-    data, n = words.data, len(words.counts)
-    lead = np.flatnonzero(data[:-1] == 0xC3)
-    upper = lead[(data[lead + 1] >= 0x80) & (data[lead + 1] <= 0x9E) & (data[lead + 1] != 0x97)]
-    data[upper + 1] += 32
-    rows = words.rows()
-    sizes = words.ends - words.starts + 1
-    last = words.first[1:][words.counts > 0] - 1
-    sizes[last] += 1
-    total = np.cumsum(sizes)
-    end = int(total[-1]) if len(total) else 0
-    source = np.repeat(words.starts - (total - sizes) - 1, sizes) + np.arange(end)
-    out = data[np.clip(source, 0, max(0, len(data) - 1))].astype(np.uint64) if len(data) else np.zeros(0, np.uint64)
-    out[total - sizes] = 0x20
-    out[total[last] - 1] = 0x20
-    of = np.repeat(rows, sizes).astype(np.uint64) << np.uint64(32)
-    found, gram = [], out
-    alone = out != 0x20
-    found.append((of | gram)[alone])
-    for k in range(2, LONGEST + 1):
-        gram = gram[:-1] << np.uint64(8) | out[k - 1 :]
-        same = of[: len(gram)] == of[k - 1 :]
-        found.append((of[: len(gram)] | gram)[same])
-    ascii_letter = np.zeros(n, bool)
-    at = np.flatnonzero((out >= 0x61) & (out <= 0x7A))
-    ascii_letter[(of[at] >> np.uint64(32)).astype(np.int64)] = True
-    return np.concatenate(found), ascii_letter
+class _Stream:
+    """The words of every text in a row, parted by single spaces, with one before the first and after the last."""
+
+    def __init__(self, texts: pa.Array):
+        out, bounds = joined_words(texts, _LETTERS)
+        lead = np.flatnonzero(out[:-1] == 0xC3)
+        upper = lead[(out[lead + 1] >= 0x80) & (out[lead + 1] <= 0x9E) & (out[lead + 1] != 0x97)]
+        out[upper + 1] += 32
+        some = np.diff(bounds) > 0
+        self.has_letter = np.zeros(len(some), bool)
+        if some.any():
+            self.has_letter[some] = np.logical_or.reduceat((out >= 0x61) & (out <= 0x7A), bounds[:-1][some])
+        self.data = np.insert(out, bounds[:-1][some], 0x20)
+        self.bounds = bounds + np.concatenate([[0], np.cumsum(some)])
+
+    def grams(self) -> Iterator[np.ndarray]:
+        """(text << 32 | n-gram) of every n-gram, by stretches of the places where they end."""
+        for a in range(0, len(self.data), _STRETCH):
+            b = min(len(self.data), a + _STRETCH)
+            back = min(a, LONGEST - 1)
+            x = self.data[a - back : b].astype(np.uint64)
+            of = owners(self.bounds, a - back, b).astype(np.uint64)
+            gram, found = x, []
+            for k in range(1, LONGEST + 1):
+                if k > 1:
+                    gram = gram[:-1] << np.uint64(8) | x[k - 1 :]
+                ends = of[k - 1 :]
+                wanted = ends == of[: len(ends)]
+                wanted[: max(0, back - k + 1)] = False
+                if k == 1:
+                    wanted &= x != 0x20
+                found.append((ends << np.uint64(32) | gram)[wanted])
+            yield np.concatenate(found)
 
 
 def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -73,11 +79,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in _slices(whole):
             langs = b["lang"].dictionary_encode()
-            grams, _ = _grams(b["text"])
-            lang = langs.indices.to_numpy().astype(np.uint64)[(grams >> np.uint64(32)).astype(np.int64)]
-            keys, n = np.unique(lang << np.uint64(32) | grams & np.uint64(0xFFFFFFFF), return_counts=True)
-            names = langs.dictionary.take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([names, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            own = langs.indices.to_numpy().astype(np.uint64)
+            for grams in _Stream(b["text"]).grams():
+                lang = own[(grams >> np.uint64(32)).astype(np.int64)]
+                keys, n = np.unique(lang << np.uint64(32) | grams & np.uint64(0xFFFFFFFF), return_counts=True)
+                names = langs.dictionary.take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([names, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def language_profiles(docs: DataFrame, training: Column) -> DataFrame:
@@ -104,13 +111,15 @@ class Profiles:
     def judge(self, texts: pa.Array, declared: list | None = None) -> tuple[list[str], np.ndarray, list]:
         """Each text's language and score, and the score of its declared language; null if that is none or was not learned."""
         n = len(texts)
-        found, has_letter = _grams(texts)
+        stream = _Stream(texts)
+        has_letter = stream.has_letter
         for r in np.flatnonzero(~has_letter):
             has_letter[r] = any(map(str.isalpha, texts[int(r)].as_py() or ""))
         names, scores = [UNKNOWN] * n, np.zeros(n)
         if not len(self.names):
             return names, scores, [None] * n
-        keys, counts = np.unique(found, return_counts=True)
+        parts = [np.unique(grams, return_counts=True) for grams in stream.grams()]
+        keys, counts = summed(*map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         fewer = np.uint64((1 << 20) - 1) - np.minimum(counts, (1 << 20) - 1).astype(np.uint64)
         keys = np.sort(keys >> np.uint64(32) << np.uint64(52) | fewer << np.uint64(32) | keys & np.uint64(0xFFFFFFFF))
         row = (keys >> np.uint64(52)).astype(np.int64)

@@ -17,6 +17,15 @@ def test_normal_form():
     assert all(bytes(data[a - ctw.DEPTH : a]) == b"\n" * ctw.DEPTH for a in begins)
 
 
+def test_stretches_change_nothing(monkeypatch):
+    texts = pa.array(["  A b\t", None, "cc dd " * 30, "", "x" * 50, "é"])
+    data, begins, stops, _ = ctw.normal_bytes(texts)
+    rows = [(int.from_bytes(bytes(data[i - ctw.DEPTH : i + 1]), "big"), r) for r, (a, b) in enumerate(zip(begins, stops, strict=True)) for i in range(a, b)]
+    for n in (1, 3, 10, 1 << 20):
+        monkeypatch.setattr(ctw, "_STRETCH", n)
+        assert [(int(k), int(r)) for keys, of in ctw._grams(data, begins, stops) for k, r in zip(keys, of, strict=True)] == rows
+
+
 def log_kt(a, b):
     return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 

@@ -86,6 +86,22 @@ def test_profiles_by_plain_counts(spark):
     assert len(judged) == len(docs) and len({(r["lang_pred"], r["score"]) for r in judged if r["doc_id"] == 3 and r["text"] == "the the thé"}) == 1
 
 
+def test_stretches_change_nothing(monkeypatch):
+    """n-grams and verdicts of texts that span many stretches, and of many texts in one."""
+    texts = pa.array([r[1] for r in documents(20)] + ["", None, "a", "É " * 9, "x" * 40])
+    whole = langid._Stream(texts)
+    want = np.sort(np.concatenate(list(whole.grams())))
+    p = langid.Profiles(np.array(["en"] * 5 + ["de"] * 5), np.arange(97, 107), np.arange(1, 11))
+    judged = p.judge(texts)
+    for n in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "_STRETCH", n)
+        short = texts if n == 64 else texts.slice(0, 12)
+        again = np.sort(np.concatenate(list(langid._Stream(short).grams())))
+        assert (again == (want if n == 64 else want[(want >> np.uint64(32)) < 12])).all()
+        got = p.judge(short)
+        assert got[0] == judged[0][: len(short)] and np.allclose(got[1], judged[1][: len(short)])
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame(documents(5), SCHEMA)
     none = langid.language_profiles(df, F.lit(False))
