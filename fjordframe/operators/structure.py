@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fjordframe.functions.ranges import format_ranges
 from fjordframe.functions.shipping import mapped
@@ -117,6 +118,27 @@ def _cells(rows: DataFrame, boxes: DataFrame | None, cutoff: float) -> DataFrame
     return rows.select("*", *(F.least(F.floor(F.col(n) * F.col(f"_n{n}")), F.col(f"_n{n}") - 1).alias(f"_{n}") for n in "uvw"))
 
 
+def made_whole(coords: DataFrame, boxes: DataFrame, molecule: str) -> DataFrame:
+    """coords (frame, molecule, atom, x, y, z) with each molecule in one piece: every atom at the image nearest to the atom before.
+
+    boxes as for residue_contacts. Windows run over the atoms of one molecule in one frame.
+    """
+    placed = coords.join(boxes, "frame")
+    w = F.col("z") / F.col("cz")
+    v = (F.col("y") - w * F.col("cy")) / F.col("by")
+    u = (F.col("x") - w * F.col("cx") - v * F.col("bx")) / F.col("ax")
+    placed = placed.withColumns({"_u": u, "_v": v, "_w": w})
+    order = Window.partitionBy("frame", molecule).orderBy("atom")
+    for n in "uvw":
+        jump = F.coalesce(F.rint(F.col(f"_{n}") - F.lag(f"_{n}").over(order)), F.lit(0.0))
+        placed = placed.withColumn(f"_j{n}", jump)
+    for n in "uvw":
+        placed = placed.withColumn(f"_s{n}", F.sum(f"_j{n}").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = F.col("x") - F.col("_su") * F.col("ax") - F.col("_sv") * F.col("bx") - F.col("_sw") * F.col("cx")
+    y = F.col("y") - F.col("_sv") * F.col("by") - F.col("_sw") * F.col("cy")
+    return placed.select(*(c for c in coords.columns if c not in "xyz"), x.alias("x"), y.alias("y"), (F.col("z") - F.col("_sw") * F.col("cz")).alias("z"))
+
+
 def residue_contacts(coords: DataFrame, atoms: DataFrame, first: Column, second: Column, cutoff: float, boxes: DataFrame | None = None) -> DataFrame:
     """(frame, n): residue pairs of two selections whose nearest heavy atoms are under the cutoff; 0 where there are none.
 

@@ -202,6 +202,30 @@ def read_gro(spark, d):
     return S.read_gro(spark, _text(lines, "row", _folder(spark, "gro"), "title of it\n  999")).drop("row").withColumnRenamed("index", "serial")
 
 
+def gro_frames(spark, d):
+    """A text trajectory: each embedding a frame of four atoms."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    atom = lambda k: F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.lit(k // 2 + 1), F.lit("ALA"), F.lit("CA"), F.lit(k + 1), *(F.col("embedding")[3 * k + c].cast("double") for c in range(3)))
+    block = F.array(F.format_string("made up t= %.5f step= 0", F.col("vec_id") / 2), F.lit("    4"), *(atom(k) for k in range(4)), F.lit("   5.00000   5.00000   5.00000"))
+    lines = v.select(F.col("vec_id"), F.posexplode(block).alias("k", "value")).select((F.col("vec_id") * 10 + F.col("k")).alias("o"), "value")
+    return rounded(S.read_gro_frames(spark, _text(lines, "o", _folder(spark, "frames"))).drop("resname", "name"), 3)
+
+
+def pdb_models(spark, d):
+    """A file of several models, a label of the embeddings each."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 90000")
+    atom = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f", "vec_id", F.lit("CA"), F.lit("ALA"), F.lit("A"), F.col("label") + 1, *(F.col("embedding")[c].cast("double") for c in range(3)))
+    models = v.select("label").distinct().select((F.col("label") * 1_000_000 - 1).cast("long").alias("o"), F.format_string("MODEL     %4d", F.col("label") + 1).alias("value"))
+    lines = v.select((F.col("label") * 1_000_000 + F.col("vec_id")).cast("long").alias("o"), atom.alias("value")).unionByName(models)
+    return rounded(S.read_models(spark, _text(lines, "o", _folder(spark, "models"), "REMARK a")).select("frame", "serial", "resnum", "x", "y", "z"), 3)
+
+
+def thermo_terms(spark, d):
+    f = frames(spark, d).groupBy("kind").agg(F.round(F.avg("x"), 3).alias("a"), F.round(F.max("x"), 3).alias("b"), F.count("*").alias("n"))
+    lines = f.select(F.xxhash64("kind").alias("o"), F.concat_ws("  ", F.initcap("kind"), "a", "b", "n", F.lit("0.5"), F.lit("(K)")).alias("value"))
+    return S.read_thermo(spark, _text(lines, "o", _folder(spark, "energy"), "Energy  Average  Err.Est.  RMSD  Tot-Drift\n-----"), ["Purchase", "View", "Click"])
+
+
 def _contacts(spark, d):
     a = atoms(spark, d).where("serial <= 300").select((F.col("serial") - 1).alias("a"), F.col("resnum").alias("b"), F.col("x").alias("ref"))
     return a
@@ -260,7 +284,7 @@ def meta_upsert(spark, d):
     return spark.createDataFrame([(k, str(i), str(v)) for k, e in found.items() for i, v in e.items()], "panel string, entry string, value string")
 
 
-QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
+QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
 _SERIES = f"(SELECT walker, row, {_PS} AS ps, x, y, w FROM {FRAMES} WHERE {_KEPT})"
 _HEADED = f"(SELECT * FROM {FRAMES} WHERE walker = 0 AND {_KEPT})"
 ORACLES = {
@@ -283,6 +307,9 @@ ORACLES = {
     "read_xvg": f"SELECT {r('t', 't')}, {r('x', 'dmin')}, {r('y', 'dmax')} FROM {FRAMES} WHERE walker = 1",
     "read_pdb": f"SELECT serial, name, resname, chain, resnum, x, y, z FROM {ATOMS} WHERE row % 50 <> 7",
     "read_gro": f"SELECT serial, name, resname, resnum, x, y, z FROM {ATOMS}",
+    "gro_frames": "SELECT (dense_rank() OVER (ORDER BY vec_id) - 1) AS frame, vec_id / 2.0::DOUBLE AS t, (k // 2 + 1)::INTEGER AS resnum, (k + 1)::INTEGER AS atom, round(embedding[3 * k + 1]::DOUBLE, 3) AS x, round(embedding[3 * k + 2]::DOUBLE, 3) AS y, round(embedding[3 * k + 3]::DOUBLE, 3) AS z FROM embeddings, range(4) r(k)",
+    "pdb_models": "SELECT dense_rank() OVER (ORDER BY label) - 1 AS frame, vec_id::INTEGER AS serial, (label + 1)::INTEGER AS resnum, round(embedding[1]::DOUBLE, 3) AS x, round(embedding[2]::DOUBLE, 3) AS y, round(embedding[3]::DOUBLE, 3) AS z FROM embeddings WHERE vec_id < 90000",
+    "thermo_terms": f"SELECT upper(kind[1]) || kind[2:] AS term, round(avg(x), 3) AS average, round(max(x), 3) AS error, count(*)::DOUBLE AS rmsd, 0.5::DOUBLE AS drift FROM {FRAMES} WHERE kind IN ('purchase', 'view', 'click') GROUP BY kind",
     "read_contacts": f"SELECT serial - 1 AS a, resnum AS b, x AS ref FROM {ATOMS} WHERE serial <= 300",
     "contact_block": f"SELECT serial AS a, resnum + 1 AS b, x AS ref, {r('1.0::DOUBLE / count(*) OVER ()', 'weight')} FROM {ATOMS} WHERE serial <= 300",
     "group_lines": f"SELECT 'tail' AS grp, 'tail: GROUP ATOMS=3-9' AS line UNION ALL SELECT 'dna', 'dna: GROUP ATOMS=' || array_to_string(list_sort(list(serial)), ',') FROM {ATOMS} WHERE chain = 'B' AND serial < 60 AND serial NOT BETWEEN 3 AND 9",

@@ -116,6 +116,12 @@ def residue_contacts_periodic(spark, d):
     return A.residue_contacts(_coords(spark, d), _residue_atoms(spark), F.col("chain") == "A", F.col("chain") == "B", 0.2, boxes)
 
 
+def whole_molecules(spark, d):
+    """Structures in a box smaller than they are, each atom beside the one before."""
+    boxes = _coords(spark, d).select("frame").distinct().select("frame", F.lit(0.3).alias("ax"), F.lit(0.05).alias("bx"), F.lit(0.28).alias("by"), F.lit(-0.02).alias("cx"), F.lit(0.04).alias("cy"), F.lit(0.26).alias("cz"))
+    return rounded(A.made_whole(_coords(spark, d).withColumn("chain", F.col("atom") >= 11).drop("label"), boxes, "chain"), 5)
+
+
 def atom_groups(spark, d):
     return A.atoms_in(atoms(spark, d), (5, 60), ["CA", "N"], ["A", "B"], "C").select("serial", "name", "chain", "resnum")
 
@@ -153,7 +159,7 @@ def _rmsf(source: str, by: str) -> str:
 _D = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 _PAIRS = f"(SELECT a.atom AS a, b.atom AS b, {_D} AS dist FROM {_COORDS} a JOIN {_COORDS} b ON a.frame = 0 AND b.frame = 0 AND a.atom < b.atom AND b.atom - a.atom >= 4 WHERE {_D} < 0.25)"
 
-QUERIES = {f.__name__: f for f in (contacts, q_mean, weighted_rmsf, rmsf_walker_err, gyration, segment_means, coordination, medoid, medoid_of_drawn, structural_medoid, superposed_rmsd, axis_angle, contact_map_value, centre_geometry, walls, residue_contacts, residue_contacts_periodic, atom_groups, copies_by_reset, terminal_atoms, renamed_atoms, mutated_atoms, ranges_text)}
+QUERIES = {f.__name__: f for f in (contacts, q_mean, weighted_rmsf, rmsf_walker_err, gyration, segment_means, coordination, medoid, medoid_of_drawn, structural_medoid, superposed_rmsd, axis_angle, contact_map_value, centre_geometry, walls, residue_contacts, residue_contacts_periodic, whole_molecules, atom_groups, copies_by_reset, terminal_atoms, renamed_atoms, mutated_atoms, ranges_text)}
 _MEDOID = "SELECT label, a AS vec_id, round(total, 6) AS total FROM (SELECT p.label, p.vec_id AS a, sum(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: pow(e[1]::DOUBLE - e[2]::DOUBLE, 2))))) AS total FROM {e} p JOIN {e} q ON p.label = q.label GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, a) = 1"
 _DRAWN = f"(SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY ln(((('0x' || substr(md5('42:' || vec_id), 1, 13))::BIGINT >> 2) + 1) / {float((1 << 50) + 1)!r}::DOUBLE) DESC, vec_id) <= 20)"
 _CENTRES = f"(SELECT frame, (['p', 'o', 'q'])[atom // 5 + 1] AS grp, " + ", ".join(f"sum((atom % 3 + 1) * {c}) / sum(atom % 3 + 1) AS {c}" for c in "xyz") + f" FROM {_COORDS} WHERE atom < 15 GROUP BY 1, 2)"
@@ -174,6 +180,10 @@ SELECT frame, round(dist, 6) AS dist, round(acos(greatest(-1, least(1, dot / n))
     "walls": f"SELECT frame, round(CASE WHEN m < 0.01 THEN 5000 * pow(m - 0.01::DOUBLE, 2) ELSE 0 END, 6) AS lower, round(CASE WHEN m > 0.005 THEN 5000 * pow(m - 0.005::DOUBLE, 2) ELSE 0 END, 6) AS upper FROM (SELECT frame, avg(x) AS m FROM {_COORDS} GROUP BY 1)",
     "residue_contacts": _near(_D, "", 0.25),
     "residue_contacts_periodic": _near(_IMAGE, ", range(-4, 5) u(i), range(-4, 5) v(j), range(-4, 5) w(k)", 0.2),
+    "whole_molecules": f"""WITH f AS (SELECT *, atom >= 11 AS chain, z / 0.26::DOUBLE AS w FROM {_COORDS}), g AS (SELECT *, (y - w * 0.04::DOUBLE) / 0.28::DOUBLE AS v FROM f), h AS (SELECT *, (x - w * -0.02::DOUBLE - v * 0.05::DOUBLE) / 0.3::DOUBLE AS u FROM g),
+j AS (SELECT *, {", ".join(f"coalesce(round_even({n} - lag({n}) OVER (PARTITION BY frame, chain ORDER BY atom), 0), 0) AS j{n}" for n in "uvw")} FROM h),
+s AS (SELECT *, {", ".join(f"sum(j{n}) OVER (PARTITION BY frame, chain ORDER BY atom) AS s{n}" for n in "uvw")} FROM j)
+SELECT frame, chain, atom, round(x - su * 0.3::DOUBLE - sv * 0.05::DOUBLE - sw * -0.02::DOUBLE, 5) AS x, round(y - sv * 0.28::DOUBLE - sw * 0.04::DOUBLE, 5) AS y, round(z - sw * 0.26::DOUBLE, 5) AS z FROM s""",
     "atom_groups": f"SELECT serial, name, chain, resnum FROM {ATOM_ROWS} WHERE resnum BETWEEN 5 AND 60 AND name = 'CA' AND chain IN ('A', 'B')",
     "copies_by_reset": f"SELECT copy, count(*) AS n, min(serial) AS first FROM (SELECT serial, sum(f) OVER (ORDER BY serial)::BIGINT AS copy FROM (SELECT serial, coalesce(resnum < lag(resnum) OVER (ORDER BY serial), false)::INTEGER AS f FROM {ATOM_ROWS})) GROUP BY 1",
     "terminal_atoms": f"SELECT serial, chain, resnum FROM {ATOM_ROWS} QUALIFY resnum IN (min(resnum) OVER (PARTITION BY chain), max(resnum) OVER (PARTITION BY chain))",

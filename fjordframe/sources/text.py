@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordframe.operators.ordering import row_index
+from fjordframe.operators.ordering import row_index, running_total
 
 _COMMENT = r"^\s*[#!@]"
 
@@ -187,11 +187,14 @@ def read_xvg(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     """ATOM rows: serial, name, resname, chain, resnum, x, y, z; lines whose numbers do not parse are left out."""
+    return _pdb_atoms(lines(spark, path), ["row"])
+
+
+def _pdb_atoms(text: DataFrame, keep: list[str]) -> DataFrame:
     v = lambda a, n: F.trim(F.substring("value", a, n))
     number = lambda a, n, kind: F.expr(f"try_cast(trim(substring(value, {a}, {n})) AS {kind})")
-    atoms = lines(spark, path).where(F.startswith("value", F.lit("ATOM")))
-    return atoms.select(
-        "row", number(7, 5, "INT").alias("serial"), v(13, 4).alias("name"), v(18, 3).alias("resname"), F.substring("value", 22, 1).alias("chain"),
+    return text.where(F.startswith("value", F.lit("ATOM"))).select(
+        *keep, number(7, 5, "INT").alias("serial"), v(13, 4).alias("name"), v(18, 3).alias("resname"), F.substring("value", 22, 1).alias("chain"),
         number(23, 4, "INT").alias("resnum"), *(number(31 + 8 * k, 8, "DOUBLE").alias(c) for k, c in enumerate("xyz")),
     ).dropna(subset=["serial", "resnum", "x", "y", "z"])
 
@@ -207,6 +210,41 @@ def read_gro(spark: SparkSession, path: str) -> DataFrame:
     return rows.dropna()
 
 
+def _numbered(text: DataFrame, title: Column) -> DataFrame:
+    """text with frame, the number of title lines up to each line, less one; lines before the first have -1."""
+    return running_total(text.withColumn("_t", title.cast("int")), "row", "_t", "_f").withColumn("frame", F.col("_f") - 1).drop("_t", "_f")
+
+
+def read_gro_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, t, resnum, resname, name, atom, x, y, z) of a text trajectory, whose frames begin with a title that holds t= time.
+
+    Counts, boxes and lines that do not parse are left out.
+    """
+    pattern = r"t=\s*([-+0-9.eE]+)"
+    text = _numbered(lines(spark, path), F.col("value").rlike(pattern))
+    times = text.where(F.col("value").rlike(pattern)).select("frame", F.expr(f"try_cast(regexp_extract(value, '{pattern}', 1) AS DOUBLE)".replace("\\", "\\\\")).alias("t"))
+    number = lambda a, n, kind: F.expr(f"try_cast(trim(substring(value, {a}, {n})) AS {kind})")
+    v = lambda a, n: F.trim(F.substring("value", a, n))
+    atoms = text.where(~F.col("value").rlike(pattern)).select(
+        "frame", number(1, 5, "INT").alias("resnum"), v(6, 5).alias("resname"), v(11, 5).alias("name"), number(16, 5, "INT").alias("atom"),
+        *(number(21 + 8 * k, 8, "DOUBLE").alias(c) for k, c in enumerate("xyz")),
+    ).dropna()
+    return atoms.join(times, "frame")
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, serial, name, resname, chain, resnum, x, y, z) of a PDB file with several models, numbered from 0."""
+    text = _numbered(lines(spark, path), F.startswith("value", F.lit("MODEL ")))
+    return _pdb_atoms(text, ["frame"])
+
+
+def read_thermo(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(term, average, error, rmsd, drift): the lines of a thermodynamic summary that begin with one of the terms."""
+    rows = lines(spark, path).withColumn("_p", F.split(F.trim("value"), r"\s+"))
+    names = ["average", "error", "rmsd", "drift"]
+    return rows.where(F.get("_p", F.lit(0)).isin(terms)).select(F.get("_p", F.lit(0)).alias("term"), *(_number(k).alias(n) for k, n in enumerate(names, 1))).dropna()
+
+
 def read_contacts(spark: SparkSession, path: str) -> DataFrame:
     """(a, b, ref) of a 0-based contact list."""
     rows = _fields(lines(spark, path)).select(_number(0).cast("int").alias("a"), _number(1).cast("int").alias("b"), _number(2).alias("ref"))

@@ -391,3 +391,21 @@ def test_verdicts(spark):
     for lows, sustained, want in (([2.0, 3.0], 1.0, "clear"), ([1.0, 3.0], 5.0, "transient"), ([1.0, 3.0], 1.0, "sustained")):
         low = spark.createDataFrame(list(enumerate(lows)), "w int, low double")
         assert {v[0] for v in values(runs.contact_verdict(runs_of, low, ["w"], 1.4, sustained), "verdict")} == {want}
+
+
+def test_molecules_made_whole(spark):
+    """A walk of small steps, wrapped into an angled box atom by atom, comes back as the walk, but for a shift of the whole."""
+    rng = np.random.default_rng(15)
+    box = np.array([[3.0, 0, 0], [0.8, 2.8, 0], [-0.5, 0.6, 2.6]])
+    rows, want = [], {}
+    for frame in range(2):
+        for molecule in ("A", "B"):
+            walk = np.cumsum(rng.uniform(-0.4, 0.4, (60, 3)), axis=0)
+            wrapped = (lambda f: (f - np.floor(f)) @ box)(walk @ np.linalg.inv(box))
+            rows += [(frame, molecule, k, *map(float, v)) for k, v in enumerate(wrapped)]
+            want[frame, molecule] = walk - walk[0]
+    boxes = spark.createDataFrame([(f, 3.0, 0.8, 2.8, -0.5, 0.6, 2.6) for f in range(2)], "frame int, ax double, bx double, by double, cx double, cy double, cz double")
+    out = structure.made_whole(spark.createDataFrame(rows, "frame int, m string, atom int, x double, y double, z double"), boxes, "m").toPandas()
+    for key, x in out.sort_values("atom").groupby(["frame", "m"]):
+        xyz = x[["x", "y", "z"]].to_numpy()
+        assert np.allclose(xyz - xyz[0], want[key])

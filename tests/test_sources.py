@@ -107,3 +107,20 @@ def test_group_and_contact_lines(spark):
     assert {tuple(r) for r in structure.group_lines(atoms, "g").collect()} == {("tail", "tail: GROUP ATOMS=3-5"), ("dna", "dna: GROUP ATOMS=7,9")}
     lines = structure.contact_lines(spark.createDataFrame([(2, 9, 0.5), (0, 4, 0.25)], "a int, b int, ref double"))
     assert {r["line"] for r in lines.collect()} == {"ATOMS1=1,5 REFERENCE1=0.250000 WEIGHT1=0.500000", "ATOMS2=3,10 REFERENCE2=0.500000 WEIGHT2=0.500000"}
+
+
+def test_text_trajectories(spark, tmp_path):
+    atoms = "".join(f"{k:5d}{'ALA':<5s}{'CA':>5s}{k:5d}{k / 10:8.3f}{{0}}{0:8.3f}\n" for k in (1, 2))
+    gro = "".join(f"box of it t= {t:.5f} step= {f}\n    2\n" + atoms.format(f"{f:8.3f}") + "   5.0   5.0   5.0\n" for f, t in enumerate([0.0, 10.0, 20.5]))
+    (tmp_path / "a.gro").write_text(gro)
+    got = {(r["frame"], r["t"], r["atom"], r["x"], r["y"]) for r in S.read_gro_frames(spark, str(tmp_path / "a.gro")).collect()}
+    assert got == {(f, t, k, k / 10, float(f)) for f, t in enumerate([0.0, 10.0, 20.5]) for k in (1, 2)}
+    line = "ATOM     12  CA  ALA A  21      {:6.3f}   6.134  -6.504\n"
+    (tmp_path / "m.pdb").write_text("REMARK\n" + "".join(f"MODEL        {k}\n" + line.format(k) + "ENDMDL\n" for k in range(1, 4)))
+    assert {(r["frame"], r["serial"], r["x"]) for r in S.read_models(spark, str(tmp_path / "m.pdb")).collect()} == {(k - 1, 12, float(k)) for k in range(1, 4)}
+
+
+def test_thermodynamic_summary(spark, tmp_path):
+    (tmp_path / "e.log").write_text("Statistics over 5 steps\nEnergy    Average  Err.Est.  RMSD  Tot-Drift\n-----\nTemperature  300.1  0.02  1.5  -0.1  (K)\nPressure  1.0  --  2.0  0.1  (bar)\nDensity 990.5 0.1 2 3 (kg/m^3)\nTemperature\n")
+    got = [tuple(r) for r in S.read_thermo(spark, str(tmp_path / "e.log"), ["Temperature", "Pressure", "Density"]).collect()]
+    assert sorted(got) == [("Density", 990.5, 0.1, 2.0, 3.0), ("Temperature", 300.1, 0.02, 1.5, -0.1)]
