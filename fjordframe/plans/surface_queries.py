@@ -113,6 +113,11 @@ def basin_segments(spark, d):
     return B.basin_table(B.segmented(_grid(spark, d), 9.0, 1.0), 2.0)
 
 
+def basin_segments_low(spark, d):
+    """The same with a barrier that leaves several basins."""
+    return B.basin_table(B.segmented(_grid(spark, d), 9.0, 0.2), 2.0)
+
+
 def snapshot_bundle(spark, d):
     f = frames(spark, d).where("kind <> 'purchase'").select("t", "x", "y")
     w = W.snapshot_weights(f, _hills(spark, d), HX, CUTS, GAMMA, 50.0)
@@ -231,7 +236,7 @@ _HSQL = f"(SELECT t, x AS c FROM {FRAMES} WHERE kind = 'purchase')"
 _REACH = f"k BETWEEN round_even(c / {HX.step}::DOUBLE, 0) - ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE) AND round_even(c / {HX.step}::DOUBLE, 0) + ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE)"
 _BUMP = f"{HEIGHT}::DOUBLE * exp(-pow(k * {HX.step}::DOUBLE - c, 2) / (2 * {SIGMA}::DOUBLE * {SIGMA}::DOUBLE))"
 
-QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region, hills_kernel_sum_2d, ct_weights_2d, fes_at_points, resampled_curves, sampled_cells, swapped_surface, reliable_region2d_rounds, region_without_good_cells, hill_count_cuts, snapshot_cut_offs, basins_below, shoulder_cells, assigned_frames)}
+QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, basin_segments_low, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region, hills_kernel_sum_2d, ct_weights_2d, fes_at_points, resampled_curves, sampled_cells, swapped_surface, reliable_region2d_rounds, region_without_good_cells, hill_count_cuts, snapshot_cut_offs, basins_below, shoulder_cells, assigned_frames)}
 _NEAR2 = " AND ".join(f"{k} BETWEEN round_even({c} / {a.step}::DOUBLE, 0) - ceil(4 * {w}::DOUBLE / {a.step}::DOUBLE) AND round_even({c} / {a.step}::DOUBLE, 0) + ceil(4 * {w}::DOUBLE / {a.step}::DOUBLE)" for k, c, a, w in (("i", "x", HX2, SIGMA2[0]), ("j", "y", HY2, SIGMA2[1])))
 _BUMP2 = f"{HEIGHT}::DOUBLE * exp(-pow(i * {HX2.step}::DOUBLE - x, 2) / (2 * pow({SIGMA2[0]}::DOUBLE, 2))) * exp(-pow(j * {HY2.step}::DOUBLE - y, 2) / (2 * pow({SIGMA2[1]}::DOUBLE, 2)))"
 _SPREAD2 = f"(SELECT t, (i * {HY2.n + 1} + j)::INTEGER AS k, {_BUMP2} AS g FROM {FRAMES}, range({HX2.n + 1}) a(i), range({HY2.n + 1}) b(j) WHERE kind = 'purchase' AND t <= 400 AND {_NEAR2})"
@@ -242,6 +247,18 @@ w AS (SELECT i, j, i AS ti, j AS tj FROM g UNION SELECT w.i, w.j, n.ti, n.tj FRO
 e AS (SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.i = w.ti AND n.j = w.tj)),
 m AS (SELECT g.i, g.j, g.f, row_number() OVER (ORDER BY f, g.i, g.j) AS label FROM g WHERE f < 9 AND NOT EXISTS (SELECT 1 FROM n WHERE n.i = g.i AND n.j = g.j)),
 l AS (SELECT e.i, e.j, g.f, coalesce(label, 0)::INTEGER AS label, m.f AS fmin, m.i AS mi, m.j AS mj FROM e JOIN g ON g.i = e.i AND g.j = e.j LEFT JOIN m ON m.i = e.ti AND m.j = e.tj)"""
+def _merged(barrier: float) -> str:
+    """Basins merged one at a time, the least prominence first; labels go by depth, so of two the larger one is the shallower."""
+    return f"""WITH RECURSIVE {_DRAINS},
+a AS MATERIALIZED (SELECT x.label AS a, y.label AS b, min(greatest(x.f, y.f)) AS saddle FROM l x JOIN l y ON abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 AND x.label < y.label WHERE x.label > 0 GROUP BY 1, 2),
+d AS MATERIALIZED (SELECT list(f ORDER BY label) AS depths, list(label ORDER BY label) AS labels FROM m),
+r AS (SELECT 0 AS step, labels AS p FROM d UNION ALL SELECT step + 1, list_transform(p, lambda x: CASE WHEN x = hi THEN lo ELSE x END) FROM (
+  SELECT step, p, min(prominence) AS least, arg_min(hi, (prominence, hi, lo)) AS hi, arg_min(lo, (prominence, hi, lo)) AS lo FROM (
+    SELECT step, p, hi, lo, saddle - depths[hi] AS prominence FROM (SELECT step, p, saddle, greatest(p[a], p[b]) AS hi, least(p[a], p[b]) AS lo FROM r, a WHERE p[a] <> p[b]), d) GROUP BY step, p) WHERE least < {barrier}),
+q AS (SELECT p FROM r ORDER BY step DESC LIMIT 1), s AS (SELECT l.i, l.j, l.f, p[l.label] AS root FROM l, q WHERE label > 0), t AS (SELECT i, j, f, dense_rank() OVER (ORDER BY root) AS label, min((f, i, j)) OVER (PARTITION BY root) AS least FROM s)
+SELECT label::INTEGER AS label, least[2] AS i, least[3] AS j, least[1] AS fmin, count(*) FILTER (WHERE f < least[1] + 2) AS ncells FROM t GROUP BY ALL"""
+
+
 ORACLES = {
     "hills_kernel_sum_2d": f"SELECT k, {r('f - min(f) OVER ()', 'f')} FROM (SELECT k, -sum(g) AS f FROM {_SPREAD2} GROUP BY 1)",
     "ct_weights_2d": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT k, greatest(1, ceil(t / 12.0::DOUBLE))::INTEGER AS b, sum(g) AS g FROM {_SPREAD2} GROUP BY 1, 2),
@@ -268,6 +285,8 @@ SELECT g.j AS i, g.i AS j, (g.j + 0.5::DOUBLE) * {GY.step}::DOUBLE AS cv1, (g.i
     "hill_count_cuts": f"""SELECT row_number() OVER (ORDER BY p) - 1 AS snap, p AS hills, round(t, 6) AS t_cut FROM (SELECT t, row_number() OVER (ORDER BY t, row) AS p, count(*) OVER () AS n FROM {FRAMES} WHERE kind = 'purchase') WHERE p % greatest(1, n // 7) = 0 OR p = n""",
     "snapshot_cut_offs": "SELECT 'fixed' AS kind, k::INTEGER AS snap, round(120.0::DOUBLE + k * 120, 6) AS t_cut FROM range(6) r(k) UNION ALL SELECT 'converged', k, round(120.0::DOUBLE + 600.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k) UNION ALL SELECT 'after', k, round(5.0::DOUBLE + 715.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k)",
     "basins_below": f"WITH RECURSIVE {_DRAINS} SELECT label, mi AS i, mj AS j, fmin, count(*) FILTER (WHERE f < fmin + 2) AS ncells FROM l WHERE label > 0 GROUP BY ALL",
+    "basin_segments": _merged(1.0),
+    "basin_segments_low": _merged(0.2),
     "shoulder_cells": f"WITH RECURSIVE {_DRAINS} SELECT i, j, CASE WHEN i BETWEEN 2 AND 4 AND j BETWEEN 3 AND 8 THEN 99 ELSE label END AS label, i BETWEEN 2 AND 4 AND j BETWEEN 3 AND 8 AS shoulder FROM l",
     "assigned_frames": f"WITH RECURSIVE {_DRAINS} SELECT row, label FROM (SELECT row, {GX.sql('x')} AS i, {GY.sql('y')} AS j FROM {FRAMES}) p JOIN l USING (i, j) WHERE label > 0 AND f < fmin + 2",
     "snapshot_mean_std": f"WITH {_S} SELECT k, {r('mean - min(mean) OVER ()', 'mean')}, {r('std', 'std')}, n FROM (SELECT k, avg(f) AS mean, stddev_pop(f) AS std, count(f) AS n FROM s GROUP BY k)",
