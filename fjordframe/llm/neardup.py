@@ -39,6 +39,8 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Members of a bucket that one part takes.
 PART = 1000
+#: Nodes that hold more than this share of all rows are joined apart.
+HOT = 1000
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(b["keys"].cast(pa.large_binary()).buffers()[2] or b"", np.int64)[: b.num_rows * BANDS] if b.num_rows else np.zeros(0, np.int64)
         for at in range(0, b.num_rows, 1024):
             c = b.slice(at, 1024)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at * BANDS : (at + c.num_rows) * BANDS]), c["node"].take(pa.array(np.repeat(np.arange(c.num_rows), BANDS))), pa.array(np.repeat(c["n_shingles"].to_numpy(), BANDS))], names=["bucket", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at * BANDS : (at + c.num_rows) * BANDS]), pa.array(np.repeat(c["id"].to_numpy(), BANDS)), pa.array(np.repeat(c["n_shingles"].to_numpy(), BANDS))], names=["bucket", "id", "n"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +117,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(whole, "text"):
             values, bounds = shingle_sets(b["text"])
             raw = values.astype("<u8")
-            yield pa.RecordBatch.from_arrays([_digests(values, bounds), pa.array([raw[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([raw[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "grams"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +137,9 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
-def joined(labels: list, sets: list[np.ndarray]) -> list[tuple]:
+def joined(labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (label, label) that join components of one group of sets; every pair that could is tested or joined."""
-    groups: dict = {}
+    groups: dict[int, list[int]] = {}
     for i, label in enumerate(labels):
         groups.setdefault(label, []).append(i)
     links = []
@@ -157,7 +159,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled() -> pa.RecordBatch:
         links = joined(labels, sets)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
     for b in batches:
         keys = zip(*(b[c].to_pylist() for c in ("bucket", "p", "q")), strict=True)
@@ -174,11 +176,13 @@ def _judged(docs: DataFrame) -> DataFrame:
     """(doc_id, sign, n_shingles, component_id, group) of every row; sign is a digest of the text, group a key of the component."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("sign"))
     sketches = written(docs.transform(mapped, _sketch, "doc_id long, sign string, n_shingles long, node binary, keys binary"), "sketches")
-    nodes = sketches.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "sign")).alias("first"))
-    nodes = written(nodes.select("node", "first.doc_id", "first.sign"), "nodes")
-    heads = sketches.join(nodes, ["node", "doc_id", "sign"], "left_semi").dropDuplicates(["node"])
-    rows = heads.select("node", "n_shingles", "keys").transform(mapped, _unpack, "bucket long, id binary, n long")
-    # A node's place in the order of centres is the hash of its digest, the same in every bucket, so that the stars of one group share a centre.
+    nodes = sketches.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "sign")).alias("first"), F.count("*").alias("rows"))
+    # Numbered and written once, so that a node keeps its number.
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "rows", "first.doc_id", "first.sign"), "nodes")
+    # By id and text, not by node, as a third of all documents may be one node.
+    heads = sketches.join(nodes.select("id", "doc_id", "sign"), ["doc_id", "sign"]).dropDuplicates(["id"])
+    rows = heads.select("id", "n_shingles", "keys").transform(mapped, _unpack, "bucket long, id long, n long")
+    # A node's place in the order of centres is the hash of its number, the same in every bucket, so that the stars of one group share a centre.
     place = F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("n"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(place).alias("c")).where("size > 1")
     members = written(rows.join(full, "bucket").select("bucket", "size", "id", "n", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "members")
@@ -187,14 +191,14 @@ def _judged(docs: DataFrame) -> DataFrame:
         return F.expr(f"100 * least({x}, {y}) >= {PERCENT} * greatest({x}, {y})")
 
     pairs = members.where("id <> centre").where(fits("n", "centre_n")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    met = nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    texts = docs.join(met.select("doc_id", "sign").distinct(), ["doc_id", "sign"], "left_semi")
-    sets = written(texts.transform(mapped, _full_sets, "id binary, grams binary").dropDuplicates(["id"]), "sets")
+    met = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "sign")
+    texts = docs.join(met, ["doc_id", "sign"]).select("id", "text")
+    sets = written(texts.transform(mapped, _full_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
         right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").transform(mapped, _confirm, "a binary, b binary"), "links")
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").transform(mapped, _confirm, "a long, b long"), "links")
 
     links = confirmed(pairs)
     found = components(links)
@@ -209,15 +213,22 @@ def _judged(docs: DataFrame) -> DataFrame:
     rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component").join(sets, "id")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = rows.repartition(width, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "component", "grams")
-    bridges = components(groups.transform(mapped, _settle, "a binary, b binary")).select(F.col("id").alias("component"), F.col("component").alias("joint"))
-    linked = found.join(bridges, "component", "left").select(F.col("id").alias("node"), F.coalesce("joint", "component").alias("group"))
-    alone = bridges.select(F.col("component").alias("node"), F.col("joint").alias("group")).join(found.select(F.col("id").alias("node")), "node", "left_anti")
-    groups = linked.unionByName(alone).join(nodes, "node")
-    # A node outside of every group is its own component, of its least id.
+    bridges = components(groups.transform(mapped, _settle, "a long, b long")).select(F.col("id").alias("component"), F.col("component").alias("joint"))
+    linked = found.join(bridges, "component", "left").select("id", F.coalesce("joint", "component").alias("group"))
+    alone = bridges.select(F.col("component").alias("id"), F.col("joint").alias("group")).join(found.select("id"), "id", "left_anti")
+    groups = linked.unionByName(alone).join(nodes.select("id", "doc_id"), "id")
     least = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = nodes.join(groups.select("node", "group").join(least, "group"), "node", "left").select("node", F.coalesce("group", "node").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = sketches.select("doc_id", "sign", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
-    return out.select("doc_id", "sign", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+    # A node outside of every group is its own component, of its least id.
+    named = nodes.join(groups.select("id", "group").join(least, "group"), "id", "left")
+    named = written(named.select("node", "rows", F.coalesce("group", "id").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id")), "named")
+    out = sketches.select("doc_id", "sign", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    # Nodes of more rows than a HOTth of all, HOT at most, go to every task; only the rows of others are dealt out by node.
+    often = nodes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"] / HOT
+    hot = named.where(F.col("rows") > often).select("node", F.col("group").alias("_g"), F.col("component_id").alias("_c"))
+    met = out.join(F.broadcast(hot), "node", "left")
+    few = met.where("_g IS NOT NULL").select("doc_id", "sign", "n_shingles", F.col("_c").alias("component_id"), F.col("_g").alias("group"))
+    rest = met.where("_g IS NULL").drop("_g", "_c").join(named.where(F.col("rows") <= often), "node", "left")
+    return few.unionByName(rest.select("doc_id", "sign", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -71,6 +71,7 @@ def noisy_copies(seed=2):
 @pytest.mark.parametrize("part", [1000, 3])
 def test_like_brute_force(spark, monkeypatch, part):
     monkeypatch.setattr(neardup, "PART", part)
+    monkeypatch.setattr(neardup, "HOT", part)
     docs = noisy_copies()
     df = with_clashes(spark.createDataFrame(docs, SCHEMA))
     got = neardup.near_duplicates(df)
