@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import zipfile
@@ -28,6 +29,20 @@ def shipped(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow by executors that are given this package."""
+    """mapInArrow by executors that are given this package; a worker hands freed memory back when its task ends."""
     shipped(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    """Give this process's free memory back to the system, which workers that wait for tasks would else hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
