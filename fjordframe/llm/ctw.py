@@ -41,7 +41,7 @@ _GRAM, _WORD, _AWAY = 0, 1, 2
 #: Distinct keys that a task holds before it hands them on, and (context, byte) pairs that are weighted at once.
 _HELD, _BLOCK = 3_000_000, 200_000
 #: Bytes whose contexts are in memory at once, whatever the length of a text.
-_STRETCH = 1 << 21
+_STRETCH = 1 << 19
 
 
 def normal_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:

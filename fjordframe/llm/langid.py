@@ -28,7 +28,7 @@ UNKNOWN = "und"
 #: Texts that one sort takes together; their number has 12 bits in the sort key.
 _TEXTS = 4096
 #: Places whose n-grams are in memory at once, whatever the length of a text.
-_STRETCH = 1 << 20
+_STRETCH = 1 << 18
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -71,7 +71,7 @@ class _Stream:
 
 def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at in range(0, whole.num_rows, _TEXTS):
-        yield from pieces(whole.slice(at, _TEXTS), "text", 1 << 20)
+        yield from pieces(whole.slice(at, _TEXTS), "text", 1 << 18)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
