@@ -31,6 +31,8 @@ from fjordframe.llm.textbytes import cut, mixed, pieces
 POSITIVES, UNLABELLED = 10_000, 20_000
 BEGINNINGS, MOST_WORDS = (4, 5, 6), 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-4
+#: Features that training holds as columns of a dense matrix, at most.
+MOST_DENSE = 1500
 #: Positives that have a feature, at least; and the distance of the unlabelled texts that have it from what chance
 #: would give, in deviations.
 LEAST_COUNT, LEAST_DEVIATION = 4, 6.0
@@ -118,10 +120,22 @@ def fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, unlabelled:
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     plus, u = prior * positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
+    # Features of many texts go through a dense matrix, which is faster; their number is bounded, and so are the texts.
+    counts = np.bincount(columns, minlength=n_features)
+    common = np.argsort(-counts, kind="stable")[:MOST_DENSE]
+    common = common[counts[common] * 25 >= max(1, n)]
+    place = np.full(n_features, -1)
+    place[common] = np.arange(len(common))
+    often = place[columns] >= 0
+    dense = np.zeros((n, len(common)), np.float32)
+    dense[rows[often], place[columns[often]]] = 1
+    rows, columns = rows[~often], columns[~often]
     for step in range(1, steps + 1):
-        z = np.bincount(rows, w[columns], n) + w[-1]
+        z = np.bincount(rows, w[columns], n) + dense @ w[common].astype(np.float32) + w[-1]
         slope = risk_slope(z, plus, u)
-        g = np.append(np.bincount(columns, slope[rows], n_features), slope.sum()) + RIDGE * np.append(w[:-1], 0)
+        by_feature = np.bincount(columns, slope[rows], n_features).astype(float)
+        by_feature[common] = slope.astype(np.float32) @ dense
+        g = np.append(by_feature, slope.sum()) + RIDGE * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
