@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import discard, id_fold, kept, scratch
+from fjordframe.llm.common import discard, id_fold, kept, scratch, written
 from fjordframe.llm.decontaminate import clean
 from fjordframe.llm.langid import UNKNOWN, identify, language_profiles
 from fjordframe.llm.neardup import deduplicated
@@ -37,7 +37,7 @@ def check_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A declared language that was not learned says nothing, nor does one that the found language leads by LEAD at most.
     """
-    profiles = language_profiles(docs, id_fold("doc_id", 3) != 1)
+    profiles = written(language_profiles(docs, id_fold("doc_id", 3) != 1), "profiles")
     found, score, own = "_fjordframe_language", "_fjordframe_score", "_fjordframe_declared"
     judged = identify(docs, profiles, (found, score), ("lang", own))
     # Where nothing was learned every text is unknown, and none goes for it.
