@@ -8,10 +8,12 @@ sequence that all documents share (optimal densification). A band of ROWS bins i
 A node of the link graph is a set, known by a 128-bit BLAKE2b digest of all its shingle hashes; documents of equal sets
 are one node from the start, and two texts under one id are two. A bucket sends one edge per member to its centre, the member
 of least digest hash, so pair counts stay linear in members; each edge is confirmed on the full sets, which hold all
-shingle hashes. Buckets that still hold several components are then settled one by one: members are tested against
-those of other components, the smallest component first, until a link joins it or none is left to test. A bucket of
-more than PART members is cut into parts, and every two parts are settled by a task of their own, so that no task
-holds more than about 2 * PART sets. No link inside a bucket is lost, and no bucket is capped.
+shingle hashes. Buckets of more than PART members that still hold several components send up to STARS - 1 more stars, from
+other centres, which joins most of a large group at a cost that is linear too. Buckets that then still hold several
+components are settled one by one: members are tested against those of other components, the smallest component first,
+until a link joins it or none is left to test. A bucket of more than PART members is cut into parts for this, and every
+two parts are settled by a task of their own, so that no task holds more than about 2 * PART sets. No link inside a
+bucket is lost, and no bucket is capped.
 
 Null or wordless texts have empty sets, link with nothing and are kept. A null id is no node: such rows come back
 unlinked, with a null component_id, and kept. Every row is judged by its own text: rows that repeat an id with another text
@@ -39,6 +41,8 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Members of a bucket that one part takes.
 PART = 1000
+#: Stars that a large bucket sends at most before it is settled.
+STARS = 4
 #: Nodes that hold more than this share of all rows are joined apart.
 HOT = 1000
 
@@ -202,7 +206,27 @@ def _judged(docs: DataFrame) -> DataFrame:
 
     links = confirmed(pairs)
     found = components(links)
-    labelled = members.where("size > 2").select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def labelled_members(least: int) -> DataFrame:
+        """Members of buckets of more than so many, with their component."""
+        rows = members.where(F.col("size") > least).select("bucket", "id", "n").join(found, "id", "left")
+        return rows.withColumn("component", F.coalesce("component", "id"))
+
+    large = not members.where(F.col("size") > PART).isEmpty()
+    for turn in range(1, STARS):
+        if not large:
+            break
+        rows = labelled_members(PART)
+        centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n"), F.col("component"))).alias("c")
+        stars = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre).where("lo < hi")
+        stars = stars.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("joined"))
+        open_pairs = rows.join(stars, "bucket").where("component <> joined").where(fits("n", "centre_n"))
+        more = confirmed(open_pairs.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = components(links)
+    labelled = labelled_members(2).drop("n")
     # Buckets of the same members, which the bands of one group often are, are settled once.
     torn = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.hash("id").cast("long")).alias("s1"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("s2"))
     torn = torn.where("lo < hi").groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket"))

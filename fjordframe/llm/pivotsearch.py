@@ -15,7 +15,7 @@ to every task. In a round only the vectors of wanted blocks and the queries that
 that more than VISITS queries want is dealt out several times, to a part of the queries each. A task holds one block and
 one Arrow batch of queries. PIVOTS vectors, least by hash, serve as pivots: a bounded sample that decides speed, not results.
 
-Components are floor(1024 * x). Vectors that are null, empty, or hold null or non-finite components take no part, nor do
+Components are floor(1024 * x), and scores are exact while sums stay below 2**63. Vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows with a null id. Vectors of different lengths have no inner product: each length is searched by itself. Every row is
 its own: a query's own row is no candidate, all other rows are, whatever their ids; rows that repeat an id are listed each,
 and each row with a query's id gets its own k results. Other columns, of any name, play no part.

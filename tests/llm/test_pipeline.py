@@ -1,6 +1,7 @@
 import collections
 import random
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -130,6 +131,11 @@ def test_rows_against_the_stages_by_brute_force(spark, tmp_path):
 def test_small_tables(spark, tmp_path, docs):
     d = str(tmp_path / "sf")
     save(spark, d, docs, [], [])
-    got = sorted(((r["doc_id"], r["start"]) for r in corpus_pipeline.run(spark, d).collect()), key=str)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, d)
+    # Of all tables that the stages and their operators wrote, the result alone is left.
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"fjordframe-packing"}
+    got = sorted(((r["doc_id"], r["start"]) for r in out.collect()), key=str)
     # Nothing to learn a language from: no text goes for having none.
     assert set(got) == {(r[0], 0) for r in docs} and len(docs) < 4 or len({x[0] for x in got}) == 1
