@@ -1,8 +1,9 @@
 """Orders over whole tables and over long series without putting either into one task.
 
-A table is dealt out by range into slices, in number proportional to its rows, and written once. Each slice is summed up
-to a row; that small table carries sums and last values from slice to slice, and windows run inside slices only. Ties may
-be broken by a further column, which also parts very frequent values; a series may be named by columns (null is a name too).
+A table of more than ROWS rows, counted first, is dealt out by range into slices, in number proportional to its rows, and
+written once. Each slice is summed up to a row; that small table carries sums and last values from slice to slice, and
+windows run inside slices only. A smaller table is one slice, whose windows run over each series whole. Ties may be broken by
+a further column, which also parts very frequent values; a series may be named by columns (null is a name too).
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from fjordframe.functions.lineage import cut
 ROWS = 1_000_000
 
 
-def sliced(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """df with _slice, a number that grows with (by, order)."""
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // ROWS + 1)
+def sliced(df: DataFrame, by: list[str], order: list[str]) -> DataFrame | None:
+    """df with _slice, a number that grows with (by, order); None for a table that is one slice."""
+    n = df.count()
+    if n <= ROWS:
+        return None
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS + 1)
     return df.repartitionByRange(parts, *by, *order).withColumn("_slice", F.spark_partition_id()).transform(cut)
 
 
@@ -37,6 +41,8 @@ def running_total(df: DataFrame, order: str, value: str, out: str, ties: str | N
     by = by or []
     columns = [order, *([ties] if ties else [])]
     rows = sliced(df, by, columns)
+    if rows is None:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     keys = [*by, "_slice"]
     totals = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,8 +59,10 @@ def row_index(df: DataFrame, order: str, out: str, ties: str | None = None, by:
 def lagged(df: DataFrame, order: str, column: str, out: str, by: list[str] | None = None) -> DataFrame:
     """df with out, the column's value in the row before (of the series), null in the first."""
     by = by or []
-    keys = [*by, "_slice"]
     rows = sliced(df, by, [order])
+    if rows is None:
+        return df.withColumn(out, F.lag(column).over(Window.partitionBy(*by).orderBy(order)))
+    keys = [*by, "_slice"]
     ends = rows.groupBy(*keys).agg(F.max_by(column, order).alias("_end"))
     bases = ends.select(*keys, F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")).alias("_base"))
     inside = Window.partitionBy(*keys).orderBy(order)

@@ -30,7 +30,8 @@ def round_trips(series: DataFrame, by: list[str], t: str, x: Column, lo: Column
     names = series.select(*by).distinct()
     states = series.withColumn("_s", F.when(x <= lo, -1).when(x >= hi, 1)).where("_s IS NOT NULL").select(*by, t, "_s")
     order = Window.partitionBy(*by, "_slice").orderBy(t)
-    rows = sliced(states, by, [t]).withColumn("_c", F.coalesce((F.col("_s") != F.lag("_s").over(order)).cast("int"), F.lit(0)))
+    cut_up = sliced(states, by, [t])
+    rows = (states.withColumn("_slice", F.lit(0)) if cut_up is None else cut_up).withColumn("_c", F.coalesce((F.col("_s") != F.lag("_s").over(order)).cast("int"), F.lit(0)))
     ends = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_c"), F.min_by("_s", t).alias("_a"), F.max_by("_s", t).alias("_b"))
     crossed = F.coalesce((F.lag("_b").over(Window.partitionBy(*by).orderBy("_slice")) != F.col("_a")).cast("int"), F.lit(0))
     switches = ends.withColumn("_c", F.col("_c") + crossed).groupBy(*by).agg(F.sum("_c").alias("_n"))

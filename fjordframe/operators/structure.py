@@ -39,6 +39,11 @@ def copies_by_reset(atoms: DataFrame, order: str, by: list[str] | None = None) -
     return running_total(rows.withColumn("_f", fell), order, "_f", "copy", by=by).drop("_f", "_before")
 
 
+def renumbered(atoms: DataFrame, order: str) -> DataFrame:
+    """atoms with serial counted from 1 in an order, so that a selection's serials are its places."""
+    return row_index(atoms.drop("serial"), order, "serial").withColumn("serial", F.col("serial").cast("int"))
+
+
 def terminal(atoms: DataFrame) -> DataFrame:
     """atoms of the first or last residue of their chain."""
     ends = atoms.groupBy("chain").agg(F.min("resnum").alias("_a"), F.max("resnum").alias("_b"))

@@ -226,6 +226,18 @@ def thermo_terms(spark, d):
     return S.read_thermo(spark, _text(lines, "o", _folder(spark, "energy"), "Energy  Average  Err.Est.  RMSD  Tot-Drift\n-----"), ["Purchase", "View", "Click"])
 
 
+def text_section(spark, d):
+    """The lines of an input between two labels, with one text in them replaced."""
+    f = frames(spark, d).where("row < 900")
+    label = F.when(F.col("row") == 100, "tail: ").when(F.col("row") == 400, "wall: ").otherwise("")
+    lines = f.select("row", F.concat(label, F.concat_ws(" ", F.concat(F.lit("c"), "row", F.lit(":")), "kind", "walker")).alias("value"))
+    return S.text_section(spark, _text(lines, "row", _folder(spark, "input")), "tail:", "wall:", {"purchase": "bought"}).select("value")
+
+
+def renumbered_atoms(spark, d):
+    return A.renumbered(A.atoms_in(atoms(spark, d), chains=["B"]), "row").select("serial", "row")
+
+
 def _contacts(spark, d):
     a = atoms(spark, d).where("serial <= 300").select((F.col("serial") - 1).alias("a"), F.col("resnum").alias("b"), F.col("x").alias("ref"))
     return a
@@ -284,7 +296,7 @@ def meta_upsert(spark, d):
     return spark.createDataFrame([(k, str(i), str(v)) for k, e in found.items() for i, v in e.items()], "panel string, entry string, value string")
 
 
-QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
+QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, text_section, renumbered_atoms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
 _SERIES = f"(SELECT walker, row, {_PS} AS ps, x, y, w FROM {FRAMES} WHERE {_KEPT})"
 _HEADED = f"(SELECT * FROM {FRAMES} WHERE walker = 0 AND {_KEPT})"
 ORACLES = {
@@ -310,6 +322,8 @@ ORACLES = {
     "gro_frames": "SELECT (dense_rank() OVER (ORDER BY vec_id) - 1) AS frame, vec_id / 2.0::DOUBLE AS t, (k // 2 + 1)::INTEGER AS resnum, (k + 1)::INTEGER AS atom, round(embedding[3 * k + 1]::DOUBLE, 3) AS x, round(embedding[3 * k + 2]::DOUBLE, 3) AS y, round(embedding[3 * k + 3]::DOUBLE, 3) AS z FROM embeddings, range(4) r(k)",
     "pdb_models": "SELECT dense_rank() OVER (ORDER BY label) - 1 AS frame, vec_id::INTEGER AS serial, (label + 1)::INTEGER AS resnum, round(embedding[1]::DOUBLE, 3) AS x, round(embedding[2]::DOUBLE, 3) AS y, round(embedding[3]::DOUBLE, 3) AS z FROM embeddings WHERE vec_id < 90000",
     "thermo_terms": f"SELECT upper(kind[1]) || kind[2:] AS term, round(avg(x), 3) AS average, round(max(x), 3) AS error, count(*)::DOUBLE AS rmsd, 0.5::DOUBLE AS drift FROM {FRAMES} WHERE kind IN ('purchase', 'view', 'click') GROUP BY kind",
+    "text_section": f"SELECT CASE row WHEN 100 THEN 'tail: ' ELSE '' END || 'c' || row || ': ' || CASE kind WHEN 'purchase' THEN 'bought' ELSE kind END || ' ' || walker AS value FROM {FRAMES} WHERE row BETWEEN 100 AND 399",
+    "renumbered_atoms": f"SELECT row_number() OVER (ORDER BY row)::INTEGER AS serial, row FROM {ATOMS} WHERE chain = 'B'",
     "read_contacts": f"SELECT serial - 1 AS a, resnum AS b, x AS ref FROM {ATOMS} WHERE serial <= 300",
     "contact_block": f"SELECT serial AS a, resnum + 1 AS b, x AS ref, {r('1.0::DOUBLE / count(*) OVER ()', 'weight')} FROM {ATOMS} WHERE serial <= 300",
     "group_lines": f"SELECT 'tail' AS grp, 'tail: GROUP ATOMS=3-9' AS line UNION ALL SELECT 'dna', 'dna: GROUP ATOMS=' || array_to_string(list_sort(list(serial)), ',') FROM {ATOMS} WHERE chain = 'B' AND serial < 60 AND serial NOT BETWEEN 3 AND 9",

@@ -238,6 +238,22 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
     return _pdb_atoms(text, ["frame"])
 
 
+def text_section(spark: SparkSession, path: str, first: str, last: str, replace: dict[str, str] | None = None) -> DataFrame:
+    """(row, value): the lines of an input file from the first that begins with `first` up to the next that begins with `last`.
+
+    replace changes texts inside the lines, each as it is written. A file without either line is an error.
+    """
+    text = lines(spark, path).select("row", "value")
+    begin = text.where(F.startswith("value", F.lit(first))).agg(F.min("row").alias("r")).first()["r"]
+    end = None if begin is None else text.where(F.startswith("value", F.lit(last)) & (F.col("row") > begin)).agg(F.min("row").alias("r")).first()["r"]
+    if end is None:
+        raise ValueError(f"{path} has no lines from {first!r} to {last!r}")
+    value = F.col("value")
+    for old, new in (replace or {}).items():
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return text.where(F.col("row").between(begin, end - 1)).select("row", value.alias("value"))
+
+
 def read_thermo(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """(term, average, error, rmsd, drift): the lines of a thermodynamic summary that begin with one of the terms."""
     rows = lines(spark, path).withColumn("_p", F.split(F.trim("value"), r"\s+"))

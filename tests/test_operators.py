@@ -68,7 +68,9 @@ def test_keep_last_and_lookup(spark):
         selection.matched_enough(f, left, F.col("v").isNotNull())
 
 
-def test_orders_over_buckets(spark):
+@pytest.mark.parametrize("size", [3, 1_000_000])
+def test_orders_over_slices(spark, monkeypatch, size):
+    monkeypatch.setattr(ordering, "ROWS", size)
     x = [5.0, 1.0, 1.0, 3.0, 9.0, 9.0, 9.0, 2.0] * 5
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, x double")
     got = dict(values(ordering.average_ranks(df, "x", "r"), "id", "r"))
@@ -259,8 +261,10 @@ def test_sampling_is_repeatable_and_without_replacement(spark):
     assert a == b and len(set(a)) == 10
 
 
-def test_long_series_are_ordered_in_slices(spark):
+@pytest.mark.parametrize("size", [7, 1_000_000])
+def test_long_series_are_ordered_in_slices(spark, monkeypatch, size):
     """Few series, null names among them: sums, lags, runs and trips carry over the slices' ends."""
+    monkeypatch.setattr(ordering, "ROWS", size)
     rng = np.random.default_rng(6)
     rows = [(w, float(t), float(rng.integers(0, 10))) for w in ("a", None) for t in rng.permutation(200)] + [("b", 1.0, 0.0)]
     df = spark.createDataFrame(rows, "w string, t double, x double")
@@ -282,7 +286,9 @@ def test_long_series_are_ordered_in_slices(spark):
     assert values(runs.every_nth(df.where("w = 'a'"), ["w"], "t", 50).orderBy("t"), "t") == [(0.0,), (50.0,), (100.0,), (150.0,)]
 
 
-def test_percentiles_are_numpys(spark):
+@pytest.mark.parametrize("size", [7, 1_000_000])
+def test_percentiles_are_numpys(spark, monkeypatch, size):
+    monkeypatch.setattr(ordering, "ROWS", size)
     rng = np.random.default_rng(7)
     x = [*map(float, rng.integers(0, 9, 301)), *map(float, rng.normal(size=100))]
     df = spark.createDataFrame([(k % 3, v) for k, v in enumerate(x)] + [(7, None), (8, 4.0)], "g int, x double")

@@ -124,3 +124,11 @@ def test_thermodynamic_summary(spark, tmp_path):
     (tmp_path / "e.log").write_text("Statistics over 5 steps\nEnergy    Average  Err.Est.  RMSD  Tot-Drift\n-----\nTemperature  300.1  0.02  1.5  -0.1  (K)\nPressure  1.0  --  2.0  0.1  (bar)\nDensity 990.5 0.1 2 3 (kg/m^3)\nTemperature\n")
     got = [tuple(r) for r in S.read_thermo(spark, str(tmp_path / "e.log"), ["Temperature", "Pressure", "Density"]).collect()]
     assert sorted(got) == [("Density", 990.5, 0.1, 2.0, 3.0), ("Temperature", 300.1, 0.02, 1.5, -0.1)]
+
+
+def test_sections_of_an_input(spark, tmp_path):
+    (tmp_path / "in.dat").write_text("a\ntail: A=1-9\nq: RES=64-91\nwall: x\ntail: again\n")
+    path = str(tmp_path / "in.dat")
+    assert [r["value"] for r in S.text_section(spark, path, "tail:", "wall:", {"64-91": "64-93"}).orderBy("row").collect()] == ["tail: A=1-9", "q: RES=64-93"]
+    with pytest.raises(ValueError):
+        S.text_section(spark, path, "wall:", "nothing:")
