@@ -127,19 +127,34 @@ def checkpoint_offsets(history: DataFrame, axis: Axes, gamma: float, kbt: float,
     return sums.select("cp", ((F.lit(beta * g) * F.col("m") + F.ln("up") - F.lit(beta / (gamma - 1)) * F.col("m") - F.ln("down")) / F.lit(beta)).alias("c"))
 
 
+def _slot(cuts: list[float]) -> Column:
+    """The first cut-off at or after t, null after the last."""
+    return F.coalesce(*[F.when(F.col("t") <= F.lit(c), k) for k, c in enumerate(cuts)])
+
+
+def hill_snapshots(hills: DataFrame, axis: Axes, cuts: list[float], cutoff: float = 4.0) -> DataFrame:
+    """(snap, k, f): the surface of the hills up to each cut-off on the whole grid, each with its minimum at 0.
+
+    Hills are read once: they are summed by point and slice between cut-offs, and each slice counts in all later snapshots.
+    """
+    spark = hills.sparkSession
+    cells = hill_cells(hills.withColumn("s", _slot(cuts)).where("s IS NOT NULL"), F.col("centre"), F.col("sigma"), F.col("height"), axis, cutoff, ["s"])
+    later = F.explode(F.sequence(F.col("s"), F.lit(len(cuts) - 1)))
+    each = cells.groupBy("k", "s").agg(F.sum("g").alias("g")).withColumn("snap", later).groupBy("snap", "k").agg((-F.sum("g")).alias("f"))
+    points = grid_points(axis)
+    grid = spark.range(points * len(cuts)).select((F.col("id") % points).cast("int").alias("k"), F.floor(F.col("id") / points).cast("int").alias("snap"))
+    dense = grid.join(each, ["snap", "k"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+    return dense.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap"))).select("snap", "k", "f")
+
+
 def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axes, cuts: list[float], gamma: float, kbt: float, cutoff: float = 4.0) -> DataFrame:
     """frames (t, x, ...) once for each cut-off at or after their time, with snap, f and w.
 
     f is the surface of the hills up to the cut-off, read off by (multi)linear interpolation; w = exp(-(1 - 1/gamma) f / kT)
     over the snapshot's maximum. Hills and frames are read once; snapshots differ in sums over slices between cuts.
     """
-    slot = F.coalesce(*[F.when(F.col("t") <= F.lit(c), k) for k, c in enumerate(cuts)])
-    later = F.explode(F.sequence(F.col("s"), F.lit(len(cuts) - 1)))
-    cells = hill_cells(hills.withColumn("s", slot).where("s IS NOT NULL"), F.col("centre"), F.col("sigma"), F.col("height"), axis, cutoff, ["s"])
-    each = cells.groupBy("k", "s").agg(F.sum("g").alias("g")).withColumn("snap", later).groupBy("snap", "k").agg((-F.sum("g")).alias("f"))
-    grid = frames.sparkSession.range(grid_points(axis)).select(F.col("id").cast("int").alias("k")).crossJoin(frames.sparkSession.range(len(cuts)).select(F.col("id").cast("int").alias("snap")))
-    dense = grid.join(each, ["snap", "k"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
-    low = dense.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap")))
+    low = hill_snapshots(hills, axis, cuts, cutoff)
+    slot, later = _slot(cuts), F.explode(F.sequence(F.col("s"), F.lit(len(cuts) - 1)))
     met = frames.withColumn("s", slot).where("s IS NOT NULL").withColumn("snap", later).withColumn("f", F.lit(0.0))
     for k, part in corners(F.col("x"), axis):
         met = met.withColumn("_k", k).join(low.select("snap", F.col("k").alias("_k"), F.col("f").alias("_g")), ["snap", "_k"]).withColumn("f", F.col("f") + part * F.col("_g")).drop("_k", "_g")

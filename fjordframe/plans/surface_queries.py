@@ -130,6 +130,10 @@ def _hills_2d(spark, d):
     return f.select("t", F.array("x", "y").alias("centre"), F.array(F.lit(SIGMA2[0]), F.lit(SIGMA2[1])).alias("sigma"), F.lit(HEIGHT).alias("height"))
 
 
+def hill_snapshots(spark, d):
+    return rounded(W.hill_snapshots(_hills(spark, d), HX, CUTS))
+
+
 def hills_kernel_sum_2d(spark, d):
     return rounded(W.hill_surface(_hills_2d(spark, d), F.col("centre"), F.col("sigma"), F.col("height"), [HX2, HY2]))
 
@@ -236,7 +240,7 @@ _HSQL = f"(SELECT t, x AS c FROM {FRAMES} WHERE kind = 'purchase')"
 _REACH = f"k BETWEEN round_even(c / {HX.step}::DOUBLE, 0) - ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE) AND round_even(c / {HX.step}::DOUBLE, 0) + ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE)"
 _BUMP = f"{HEIGHT}::DOUBLE * exp(-pow(k * {HX.step}::DOUBLE - c, 2) / (2 * {SIGMA}::DOUBLE * {SIGMA}::DOUBLE))"
 
-QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, basin_segments_low, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region, hills_kernel_sum_2d, ct_weights_2d, fes_at_points, resampled_curves, sampled_cells, swapped_surface, reliable_region2d_rounds, region_without_good_cells, hill_count_cuts, snapshot_cut_offs, basins_below, shoulder_cells, assigned_frames)}
+QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, basin_segments_low, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region, hill_snapshots, hills_kernel_sum_2d, ct_weights_2d, fes_at_points, resampled_curves, sampled_cells, swapped_surface, reliable_region2d_rounds, region_without_good_cells, hill_count_cuts, snapshot_cut_offs, basins_below, shoulder_cells, assigned_frames)}
 _NEAR2 = " AND ".join(f"{k} BETWEEN round_even({c} / {a.step}::DOUBLE, 0) - ceil(4 * {w}::DOUBLE / {a.step}::DOUBLE) AND round_even({c} / {a.step}::DOUBLE, 0) + ceil(4 * {w}::DOUBLE / {a.step}::DOUBLE)" for k, c, a, w in (("i", "x", HX2, SIGMA2[0]), ("j", "y", HY2, SIGMA2[1])))
 _BUMP2 = f"{HEIGHT}::DOUBLE * exp(-pow(i * {HX2.step}::DOUBLE - x, 2) / (2 * pow({SIGMA2[0]}::DOUBLE, 2))) * exp(-pow(j * {HY2.step}::DOUBLE - y, 2) / (2 * pow({SIGMA2[1]}::DOUBLE, 2)))"
 _SPREAD2 = f"(SELECT t, (i * {HY2.n + 1} + j)::INTEGER AS k, {_BUMP2} AS g FROM {FRAMES}, range({HX2.n + 1}) a(i), range({HY2.n + 1}) b(j) WHERE kind = 'purchase' AND t <= 400 AND {_NEAR2})"
@@ -260,6 +264,9 @@ SELECT label::INTEGER AS label, least[2] AS i, least[3] AS j, least[1] AS fmin,
 
 
 ORACLES = {
+    "hill_snapshots": f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(CUTS))}) c(snap, cut)),
+v AS (SELECT snap, gk.k, -sum({_BUMP}) AS f FROM {_HSQL} h JOIN c ON h.t <= c.cut, range({HX.n + 1}) gk(k) WHERE {_REACH} GROUP BY 1, 2)
+SELECT c.snap, gk.k::INTEGER AS k, {r("coalesce(f, 0) - min(coalesce(f, 0)) OVER (PARTITION BY c.snap)", "f")} FROM c CROSS JOIN range({HX.n + 1}) gk(k) LEFT JOIN v ON v.snap = c.snap AND v.k = gk.k""",
     "hills_kernel_sum_2d": f"SELECT k, {r('f - min(f) OVER ()', 'f')} FROM (SELECT k, -sum(g) AS f FROM {_SPREAD2} GROUP BY 1)",
     "ct_weights_2d": f"""WITH RECURSIVE d AS MATERIALIZED (SELECT k, greatest(1, ceil(t / 12.0::DOUBLE))::INTEGER AS b, sum(g) AS g FROM {_SPREAD2} GROUP BY 1, 2),
 h AS (SELECT k, b, sum(g) OVER (PARTITION BY k ORDER BY b) AS v FROM d),
