@@ -20,6 +20,11 @@ from fjordframe.functions.lineage import cut
 ROWS = 1_000_000
 
 
+def one_slice(df: DataFrame) -> bool:
+    """Whether a table is small enough for one task."""
+    return df.count() <= ROWS
+
+
 def sliced(df: DataFrame, by: list[str], order: list[str]) -> DataFrame | None:
     """df with _slice, a number that grows with (by, order); None for a table that is one slice."""
     n = df.count()
@@ -80,9 +85,12 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 def exact_percentiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """(*by, one column per share): linearly interpolated percentiles of the column's values; null values count for nothing.
 
-    Distinct values are counted, their running counts taken by slices, and the two values around each place picked out.
+    Of a table over one slice, distinct values are counted, their running counts taken by slices, and the two values around
+    each place picked out.
     """
     by = by or []
+    if one_slice(df):
+        return df.where(F.col(column).isNotNull()).groupBy(*by).agg(*(F.percentile(column, F.lit(float(q))).alias(n) for n, q in shares.items()))
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     upto = running_total(counts, column, "_n", "_end", by=by).withColumn("_one", F.lit(1))
     totals = upto.groupBy(*by, "_one").agg(F.max("_end").alias("_all"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.operators.ordering import exact_percentiles, lagged, row_index, running_total, sliced
+from fjordframe.operators.ordering import exact_percentiles, lagged, one_slice, row_index, running_total, sliced
 
 
 def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -40,7 +40,14 @@ def round_trips(series: DataFrame, by: list[str], t: str, x: Column, lo: Column
 
 def longest_run(series: DataFrame, by: list[str], t: str, below: Column) -> DataFrame:
     """Per series: the longest run of rows that meet a condition, in rows and in time (rows times the median step)."""
-    rows = lagged(series.withColumn("_bad", (~F.coalesce(below, F.lit(False))).cast("int")).select(*by, t, "_bad"), t, t, "_before", by)
+    rows = series.withColumn("_bad", (~F.coalesce(below, F.lit(False))).cast("int")).select(*by, t, "_bad")
+    if one_slice(rows):
+        order = Window.partitionBy(*by).orderBy(t)
+        rows = rows.withColumn("_dt", F.col(t) - F.lag(t).over(order)).withColumn("_g", F.sum("_bad").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        runs = rows.groupBy(*by, "_g").agg(F.count_if(F.col("_bad") == 0).alias("_n")).groupBy(*by).agg(F.max("_n").alias("rows"))
+        steps = rows.groupBy(*by).agg(F.median("_dt").alias("step"))
+        return _joined(runs, steps, by).withColumn("time", F.col("rows") * F.col("step"))
+    rows = lagged(rows, t, t, "_before", by)
     rows = running_total(rows.withColumn("_dt", F.col(t) - F.col("_before")).drop("_before"), t, "_bad", "_g", by=by)
     runs = rows.groupBy(*by, "_g").agg(F.count_if(F.col("_bad") == 0).alias("_n")).groupBy(*by).agg(F.max("_n").alias("rows"))
     return _joined(runs, exact_percentiles(rows, "_dt", {"step": 0.5}, by), by).withColumn("time", F.col("rows") * F.col("step"))
