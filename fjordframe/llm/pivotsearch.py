@@ -13,12 +13,14 @@ results are exact; where bounds do not help, every block is visited. Rounds numb
 The directory of blocks has at most DIRECTORY rows and one for each pivot and task, as blocks grow with the table; it goes
 to every task. In a round only the vectors of wanted blocks and the queries that want them are dealt out by block; a block
 that more than VISITS queries want is dealt out several times, to a part of the queries each. A task holds one block and
-one Arrow batch of queries. PIVOTS vectors, least by hash, serve as pivots: a bounded sample that decides speed, not results.
-
-Components are floor(1024 * x), and scores are exact while sums stay below 2**63. Vectors that are null, empty, or hold null or non-finite components take no part, nor do
-rows with a null id. Vectors of different lengths have no inner product: each length is searched by itself. Every row is
-its own: a query's own row is no candidate, all other rows are, whatever their ids; rows that repeat an id are listed each,
-and each row with a query's id gets its own k results. Other columns, of any name, play no part.
+one Arrow batch of queries. PIVOTS vectors at most, one for every BLOCK of them, least by hash, serve as pivots: a bounded
+sample that decides speed, not results.
+
+Components are floor(1024 * x), and scores are exact while sums stay below 2**63. Vectors that are null, empty, or hold null
+or non-finite components take no part, nor do rows with a null id. Vectors of different lengths have no inner product: each
+length is searched by itself. Every row is its own: a query's own row is no candidate, all other rows are, whatever their
+ids; rows that repeat an id are listed each, and each row with a query's id gets its own k results. Other columns, of any
+name, play no part.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql.window import Window
 from fjordframe.llm.common import discard, mapped, written
 
 PIVOTS, BLOCK, DIRECTORY = 64, 1024, 1 << 17
-FIRST, GROWTH, VISITS = 8, 8, 4096
+FIRST, GROWTH, VISITS = 16, 8, 4096
 #: Queries whose bounds a task works out at once.
 _AT_ONCE = 64
 
@@ -170,13 +172,13 @@ def _scored(width: int, k: int):
     return score
 
 
-def _searched(rows: DataFrame, width: int, k: int, stats: dict | None) -> DataFrame:
-    """(qrid, query_id, vec_id, score): the k best candidates of each query among vectors of one length."""
+def _searched(rows: DataFrame, n: int, width: int, k: int, stats: dict | None) -> DataFrame:
+    """(qrid, query_id, vec_id, score): the k best candidates of each query among the n vectors of one length."""
     spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("vec_id", "rid"), "rid").limit(PIVOTS).collect()
+    sample = rows.orderBy(F.xxhash64("vec_id", "rid"), "rid").limit(min(PIVOTS, n // BLOCK + 1)).collect()
     pivots = Pivots(np.array(sorted({tuple(r["v"]) for r in sample}), np.int64))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(BLOCK, rows.count() // DIRECTORY + 1)
+    size = max(BLOCK, n // DIRECTORY + 1)
     ordered = _keyed(rows, pivots).repartitionByRange(parts, "pivot", "distance", "rid").sortWithinPartitions("pivot", "distance", "rid")
     index = written(_blocked(ordered, width, size), "index")
     edges = index.groupBy("block", "pivot").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("norm")).orderBy("block").toArrow()
@@ -205,8 +207,8 @@ def _searched(rows: DataFrame, width: int, k: int, stats: dict | None) -> DataFr
             floors = best.groupBy(F.col("qrid").alias("rid")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
             asked = queries.join(floors, "rid", "left").select("rid", "vec_id", "v", "floor")
         visits = written(asked.transform(mapped, plan(done, upto), "block long, rid long, vec_id long, floor long, v binary"), "visits")
-        counts = written(visits.groupBy("block").agg(F.count("*").alias("n")), "counts")
-        made = counts.agg(F.sum("n")).first()[0] or 0
+        counts = visits.groupBy("block").agg(F.count("*").alias("n"))
+        made = visits.count()
         if stats is not None:
             stats["visits"] = stats.get("visits", 0) + made
         if made:
@@ -221,7 +223,6 @@ def _searched(rows: DataFrame, width: int, k: int, stats: dict | None) -> DataFr
             best = written((found if old is None else found.unionByName(old)).withColumn("_r", place).where(F.col("_r") <= k).drop("_r"), "best")
             discard(old)
         discard(visits)
-        discard(counts)
         done, upto = upto, upto * (GROWTH + 1)
         if not made or done >= len(names[0]):
             break
@@ -238,8 +239,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, stats: dict | None
     asks = F.coalesce(is_query, F.lit(False)).alias("is_query")
     # Written once, so that a row keeps its number.
     rows = written(scaled(vectors).select(F.monotonically_increasing_id().alias("rid"), "vec_id", asks, "v"), "vectors")
-    widths = [r["w"] for r in rows.groupBy(F.size("v").alias("w")).agg(F.max("is_query").alias("asked")).where("asked").orderBy("w").collect()]
-    found = [_searched(rows.where(F.size("v") == w), w, k, stats) for w in widths]
+    widths = rows.groupBy(F.size("v").alias("w")).agg(F.max("is_query").alias("asked"), F.count("*").alias("n")).where("asked").orderBy("w").collect()
+    found = [_searched(rows.where(F.size("v") == r["w"]), r["n"], r["w"], k, stats) for r in widths]
     every = reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "qrid long, query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", place).select("query_id", "rank", "vec_id", "score")
