@@ -39,7 +39,7 @@ END_BYTE = 0x0A
 END_KEY = np.uint64(0x27D4EB2F165667C5)
 _GRAM, _WORD, _AWAY = 0, 1, 2
 #: Distinct keys that a task holds before it hands them on, and (context, byte) pairs that are weighted at once.
-_HELD, _BLOCK = 3_000_000, 200_000
+_HELD, _BLOCK = 1_500_000, 100_000
 #: Bytes whose contexts are in memory at once, whatever the length of a text.
 _STRETCH = 1 << 19
 
@@ -87,14 +87,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def hold(kind: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         held[kind].append(np.unique(keys, return_counts=True))
-        if len(held[kind]) > 8:
+        if len(held[kind]) > 4:
             held[kind] = [summed(*map(np.concatenate, zip(*held[kind], strict=True)))]
         if sum(len(k) for k, _ in held[kind]) > _HELD:
             yield from emit(kind)
 
     for whole in batches:
         away = whole["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-        for b, gram in ((b, gram) for gram, rows in ((_GRAM, ~away), (_AWAY, away)) if rows.any() for b in pieces(whole.filter(pa.array(rows)), "text", 2 << 20)):
+        for b, gram in ((b, gram) for gram, rows in ((_GRAM, ~away), (_AWAY, away)) if rows.any() for b in pieces(whole.filter(pa.array(rows)), "text")):
             data, begins, stops, words = normal_bytes(b["text"])
             for keys, _ in _grams(data, begins, stops):
                 yield from hold(gram, keys)
