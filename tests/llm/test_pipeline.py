@@ -5,7 +5,6 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -93,10 +92,9 @@ def test_rows_against_the_stages_by_brute_force(spark, tmp_path):
             from tests.llm.test_language_and_toxicity import brute_language
 
             found = brute_language([(k, r[1]) for k, r in enumerate(before)], profiles)
-            own = brute_language
             want = []
             for k, r in enumerate(before):
-                declared = own([(0, r[1])], {r[2]: profiles[r[2]]})[0][1] if r[2] in profiles else None
+                declared = brute_language([(0, r[1])], {r[2]: profiles[r[2]]})[0][1] if r[2] in profiles else None
                 if found[k][0] != "und" and (declared is None or declared >= found[k][1] - corpus_pipeline.LEAD):
                     want.append(r)
         elif name == "near_dedup":
