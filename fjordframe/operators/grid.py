@@ -35,7 +35,6 @@ def interpolated(points: DataFrame, x: str, curve: DataFrame, cx: str, cf: str,
     is cut into as many cells as it has segments, segments are laid into the cells they touch, and points meet them by cell.
     """
     by = by or []
-    order = Window.partitionBy(*by).orderBy(cx)
     good = curve.where(F.col(cf).isNotNull()).select(*by, F.col(cx).alias("_a"), F.col(cf).alias("_fa"))
     ends = good.groupBy(*by).agg(F.min(F.struct("_a", "_fa")).alias("_lo"), F.max(F.struct("_a", "_fa")).alias("_hi"), F.count("*").alias("_n"))
     width = (F.col("_hi._a") - F.col("_lo._a")) / F.greatest(F.col("_n") - 1, F.lit(1))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from fjordframe.functions.lineage import shared_folder
 from fjordframe.functions.ranges import bend_degrees
-from fjordframe.operators import grid as G
 from fjordframe.operators import hist as H
 from fjordframe.operators import runs as R
 from fjordframe.operators import structure as A
