@@ -289,8 +289,8 @@ SELECT a.i::INTEGER AS i, b.j::INTEGER AS j, coalesce(n, 0) AS n, coalesce(n, 0)
 reach AS (SELECT i, j FROM (SELECT i, j FROM ok ORDER BY mean, i, j LIMIT 1) UNION SELECT ok.i, ok.j FROM reach JOIN ok ON abs(ok.i - reach.i) + abs(ok.j - reach.j) = 1)
 SELECT g.j AS i, g.i AS j, (g.j + 0.5::DOUBLE) * {GY.step}::DOUBLE AS cv1, (g.i + 0.5::DOUBLE) * {GX.step}::DOUBLE AS cv2, CASE WHEN reach.i IS NOT NULL THEN round(g.mean - (SELECT min(mean) FROM g JOIN reach USING (i, j)), 6) END AS f FROM g LEFT JOIN reach ON g.i = reach.i AND g.j = reach.j""",
     "region_without_good_cells": f"SELECT true AS reliable, count(*) AS count FROM {_WGRID}",
-    "hill_count_cuts": f"""SELECT row_number() OVER (ORDER BY p) - 1 AS snap, p AS hills, round(t, 6) AS t_cut FROM (SELECT t, row_number() OVER (ORDER BY t, row) AS p, count(*) OVER () AS n FROM {FRAMES} WHERE kind = 'purchase') WHERE p % greatest(1, n // 7) = 0 OR p = n""",
-    "snapshot_cut_offs": "SELECT 'fixed' AS kind, k::INTEGER AS snap, round(120.0::DOUBLE + k * 120, 6) AS t_cut FROM range(6) r(k) UNION ALL SELECT 'converged', k, round(120.0::DOUBLE + 600.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k) UNION ALL SELECT 'after', k, round(5.0::DOUBLE + 715.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k)",
+    "hill_count_cuts": f"""SELECT (row_number() OVER (ORDER BY p) - 1)::INTEGER AS snap, p AS hills, round(t, 6) AS t_cut FROM (SELECT t, row_number() OVER (ORDER BY t, row) AS p, count(*) OVER () AS n FROM {FRAMES} WHERE kind = 'purchase') WHERE p % greatest(1, n // 7) = 0 OR p = n""",
+    "snapshot_cut_offs": "SELECT 'fixed' AS kind, k::INTEGER AS snap, round(120.0::DOUBLE + k * 120, 6) AS t_cut FROM range(6) r(k) UNION ALL SELECT 'converged', k::INTEGER, round(120.0::DOUBLE + 600.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k) UNION ALL SELECT 'after', k::INTEGER, round(5.0::DOUBLE + 715.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k)",
     "basins_below": f"WITH RECURSIVE {_DRAINS} SELECT label, mi AS i, mj AS j, fmin, count(*) FILTER (WHERE f < fmin + 2) AS ncells FROM l WHERE label > 0 GROUP BY ALL",
     "basin_segments": _merged(1.0),
     "basin_segments_low": _merged(0.2),
