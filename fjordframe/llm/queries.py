@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordframe.llm import sql
+from fjordframe.llm.alignment import aligned
 from fjordframe.llm.common import id_fold
 from fjordframe.llm.ctw import language_scores
 from fjordframe.llm.decontaminate import decontaminate
@@ -73,7 +74,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_urls, op2_topk, op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing, op10_warc)
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_urls, op2_topk, op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing, op10_warc, op13_alignment)
 
 
 def queries() -> dict:
