@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fjordframe.llm.common import batch, mapped, most_frequent, written
-from fjordframe.llm.textbytes import Words, flat, pieces, summed
+from fjordframe.llm.textbytes import Words, flat, owners, pieces, summed
 from fjordframe.llm.tokens import distinct_words
 
 #: Units that a process keeps with their alignment before it starts anew.
 KEPT = 400_000
 #: Id pairs whose counts are sent to every task.
 HEAD = 1 << 19
+#: Links that are worked on at once.
+WINDOW = 1 << 18
 #: Different id pairs that a task holds while counting.
 HELD = 1 << 20
 #: Units whose groups are hashed at once.
@@ -277,10 +279,13 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, align, _ALIGNED)
 
 
-def _links(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The id pairs of all links of a batch, in a row, and the row of each."""
-    keys = b["a"].flatten().to_numpy().astype(np.int64) * _PAIR + b["b"].flatten().to_numpy()
-    return keys, np.repeat(np.arange(b.num_rows), np.diff(b["a"].offsets.to_numpy()))
+def _links(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The id pairs of all links of a batch, in a row, and the row of each, WINDOW after WINDOW."""
+    bounds = b["a"].offsets.to_numpy().astype(np.int64)
+    flat_a, flat_b = (b[c].flatten().to_numpy() for c in "ab")
+    for at in range(0, len(flat_a), WINDOW):
+        keys = flat_a[at : at + WINDOW].astype(np.int64) * _PAIR + flat_b[at : at + WINDOW]
+        yield keys, owners(bounds - bounds[0], at, at + len(keys))
 
 
 def pair_counts(alignments: DataFrame) -> DataFrame:
@@ -295,11 +300,12 @@ def pair_counts(alignments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys // _PAIR), pa.array(keys % _PAIR), pa.array(n)], names=["a", "b", "n"])
 
         for b in batches:
-            held.append(np.unique(_links(b)[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > HELD:
-                yield counted()
-                size = 0
+            for keys, _ in _links(b):
+                held.append(np.unique(keys, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield counted()
+                    size = 0
         if held:
             yield counted()
 
@@ -333,13 +339,16 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, head: int = H
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, row = _links(b)
-            distinct, back = np.unique(keys, return_inverse=True)
-            here, n, best = sent.value.find(distinct)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))])
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x[back])])[ends]) for x in (best, n)]  # of whole numbers
-            away = ~here[back]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[away], minlength=b.num_rows))]).astype(np.int32)), pa.array(keys[away]))
+            sums, sizes, rare = np.zeros((2, b.num_rows), np.int64), np.zeros(b.num_rows, np.int64), []
+            for keys, row in _links(b):
+                distinct, back = np.unique(keys, return_inverse=True)
+                here, n, best = sent.value.find(distinct)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))])
+                sums += [np.diff(np.concatenate([[0], np.cumsum(x[back])])[ends]) for x in (best, n)]  # of whole numbers
+                away = ~here[back]
+                sizes += np.bincount(row[away], minlength=b.num_rows)
+                rare.append(keys[away])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rare])))
             yield pa.RecordBatch.from_arrays([b["rid"], *map(pa.array, sums), lists], names=["rid", "head_best", "head_sum", "rare"])
 
     rated = written(rows.select("rid", "a", "b").transform(mapped, rate, "rid long, head_best long, head_sum long, rare array<long>"), "rated")
