@@ -121,20 +121,22 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        if max(self.a.get_vocab_size(), self.b.get_piece_size()) > 1 << 16:
+            raise ValueError("ids of over 16 bits")
         symbols = _byte_of_symbol()
         self.bytes_a = [bytes(symbols[c] for c in t) if all(c in symbols for c in t) else b"" for t in map(self.a.id_to_token, range(self.a.get_vocab_size()))]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         if any(_VISIBLE_SPACE.search(x) for x in [*self.bytes_a, *self.bytes_b]):
             raise ValueError("a token has a space after a visible character: texts can't be cut there")
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self._clear()
+        self.forget()
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_control(i) or self.b.is_unknown(i):
             return b""
         return bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ok = np.zeros(0, bool)
         self.n_a = self.n_b = self.n_groups = self.n_links = self.first_link = self.links = self.n_text = self.first_text = np.zeros(0, np.int64)
@@ -208,7 +210,7 @@ class Aligner:
         keys = [raw[p:q] for p, q in zip(words.starts[one].tolist(), words.ends[one].tolist(), strict=True)]
         fresh = [k for k in keys if k not in self.place]
         if self.place and len(self.place) + len(fresh) > KEPT:
-            self._clear()
+            self.forget()
             fresh = keys
         if fresh:
             self._learn(fresh)
@@ -249,12 +251,12 @@ def _by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-_ALIGNED = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>"
-_ALIGNED_ARROW = pa.schema([*((c, pa.int64()) for c in ("rid", "doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+_ALIGNED = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<short>, b array<short>"
+_ALIGNED_ARROW = pa.schema([*((c, pa.int64()) for c in ("rid", "doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("a", pa.list_(pa.int16())), ("b", pa.list_(pa.int16()))])
 
 
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(rid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, a, b): each document's alignment; a and b are the ids of its links in order.
+    """(rid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, a, b): each document's alignment; a and b are the ids of its links in order, as shorts without a sign.
 
     groups_sha256 is that of the groups in order, `a1,a2|b1;a3|b2,b3` in decimal ids; rid numbers the rows.
     """
@@ -272,9 +274,10 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
                 totals = [np.where(valid, _by_text(x[places], first), 0) for x in (own.n_a, own.n_b, own.n_groups, own.n_links)]
                 links = own.links_of(places[np.repeat(valid, words.counts)])
                 bounds = pa.array(np.concatenate([[0], np.cumsum(totals[3])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in np.divmod(links, _PAIR)]
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.uint16).view(np.int16))) for x in np.divmod(links, _PAIR)]
                 yield batch(_ALIGNED_ARROW, [rid + np.arange(b.num_rows), b["doc_id"], *totals, digests, *lists])
                 rid += b.num_rows
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, align, _ALIGNED)
 
@@ -282,7 +285,7 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
 def _links(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The id pairs of all links of a batch, in a row, and the row of each, WINDOW after WINDOW."""
     bounds = b["a"].offsets.to_numpy().astype(np.int64)
-    flat_a, flat_b = (b[c].flatten().to_numpy() for c in "ab")
+    flat_a, flat_b = (b[c].flatten().to_numpy().view(np.uint16) for c in "ab")
     for at in range(0, len(flat_a), WINDOW):
         keys = flat_a[at : at + WINDOW].astype(np.int64) * _PAIR + flat_b[at : at + WINDOW]
         yield keys, owners(bounds - bounds[0], at, at + len(keys))
@@ -331,7 +334,7 @@ class Counts:
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, head: int = HEAD) -> DataFrame:
     """One row per document: tokens of either side, groups, links, links of the best pair of their B id, sum of the links' counts, hash of the groups."""
     spark = docs.sparkSession
-    rows = written(alignments(docs, paths), "aligned")
+    rows = written(alignments(docs, paths), "aligned", **{"parquet.block.size": 32 << 20})
     pairs = pair_counts(rows).withColumn("best", (F.col("n") == F.max("n").over(Window.partitionBy("b"))).cast("int"))
     counts = written(pairs.select((F.col("a") * int(_PAIR) + F.col("b")).alias("key"), "n", "best"), "pairs")
     often = most_frequent(counts, head).toArrow()

@@ -26,13 +26,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 _scratches: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors. options: the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if _scratches:
         _scratches[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fjordframe_path = path
     return out
