@@ -10,11 +10,13 @@ from fjordframe.llm.alignment import aligned
 from fjordframe.llm.common import id_fold
 from fjordframe.llm.ctw import language_scores
 from fjordframe.llm.decontaminate import decontaminate
+from fjordframe.llm.huffman import document_digests, read_ids, write_ids
 from fjordframe.llm.langid import identify, language_profiles
 from fjordframe.llm.lengths import length_histogram
 from fjordframe.llm.neardup import near_duplicates
 from fjordframe.llm.packing import packed, piece_digests
 from fjordframe.llm.pivotsearch import top_k
+from fjordframe.llm.repair import damaged, repair_report
 from fjordframe.llm.toxicity import toxicity_scores, trained
 from fjordframe.llm.urlfilter import Rule, filtered
 from fjordframe.llm.warc import archived
@@ -74,11 +76,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op11_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_digests(read_ids(spark, write_ids(table(spark, sf_dir, "documents"))))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_urls, op2_topk, op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing, op10_warc, op13_alignment)
+QUERIES = (op1_urls, op2_topk, op3_decontaminate, op4_language, op5_scores, op6_lengths, op7_neardup, op8_toxicity, op9_packing, op10_warc, op11_huffman, op12_repair, op13_alignment)
 
 
 def queries() -> dict:
@@ -92,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": sql.DECONTAMINATE,
         "op7_neardup": sql.NEARDUP,
         "op10_warc": sql.WARC,
+        "op12_repair": sql.REPAIR,
     }

@@ -49,6 +49,36 @@ CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE
 """
 
 
+# crc32 bit by bit; then, row after row, the least (cost, audit) for every last role.
+REPAIR = r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+x AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 20 AS kind FROM k),
+m AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) FROM x WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+  left(role, 1) AS c, regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM m),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o),
+f AS MATERIALIZED (SELECT *, tail = '' AS blank, tail <> '' AND nth > 1 AS dup, tail <> '' AND nth = 1 AND tail NOT IN ('.', '!', '?') AS trunc, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS pc FROM t),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank, count_if(dup)::BIGINT AS duplicate, count_if(trunc)::BIGINT AS truncated,
+  count_if(i > 1 AND pc || c NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(i) AS rows FROM f GROUP BY conv_id),
+p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS st, struct_pack(cost := 0::BIGINT, audit := '', kept := '') AS v FROM f
+  UNION ALL SELECT conv_id, i, st, min(v) FROM (
+    SELECT p.conv_id, f.i, p.st, struct_pack(cost := p.v.cost + 4, audit := p.v.audit || 'D', kept := p.v.kept) AS v FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1
+    UNION ALL SELECT p.conv_id, f.i, q, struct_pack(cost := p.v.cost + 3 * (p.st || q IN ('a', 'sa', 'uu', 'aa'))::BIGINT + 3 * (f.c <> q)::BIGINT + 3 * f.trunc::BIGINT,
+      audit := p.v.audit || CASE WHEN p.st || q IN ('a', 'sa', 'uu', 'aa') THEN 'I' ELSE '' END || CASE WHEN f.c = q THEN 'K' ELSE 'R' END,
+      kept := p.v.kept || CASE p.st || q WHEN 'a' THEN 'user:' || chr(10) WHEN 'sa' THEN 'user:' || chr(10) WHEN 'aa' THEN 'user:' || chr(10) WHEN 'uu' THEN 'assistant:' || chr(10) ELSE '' END
+        || CASE WHEN f.c = q THEN f.role WHEN q = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text || chr(10))
+      FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1, (VALUES ('s'), ('u'), ('a')) t(q) WHERE NOT f.blank AND NOT f.dup AND (q <> 's' OR (p.st = '' AND f.c = 's'))) GROUP BY ALL),
+e AS (SELECT p.conv_id, min(struct_pack(cost := v.cost + CASE st WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END, audit := v.audit || CASE st WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+  kept := v.kept || CASE st WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END)) AS v
+  FROM p JOIN g ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.i = g.rows GROUP BY p.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+coalesce(v.cost, 0) AS cost, coalesce(v.audit, '') AS audit, sha256(CASE WHEN v.kept <> '' THEN left(v.kept, len(v.kept) - 1) ELSE '' END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN g ON d.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN e ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def urls(rules: list, steps: int = 140) -> str:
     """The URL query: rules by length, then so many steps of PageRank of both kinds over host links, which is to the limit of doubles."""
     from fjordframe.llm.urlfilter import DAMPING, THRESHOLD
