@@ -19,6 +19,7 @@ each and come back each. doc_id is an integer or null. Other columns, of any nam
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -35,7 +36,7 @@ from fjordframe.llm.textbytes import Words, flat, owners, pieces, summed
 from fjordframe.llm.tokens import distinct_words
 
 #: Units that a process keeps with their alignment before it starts anew.
-KEPT = 400_000
+KEPT = 250_000
 #: Id pairs whose counts are sent to every task.
 HEAD = 1 << 19
 #: Links that are worked on at once.
@@ -116,6 +117,8 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -266,7 +269,7 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
         own = aligner(paths)
         rid = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
+            for b in pieces(whole, "text"):
                 words = cut_units(b["text"])
                 places, first = own.places(words), words.first
                 valid = (_by_text(~own.ok[places], first) == 0) & (words.counts > 0)
