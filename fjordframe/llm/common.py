@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fjordframe.functions.lineage import shared_folder
 from fjordframe.functions.shipping import mapped as mapped
+from fjordframe.functions.shipping import released, shipped
 
 #: Hash slots that part rows of nearly equal counts.
 SLOTS = 1 << 14
@@ -22,16 +24,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/fjordframe-{name}-{uuid.uuid4().hex}"
 
 
-#: Paths written inside each open scratch(), the innermost last.
-_scratches: list[list[str]] = []
+#: Paths written inside each open scratch() of this thread, the innermost last.
+_scratches: ContextVar[tuple[list[str], ...]] = ContextVar("scratches", default=())
 
 
 def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and survives lost executors. options: the writer's."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _scratches:
-        _scratches[-1].append(path)
+    if opened := _scratches.get():
+        opened[-1].append(path)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fjordframe_path = path
@@ -52,22 +54,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, on leaving, every table written inside, unless it was written through kept()."""
-    _scratches.append([])
+    own: list[str] = []
+    token = _scratches.set((*_scratches.get(), own))
     try:
         yield
     finally:
-        for path in _scratches.pop():
+        _scratches.reset(token)
+        for path in own:
             _delete(spark, path)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """written(), for a result that outlives the scratch() around it (and goes with the one around that)."""
-    inner = _scratches.pop() if _scratches else None
+    token = _scratches.set(_scratches.get()[:-1])
     try:
         return written(df, name)
     finally:
-        if inner is not None:
-            _scratches.append(inner)
+        _scratches.reset(token)
 
 
 def id_fold(id_column: str, folds: int) -> Column:
@@ -75,9 +78,20 @@ def id_fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
 
 
-def with_columns(df: DataFrame, more: str) -> str:
-    """The schema of df as text, with more columns."""
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+def text_column(spark: SparkSession, f: Callable[[Iterator[tuple[pa.Array, ...]]], Iterator[pa.Array]], kind: str, *columns: str) -> Column:
+    """A column that f gives for each row's columns, in Arrow batches; other columns, of any name and type, stay where they are.
+
+    It is not deterministic for the optimizer, which would else work it out again for a filter on it.
+    """
+    shipped(spark)
+
+    def run(arrays: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from f(arrays if len(columns) > 1 else ((a,) for a in arrays))
+        released()
+
+    hint = tuple[pa.Array, ...] if len(columns) > 1 else pa.Array
+    run.__annotations__ = {"arrays": Iterator[hint], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()(*columns)
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.llm.common import mapped, with_columns
+from fjordframe.llm.common import mapped, text_column
 from fjordframe.llm.textbytes import joined_words, owners, pieces, summed
 
 PROFILE, LONGEST, SALT = 300, 4, 16
@@ -120,9 +120,10 @@ class Profiles:
             return names, scores, [None] * n
         parts = [np.unique(grams, return_counts=True) for grams in stream.grams()]
         keys, counts = summed(*map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        fewer = np.uint64((1 << 20) - 1) - np.minimum(counts, (1 << 20) - 1).astype(np.uint64)
-        keys = np.sort(keys >> np.uint64(32) << np.uint64(52) | fewer << np.uint64(32) | keys & np.uint64(0xFFFFFFFF))
-        row = (keys >> np.uint64(52)).astype(np.int64)
+        # By row and falling count; grams of one count stay in their order. A slice has few rows, and no text 2**52 bytes.
+        row = (keys >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(row << 52 | (1 << 52) - 1 - counts, kind="stable")
+        keys, row = keys[order], row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank < PROFILE
         row, rank, gram = row[keep], rank[keep], (keys[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -151,12 +152,13 @@ def identify(docs: DataFrame, profiles: DataFrame, columns: tuple[str, str] = ("
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(p["lang"].to_numpy(zero_copy_only=False), p["gram"].to_numpy(), p["place"].to_numpy()))
     more = [*columns, *(declared or ())[1:]]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _slices(whole):
-                names, scores, own = shared.value.judge(b["text"], b[declared[0]].to_pylist() if declared else None)
-                found = [pa.array(names, pa.string()), pa.array(scores), pa.array(own, pa.float64())][: len(more)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, *more])
+    def judge(arrays: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for text, *own in arrays:
+            whole = pa.RecordBatch.from_arrays([text, *own], names=["text", *(["declared"] if own else [])])
+            found = [shared.value.judge(b["text"], b["declared"].to_pylist() if own else None) for b in _slices(whole)]
+            each = [pa.array([x for f in found for x in f[k]], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64())[: len(more)])]
+            yield pa.StructArray.from_arrays(each, names=["a", "b", "c"][: len(more)])
 
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in zip(more, ("string", "double", "double")))  # noqa: B905
-    return docs.transform(mapped, judge, with_columns(docs, kinds))
+    judged = text_column(docs.sparkSession, judge, f"a string, b double{', c double' if declared else ''}", "text", *(declared or ())[:1])
+    held = "_fjordframe_judged"
+    return docs.withColumn(held, judged).withColumns({name: F.col(f"{held}.{k}") for name, k in zip(more, "abc")}).drop(held)  # noqa: B905

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import mapped, with_columns, written
+from fjordframe.llm.common import mapped, text_column, written
 from fjordframe.llm.textbytes import cut, mixed, pieces
 
 POSITIVES, UNLABELLED = 10_000, 20_000
@@ -207,9 +207,9 @@ def toxicity_scores(docs: DataFrame, model: Model, column: str = "score") -> Dat
     """docs with a score added under a name that docs does not have; docs must have a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text"):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(b["text"]))], names=[*b.schema.names, column])
+    def judge(arrays: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        for (text,) in arrays:
+            parts = [shared.value.scores(b["text"]) for b in pieces(pa.RecordBatch.from_arrays([text], names=["text"]), "text")]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    return docs.transform(mapped, judge, with_columns(docs, f"`{column}` double"))
+    return docs.withColumn(column, text_column(docs.sparkSession, judge, "double", "text"))

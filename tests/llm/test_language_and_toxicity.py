@@ -232,3 +232,27 @@ def test_features_count_words_that_share_a_beginning():
     wanted = np.unique(keys)
     r2, at = toxicity.features(texts, wanted)
     assert sorted(zip(rows, keys, strict=True)) == sorted(zip(r2, wanted[at], strict=True))
+
+
+def test_very_frequent_ngrams_keep_their_order():
+    """Shares alone decide, also far beyond a million occurrences of an n-gram."""
+    a, b = ord("a"), ord("b")
+    profiles = langid.Profiles(np.array(["xx", "xx", "yy", "yy"]), np.array([a, b, b, a]), np.array([1, 2, 1, 2]))
+    for times in (1_000, 1_100_000):
+        assert profiles.judge(pa.array(["b" * 3 * times + " " + "a" * times]))[0] == ["yy"]
+        assert profiles.judge(pa.array(["a" * 3 * times + " " + "b" * times]))[0] == ["xx"]
+
+
+def test_other_columns_of_any_name_and_type(spark):
+    """Structs, names with blanks and quotes, intervals: they go by untouched."""
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(["the river and the stone", "", None])], "doc_id long, text string, lang string")
+    odd = {"s t": F.struct(F.lit(1).alias("a b"), F.col("text").alias("x.y")), "x`y": F.lit("q"), "iv": F.expr("make_interval(0, 1, 0, 3)"), "dt": F.expr("INTERVAL '2' DAY"), "m": F.create_map(F.lit("k"), F.array(F.lit(1)))}
+    df = df.withColumns(odd)
+    profiles = langid.language_profiles(df, F.lit(True))
+    judged = langid.identify(df, profiles, ("found", "sc ore"), ("lang", "own"))
+    assert judged.columns == [*df.columns, "found", "sc ore", "own"] and judged.drop("iv").where("found <> 'und'").count() == 1
+    model = toxicity.trained(df, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"), F.lit(True))
+    scored = toxicity.toxicity_scores(df, model, "tox")
+    assert scored.columns == [*df.columns, "tox"]
+    rows = scored.drop("iv").orderBy("doc_id").collect()
+    assert [r["s t"]["a b"] for r in rows] == [1, 1, 1] and [r["x`y"] for r in rows] == ["q"] * 3 and all(0 <= r["tox"] <= 1 for r in rows)

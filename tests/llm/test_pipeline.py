@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -137,3 +138,17 @@ def test_small_tables(spark, tmp_path, docs):
     got = sorted(((r["doc_id"], r["start"]) for r in out.collect()), key=str)
     # Nothing to learn a language from: no text goes for having none.
     assert set(got) == {(r[0], 0) for r in docs} and len(docs) < 4 or len({x[0] for x in got}) == 1
+
+
+def test_stages_with_columns_of_any_name_and_type(spark, tmp_path):
+    """Extra columns that only Spark can hold pass every stage up to packing."""
+    rng = random.Random(4)
+    docs = [(i, prose(rng, 60), "en", "s", None) for i in range(30)]
+    d = str(tmp_path / "sf")
+    save(spark, d, docs, [(i, 1, int(i % 5 == 0)) for i in range(30)], [(1, prose(rng, 20, "alpha beta gamma"))])
+    odd = {"s t": F.struct(F.lit(1).alias("a b")), "x`y": F.lit("q"), "iv": F.expr("make_interval(0, 1, 0, 3)"), "dt": F.expr("INTERVAL '2' DAY")}
+    table = spark.read.parquet(f"{d}/documents.parquet").withColumns(odd)
+    for name, stage in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[3:4]:
+        out = stage(spark, table, d)
+        assert out.columns == table.columns, name
+        assert all(r["s t"]["a b"] == 1 and r["x`y"] == "q" for r in out.drop("iv").collect()), name
