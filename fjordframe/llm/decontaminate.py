@@ -2,8 +2,8 @@
 
 Every run of WINDOW words that a document shares with a benchmark item is found: both sides keep the minimum hash
 of each SPAN consecutive GRAM-word hashes (SPAN + GRAM - 1 = WINDOW), so a shared run of WINDOW words has a kept hash
-in common; equal hashes are then extended word by word in both directions. Items of fewer than WINDOW words are one
-window each and are met by the hash of their whole sequence.
+in common; equal hashes are then extended to every window of WINDOW words around them, which must be a window of an item.
+Items of fewer than WINDOW words are one window each and are met by the hash of their whole sequence.
 
 Two ways to join the fingerprints give the same rows. Where the benchmark text is at most `broadcast_bytes` (measured
 first), its fingerprints and word hashes go to every executor and documents are read once, without a shuffle. Beyond
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fjordframe.llm.common import mapped, written
-from fjordframe.llm.textbytes import ALNUM, Words, cut, inside_texts, pieces, windows
+from fjordframe.llm.common import mapped, text_column, written
+from fjordframe.llm.textbytes import _STEP, ALNUM, Words, cut, inside_texts, mixed, pieces, windows
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
@@ -63,71 +63,93 @@ def winnow(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, grams[kept]
 
 
+def _windows_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """windows(hashes, k) at some places."""
+    out = hashes[at].copy()
+    for j in range(1, k):
+        out *= _STEP
+        out += hashes[at + j]
+    return mixed(out + np.uint64(k))
+
+
+class _Table:
+    """Hashes of the items' windows of k words, and the items that each is in."""
+
+    def __init__(self, k: int, hashes: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, hashes))
+        hashes, item = hashes[order], item[order]
+        new = np.ones(len(item), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])
+        hashes, self.item = hashes[new], item[new]
+        self.k, (self.hashes, first) = k, np.unique(hashes, return_index=True)
+        self.first = np.append(first, len(self.item))
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which grams are here, and where."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
+        met = np.flatnonzero(self.hashes[at] == grams)
+        return met, at[met]
+
+
 class Benchmark:
-    """Fingerprints and word hashes of benchmark items."""
+    """Fingerprints of benchmark items, and their windows of WINDOW words; items of fewer words are one window each."""
 
     def __init__(self, ids: list, texts: pa.Array):
         words = cut(texts, ALNUM)
-        self.hashes, self.ids, self.bounds = words.hashes(), ids, words.first
-        counts = words.counts
-        at, prints = winnow(words, self.hashes)
-        item = np.searchsorted(words.first, at, "right") - 1
-        full = counts[item] >= WINDOW
-        at, prints, item = at[full], prints[full], item[full]
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.at, self.item = prints[order], at[order], item[order]
+        hashes, self.ids, counts = words.hashes(), ids, words.counts
+        at, prints = winnow(words, hashes)
+        self.prints = np.unique(prints[counts[np.searchsorted(words.first, at, "right") - 1] >= WINDOW])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.prints >> np.uint64(44)).astype(np.int64)] = True
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k in range(1, WINDOW):
-            for i in np.flatnonzero(counts == k):
-                h = int(windows(self.hashes[words.first[i] : words.first[i + 1]], k)[0])
-                self.short.setdefault(k, {}).setdefault(h, []).append(int(i))
-
-    def runs(self, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, from, to): each maximal run of words that contains a shared window, by position in its text."""
-        first = words.first
+        grams = windows(hashes, WINDOW)
+        at = np.flatnonzero(inside_texts(words.first, WINDOW)[: len(grams)])
+        self.full = _Table(WINDOW, grams[at], np.searchsorted(words.first, at, "right") - 1)
+        self.short = []
+        for k in np.unique(counts[(counts > 0) & (counts < WINDOW)]).tolist():
+            of = np.flatnonzero(counts == k)
+            self.short.append(_Table(k, _windows_at(hashes, words.first[of], k), of))
+
+    def _near(self, words: Words, hashes: np.ndarray) -> np.ndarray:
+        """Where windows of WINDOW words begin that hold a fingerprint of the benchmark."""
         at, prints = winnow(words, hashes)
         near = self.maybe[(prints >> np.uint64(44)).astype(np.int64)]
-        at, prints = at[near], prints[near]
-        lo, hi = np.searchsorted(self.prints, prints), np.searchsorted(self.prints, prints, "right")
-        met = np.flatnonzero(hi > lo)
-        if len(met):
-            rows = np.searchsorted(first, at[met], "right") - 1
-            done: dict[tuple[int, int], int] = {}
-            row = -1
-            for m, r in zip(met, rows, strict=True):
-                if r != row:
-                    row, done = r, {}
-                p, a, b = int(at[m]), int(first[r]), int(first[r + 1])
-                for j in range(lo[m], hi[m]):
-                    i, q = int(self.item[j]), int(self.at[j])
-                    if done.get((i, p - q), -1) > p:
-                        continue
-                    c, d = int(self.bounds[i]), int(self.bounds[i + 1])
-                    back = min(p - a, q - c)
-                    differ = np.flatnonzero(hashes[p - back : p][::-1] != self.hashes[q - back : q][::-1])
-                    back = int(differ[0]) if len(differ) else back
-                    on = min(b - p, d - q)
-                    differ = np.flatnonzero(hashes[p : p + on] != self.hashes[q : q + on])
-                    on = int(differ[0]) if len(differ) else on
-                    done[i, p - q] = p + on
-                    if back + on >= WINDOW:
-                        yield int(r), i, p - back - a, p + on - a
-        for k, table in self.short.items():
-            grams = windows(hashes, k)
-            found = np.flatnonzero(np.isin(grams, np.fromiter(table, np.uint64, len(table))) & inside_texts(first, k)[: len(grams)])
-            for p, r in zip(found, np.searchsorted(first, found, "right") - 1, strict=True):
-                for i in table[int(grams[p])]:
-                    yield int(r), i, int(p - first[r]), int(p - first[r]) + k
-
-
-def _covered(runs: list[tuple[int, int]]) -> int:
-    total = end = 0
-    for a, b in sorted(runs):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+        at = at[near][np.isin(prints[near], self.prints)]
+        if not len(at):
+            return at
+        begins = np.unique((at[:, None] - np.arange(SPAN)).reshape(-1))
+        ok = inside_texts(words.first, WINDOW)
+        begins = begins[(begins >= 0) & (begins < len(ok))]
+        return begins[ok[begins]]
+
+    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hit, rows, items): which words lie in a shared window, and every pair of text and item that share one.
+
+        Each fingerprint in common is extended to all windows around it, which are compared as a whole: the work grows with
+        the text, however often the same words stand in it or in an item.
+        """
+        change = np.zeros(len(hashes) + 1, np.int32)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for table in (self.full, *self.short):
+            if table is self.full:
+                at = self._near(words, hashes)
+                grams = _windows_at(hashes, at, WINDOW)
+            else:
+                grams = windows(hashes, table.k)
+                at = np.flatnonzero(inside_texts(words.first, table.k)[: len(grams)])
+                grams = grams[at]
+            met, place = table.find(grams)
+            at = at[met]
+            change[at] += 1
+            change[at + table.k] -= 1
+            rows = np.searchsorted(words.first, at, "right") - 1
+            seen = np.unique(np.stack([rows, place], axis=1), axis=0)
+            sizes = table.first[seen[:, 1] + 1] - table.first[seen[:, 1]]
+            begin = np.repeat(table.first[seen[:, 1]] - (np.cumsum(sizes) - sizes), sizes)
+            pairs.append(np.stack([np.repeat(seen[:, 0], sizes), table.item[begin + np.arange(int(sizes.sum()))]], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return np.cumsum(change[:-1]) > 0, found[:, 0], found[:, 1]
 
 
 def _digest(ids: set) -> str:
@@ -137,13 +159,13 @@ def _digest(ids: set) -> str:
 def _judge(benchmark: Benchmark, texts: pa.Array) -> tuple[np.ndarray, dict[int, tuple[int, set]]]:
     """Words of each text, and for texts with hits the number of words hit and the item ids."""
     words = cut(texts, ALNUM)
-    by: dict[int, tuple[list, set]] = {}
-    for r, i, a, b in benchmark.runs(words, words.hashes()):
-        runs, ids = by.setdefault(r, ([], set()))
-        runs.append((a, b))
+    hit, rows, items = benchmark.hits(words, words.hashes())
+    n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
+    by: dict[int, tuple[int, set]] = {int(r): (int(n_hit[r]), set()) for r in np.flatnonzero(n_hit)}
+    for r, i in zip(rows.tolist(), items.tolist(), strict=True):
         if benchmark.ids[i] is not None:
-            ids.add(benchmark.ids[i])
-    return words.counts, {r: (_covered(runs), ids) for r, (runs, ids) in by.items()}
+            by[r][1].add(benchmark.ids[i])
+    return words.counts, by
 
 
 def _items(items: DataFrame) -> DataFrame:
@@ -182,13 +204,15 @@ def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = 16 << 20) ->
         return marked.join(bad.select(F.col("rid").alias("_fjordframe_rid")), "_fjordframe_rid", "left_anti").drop("_fjordframe_rid")
     shared = _shared(docs, items)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text"):
+    def bad(arrays: Iterator[tuple[pa.Array]]) -> Iterator[pa.Array]:
+        for (text,) in arrays:
+            out = []
+            for b in pieces(pa.RecordBatch.from_arrays([text], names=["text"]), "text"):
                 n_words, found = _judge(shared.value, b["text"])
-                yield b.filter(pa.array([r not in found or not _contaminated(found[r][0], n_words[r]) for r in range(b.num_rows)], pa.bool_()))
+                out += [r in found and bool(_contaminated(found[r][0], n_words[r])) for r in range(b.num_rows)]
+            yield pa.array(out, pa.bool_())
 
-    return docs.transform(mapped, keep, docs.schema)
+    return docs.where(~text_column(docs.sparkSession, bad, "boolean", "text"))
 
 
 def _text_bytes(items: DataFrame) -> int:
@@ -264,21 +288,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, n_hit, n_items, items_sha256) of documents with hits; a document's row comes before those of its items."""
-    rid, words, hashes, runs, ids, held = None, None, None, [], set(), []
+    rid, words, hashes, hit, ids, held = None, None, None, None, set(), []
 
     def lay() -> None:
         if held:
             item = [i for i, _ in held]
-            for _, i, a, b in Benchmark(item, pa.array([t for _, t in held], pa.string())).runs(words, hashes):
-                runs.append((a, b))
-                if item[i] is not None:
-                    ids.add(item[i])
+            own, _, items = Benchmark(item, pa.array([t for _, t in held], pa.string())).hits(words, hashes)
+            np.logical_or(hit, own, out=hit)
+            ids.update(item[i] for i in items.tolist() if item[i] is not None)
             held.clear()
 
     def closed() -> Iterator[pa.RecordBatch]:
         lay()
-        if runs:
-            row = [rid], [_covered(runs)], [len(ids)], [_digest(ids)]
+        if hit is not None and hit.any():
+            row = [rid], [int(hit.sum())], [len(ids)], [_digest(ids)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["rid", "n_hit", "n_items", "items_sha256"])
 
     size = 0
@@ -287,9 +310,10 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             if not is_item.as_py():
                 yield from closed()
-                rid, runs, ids, size = r.as_py(), [], set(), 0
+                rid, ids, size = r.as_py(), set(), 0
                 words = cut(pa.array([text]), ALNUM)
                 hashes = words.hashes()
+                hit = np.zeros(len(hashes), bool)
                 continue
             held.append((item.as_py(), text))
             size += len(text)

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fjordframe.llm.decontaminate import clean, decontaminate
+from fjordframe.llm.decontaminate import Benchmark, _judge, clean, decontaminate
 from tests.llm.cases import SCHEMA, documents, prose, thue_morse, with_clashes, words_of
 
 WORD = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -75,3 +77,24 @@ def test_items_with_text_ids_and_long_alike_words(spark, tables, most):
     assert got == brute(docs, items) and [r[2] for r in got if r[0] in (300, 301)] == [15, 0]
     named = decontaminate(d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), spark.createDataFrame(items, "item_id string, text string"), most)
     assert sorted(str(r["doc_id"]) for r in named.collect()) == sorted("None" if r[0] is None else f"d{r[0]}" for r in docs)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_repeated_words_like_brute_force(spark, most):
+    """Texts and items in which the same words and phrases stand again and again."""
+    rng = random.Random(8)
+    phrase = "one two three four five"
+    items = [(1, "a " * 60), (2, "a b " * 20), (3, " ".join(f"{phrase} x{k}" for k in range(30))), (4, "a " * 12 + "stop"), (5, "b"), (6, f"{phrase} " * 4)]
+    docs = [(k, " ".join(rng.choice(["a", "a", "a", "b", "c", phrase]) for _ in range(rng.randint(1, 300))), None, None, None) for k in range(40)]
+    docs += [(50, "a " * 500, None, None, None), (51, " ".join(f"{phrase} y{k}" for k in range(60)), None, None, None), (52, "c " + "a " * 12 + "stop", None, None, None), (53, f"{phrase} " * 50, None, None, None)]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(r) for r in decontaminate(d, b, most).collect()), key=str) == brute(docs, items)
+
+
+def test_work_grows_with_the_text_alone():
+    """One word a million times against one item of it, and a phrase in common that never goes on alike: seconds, not hours."""
+    item = Benchmark([1, 2], pa.array(["a " * 1000, " ".join(f"one two three four five x{k}" for k in range(3000))]))
+    began = time.process_time()
+    counts, found = _judge(item, pa.array(["a " * 1_000_000, " ".join(f"one two three four five y{k}" for k in range(100_000))]))
+    assert counts.tolist() == [1_000_000, 600_000] and found == {0: (1_000_000, {1})}
+    assert time.process_time() - began < 20
