@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fjordframe.functions.lineage import cut
 from fjordframe.functions.ranges import format_ranges
 from fjordframe.functions.shipping import mapped
 from fjordframe.operators.ordering import lagged, row_index, running_total
@@ -203,17 +204,76 @@ def _stacks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.stack([flat[ends[r] : ends[r + 1]] for r in rows]).reshape(len(rows), -1, 3)
 
 
+def turned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rotations that lay stacks of centred structures a (n, atoms, 3) over b best."""
+    u, _, vt = np.linalg.svd(np.swapaxes(a, -1, -2) @ b)
+    u = u.copy()
+    u[..., :, 2] *= np.sign(np.linalg.det(u @ vt))[..., None]
+    return u @ vt
+
+
 def kabsch(moving: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stacks of structures (n, atoms, 3), moving ones laid over fixed ones, and the root mean square deviations that are left."""
     middle = fixed.mean(axis=-2, keepdims=True)
     a, b = moving - moving.mean(axis=-2, keepdims=True), fixed - middle
-    u, _, vt = np.linalg.svd(np.swapaxes(a, -1, -2) @ b)
-    u = u.copy()
-    u[..., :, 2] *= np.sign(np.linalg.det(u @ vt))[..., None]
-    laid = a @ (u @ vt)
+    laid = a @ turned(a, b)
     return laid + middle, np.sqrt(((laid - b) ** 2).sum(axis=-1).mean(axis=-1))
 
 
+def laid_by(moving: np.ndarray, fixed: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Stacks of structures laid over a fixed one by some of their atoms, all atoms moved along."""
+    middle, own = fixed[fit].mean(axis=0), moving[:, fit].mean(axis=1, keepdims=True)
+    return (moving - own) @ turned(moving[:, fit] - own, fixed[fit] - middle) + middle
+
+
+def superposed_fluctuation(coords: DataFrame, frames: DataFrame, fit: list[int]) -> DataFrame:
+    """(atom, rmsf, err, raw): fluctuations about the weighted mean structure, after two passes of superposition.
+
+    coords (frame, atom, x, y, z) have the same atoms in every frame; frames (frame, w, walker) the weights. Frames without a
+    weight above 0 are left out. All frames are laid over the first one by the atoms of fit, then over the weighted mean of
+    those; the mean of that pass is the one that fluctuations are about. rmsf is weighted, err the sample deviation of the
+    walkers' own (about the same mean), raw not weighted. A pass sums up structures inside tasks; only a mean structure, of as
+    many rows as there are atoms, comes to the driver.
+    """
+    shapes = cut(frame_arrays(coords).join(frames.where("w > 0").select("frame", "w", "walker"), "frame"))
+    start = shapes.orderBy("frame").select("atoms", "xyz").first()
+    empty = coords.select("atom").where("false").select("atom", *(F.lit(None).cast("double").alias(c) for c in ("rmsf", "err", "raw")))
+    if start is None:
+        return empty
+    atoms, where = start["atoms"], np.flatnonzero(np.isin(start["atoms"], fit))
+
+    def summed(fixed: np.ndarray, about: np.ndarray | None = None) -> DataFrame:
+        """(walker, n, w, sums, raw) of each batch: weighted sums of the laid places, or of squared deviations (and unweighted ones)."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                walkers = b["walker"].dictionary_encode()
+                weight = b["w"].to_numpy()
+                for rows, shapes in _stacks(b["xyz"]):
+                    laid = laid_by(shapes, fixed, where)
+                    values = laid.reshape(len(rows), -1) if about is None else ((laid - about) ** 2).sum(axis=-1)
+                    own = walkers.indices.to_numpy()[rows]
+                    for k in np.unique(own):
+                        at = own == k
+                        sums = [(weight[rows][at, None] * values[at]).sum(axis=0), values[at].sum(axis=0)]
+                        lists = [pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s)) for s in sums]
+                        yield pa.RecordBatch.from_arrays([walkers.dictionary.take(pa.array([k])), pa.array([int(at.sum())]), pa.array([float(weight[rows][at].sum())]), *lists], names=["walker", "n", "w", "sums", "raw"])
+
+        return shapes.select("w", "walker", "xyz").transform(mapped, add, f"walker {shapes.schema['walker'].dataType.simpleString()}, n long, w double, sums array<double>, raw array<double>")
+
+    def mean(fixed: np.ndarray) -> np.ndarray:
+        totals = summed(fixed).select("w", F.posexplode("sums").alias("k", "s")).groupBy("k").agg((F.sum("s") / F.sum("w")).alias("m"))
+        return np.array([r["m"] for r in totals.orderBy("k").collect()]).reshape(-1, 3)
+
+    first = mean(np.array(start["xyz"]).reshape(-1, 3))
+    parts = summed(first, mean(first)).select("walker", "n", "w", F.posexplode(F.arrays_zip("sums", "raw")).alias("k", "v"))
+    walkers = parts.groupBy("walker", "k").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("v.sums").alias("s"), F.sum("v.raw").alias("r"))
+    kind = coords.schema["atom"].dataType
+    names = coords.sparkSession.createDataFrame(list(enumerate(atoms)), f"k int, atom {kind.simpleString()}")
+    out = walkers.groupBy("k").agg(F.sqrt(F.sum("s") / F.sum("w")).alias("rmsf"), F.stddev_samp(F.sqrt(F.col("s") / F.col("w"))).alias("err"), F.sqrt(F.sum("r") / F.sum("n")).alias("raw"))
+    return out.join(names, "k").select("atom", "rmsf", "err", "raw")
+
+
 def superposed(coords: DataFrame, reference: pd.DataFrame) -> DataFrame:
     """coords of each frame laid over a reference structure (atom, x, y, z), with rmsd; atoms that it lacks are left out."""
     fixed = reference.sort_values("atom")

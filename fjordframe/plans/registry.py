@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fjordframe.plans import hist_queries, series_queries, source_queries, structure_queries, surface_queries, thermo_queries
+from fjordframe.plans import complex_queries, hist_queries, series_queries, source_queries, structure_queries, surface_queries, thermo_queries
 
-MODULES = (thermo_queries, hist_queries, series_queries, surface_queries, structure_queries, source_queries)
+MODULES = (thermo_queries, hist_queries, series_queries, surface_queries, structure_queries, complex_queries, source_queries)
 
 
 def core_queries() -> dict:

@@ -16,13 +16,13 @@ ATOMS = 22
 
 
 def _coords(spark, d):
-    """Each embedding as 22 atoms of three coordinates: all 64 components, then zeros."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
-    triple = F.explode(F.transform(F.sequence(F.lit(0), F.lit(ATOMS - 1)), lambda k: F.struct(k.alias("atom"), *(F.coalesce(F.get("embedding", (k * 3 + c).cast("int")).cast("double"), F.lit(0.0)).alias(n) for c, n in enumerate("xyz")))))
+    """Each embedding as atoms of three coordinates, 22 of 64 components; what lacks of the last is zero."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) > 0")
+    triple = F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 3).cast("int") - 1), lambda k: F.struct(k.alias("atom"), *(F.coalesce(F.get("embedding", (k * 3 + c).cast("int")).cast("double"), F.lit(0.0)).alias(n) for c, n in enumerate("xyz")))))
     return v.select(F.col("vec_id").alias("frame"), "label", triple.alias("a")).select("frame", "label", "a.*")
 
 
-_COORDS = f"(SELECT vec_id AS frame, label, k::INTEGER AS atom, coalesce(embedding[k * 3 + 1]::DOUBLE, 0) AS x, coalesce(embedding[k * 3 + 2]::DOUBLE, 0) AS y, coalesce(embedding[k * 3 + 3]::DOUBLE, 0) AS z FROM embeddings, range({ATOMS}) g(k))"
+_COORDS = "(SELECT vec_id AS frame, label, k::INTEGER AS atom, coalesce(embedding[k * 3 + 1]::DOUBLE, 0) AS x, coalesce(embedding[k * 3 + 2]::DOUBLE, 0) AS y, coalesce(embedding[k * 3 + 3]::DOUBLE, 0) AS z FROM (SELECT *, unnest(range((len(embedding) + 2) // 3)) AS k FROM embeddings))"
 
 
 def contacts(spark, d):
