@@ -26,6 +26,22 @@ def cuts_after(start: float, t_max: float, n: int) -> list[float]:
     return converged_cuts(start, t_max, n)
 
 
+def cut_offs(ends: DataFrame, by: list[str], kinds: dict[str, tuple], n: int) -> DataFrame:
+    """(*by, kind, snap, t_cut): n cut-offs of each kind for every row of ends, a kind being (start, end): columns of ends.
+
+    They lie evenly after the start up to the end, or, without a start, evenly from end / n to the end.
+    """
+    def cut(start: Column | str | None, end: Column | str, k: int) -> Column:
+        end = F.col(end) if isinstance(end, str) else end
+        if start is None:
+            return end / n + (end - end / n) * k / max(1, n - 1)
+        start = F.col(start) if isinstance(start, str) else start
+        return start + (end - start) * (k + 1) / n
+
+    each = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("snap"), cut(start, end, k).alias("t_cut")) for kind, (start, end) in kinds.items() for k in range(n)]
+    return ends.select(*by, F.explode(F.array(*each)).alias("_c")).select(*by, "_c.*")
+
+
 def hill_count_cuts(hills: DataFrame, t: str, n: int, ties: str | None = None) -> DataFrame:
     """(snap, hills, t_cut): a cut-off at every max(1, hills // n)-th hill in time order and one at the last.
 

@@ -15,7 +15,7 @@ def folded_fraction(scenarios: DataFrame, temperatures: DataFrame, r: float) ->
     """One row per scenario variant and temperature with dg, keq and pf.
 
     scenarios has scenario, mutant, tm, dh and dcp; temperatures has t. The pairing is a cross product by
-    definition and both inputs are parameter tables of fixed size.
+    definition and both inputs are small: scenarios are parameters, temperatures whole degrees of a fixed range.
     """
     dg = folding_free_energy(F.col("t"), F.col("tm"), F.col("dh"), F.col("dcp"))
     return (

@@ -87,11 +87,12 @@ def bend_degrees_of(spark, d):
 
 
 def lookup_left(spark, d):
+    """Every frame's row in a series that lacks each 50th: 98 in 100 find theirs, which is enough."""
     f = frames(spark, d)
-    series = f.where("kind = 'purchase'").select("walker", F.rint(F.col("t") * 1000).alias("t"), F.col("row").alias("o"), F.col("x").alias("v"))
-    asked = f.where("row % 2 = 0").select("walker", "row", F.rint(F.col("t") * 1000).alias("t"))
+    series = f.where("row % 50 <> 7").select("walker", F.rint(F.col("t") * 1000).alias("t"), F.col("row").alias("o"), F.col("x").alias("v"))
+    asked = f.select("walker", "row", F.rint(F.col("t") * 1000).alias("t"))
     met = S.lookup_last(asked, series, ["walker"], "t", "o", 1, "left", exact_first=True)
-    return rounded(S.matched_enough(asked, met, F.col("v").isNotNull() | F.col("v").isNull()).select("walker", "row", "v"))
+    return rounded(S.matched_enough(asked, met, F.col("v").isNotNull()).select("walker", "row", "v"))
 
 
 def frame_place(spark, d):
@@ -100,13 +101,13 @@ def frame_place(spark, d):
 
 def pool_candidates(spark, d):
     f = frames(spark, d).select("walker", "row", "t", "x", "y")
-    parts = [f.where(F.col("walker") == k) for k in range(3)]
+    parts = [f.where(F.col("walker") == k) for k in range(6)]
     return rounded(S.pool_candidates(parts, F.col("t"), 0.25, 400.0, {"total": F.col("x") + F.col("y")}, 0.05).select("walker", "row", "t", "total"))
 
 
 def drop_repeated_last(spark, d):
-    """Snapshots at every 100th hill of one walker and at the last; the last one comes twice where the stride fits."""
-    hills = row_index(frames(spark, d).where("kind = 'purchase' AND walker = 0").select("row", "t"), "t", "place", "row")
+    """Snapshots at every 20th hill of all walkers and at the last; the last one comes twice where the stride fits."""
+    hills = row_index(frames(spark, d).where("kind = 'purchase'").select("row", "t"), "t", "place", "row")
     most = hills.agg(F.max("place").alias("most"))
     snaps = hills.where("place % 20 = 0").select("place").unionByName(most.select((F.col("most") - F.col("most") % 20).alias("place")))
     placed = snaps.withColumn("order", F.col("place") * 2).unionByName(most.select(F.col("most").alias("place"), (F.col("most") * 2 + 1).alias("order")))
@@ -131,11 +132,11 @@ SELECT walker, round(low, 6) AS low, rows, round(step, 6) AS step, round(time, 6
 ORACLES = {
     "until": f"SELECT walker, count(*) AS n, {r('max(t)', 't')} FROM {FRAMES} WHERE t <= 300 GROUP BY 1",
     "bend_degrees_of": f"SELECT row, {r('180 - y', 'bend')}, {r('x + y', 'total')} FROM {FRAMES}",
-    "lookup_left": f"""WITH s AS (SELECT walker, round_even(t * 1000, 0) AS k, x AS v FROM {FRAMES} WHERE kind = 'purchase' QUALIFY row_number() OVER (PARTITION BY walker, round_even(t * 1000, 0) ORDER BY row DESC) = 1)
-SELECT f.walker, row, {r("v", "v")} FROM {FRAMES} f LEFT JOIN s ON f.walker = s.walker AND round_even(f.t * 1000, 0) = s.k WHERE row % 2 = 0""",
+    "lookup_left": f"""WITH s AS (SELECT walker, round_even(t * 1000, 0) AS k, x AS v FROM {FRAMES} WHERE row % 50 <> 7 QUALIFY row_number() OVER (PARTITION BY walker, round_even(t * 1000, 0) ORDER BY row DESC) = 1)
+SELECT f.walker, row, {r("v", "v")} FROM {FRAMES} f LEFT JOIN s ON f.walker = s.walker AND round_even(f.t * 1000, 0) = s.k""",
     "frame_place": f"SELECT row, round_even(t / 0.25::DOUBLE, 0)::BIGINT AS place FROM {FRAMES}",
-    "pool_candidates": f"SELECT walker, row, {r('t', 't')}, {r('x + y', 'total')} FROM {FRAMES} WHERE walker < 3 AND abs(t / 0.25::DOUBLE - round_even(t / 0.25::DOUBLE, 0)) < 0.05 AND t <= 400 + 1e-6",
-    "drop_repeated_last": f"SELECT DISTINCT place FROM (SELECT row_number() OVER (ORDER BY t, row) AS place, count(*) OVER () AS most FROM {FRAMES} WHERE kind = 'purchase' AND walker = 0) WHERE place % 20 = 0 OR place = most OR place = most - most % 20",
+    "pool_candidates": f"SELECT walker, row, {r('t', 't')}, {r('x + y', 'total')} FROM {FRAMES} WHERE abs(t / 0.25::DOUBLE - round_even(t / 0.25::DOUBLE, 0)) < 0.05 AND t <= 400 + 1e-6",
+    "drop_repeated_last": f"SELECT DISTINCT place FROM (SELECT row_number() OVER (ORDER BY t, row) AS place, count(*) OVER () AS most FROM {FRAMES} WHERE kind = 'purchase') WHERE place % 20 = 0 OR place = most OR place = most - most % 20",
     "contact_verdict": _DIPS.format(f=FRAMES),
     "boltzmann_sample": f"""SELECT walker, row, draw FROM (SELECT walker, row, (row_number() OVER (PARTITION BY walker ORDER BY ln(((('0x' || substr(md5('42:' || row), 1, 13))::BIGINT >> 2) + 1) / {float((1 << 50) + 1)!r}::DOUBLE) / w DESC, row))::INTEGER AS draw FROM {FRAMES} WHERE w > 0) WHERE draw <= 20""",
     "roundtrips": f"""SELECT walker, sum(c)::BIGINT AS switches, floor(sum(c) / 2)::BIGINT AS trips FROM (

@@ -7,7 +7,9 @@ the DuckDB counterparts leave the same rows out.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordframe.functions.lineage import shared_folder
@@ -87,7 +89,7 @@ def cached_stride(spark, d):
 
 
 def _with_header(spark, d):
-    f = frames(spark, d).where("walker = 0").withColumn("theta", F.radians("y"))
+    f = frames(spark, d).withColumn("theta", F.radians("y"))
     whole = F.concat_ws(" ", "t", "theta", "x", "w")
     lines = f.select("row", _broken(F.col("row"), whole, F.concat_ws(" ", "t", "theta"), F.concat_ws(" ", whole, F.lit("9"))).alias("value"))
     return _text(lines, "row", _folder(spark, "headed"), "#! FIELDS time theta cmap q_A\n# another line of the header\n" + "\n".join(f"#! SET k{k} 0" for k in range(250)))
@@ -99,9 +101,15 @@ def read_with_header(spark, d):
 
 
 def missing_series(spark, d):
-    """A file that is not there reads as nothing where that is asked for."""
-    found = S.read_with_header(spark, f"{_folder(spark, 'nowhere')}/colvar.dat", missing_ok=True)
-    return spark.range(1).select(F.lit(found is None).alias("missing"))
+    """Eight walkers are asked for; a file that is not there reads as nothing."""
+    path = _folder(spark, "walkers")
+    lines = frames(spark, d).select("walker", "row", F.concat_ws(" ", "t", "x").alias("value"))
+    heads = lines.select("walker").distinct().select("walker", F.lit(-1).cast("long").alias("row"), F.lit("#! FIELDS time x").alias("value"))
+    lines.unionByName(heads).repartition("walker").sortWithinPartitions("walker", "row").select("walker", "value").write.partitionBy("walker").text(path)
+    found = {k: S.read_with_header(spark, f"{path}/walker={k}", missing_ok=True) for k in range(8)}
+    parts = [rows.agg(F.lit(k).alias("walker"), F.lit(False).alias("missing"), F.count("*").alias("n")) for k, rows in found.items() if rows is not None]
+    lost = spark.createDataFrame([(k, True, 0) for k, rows in found.items() if rows is None], "walker int, missing boolean, n long")
+    return reduce(DataFrame.unionByName, parts, lost)
 
 
 def copies_of(spark, d):
@@ -154,7 +162,7 @@ def read_table(spark, d):
 
 
 def read_medoids(spark, d):
-    f = frames(spark, d).where("row % 97 = 0")
+    f = frames(spark, d)
     lines = f.select("row", F.concat_ws(" ", F.col("walker") + 1, "walker", "t", "x").alias("value"))
     return rounded(S.read_medoids(spark, _text(lines, "row", _folder(spark, "medoids"), "# state replica time_ps x"), ["x"]))
 
@@ -169,25 +177,25 @@ def read_saved(spark, d):
 
 
 def read_xvg(spark, d):
-    f = frames(spark, d).where("walker = 1")
+    f = frames(spark, d)
     path = _text(f.select("row", F.concat_ws(" ", "t", "x", "y").alias("value")), "row", _folder(spark, "xvg"), "# made\n@ title \"a\"\n@ s0 legend")
     return rounded(S.read_xvg(spark, path, ["t", "dmin", "dmax"]).drop("row"))
 
 
 def atoms(spark, d):
-    """(row, serial, name, resname, chain, resnum, x, y, z): parts in the role of atoms."""
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 99999")
+    """(row, serial, name, resname, chain, resnum, x, y, z): parts in the role of atoms; serials go on from 0 after 99,999, as in the formats."""
+    p = spark.read.parquet(f"{d}/part.parquet")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
     spot = lambda by: F.round(F.col("p_retailprice") % by, 3)
     return p.select(
-        F.col("p_partkey").alias("row"), F.col("p_partkey").cast("int").alias("serial"), pick(["N", "CA", "C", "O", "HB"], F.col("p_partkey") % 5).alias("name"),
+        F.col("p_partkey").alias("row"), (F.col("p_partkey") % 100_000).cast("int").alias("serial"), pick(["N", "CA", "C", "O", "HB"], F.col("p_partkey") % 5).alias("name"),
         pick(["ALA", "DA", "DG"], F.col("p_size") % 3).alias("resname"), pick(["A", "B", "C"], F.col("p_size") % 3).alias("chain"), (F.col("p_partkey") % 97 + 1).cast("int").alias("resnum"),
         spot(9.7).alias("x"), spot(7.3).alias("y"), spot(5.9).alias("z"),
     )
 
 
-ATOMS = """(SELECT p_partkey AS row, p_partkey::INTEGER AS serial, (['N', 'CA', 'C', 'O', 'HB'])[p_partkey % 5 + 1] AS name, (['ALA', 'DA', 'DG'])[p_size % 3 + 1] AS resname,
-(['A', 'B', 'C'])[p_size % 3 + 1] AS chain, (p_partkey % 97 + 1)::INTEGER AS resnum, round(p_retailprice % 9.7::DOUBLE, 3) AS x, round(p_retailprice % 7.3::DOUBLE, 3) AS y, round(p_retailprice % 5.9::DOUBLE, 3) AS z FROM part WHERE p_partkey < 99999)"""
+ATOMS = """(SELECT p_partkey AS row, (p_partkey % 100000)::INTEGER AS serial, (['N', 'CA', 'C', 'O', 'HB'])[p_partkey % 5 + 1] AS name, (['ALA', 'DA', 'DG'])[p_size % 3 + 1] AS resname,
+(['A', 'B', 'C'])[p_size % 3 + 1] AS chain, (p_partkey % 97 + 1)::INTEGER AS resnum, round(p_retailprice % 9.7::DOUBLE, 3) AS x, round(p_retailprice % 7.3::DOUBLE, 3) AS y, round(p_retailprice % 5.9::DOUBLE, 3) AS z FROM part)"""
 
 
 def read_pdb(spark, d):
@@ -197,25 +205,29 @@ def read_pdb(spark, d):
 
 def read_gro(spark, d):
     line = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", "resnum", "resname", "name", "serial", "x", "y", "z")
-    lines = atoms(spark, d).select("row", line.alias("value")).unionByName(spark.createDataFrame([(10**9, "   5.00000   5.00000   5.00000")], "row long, value string"))
+    lines = atoms(spark, d).select("row", line.alias("value")).unionByName(spark.createDataFrame([(10**15, "   5.00000   5.00000   5.00000")], "row long, value string"))
     return S.read_gro(spark, _text(lines, "row", _folder(spark, "gro"), "title of it\n  999")).drop("row").withColumnRenamed("index", "serial")
 
 
 def gro_frames(spark, d):
-    """A text trajectory: each embedding a frame of four atoms."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
-    atom = lambda k: F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.lit(k // 2 + 1), F.lit("ALA"), F.lit("CA"), F.lit(k + 1), *(F.col("embedding")[3 * k + c].cast("double") for c in range(3)))
-    block = F.array(F.format_string("made up t= %.5f step= 0", F.col("vec_id") / 2), F.lit("    4"), *(atom(k) for k in range(4)), F.lit("   5.00000   5.00000   5.00000"))
-    lines = v.select(F.col("vec_id"), F.posexplode(block).alias("k", "value")).select((F.col("vec_id") * 10 + F.col("k")).alias("o"), "value")
+    """A text trajectory: each embedding a frame of atoms, two a residue."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) > 0").withColumn("n", F.ceil(F.size("embedding") / 3).cast("int"))
+    spot = lambda k, c: F.coalesce(F.get("embedding", k * 3 + c).cast("double"), F.lit(0.0))
+    atom = lambda k: F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.floor(k / 2) + 1, F.lit("ALA"), F.lit("CA"), k + 1, *(spot(k, c) for c in range(3)))
+    head, box = F.array(F.format_string("made up t= %.5f step= 0", F.col("vec_id") / 2), F.format_string("%5d", "n")), F.array(F.lit("   5.00000   5.00000   5.00000"))
+    block = F.concat(head, F.transform(F.sequence(F.lit(0), F.col("n") - 1), atom), box)
+    lines = v.select(F.col("vec_id"), F.posexplode(block).alias("k", "value")).select((F.col("vec_id") * 100_000 + F.col("k")).alias("o"), "value")
     return rounded(S.read_gro_frames(spark, _text(lines, "o", _folder(spark, "frames"))).drop("resname", "name"), 3)
 
 
 def pdb_models(spark, d):
-    """A file of several models, a label of the embeddings each."""
-    v = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 90000")
-    atom = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f", "vec_id", F.lit("CA"), F.lit("ALA"), F.lit("A"), F.col("label") + 1, *(F.col("embedding")[c].cast("double") for c in range(3)))
-    models = v.select("label").distinct().select((F.col("label") * 1_000_000 - 1).cast("long").alias("o"), F.format_string("MODEL     %4d", F.col("label") + 1).alias("value"))
-    lines = v.select((F.col("label") * 1_000_000 + F.col("vec_id")).cast("long").alias("o"), atom.alias("value")).unionByName(models)
+    """A file of several models, a label of the embeddings each, with all atoms of its members."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) > 0")
+    v = v.select("vec_id", F.col("label").cast("long").alias("label"), "embedding", F.explode(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 3).cast("int") - 1)).alias("k"))
+    spots = [F.coalesce(F.get("embedding", F.col("k") * 3 + c).cast("double"), F.lit(0.0)) for c in range(3)]
+    atom = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f", (F.col("vec_id") * 22 + F.col("k")) % 100_000, F.lit("CA"), F.lit("ALA"), F.lit("A"), F.col("label") + 1, *spots)
+    models = v.select("label").distinct().select((F.col("label") * 10**15 - 1).alias("o"), F.format_string("MODEL     %4d", F.col("label") + 1).alias("value"))
+    lines = v.select((F.col("label") * 10**15 + F.col("vec_id") * 100_000 + F.col("k")).alias("o"), atom.alias("value")).unionByName(models)
     return rounded(S.read_models(spark, _text(lines, "o", _folder(spark, "models"), "REMARK a")).select("frame", "serial", "resnum", "x", "y", "z"), 3)
 
 
@@ -227,7 +239,7 @@ def thermo_terms(spark, d):
 
 def text_section(spark, d):
     """The lines of an input between two labels, with one text in them replaced."""
-    f = frames(spark, d).where("row < 900")
+    f = frames(spark, d)
     label = F.when(F.col("row") == 100, "tail: ").when(F.col("row") == 400, "wall: ").otherwise("")
     lines = f.select("row", F.concat(label, F.concat_ws(" ", F.concat(F.lit("c"), "row", F.lit(":")), "kind", "walker")).alias("value"))
     return S.text_section(spark, _text(lines, "row", _folder(spark, "input")), "tail:", "wall:", {"purchase": "bought"}).select("value")
@@ -238,7 +250,7 @@ def renumbered_atoms(spark, d):
 
 
 def _contacts(spark, d):
-    a = atoms(spark, d).where("serial <= 300").select((F.col("serial") - 1).alias("a"), F.col("resnum").alias("b"), F.col("x").alias("ref"))
+    a = atoms(spark, d).select((F.col("row") - 1).cast("int").alias("a"), F.col("resnum").alias("b"), F.col("x").alias("ref"))
     return a
 
 
@@ -254,8 +266,10 @@ def contact_block(spark, d):
 
 
 def group_lines(spark, d):
-    few = atoms(spark, d).where("(serial BETWEEN 3 AND 9) OR (chain = 'B' AND serial < 60)")
-    return A.group_lines(few.withColumn("g", F.when(F.col("serial").between(3, 9), "tail").otherwise("dna")), "g")
+    """Groups of runs of atoms that lie together, and of every residue's atoms, which do not."""
+    a = atoms(spark, d)
+    runs = a.withColumn("g", F.concat(F.lit("run"), F.floor(F.col("row") / 7).cast("string")))
+    return A.group_lines(runs.unionByName(a.withColumn("g", F.concat(F.col("chain"), "resnum"))), "g")
 
 
 def export_surface(spark, d):
@@ -297,7 +311,7 @@ def meta_upsert(spark, d):
 
 QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, text_section, renumbered_atoms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
 _SERIES = f"(SELECT walker, row, {_PS} AS ps, x, y, w FROM {FRAMES} WHERE {_KEPT})"
-_HEADED = f"(SELECT * FROM {FRAMES} WHERE walker = 0 AND {_KEPT})"
+_HEADED = f"(SELECT * FROM {FRAMES} WHERE {_KEPT})"
 ORACLES = {
     "read_series": f"SELECT walker, {r('ps * 0.001::DOUBLE', 't')}, {r('x', 'x')}, {r('w', 'w')} FROM {_SERIES}",
     "read_series_sums": f"SELECT walker, {r('ps * 0.001::DOUBLE', 't')}, {r('x + y', 's')} FROM {_SERIES}",
@@ -305,7 +319,7 @@ ORACLES = {
     "last_time": f"SELECT walker, {r('max_by(ps, row) * 0.001::DOUBLE', 't')} FROM {_SERIES} GROUP BY 1",
     "cached_stride": f"SELECT walker, {r('ps * 0.001::DOUBLE', 't')}, {r('x', 'x')}, 1::INTEGER AS made FROM {_SERIES} QUALIFY (row_number() OVER (PARTITION BY walker ORDER BY row) - 1) % 7 = 0",
     "read_with_header": f"SELECT {r('t', 't')}, {r('180 - y', 'bend')}, {r('x', 'contacts')}, {r('w', 'q_A')} FROM {_HEADED}",
-    "missing_series": "SELECT true AS missing",
+    "missing_series": f"SELECT k::INTEGER AS walker, max(row) IS NULL AS missing, count(row) AS n FROM range(8) r(k) LEFT JOIN {FRAMES} f ON f.walker = k GROUP BY k",
     "copies_of": f"SELECT {r('t', 't')}, 'cmap' AS observable, '' AS copy, {r('x', 'value')} FROM {_HEADED} UNION ALL SELECT round(t, 6), 'q', 'A', round(w, 6) FROM {_HEADED}",
     "header_lines": "SELECT 252::BIGINT AS n, 'time,theta,cmap,q_A' AS fields",
     "skipped_lines": f"SELECT count(*) FILTER (WHERE row % 50 <> 7) AS kept, count(*) FILTER (WHERE row % 50 = 7) AS skipped FROM {FRAMES}",
@@ -313,19 +327,20 @@ ORACLES = {
     "first_bias_factor": f"SELECT DISTINCT walker, walker + 10.0::DOUBLE AS gamma FROM {FRAMES} WHERE kind = 'purchase'",
     "read_grid": f"SELECT (dense_rank() OVER (ORDER BY x) - 1)::INTEGER AS i, (dense_rank() OVER (ORDER BY y) - 1)::INTEGER AS j, x, y, f FROM (SELECT (i + 0.5::DOUBLE) * {GX.step}::DOUBLE AS x, (j + 0.5::DOUBLE) * {GY.step}::DOUBLE AS y, mean AS f FROM {_VGRID} WHERE walkers >= 2)",
     "read_table": f"SELECT i::DOUBLE AS i, j::DOUBLE AS j, mean, std, n::DOUBLE AS n, CASE WHEN part = 0 THEN walkers::DOUBLE END AS walkers, part::INTEGER AS part FROM {_VGRID}, range(2) r(part)",
-    "read_medoids": f"SELECT (walker + 1)::INTEGER AS state, walker AS replica, {r('t', 'time')}, {r('x', 'x')} FROM {FRAMES} WHERE row % 97 = 0",
+    "read_medoids": f"SELECT (walker + 1)::INTEGER AS state, walker AS replica, {r('t', 'time')}, {r('x', 'x')} FROM {FRAMES}",
     "read_saved": f"SELECT CASE WHEN (i * 1000 + j) % 3 < 2 THEN 'a' ELSE 'b' END AS name, CASE WHEN (i * 1000 + j) % 3 = 1 THEN 1 ELSE 0 END::INTEGER AS part, i::DOUBLE AS x, mean AS f FROM {_VGRID}",
-    "read_xvg": f"SELECT {r('t', 't')}, {r('x', 'dmin')}, {r('y', 'dmax')} FROM {FRAMES} WHERE walker = 1",
+    "read_xvg": f"SELECT {r('t', 't')}, {r('x', 'dmin')}, {r('y', 'dmax')} FROM {FRAMES}",
     "read_pdb": f"SELECT serial, name, resname, chain, resnum, x, y, z FROM {ATOMS} WHERE row % 50 <> 7",
     "read_gro": f"SELECT serial, name, resname, resnum, x, y, z FROM {ATOMS}",
-    "gro_frames": "SELECT (dense_rank() OVER (ORDER BY vec_id) - 1) AS frame, vec_id / 2.0::DOUBLE AS t, (k // 2 + 1)::INTEGER AS resnum, (k + 1)::INTEGER AS atom, round(embedding[3 * k + 1]::DOUBLE, 3) AS x, round(embedding[3 * k + 2]::DOUBLE, 3) AS y, round(embedding[3 * k + 3]::DOUBLE, 3) AS z FROM embeddings, range(4) r(k)",
-    "pdb_models": "SELECT dense_rank() OVER (ORDER BY label) - 1 AS frame, vec_id::INTEGER AS serial, (label + 1)::INTEGER AS resnum, round(embedding[1]::DOUBLE, 3) AS x, round(embedding[2]::DOUBLE, 3) AS y, round(embedding[3]::DOUBLE, 3) AS z FROM embeddings WHERE vec_id < 90000",
+    "gro_frames": "SELECT (dense_rank() OVER (ORDER BY vec_id) - 1) AS frame, vec_id / 2.0::DOUBLE AS t, (k // 2 + 1)::INTEGER AS resnum, (k + 1)::INTEGER AS atom, round(coalesce(embedding[3 * k + 1]::DOUBLE, 0), 3) AS x, round(coalesce(embedding[3 * k + 2]::DOUBLE, 0), 3) AS y, round(coalesce(embedding[3 * k + 3]::DOUBLE, 0), 3) AS z FROM (SELECT *, unnest(range((len(embedding) + 2) // 3)) AS k FROM embeddings)",
+    "pdb_models": "SELECT dense_rank() OVER (ORDER BY label) - 1 AS frame, ((vec_id * 22 + k) % 100000)::INTEGER AS serial, (label + 1)::INTEGER AS resnum, round(coalesce(embedding[3 * k + 1]::DOUBLE, 0), 3) AS x, round(coalesce(embedding[3 * k + 2]::DOUBLE, 0), 3) AS y, round(coalesce(embedding[3 * k + 3]::DOUBLE, 0), 3) AS z FROM (SELECT *, unnest(range((len(embedding) + 2) // 3)) AS k FROM embeddings)",
     "thermo_terms": f"SELECT upper(kind[1]) || kind[2:] AS term, round(avg(x), 3) AS average, round(max(x), 3) AS error, count(*)::DOUBLE AS rmsd, 0.5::DOUBLE AS drift FROM {FRAMES} WHERE kind IN ('purchase', 'view', 'click') GROUP BY kind",
     "text_section": f"SELECT CASE row WHEN 100 THEN 'tail: ' ELSE '' END || 'c' || row || ': ' || CASE kind WHEN 'purchase' THEN 'bought' ELSE kind END || ' ' || walker AS value FROM {FRAMES} WHERE row BETWEEN 100 AND 399",
     "renumbered_atoms": f"SELECT row_number() OVER (ORDER BY row)::INTEGER AS serial, row FROM {ATOMS} WHERE chain = 'B'",
-    "read_contacts": f"SELECT serial - 1 AS a, resnum AS b, x AS ref FROM {ATOMS} WHERE serial <= 300",
-    "contact_block": f"SELECT serial AS a, resnum + 1 AS b, x AS ref, {r('1.0::DOUBLE / count(*) OVER ()', 'weight')} FROM {ATOMS} WHERE serial <= 300",
-    "group_lines": f"SELECT 'tail' AS grp, 'tail: GROUP ATOMS=3-9' AS line UNION ALL SELECT 'dna', 'dna: GROUP ATOMS=' || array_to_string(list_sort(list(serial)), ',') FROM {ATOMS} WHERE chain = 'B' AND serial < 60 AND serial NOT BETWEEN 3 AND 9",
+    "read_contacts": f"SELECT (row - 1)::INTEGER AS a, resnum AS b, x AS ref FROM {ATOMS}",
+    "contact_block": f"SELECT row::INTEGER AS a, resnum + 1 AS b, x AS ref, {r('1.0::DOUBLE / count(*) OVER ()', 'weight')} FROM {ATOMS}",
+    "group_lines": f"""SELECT g AS grp, g || ': GROUP ATOMS=' || CASE WHEN count(DISTINCT serial) > 1 AND max(serial) - min(serial) + 1 = count(DISTINCT serial) THEN min(serial) || '-' || max(serial) ELSE array_to_string(list_sort(list(DISTINCT serial)), ',') END AS line
+FROM (SELECT serial, 'run' || row // 7 AS g FROM {ATOMS} UNION ALL SELECT serial, chain || resnum FROM {ATOMS}) GROUP BY g""",
     "export_surface": f"""SELECT (a.i + 0.5::DOUBLE) * {GX.step}::DOUBLE AS cv1, (b.j + 0.5::DOUBLE) * {GY.step}::DOUBLE AS cv2, round(mean, 3) AS mean, round(std, 3) AS std, coalesce(n, 0)::DOUBLE AS n,
 CASE WHEN NOT narrow THEN coalesce(walkers, 0)::DOUBLE END AS walkers, narrow FROM range({GX.n}) a(i), range({GY.n}) b(j), (VALUES (true), (false)) v(narrow) LEFT JOIN {_VGRID} g ON g.i = a.i AND g.j = b.j""",
     "export_profile": f"SELECT k::DOUBLE AS k, round(f - min(f) OVER (), 3) AS f, 3::INTEGER AS head FROM (SELECT {AX.sql('x')} AS k, -{KBT}::DOUBLE * ln(sum(w)) AS f FROM {FRAMES} GROUP BY 1) WHERE k IS NOT NULL",

@@ -127,7 +127,7 @@ def atom_groups(spark, d):
 
 
 def copies_by_reset(spark, d):
-    return A.copies_by_reset(atoms(spark, d), "serial").groupBy("copy").agg(F.count("*").alias("n"), F.min("serial").alias("first"))
+    return A.copies_by_reset(atoms(spark, d), "row").groupBy("copy").agg(F.count("*").alias("n"), F.min("row").alias("first"))
 
 
 def terminal_atoms(spark, d):
@@ -140,12 +140,15 @@ def renamed_atoms(spark, d):
 
 def mutated_atoms(spark, d):
     a = atoms(spark, d)
-    placed = a.where("serial = 1").withColumns({"serial": F.lit(99_999), "name": F.lit("OG"), "resname": F.lit("SER"), "resnum": F.lit(21), "chain": F.lit("A")})
+    placed = a.where("row = 1").withColumns({"serial": F.lit(99_999), "name": F.lit("OG"), "resname": F.lit("SER"), "resnum": F.lit(21), "chain": F.lit("A")})
     return A.mutated(a, 21, "A", "SER", ["N", "CA", "C"], placed).where("resnum = 21").select("serial", "name", "resname", "chain")
 
 
 def ranges_text(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('27-42,48-61'), ('5'), ('3-3,9,7'), ('1-4') AS t(text)")
+    """Texts of ranges over each part's key, parsed and written again: two ranges, three numbers out of order, and one range."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("int").alias("k"))
+    text = F.when(F.col("k") % 3 == 0, F.format_string("%d-%d,%d-%d", F.col("k"), F.col("k") + 4, F.col("k") + 8, F.col("k") + 9)).when(F.col("k") % 3 == 1, F.format_string("%d-%d,%d,%d", F.col("k"), F.col("k"), F.col("k") + 6, F.col("k") + 4)).otherwise(F.format_string("%d-%d", F.col("k"), F.col("k") + F.col("k") % 7))
+    rows = p.select(text.alias("text"))
     return rows.select("text", F.size(parse_ranges(F.col("text"))).alias("n"), format_ranges(parse_ranges(F.col("text"))).alias("back"))
 
 
@@ -185,7 +188,7 @@ j AS (SELECT *, {", ".join(f"coalesce(round_even({n} - lag({n}) OVER (PARTITION
 s AS (SELECT *, {", ".join(f"sum(j{n}) OVER (PARTITION BY frame, chain ORDER BY atom) AS s{n}" for n in "uvw")} FROM j)
 SELECT frame, chain, atom, round(x - su * 0.3::DOUBLE - sv * 0.05::DOUBLE - sw * -0.02::DOUBLE, 5) AS x, round(y - sv * 0.28::DOUBLE - sw * 0.04::DOUBLE, 5) AS y, round(z - sw * 0.26::DOUBLE, 5) AS z FROM s""",
     "atom_groups": f"SELECT serial, name, chain, resnum FROM {ATOM_ROWS} WHERE resnum BETWEEN 5 AND 60 AND name = 'CA' AND chain IN ('A', 'B')",
-    "copies_by_reset": f"SELECT copy, count(*) AS n, min(serial) AS first FROM (SELECT serial, sum(f) OVER (ORDER BY serial)::BIGINT AS copy FROM (SELECT serial, coalesce(resnum < lag(resnum) OVER (ORDER BY serial), false)::INTEGER AS f FROM {ATOM_ROWS})) GROUP BY 1",
+    "copies_by_reset": f"SELECT copy, count(*) AS n, min(row) AS first FROM (SELECT row, sum(f) OVER (ORDER BY row)::BIGINT AS copy FROM (SELECT row, coalesce(resnum < lag(resnum) OVER (ORDER BY row), false)::INTEGER AS f FROM {ATOM_ROWS})) GROUP BY 1",
     "terminal_atoms": f"SELECT serial, chain, resnum FROM {ATOM_ROWS} QUALIFY resnum IN (min(resnum) OVER (PARTITION BY chain), max(resnum) OVER (PARTITION BY chain))",
     "renamed_atoms": f"SELECT CASE resname WHEN 'DA' THEN 'DA5' WHEN 'ALA' THEN 'GLY' ELSE resname END AS resname, CASE name WHEN 'HB' THEN 'H1' ELSE name END AS name, count(*) AS count FROM {ATOM_ROWS} GROUP BY 1, 2",
     "mutated_atoms": f"SELECT serial, name, CASE WHEN chain = 'A' THEN 'SER' ELSE resname END AS resname, chain FROM {ATOM_ROWS} WHERE resnum = 21 AND (chain <> 'A' OR name IN ('N', 'CA', 'C')) UNION ALL VALUES (99999, 'OG', 'SER', 'A')",
@@ -197,5 +200,6 @@ SELECT frame, chain, atom, round(x - su * 0.3::DOUBLE - sv * 0.05::DOUBLE - sw *
     "segment_means": f"SELECT segment, {r('avg(rmsf)', 'mean')} FROM {_rmsf(f'(SELECT *, 1.0::DOUBLE AS w FROM {_COORDS})', 'atom')} JOIN (VALUES ('a', 0, 5), ('b', 6, 12), ('c', 13, 21)) s(segment, first, last) ON atom BETWEEN first AND last GROUP BY segment",
     "coordination": f"SELECT a.frame, {r(f'sum(1 / (1 + pow({_D} / 0.2::DOUBLE, 6)))', 'value')} FROM {_COORDS} a JOIN {_COORDS} b USING (frame) WHERE a.atom < 8 AND b.atom >= 12 GROUP BY 1",
     "medoid": f"SELECT label, a AS vec_id, {r('total', 'total')} FROM (SELECT p.label, p.vec_id AS a, sum(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: pow(e[1]::DOUBLE - e[2]::DOUBLE, 2))))) AS total FROM embeddings p JOIN embeddings q ON p.label = q.label GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, a) = 1",
-    "ranges_text": "SELECT * FROM (VALUES ('27-42,48-61', 30, '" + ",".join(map(str, [*range(27, 43), *range(48, 62)])) + "'), ('5', 1, '5'), ('3-3,9,7', 3, '3,7,9'), ('1-4', 4, '1-4')) t(text, n, back)",
+    "ranges_text": """SELECT CASE k % 3 WHEN 0 THEN k || '-' || k + 4 || ',' || k + 8 || '-' || k + 9 WHEN 1 THEN k || '-' || k || ',' || k + 6 || ',' || k + 4 ELSE k || '-' || k + k % 7 END AS text, CASE k % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE k % 7 + 1 END::INTEGER AS n,
+CASE k % 3 WHEN 0 THEN array_to_string(list_concat(range(k, k + 5), [k + 8, k + 9]), ',') WHEN 1 THEN k || ',' || k + 4 || ',' || k + 6 ELSE CASE WHEN k % 7 = 0 THEN k::VARCHAR ELSE k || '-' || k + k % 7 END END AS back FROM (SELECT p_partkey AS k FROM part)""",
 }

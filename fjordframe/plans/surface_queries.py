@@ -178,8 +178,9 @@ def hill_count_cuts(spark, d):
 
 
 def snapshot_cut_offs(spark, d):
-    rows = [(kind, k, t) for kind, cuts in (("fixed", E.fixed_cuts(720.0, 6)), ("converged", E.converged_cuts(120.0, 720.0, 6)), ("after", E.cuts_after(5.0, 720.0, 6))) for k, t in enumerate(cuts)]
-    return rounded(spark.createDataFrame(rows, "kind string, snap int, t_cut double"))
+    """Six cut-offs of three kinds for every walker, by its own first and last times."""
+    ends = frames(spark, d).groupBy("walker").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return rounded(E.cut_offs(ends, ["walker"], {"fixed": (None, "last"), "converged": (F.col("last") / 6, "last"), "after": ("first", "last")}, 6))
 
 
 def basins_below(spark, d):
@@ -290,7 +291,8 @@ reach AS (SELECT i, j FROM (SELECT i, j FROM ok ORDER BY mean, i, j LIMIT 1) UNI
 SELECT g.j AS i, g.i AS j, (g.j + 0.5::DOUBLE) * {GY.step}::DOUBLE AS cv1, (g.i + 0.5::DOUBLE) * {GX.step}::DOUBLE AS cv2, CASE WHEN reach.i IS NOT NULL THEN round(g.mean - (SELECT min(mean) FROM g JOIN reach USING (i, j)), 6) END AS f FROM g LEFT JOIN reach ON g.i = reach.i AND g.j = reach.j""",
     "region_without_good_cells": f"SELECT true AS reliable, count(*) AS count FROM {_WGRID}",
     "hill_count_cuts": f"""SELECT (row_number() OVER (ORDER BY p) - 1)::INTEGER AS snap, p AS hills, round(t, 6) AS t_cut FROM (SELECT t, row_number() OVER (ORDER BY t, row) AS p, count(*) OVER () AS n FROM {FRAMES} WHERE kind = 'purchase') WHERE p % greatest(1, n // 7) = 0 OR p = n""",
-    "snapshot_cut_offs": "SELECT 'fixed' AS kind, k::INTEGER AS snap, round(120.0::DOUBLE + k * 120, 6) AS t_cut FROM range(6) r(k) UNION ALL SELECT 'converged', k::INTEGER, round(120.0::DOUBLE + 600.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k) UNION ALL SELECT 'after', k::INTEGER, round(5.0::DOUBLE + 715.0::DOUBLE * (k + 1) / 6, 6) FROM range(6) r(k)",
+    "snapshot_cut_offs": f"""WITH e AS (SELECT walker, min(t) AS a, max(t) AS b FROM {FRAMES} GROUP BY 1) SELECT walker, kind, k::INTEGER AS snap,
+round(CASE kind WHEN 'fixed' THEN b / 6 + (b - b / 6) * k / 5 WHEN 'converged' THEN b / 6 + (b - b / 6) * (k + 1) / 6 ELSE a + (b - a) * (k + 1) / 6 END, 6) AS t_cut FROM e, range(6) r(k), (VALUES ('fixed'), ('converged'), ('after')) v(kind)""",
     "basins_below": f"WITH RECURSIVE {_DRAINS} SELECT label, mi AS i, mj AS j, fmin, count(*) FILTER (WHERE f < fmin + 2) AS ncells FROM l WHERE label > 0 GROUP BY ALL",
     "basin_segments": _merged(1.0),
     "basin_segments_low": _merged(0.2),
