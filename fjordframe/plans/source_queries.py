@@ -68,8 +68,9 @@ def read_capped(spark, d):
 
 
 def last_time(spark, d):
-    rows = S.read_series(spark, _series(spark, d), {"x": 1, "y": 2, "w": 3})
-    return rounded(S.last_time(rows).select(S.walker_of(F.col("file")).alias("walker"), "t"))
+    """From the files' last blocks."""
+    rows = S.last_times(spark, _series(spark, d), {"x": 1, "y": 2, "w": 3})
+    return rounded(rows.select(S.walker_of(F.col("file")).alias("walker"), "t"))
 
 
 def cached_stride(spark, d):
@@ -82,12 +83,31 @@ def cached_stride(spark, d):
         rows = S.read_series(spark, source, {"x": 1, "w": 3})
         return R.every_nth(rows, ["walker"], "row", 7).select("walker", "t", "x")
 
-    key = [source, {"x": 1, "w": 3}, 7]
-    sinks.cached(spark, path, key, make)
-    out = sinks.cached(spark, path, key, make)
+    key = [{"x": 1, "w": 3}, 7]
+    sinks.cached(spark, path, key, make, source)
+    out = sinks.cached(spark, path, key, make, source)
     return rounded(out.withColumn("made", F.lit(len(made))))
 
 
+def cached_files(spark, d):
+    """Series cached file by file: after one walker's file has changed, that one alone is read again."""
+    f = frames(spark, d).withColumn("value", F.concat_ws(" ", F.rint(F.col("t") * 1000), "x", "y", "w"))
+    source, path, made = _folder(spark, "colvar"), _folder(spark, "cache"), []
+    for k in range(6):
+        f.where(F.col("walker") == k).coalesce(1).sortWithinPartitions("row").select("value").write.text(f"{source}/walker={k}")
+
+    def make(files):
+        made.append(len(files))
+        return S.read_series(spark, files, {"x": 1, "w": 3}).select("file", "walker", "t", "x")
+
+    read = lambda: sinks.cached_by_file(spark, path, [{"x": 1, "w": 3}], f"{source}/walker=*", make)
+    before = read().groupBy("walker").agg(F.count("*").alias("before"))
+    read()
+    f.where("walker = 3 AND row % 3 > 0").coalesce(1).sortWithinPartitions("row").select("value").write.mode("overwrite").text(f"{source}/walker=3")
+    after = read().groupBy("walker").agg(F.count("*").alias("after"), F.sum("x").alias("x"))
+    return rounded(before.join(after, "walker").withColumn("read", F.lit(",".join(map(str, made)))), 4)
+
+
 def _with_header(spark, d):
     f = frames(spark, d).withColumn("theta", F.radians("y"))
     whole = F.concat_ws(" ", "t", "theta", "x", "w")
@@ -140,7 +160,8 @@ def read_hills(spark, d):
 
 
 def first_bias_factor(spark, d):
-    return S.first_bias_factor(S.read_hills(spark, _hills(spark, d), 2)).select(S.walker_of(F.col("file")).alias("walker"), "gamma")
+    """From the files' first blocks."""
+    return S.first_bias_factors(spark, _hills(spark, d), 2).select(S.walker_of(F.col("file")).alias("walker"), "gamma")
 
 
 def read_grid(spark, d):
@@ -309,7 +330,7 @@ def meta_upsert(spark, d):
     return spark.createDataFrame([(k, str(i), str(v)) for k, e in found.items() for i, v in e.items()], "panel string, entry string, value string")
 
 
-QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, text_section, renumbered_atoms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
+QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, cached_files, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, text_section, renumbered_atoms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
 _SERIES = f"(SELECT walker, row, {_PS} AS ps, x, y, w FROM {FRAMES} WHERE {_KEPT})"
 _HEADED = f"(SELECT * FROM {FRAMES} WHERE {_KEPT})"
 ORACLES = {
@@ -318,6 +339,7 @@ ORACLES = {
     "read_capped": f"SELECT walker, count(*) AS n, {r('max(ps)', 't')} FROM (SELECT walker, row, {_PS} AS ps FROM {FRAMES} WHERE row % 50 <> 9) WHERE ps <= 300000 GROUP BY 1",
     "last_time": f"SELECT walker, {r('max_by(ps, row) * 0.001::DOUBLE', 't')} FROM {_SERIES} GROUP BY 1",
     "cached_stride": f"SELECT walker, {r('ps * 0.001::DOUBLE', 't')}, {r('x', 'x')}, 1::INTEGER AS made FROM {_SERIES} QUALIFY (row_number() OVER (PARTITION BY walker ORDER BY row) - 1) % 7 = 0",
+    "cached_files": f"SELECT walker, count(*) AS before, count(*) FILTER (WHERE walker <> 3 OR row % 3 > 0) AS after, {r('sum(x) FILTER (WHERE walker <> 3 OR row % 3 > 0)', 'x', 4)}, '6,1' AS read FROM {FRAMES} GROUP BY 1",
     "read_with_header": f"SELECT {r('t', 't')}, {r('180 - y', 'bend')}, {r('x', 'contacts')}, {r('w', 'q_A')} FROM {_HEADED}",
     "missing_series": f"SELECT k::INTEGER AS walker, max(row) IS NULL AS missing, count(row) AS n FROM range(8) r(k) LEFT JOIN {FRAMES} f ON f.walker = k GROUP BY k",
     "copies_of": f"SELECT {r('t', 't')}, 'cmap' AS observable, '' AS copy, {r('x', 'value')} FROM {_HEADED} UNION ALL SELECT round(t, 6), 'q', 'A', round(w, 6) FROM {_HEADED}",

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordframe.functions.binning import Axis
 from fjordframe.operators.hist import dense
+from fjordframe.sources.ends import files_of
 
 
 def archive(table: DataFrame, path: str, order: list[str], meta: dict | None = None) -> None:
@@ -58,15 +62,51 @@ def upsert_meta(spark: SparkSession, path: str, entries: dict) -> dict:
     return merged
 
 
-def cached(spark: SparkSession, path: str, key: list, make) -> DataFrame:
-    """The table of make(), kept under path by a fingerprint of key (input paths, times, column names and places, stride)."""
-    place = f"{path}/{hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:24]}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+def _fingerprint(*parts: object) -> str:
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+
+def cached(spark: SparkSession, path: str, key: list, make: Callable[[], DataFrame], sources: str | list[str] | None = None) -> DataFrame:
+    """The table of make(), kept under path by a fingerprint of key (column names and places, stride) and of the sources' files.
+
+    A file counts by its path, length and time of change, so that a source that changes is read again.
+    """
+    place = f"{path}/{_fingerprint(key, files_of(spark, sources) if sources else [])}"
+    if not _exists(spark, f"{place}/_SUCCESS"):
         make().write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def cached_by_file(spark: SparkSession, path: str, key: list, sources: str | list[str], make: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """The rows of make(files), a table with a column file, over all files of the sources; files that did not change come from the cache.
+
+    Rows of files not met before, or changed since (by path, length, time or key), are written beside the others in one job and
+    then listed; what an interrupted job left is not listed and so never read. Rows of files that are gone stay in the
+    folder and are left out.
+    """
+    files = {_fingerprint(key, f): f[0] for f in files_of(spark, sources)}
+    known = {r["entry"]: r["folder"] for r in spark.read.parquet(f"{path}/listed").collect()} if _exists(spark, f"{path}/listed/_SUCCESS") else {}  # a row a file
+    fresh = {entry: name for entry, name in files.items() if entry not in known}
+    if fresh:
+        folder = f"{path}/rows-{uuid.uuid4().hex}"
+        names = spark.createDataFrame([(name, entry) for entry, name in fresh.items()], "_name string, _entry string")
+        rows = make(list(fresh.values()))
+        rows.join(names, F.regexp_replace("file", "^file:/+", "file:///") == F.col("_name")).drop("_name").write.partitionBy("_entry").parquet(folder)
+        spark.createDataFrame([(entry, folder) for entry in fresh], "entry string, folder string").coalesce(1).write.mode("append").parquet(f"{path}/listed")
+        known |= dict.fromkeys(fresh, folder)
+    if not files:
+        return make([])
+    wanted = spark.createDataFrame([(entry, known[entry]) for entry in files], "_entry string, _folder string")
+    parts = [spark.read.parquet(folder).withColumn("_folder", F.lit(folder)) for folder in sorted({known[e] for e in files})]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.join(wanted, ["_entry", "_folder"], "left_semi").drop("_entry", "_folder")
+
+
 def pdb_lines(atoms: DataFrame) -> DataFrame:
     """(row, line): atoms as PDB ATOM records."""
     return atoms.select("row", F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f", "serial", "name", "resname", "chain", "resnum", "x", "y", "z").alias("line"))

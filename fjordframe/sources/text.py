@@ -1,8 +1,8 @@
 """Tolerant readers of text series, hills, grids and structures, all over spark.read.text.
 
 A series line is split on blanks; lines that begin with a comment mark, are short, or hold anything but finite
-numbers in the wanted columns are left out. File order is kept as (file, row), where row is the line's place as Spark
-reads it; a column `walker` comes from the file name's number.
+numbers in the wanted columns are left out. File order is kept as (file, row), where row grows from line to line of a file
+however Spark packs its parts; a column `walker` comes from the file name's number.
 """
 
 from __future__ import annotations
@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fjordframe.operators.ordering import row_index, running_total
+from fjordframe.sources.ends import HEAD, TAIL, _opened, at_ends, end_lines, files_of, first_of_file, last_of_file
 
 _COMMENT = r"^\s*[#!@]"
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(value, file, row): lines in file order inside each file."""
-    text = spark.read.text(paths).select("value", F.input_file_name().alias("file"))
-    return text.withColumn("row", F.monotonically_increasing_id())
+    text = spark.read.text(paths).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    # By the part of the file (none is under 4096 bytes but the last), then by the line's place in the task.
+    place = F.shiftleft(F.floor(F.col("_start") / 4096), 33) + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return text.select("value", "file", place.alias("row"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -61,17 +64,30 @@ def _finite(c: Column) -> Column:
 
 def read_series(spark: SparkSession, paths: str | list[str], columns: dict[str, int | list[int]], time: int = 0, scale: float = 1e-3) -> DataFrame:
     """(file, row, walker, t, *columns): columns by place, a list of places being summed; time times scale (ps to ns)."""
-    rows = _fields(lines(spark, paths))
+    return _series(lines(spark, paths), columns, time, scale)
+
+
+def _series(text: DataFrame, columns: dict[str, int | list[int]], time: int, scale: float) -> DataFrame:
+    rows = _fields(text)
     values = {name: sum((_number(p) for p in (places if isinstance(places, list) else [places])), F.lit(0.0)) for name, places in columns.items()}
     out = rows.select("file", "row", walker_of(F.col("file")).alias("walker"), (_number(time) * scale).alias("t"), *(v.alias(n) for n, v in values.items()))
     return out.where(_finite(F.col("t"))).where(" AND ".join(f"{n} IS NOT NULL AND NOT isnan({n}) AND abs({n}) < double('inf')" for n in columns) or "true")
 
 
 def header(spark: SparkSession, path: str, marks: str = "#!@") -> list[str]:
-    """The leading comment lines of a file, however many, read line by line from its beginning."""
-    text = lines(spark, path)
+    """The leading comment lines of a file, however many, from its first blocks; of a folder, those of its first file.
+
+    A file of comments only is its own header, and comes to the driver.
+    """
+    files = files_of(spark, path)[:1]
     plain = ~F.substring(F.ltrim("value"), 1, 1).isin(list(marks))
-    first = text.where(plain).agg(F.min("row").alias("r")).first()["r"]
+    size, names = HEAD, [name for name, *_ in files]
+    while True:
+        text = end_lines(spark, files, size) if all(map(_opened, names)) else lines(spark, names)
+        first = text.where(plain).agg(F.min("row").alias("r")).first()["r"]
+        if first is not None or not any(length > size for _, length, _ in files):
+            break
+        size *= 2
     head = text if first is None else text.where(F.col("row") < first)
     return [r["value"] for r in head.orderBy("row").collect()]
 
@@ -108,10 +124,12 @@ def skipped_lines(spark: SparkSession, path: str, column: int) -> DataFrame:
 
 def read_hills(spark: SparkSession, paths: str | list[str], dimensions: int) -> DataFrame:
     """(file, row, walker, t, centre[], sigma[], height, biasf) with time as stored; a glob without files is an error."""
-    d = dimensions
     paths = found_paths(spark, paths) if isinstance(paths, str) else paths
-    rows = _fields(lines(spark, paths))
-    out = rows.select(
+    return _hills(lines(spark, paths), dimensions)
+
+
+def _hills(text: DataFrame, d: int) -> DataFrame:
+    out = _fields(text).select(
         "file", "row", walker_of(F.col("file")).alias("walker"), _number(0).alias("t"),
         F.array(*(_number(1 + k) for k in range(d))).alias("centre"), F.array(*(_number(1 + d + k) for k in range(d))).alias("sigma"),
         _number(1 + 2 * d).alias("height"), _number(2 + 2 * d).alias("biasf"),
@@ -124,6 +142,17 @@ def first_bias_factor(hills: DataFrame) -> DataFrame:
     return hills.groupBy("file").agg(F.min_by("biasf", "row").alias("gamma"))
 
 
+def first_bias_factors(spark: SparkSession, paths: str | list[str], dimensions: int) -> DataFrame:
+    """(file, gamma): the bias factor of each file's first row, from the files' first blocks."""
+    find = lambda text: first_of_file(_hills(text, dimensions), "biasf").withColumnRenamed("biasf", "gamma")
+    return at_ends(spark, paths, HEAD, find, lambda names: lines(spark, names))
+
+
+def last_times(spark: SparkSession, paths: str | list[str], columns: dict[str, int | list[int]], time: int = 0, scale: float = 1e-3) -> DataFrame:
+    """(file, t): the time of each file's last row that read_series() would read, from the files' last blocks."""
+    return at_ends(spark, paths, -TAIL, lambda text: last_of_file(_series(text, columns, time, scale), "t"), lambda names: lines(spark, names))
+
+
 def last_time(series: DataFrame) -> DataFrame:
     """(file, t): the time of each file's last row."""
     return series.groupBy("file").agg(F.max_by("t", "row").alias("t"))
