@@ -10,6 +10,7 @@ from fjordframe.operators import ensembles as E
 from fjordframe.operators import grid as G
 from fjordframe.operators import hist as H
 from fjordframe.operators import reweight as W
+from fjordframe.operators import simplex as X
 from fjordframe.plans.standin import AX, AY, CUTS, FRAMES, GAMMA, KBT, frames, r, rounded
 
 HX, SIGMA, HEIGHT = Axis(0.0, 500.0, 100), 8.0, 0.5
@@ -150,6 +151,17 @@ def fes_at_points(spark, d):
     return rounded(G.multilinear(frames(spark, d).select("row", "x", "y"), [F.col("x"), F.col("y")], spots, [GX, GY], "f").select("row", "f"))
 
 
+RX, RY = Axis(0.0, 500.0, 8), Axis(0.0, 100.0, 6)
+
+
+def fes_simplex(spark, d):
+    """Each walker's frames on its own surface through the centres of mass of coarse bins, by Delaunay triangles; null outside of them."""
+    f = frames(spark, d)
+    binned = f.select("walker", RX.index(F.col("x")).alias("i"), RY.index(F.col("y")).alias("j"), "x", "y", "w").dropna()
+    nodes = binned.groupBy("walker", "i", "j").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("w").alias("f"))
+    return rounded(X.simplex_values(f.select("walker", "row", "x", "y"), X.triangulated(nodes, ["walker"]), ["walker"], ["row"]).select("walker", "row", "f"))
+
+
 def resampled_curves(spark, d):
     s = _surfaces(spark, d).withColumn("x", AX.centre(F.col("k")))
     return rounded(G.resampled(s, ["snap"], "x", "f", 20.0, 320.0, 300, 4).select("snap", "k", "f"))
@@ -241,7 +253,7 @@ _HSQL = f"(SELECT t, x AS c FROM {FRAMES} WHERE kind = 'purchase')"
 _REACH = f"k BETWEEN round_even(c / {HX.step}::DOUBLE, 0) - ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE) AND round_even(c / {HX.step}::DOUBLE, 0) + ceil(4 * {SIGMA}::DOUBLE / {HX.step}::DOUBLE)"
 _BUMP = f"{HEIGHT}::DOUBLE * exp(-pow(k * {HX.step}::DOUBLE - c, 2) / (2 * {SIGMA}::DOUBLE * {SIGMA}::DOUBLE))"
 
-QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, basin_segments_low, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region, hill_snapshots, hills_kernel_sum_2d, ct_weights_2d, fes_at_points, resampled_curves, sampled_cells, swapped_surface, reliable_region2d_rounds, region_without_good_cells, hill_count_cuts, snapshot_cut_offs, basins_below, shoulder_cells, assigned_frames)}
+QUERIES = {f.__name__: f for f in (snapshot_mean_std, snapshot_mad, fes_drift, mad_trend, final_bias_weights, gate_mad, hills_kernel_sum_1d, ct_weights_bucketed, nearest_cell, interp_clamp, interp_null, bilinear_frames, smooth_grid, reliable_region2d, watershed_labels, basin_segments, basin_segments_low, snapshot_bundle, pooled_widths, minimum_drift, extended_grid, masked_smooth, visited_region, hill_snapshots, hills_kernel_sum_2d, ct_weights_2d, fes_at_points, fes_simplex, resampled_curves, sampled_cells, swapped_surface, reliable_region2d_rounds, region_without_good_cells, hill_count_cuts, snapshot_cut_offs, basins_below, shoulder_cells, assigned_frames)}
 _NEAR2 = " AND ".join(f"{k} BETWEEN round_even({c} / {a.step}::DOUBLE, 0) - ceil(4 * {w}::DOUBLE / {a.step}::DOUBLE) AND round_even({c} / {a.step}::DOUBLE, 0) + ceil(4 * {w}::DOUBLE / {a.step}::DOUBLE)" for k, c, a, w in (("i", "x", HX2, SIGMA2[0]), ("j", "y", HY2, SIGMA2[1])))
 _BUMP2 = f"{HEIGHT}::DOUBLE * exp(-pow(i * {HX2.step}::DOUBLE - x, 2) / (2 * pow({SIGMA2[0]}::DOUBLE, 2))) * exp(-pow(j * {HY2.step}::DOUBLE - y, 2) / (2 * pow({SIGMA2[1]}::DOUBLE, 2)))"
 _SPREAD2 = f"(SELECT t, (i * {HY2.n + 1} + j)::INTEGER AS k, {_BUMP2} AS g FROM {FRAMES}, range({HX2.n + 1}) a(i), range({HY2.n + 1}) b(j) WHERE kind = 'purchase' AND t <= 400 AND {_NEAR2})"
@@ -280,6 +292,11 @@ o AS (SELECT f.row, v.v, coalesce(c.c, 0) AS c FROM f JOIN v ON f.row = v.row AS
 SELECT row, {r("v", "v")}, {r("c", "c")}, {r("exp((v - c - max(v - c) OVER ()) / 50.0::DOUBLE)", "w")} FROM o""",
     "fes_at_points": f"""WITH p AS (SELECT row, x, y, least(greatest(x / {GX.step}::DOUBLE, 0), {GX.n}) AS u, least(greatest(y / {GY.step}::DOUBLE, 0), {GY.n}) AS v FROM {FRAMES}), q AS (SELECT *, least(floor(u), {GX.n - 1}) AS i, least(floor(v), {GY.n - 1}) AS j FROM p)
 SELECT row, CASE WHEN x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 100 THEN {r("(1 - (u - i)) * (1 - (v - j)) * (i * j / 7.0::DOUBLE + i) + (1 - (u - i)) * (v - j) * (i * (j + 1) / 7.0::DOUBLE + i) + (u - i) * (1 - (v - j)) * ((i + 1) * j / 7.0::DOUBLE + i + 1) + (u - i) * (v - j) * ((i + 1) * (j + 1) / 7.0::DOUBLE + i + 1)", "f").removesuffix(" AS f")} END AS f FROM q""",
+    "fes_simplex": f"""WITH n AS MATERIALIZED (SELECT walker, row_number() OVER (PARTITION BY walker ORDER BY i, j) AS k, x, y, f FROM (SELECT walker, {RX.sql("x")} AS i, {RY.sql("y")} AS j, avg(x) AS x, avg(y) AS y, avg(w) AS f FROM {FRAMES} GROUP BY ALL) WHERE i IS NOT NULL AND j IS NOT NULL),
+t AS (SELECT a.walker, a.k AS ka, b.k AS kb, c.k AS kc, a.x AS ax, a.y AS ay, a.f AS af, b.x AS bx, b.y AS b_y, b.f AS bf, c.x AS cx, c.y AS cy, c.f AS cf, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn FROM n a JOIN n b ON a.walker = b.walker AND b.k > a.k JOIN n c ON c.walker = a.walker AND c.k > b.k),
+d AS MATERIALIZED (SELECT t.* FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.walker = t.walker AND n.k NOT IN (ka, kb, kc) AND sign(turn) * ((pow(ax - x, 2) + pow(ay - y, 2)) * ((bx - x) * (cy - y) - (b_y - y) * (cx - x)) - (pow(bx - x, 2) + pow(b_y - y, 2)) * ((ax - x) * (cy - y) - (ay - y) * (cx - x)) + (pow(cx - x, 2) + pow(cy - y, 2)) * ((ax - x) * (b_y - y) - (ay - y) * (bx - x))) > 0)),
+q AS (SELECT p.walker, row, ((b_y - cy) * (x - cx) + (cx - bx) * (y - cy)) / ((b_y - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS u, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / ((b_y - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS v, af, bf, cf FROM {FRAMES} p JOIN d ON d.walker = p.walker)
+SELECT p.walker, p.row, {r("f", "f")} FROM {FRAMES} p LEFT JOIN (SELECT walker, row, min(u * af + v * bf + (1 - u - v) * cf) AS f FROM q WHERE u >= -1e-9 AND v >= -1e-9 AND u + v <= 1 + 1e-9 GROUP BY 1, 2) m ON m.walker = p.walker AND m.row = p.row""",
     "resampled_curves": f"""WITH {_S}, c AS (SELECT snap, (k + 0.5::DOUBLE) * {AX.step}::DOUBLE AS x, f FROM s WHERE (k + 0.5::DOUBLE) * {AX.step}::DOUBLE BETWEEN 20 AND 320),
 e AS (SELECT snap FROM c GROUP BY 1 HAVING count(*) >= 4), g AS (SELECT snap, x AS a, f AS fa, lead(x) OVER (PARTITION BY snap ORDER BY x) AS b, lead(f) OVER (PARTITION BY snap ORDER BY x) AS fb FROM c),
 p AS (SELECT snap, k::INTEGER AS k, 20.0::DOUBLE + k * {300.0 / 299!r}::DOUBLE AS x FROM e, range(300) r(k))
