@@ -21,6 +21,7 @@ from fjordframe.plans.standin import AX, FRAMES, KBT, frames, r, rounded
 from fjordframe.plans.surface_queries import _VGRID, GX, GY, _walker_grid
 from fjordframe.sources import sinks
 from fjordframe.sources import text as S
+from fjordframe.sources.trajectory import atom_rows, boxes_of, read_trajectory, write_trajectory
 
 
 def _folder(spark, name):
@@ -252,6 +253,27 @@ def pdb_models(spark, d):
     return rounded(S.read_models(spark, _text(lines, "o", _folder(spark, "models"), "REMARK a")).select("frame", "serial", "resnum", "x", "y", "z"), 3)
 
 
+def _trajectory(spark, d):
+    """Embeddings as frames of a binary trajectory: time in halves of the id, an angled box of the label's size."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) > 0")
+    edge = F.col("label") + 1.0
+    xyz = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 3).cast("int") * 3 - 1), lambda k: F.coalesce(F.get("embedding", k), F.lit(0.0)).cast("float"))
+    box = F.array(edge, F.lit(0.0), F.lit(0.0), edge / 4, edge, F.lit(0.0), edge / 8, edge / 2, edge)
+    path = _folder(spark, "trajectory")
+    write_trajectory(v.select(F.col("vec_id").cast("int").alias("step"), (F.col("vec_id") / 2).alias("t"), box.alias("box"), xyz.alias("xyz")), path)
+    return path
+
+
+def trajectory_frames(spark, d):
+    """Chosen atoms of all frames of a binary trajectory, read in small ranges."""
+    found = read_trajectory(spark, _trajectory(spark, d), atoms="2-5,22", range=100_000)
+    return rounded(atom_rows(found, "step", "t"))
+
+
+def trajectory_boxes(spark, d):
+    return rounded(boxes_of(read_trajectory(spark, _trajectory(spark, d)), "step"))
+
+
 def thermo_terms(spark, d):
     f = frames(spark, d).groupBy("kind").agg(F.round(F.avg("x"), 3).alias("a"), F.round(F.max("x"), 3).alias("b"), F.count("*").alias("n"))
     lines = f.select(F.xxhash64("kind").alias("o"), F.concat_ws("  ", F.initcap("kind"), "a", "b", "n", F.lit("0.5"), F.lit("(K)")).alias("value"))
@@ -330,7 +352,7 @@ def meta_upsert(spark, d):
     return spark.createDataFrame([(k, str(i), str(v)) for k, e in found.items() for i, v in e.items()], "panel string, entry string, value string")
 
 
-QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, cached_files, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, thermo_terms, text_section, renumbered_atoms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
+QUERIES = {f.__name__: f for f in (read_series, read_series_sums, read_capped, last_time, cached_stride, cached_files, read_with_header, missing_series, copies_of, header_lines, skipped_lines, read_hills, first_bias_factor, read_grid, read_table, read_medoids, read_saved, read_xvg, read_pdb, read_gro, gro_frames, pdb_models, trajectory_frames, trajectory_boxes, thermo_terms, text_section, renumbered_atoms, read_contacts, contact_block, group_lines, export_surface, export_profile, archived_view, meta_upsert)}
 _SERIES = f"(SELECT walker, row, {_PS} AS ps, x, y, w FROM {FRAMES} WHERE {_KEPT})"
 _HEADED = f"(SELECT * FROM {FRAMES} WHERE {_KEPT})"
 ORACLES = {
@@ -356,6 +378,8 @@ ORACLES = {
     "read_gro": f"SELECT serial, name, resname, resnum, x, y, z FROM {ATOMS}",
     "gro_frames": "SELECT (dense_rank() OVER (ORDER BY vec_id) - 1) AS frame, vec_id / 2.0::DOUBLE AS t, (k // 2 + 1)::INTEGER AS resnum, (k + 1)::INTEGER AS atom, round(coalesce(embedding[3 * k + 1]::DOUBLE, 0), 3) AS x, round(coalesce(embedding[3 * k + 2]::DOUBLE, 0), 3) AS y, round(coalesce(embedding[3 * k + 3]::DOUBLE, 0), 3) AS z FROM (SELECT *, unnest(range((len(embedding) + 2) // 3)) AS k FROM embeddings)",
     "pdb_models": "SELECT dense_rank() OVER (ORDER BY label) - 1 AS frame, ((vec_id * 22 + k) % 100000)::INTEGER AS serial, (label + 1)::INTEGER AS resnum, round(coalesce(embedding[3 * k + 1]::DOUBLE, 0), 3) AS x, round(coalesce(embedding[3 * k + 2]::DOUBLE, 0), 3) AS y, round(coalesce(embedding[3 * k + 3]::DOUBLE, 0), 3) AS z FROM (SELECT *, unnest(range((len(embedding) + 2) // 3)) AS k FROM embeddings)",
+    "trajectory_frames": "SELECT vec_id::INTEGER AS step, vec_id / 2.0::DOUBLE AS t, (k + 1)::INTEGER AS atom, " + ", ".join(f"round(coalesce(embedding[3 * k + {c + 1}]::DOUBLE, 0), 6) AS {n}" for c, n in enumerate("xyz")) + " FROM (SELECT *, unnest(range((len(embedding) + 2) // 3)) AS k FROM embeddings) WHERE k BETWEEN 1 AND 4 OR k = 21",
+    "trajectory_boxes": "SELECT vec_id::INTEGER AS step, label + 1.0::DOUBLE AS ax, (label + 1) / 4.0::DOUBLE AS bx, label + 1.0::DOUBLE AS \"by\", (label + 1) / 8.0::DOUBLE AS cx, (label + 1) / 2.0::DOUBLE AS cy, label + 1.0::DOUBLE AS cz FROM embeddings WHERE len(embedding) > 0",
     "thermo_terms": f"SELECT upper(kind[1]) || kind[2:] AS term, round(avg(x), 3) AS average, round(max(x), 3) AS error, count(*)::DOUBLE AS rmsd, 0.5::DOUBLE AS drift FROM {FRAMES} WHERE kind IN ('purchase', 'view', 'click') GROUP BY kind",
     "text_section": f"SELECT CASE row WHEN 100 THEN 'tail: ' ELSE '' END || 'c' || row || ': ' || CASE kind WHEN 'purchase' THEN 'bought' ELSE kind END || ' ' || walker AS value FROM {FRAMES} WHERE row BETWEEN 100 AND 399",
     "renumbered_atoms": f"SELECT row_number() OVER (ORDER BY row)::INTEGER AS serial, row FROM {ATOMS} WHERE chain = 'B'",
