@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from fjordframe.llm.lengths import length_histogram, length_quantiles, truncated_total
@@ -91,21 +92,20 @@ def shard(seed, n=40):
     return docs, np.array([t for d in docs for t in d]), np.cumsum([0, *map(len, docs)])
 
 
-def test_neighbours_by_plain_bm25(monkeypatch):
-    monkeypatch.setattr(packing, "TERMS", 5)
+@pytest.mark.parametrize("terms", [5, None])
+def test_neighbours_by_plain_bm25(terms):
     docs, ids, bounds = shard(1)
     index, used = Index(ids, bounds), np.zeros(len(docs), bool)
     used[[0, 3]] = True
     for seed in range(len(docs)):
-        want = bm25(docs, seed, 5)
-        got = index.neighbours(seed, used)
+        want = bm25(docs, seed, terms or 10**9)
+        got = index.neighbours(seed, used, terms)
         assert set(got) == {k for k, w in enumerate(want) if w > 0 and k not in (0, 3)}
         assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got[:-1], got[1:], strict=True))
 
 
-def test_windows_by_the_greedy_rule(monkeypatch):
+def test_windows_by_the_greedy_rule():
     """Windows as a plain loop fills them: the seed, then its unused neighbours by score; the one that is cut seeds the next."""
-    monkeypatch.setattr(packing, "TERMS", 99)
     for taken in (0, 13):
         docs, ids, bounds = shard(2)
         got, left = filled(ids, bounds, 64, taken)
