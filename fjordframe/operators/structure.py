@@ -343,12 +343,72 @@ def renamed(atoms: DataFrame, residues: dict[str, str], names: dict[str, str]) -
 
 
 def mutated(atoms: DataFrame, resnum: int, chain: str, resname: str, keep: list[str], placed: DataFrame | None = None) -> DataFrame:
-    """atoms with a residue cut down to the kept atoms, renamed, and placed atoms added (same columns)."""
+    """atoms with a residue cut down to the kept atoms, renamed, and placed atoms added (same columns), as of side_chain()."""
     here = (F.col("resnum") == resnum) & (F.col("chain") == chain)
     rest = atoms.where(~here | F.col("name").isin(keep)).withColumn("resname", F.when(here, resname).otherwise(F.col("resname")))
     return rest if placed is None else rest.unionByName(placed)
 
 
+def from_internal(length: float, angle: float, torsion: float) -> tuple[float, float, float]:
+    """Place, in the frame of side_chain(), of an atom at a distance from the third frame atom, an angle to the second and a torsion to the first, in degrees."""
+    a, t = np.radians(angle), np.radians(torsion)
+    return float(-length * np.cos(a)), float(-length * np.sin(a) * np.cos(t)), float(length * np.sin(a) * np.sin(t))
+
+
+def aspartate() -> dict[str, tuple[float, float, float]]:
+    """Side chain of an aspartate beyond CB: CG straight on from CA, both oxygens in the plane of N, CA and CB. Lengths in A."""
+    on, to, half = 1.52, 1.25, np.radians(120.0 / 2)  # fixed values: CB to CG, CG to oxygen, angle between the oxygens
+    back, side = to * np.cos(np.pi - half), to * np.sin(np.pi - half)
+    return {"CG": (on, 0.0, 0.0), "OD1": (float(on + back), float(side), 0.0), "OD2": (float(on + back), float(-side), 0.0)}
+
+
+def side_chain(atoms: DataFrame, sites: DataFrame, template: dict[str, tuple[float, float, float]], resname: str, frame: tuple[str, str, str] = ("N", "CA", "CB")) -> DataFrame:
+    """(serial, name, resname, chain, resnum, x, y, z): a template's atoms placed on every site (chain, resnum) by its frame atoms.
+
+    Template places are along x, from the second frame atom to the third, which is the origin; along z, the normal of the plane
+    with the first; and along y, across. Serials go on from the greatest one, site by site. Of several atoms of one name the
+    first by serial counts; sites that lack a frame atom, or whose frame atoms lie on a line, get no atoms.
+    """
+    spots = [F.min_by(F.when(F.col("name") == name, F.col(c)), F.when(F.col("name") == name, F.col("serial"))).alias(f"{k}{c}") for k, name in zip("nab", frame, strict=True) for c in "xyz"]
+    rows = atoms.join(sites.select("chain", "resnum").distinct(), ["chain", "resnum"], "left_semi").groupBy("chain", "resnum").agg(*spots).dropna()
+    length = lambda v: F.sqrt(sum((x * x for x in v), F.lit(0.0)))
+    unit = lambda v: [F.try_divide(x, length(v)) for x in v]
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+    def kept(rows: DataFrame, name: str, v: list[Column]) -> tuple[DataFrame, list[Column]]:
+        return rows.withColumns({f"_{name}{c}": x for c, x in zip("xyz", v, strict=True)}), [F.col(f"_{name}{c}") for c in "xyz"]
+
+    rows, ex = kept(rows, "e", unit([F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]))
+    rows, ez = kept(rows, "f", unit(cross([F.col(f"n{c}") - F.col(f"a{c}") for c in "xyz"], ex)))
+    rows, ey = kept(rows.dropna(), "g", cross(ez, ex))
+    each = [F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), *((F.col(f"b{c}") + p * ex[i] + q * ey[i] + r * ez[i]).alias(c) for i, c in enumerate("xyz"))) for k, (name, (p, q, r)) in enumerate(template.items())]
+    placed = rows.select("chain", "resnum", F.explode(F.array(*each)).alias("_t")).select("chain", "resnum", "_t.*")
+    numbered = row_index(placed.withColumn("_o", F.struct("chain", "resnum", "k")), "_o", "_i")
+    last = atoms.agg(F.coalesce(F.max("serial"), F.lit(0)).alias("_m"))  # one row
+    out = numbered.join(F.broadcast(last)).withColumn("serial", (F.col("_m") + F.col("_i")).cast("int"))
+    return out.select("serial", "name", F.lit(resname).alias("resname"), "chain", "resnum", "x", "y", "z")
+
+
+def substituted(atoms: DataFrame, sites: DataFrame, resname: str, keep: list[str], template: dict[str, tuple[float, float, float]], frame: tuple[str, str, str] = ("N", "CA", "CB")) -> DataFrame:
+    """atoms with the residues of sites (chain, resnum) cut down to the kept atoms, renamed, and given a template's side chain.
+
+    Sites that side_chain() can't place stay as they are. Columns that placed atoms lack are null for them.
+    """
+    placed = side_chain(atoms, sites, template, resname, frame)
+    done = placed.select("chain", "resnum", F.lit(True).alias("_here")).distinct()
+    rows = atoms.join(done, ["chain", "resnum"], "left")
+    rest = rows.where(F.col("_here").isNull() | F.col("name").isin(keep)).withColumn("resname", F.when(F.col("_here"), resname).otherwise(F.col("resname")))
+    return rest.drop("_here").unionByName(placed, allowMissingColumns=True).select(*atoms.columns)
+
+
+def without_at_start(atoms: DataFrame, names: list[str], chains: list[str] | None = None) -> DataFrame:
+    """atoms without those of some names in the first residue of each chain (or of some chains), as terminal phosphates are taken off."""
+    wanted = atoms.where(F.col("chain").isin(chains)) if chains else atoms
+    firsts = wanted.groupBy("chain").agg(F.min("resnum").alias("_first"))
+    met = atoms.join(firsts, "chain", "left")
+    return met.where(~(F.col("name").isin(names) & F.coalesce(F.col("resnum") == F.col("_first"), F.lit(False)))).select(*atoms.columns)
+
+
 def contact_lines(contacts: DataFrame) -> DataFrame:
     """(line): contact-map entries with 1-based atoms and equal weights, numbered by their atoms."""
     total = contacts.agg(F.count("*").alias("_n"))  # one row

@@ -144,6 +144,25 @@ def mutated_atoms(spark, d):
     return A.mutated(a, 21, "A", "SER", ["N", "CA", "C"], placed).where("resnum = 21").select("serial", "name", "resname", "chain")
 
 
+#: Residues that are changed, and what stands for CB in stand-in atoms.
+SITES, FRAME = "chain = 'A' AND resnum % 5 = 3", ("N", "CA", "C")
+
+
+def side_chains(spark, d):
+    """An aspartate's side chain on every fifth residue of a chain."""
+    a = atoms(spark, d)
+    return rounded(A.side_chain(a, a.where(SITES), A.aspartate(), "ASP", FRAME), 4)
+
+
+def substituted_atoms(spark, d):
+    a = atoms(spark, d)
+    return rounded(A.substituted(a, a.where(SITES), "ASP", ["N", "CA", "C"], A.aspartate(), FRAME).drop("row"), 4)
+
+
+def without_terminal_atoms(spark, d):
+    return A.without_at_start(atoms(spark, d), ["N", "HB"], ["B", "C"]).select("serial", "chain", "name")
+
+
 def ranges_text(spark, d):
     """Texts of ranges over each part's key, parsed and written again: two ranges, three numbers out of order, and one range."""
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("int").alias("k"))
@@ -162,7 +181,7 @@ def _rmsf(source: str, by: str) -> str:
 _D = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 _PAIRS = f"(SELECT a.atom AS a, b.atom AS b, {_D} AS dist FROM {_COORDS} a JOIN {_COORDS} b ON a.frame = 0 AND b.frame = 0 AND a.atom < b.atom AND b.atom - a.atom >= 4 WHERE {_D} < 0.25)"
 
-QUERIES = {f.__name__: f for f in (contacts, q_mean, weighted_rmsf, rmsf_walker_err, gyration, segment_means, coordination, medoid, medoid_of_drawn, structural_medoid, superposed_rmsd, axis_angle, contact_map_value, centre_geometry, walls, residue_contacts, residue_contacts_periodic, whole_molecules, atom_groups, copies_by_reset, terminal_atoms, renamed_atoms, mutated_atoms, ranges_text)}
+QUERIES = {f.__name__: f for f in (contacts, q_mean, weighted_rmsf, rmsf_walker_err, gyration, segment_means, coordination, medoid, medoid_of_drawn, structural_medoid, superposed_rmsd, axis_angle, contact_map_value, centre_geometry, walls, residue_contacts, residue_contacts_periodic, whole_molecules, atom_groups, copies_by_reset, terminal_atoms, renamed_atoms, mutated_atoms, side_chains, substituted_atoms, without_terminal_atoms, ranges_text)}
 _MEDOID = "SELECT label, a AS vec_id, round(total, 6) AS total FROM (SELECT p.label, p.vec_id AS a, sum(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: pow(e[1]::DOUBLE - e[2]::DOUBLE, 2))))) AS total FROM {e} p JOIN {e} q ON p.label = q.label GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, a) = 1"
 _DRAWN = f"(SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY ln(((('0x' || substr(md5('42:' || vec_id), 1, 13))::BIGINT >> 2) + 1) / {float((1 << 50) + 1)!r}::DOUBLE) DESC, vec_id) <= 20)"
 _CENTRES = f"(SELECT frame, (['p', 'o', 'q'])[atom // 5 + 1] AS grp, " + ", ".join(f"sum((atom % 3 + 1) * {c}) / sum(atom % 3 + 1) AS {c}" for c in "xyz") + f" FROM {_COORDS} WHERE atom < 15 GROUP BY 1, 2)"
@@ -174,7 +193,16 @@ def _near(distance: str, images: str, cutoff: float) -> str:
     return f"SELECT f.frame, coalesce(n, 0) AS n FROM (SELECT DISTINCT vec_id AS frame FROM embeddings) f LEFT JOIN (SELECT a.frame, count(DISTINCT a.res * 100 + b.res) AS n FROM {_RES} a JOIN {_RES} b ON a.frame = b.frame AND a.a AND NOT b.a {images} WHERE {distance} < {cutoff} GROUP BY 1) c ON c.frame = f.frame"
 
 
+_SPOTS = ", ".join(f"min_by({c}, serial) FILTER (WHERE name = '{name}') AS {k}{c}" for k, name in (("n", "N"), ("a", "CA"), ("b", "C")) for c in "xyz")
+_PLACED = f"""p AS (SELECT chain, resnum, {_SPOTS} FROM {ATOM_ROWS} WHERE chain = 'A' AND resnum % 5 = 3 GROUP BY ALL), e AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2) + pow(bz - az, 2)) AS l FROM p WHERE nx IS NOT NULL AND ax IS NOT NULL AND bx IS NOT NULL),
+f AS (SELECT *, (bx - ax) / l AS ex, (b_y - ay) / l AS ey, (bz - az) / l AS ez FROM e), g AS (SELECT *, (ny - ay) * ez - (nz - az) * ey AS cx, (nz - az) * ex - (nx - ax) * ez AS cy, (nx - ax) * ey - (ny - ay) * ex AS cz FROM f),
+h AS (SELECT *, cx / sqrt(cx * cx + cy * cy + cz * cz) AS zx, cy / sqrt(cx * cx + cy * cy + cz * cz) AS zy, cz / sqrt(cx * cx + cy * cy + cz * cz) AS zz FROM g), i AS (SELECT *, zy * ez - zz * ey AS yx, zz * ex - zx * ez AS yy, zx * ey - zy * ex AS yz FROM h),
+placed AS (SELECT ((SELECT max(serial) FROM {ATOM_ROWS}) + row_number() OVER (ORDER BY chain, resnum, k))::INTEGER AS serial, name, 'ASP' AS resname, chain, resnum, bx + u * ex + v * yx AS x, b_y + u * ey + v * yy AS y, bz + u * ez + v * yz AS z
+  FROM i, (VALUES (0, 'CG', 1.52::DOUBLE, 0::DOUBLE), (1, 'OD1', 1.52::DOUBLE + 1.25::DOUBLE * cos(radians(120)), 1.25::DOUBLE * sin(radians(120))), (2, 'OD2', 1.52::DOUBLE + 1.25::DOUBLE * cos(radians(120)), -1.25::DOUBLE * sin(radians(120)))) t(k, name, u, v))""".replace("by,", "b_y,").replace("AS by", "AS b_y")
 ORACLES = {
+    "side_chains": f"WITH {_PLACED} SELECT serial, name, resname, chain, resnum, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM placed",
+    "substituted_atoms": f"WITH {_PLACED} SELECT serial, name, CASE WHEN k.chain IS NULL THEN resname ELSE 'ASP' END AS resname, a.chain, a.resnum, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM {ATOM_ROWS} a LEFT JOIN (SELECT DISTINCT chain, resnum FROM placed) k ON a.chain = k.chain AND a.resnum = k.resnum WHERE k.chain IS NULL OR name IN ('N', 'CA', 'C') UNION ALL SELECT serial, name, resname, chain, resnum, round(x, 4), round(y, 4), round(z, 4) FROM placed",
+    "without_terminal_atoms": f"SELECT serial, chain, name FROM {ATOM_ROWS} QUALIFY NOT (chain IN ('B', 'C') AND name IN ('N', 'HB') AND resnum = min(resnum) OVER (PARTITION BY chain))",
     "medoid_of_drawn": _MEDOID.format(e=_DRAWN),
     "contact_map_value": f"SELECT a.frame, {r(f'sum((p.id + 1) / 21.0::DOUBLE / (1 + exp(10 * ({_D} - 1.2::DOUBLE * (p.id / 20.0::DOUBLE + 0.1::DOUBLE)))))', 'cmap')} FROM range(6) p(id) JOIN {_COORDS} a ON a.atom = p.id JOIN {_COORDS} b ON b.frame = a.frame AND b.atom = p.id * 2 + 8 GROUP BY 1",
     "centre_geometry": f"""WITH c AS (SELECT * FROM {_CENTRES}), v AS (SELECT p.frame, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS dist, (p.x - o.x) * (q.x - o.x) + (p.y - o.y) * (q.y - o.y) + (p.z - o.z) * (q.z - o.z) AS dot,
