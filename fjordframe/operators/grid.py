@@ -149,8 +149,7 @@ def extended(grid: DataFrame, n: tuple[int, int]) -> DataFrame:
 def component_of(cells: DataFrame, seed: DataFrame, small: int = SMALL_GRID) -> DataFrame:
     """(i, j) of the 4-connected component of cells that holds the seed.
 
-    Up to `small` cells are walked on the driver; more are joined round by round, growing a frontier. Both give the
-    same cells.
+    Up to `small` cells are walked on the driver; of more, runs of cells are labelled in rounds. Both give the same cells.
     """
     cells = cells.select("i", "j").distinct().transform(cut)
     spark = cells.sparkSession
@@ -164,14 +163,32 @@ def component_of(cells: DataFrame, seed: DataFrame, small: int = SMALL_GRID) ->
             reached |= more
             todo += more
         return spark.createDataFrame(sorted(reached), "i int, j int")
-    found = seed.select("i", "j").join(cells, ["i", "j"], "left_semi").transform(cut)
-    frontier = found
-    around = F.explode(F.array(*(F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in ((-1, 0), (0, -1), (0, 1), (1, 0)))))
-    while not frontier.isEmpty():
-        reached = frontier.select(around.alias("c")).select("c.*").distinct().join(cells, ["i", "j"], "left_semi")
-        frontier = reached.join(found, ["i", "j"], "left_anti").transform(cut)
-        found = found.union(frontier).transform(cut)
-    return found
+    # Cells in a row of the grid that lie together are one run; runs of neighbouring rows that touch are joined.
+    place = F.col("j") - F.row_number().over(Window.partitionBy("i").orderBy("j"))
+    first = F.min("j").over(Window.partitionBy("i", "_p"))
+    runs = cells.withColumn("_p", place).withColumn("run", F.col("i").cast("long") * (1 << 32) + first + (1 << 31)).drop("_p").transform(cut)
+    above = runs.select((F.col("i") + 1).alias("i"), "j", F.col("run").alias("other"))
+    touching = runs.join(above, ["i", "j"]).select("run", "other").distinct()
+    labels = joined_labels(runs.select("run").distinct(), touching.unionByName(touching.select(F.col("other").alias("run"), F.col("run").alias("other"))).transform(cut))
+    named = runs.join(labels, "run")
+    return named.join(named.join(seed.select("i", "j"), ["i", "j"], "left_semi").select("label").distinct(), "label", "left_semi").select("i", "j")
+
+
+def joined_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(run, label): the least run of each component of nodes (run) by links (run, other), which hold both directions.
+
+    In each round a node takes the least label of its neighbours, and then its label's own, so that labels leap along paths
+    and rounds number about the logarithm of the longest one.
+    """
+    labels = nodes.withColumn("label", F.col("run")).transform(cut)
+    while True:
+        near = links.join(labels.select(F.col("run").alias("other"), F.col("label").alias("_l")), "other").groupBy("run").agg(F.min("_l").alias("_l"))
+        lower = labels.join(near, "run", "left").select("run", "label", F.least("label", "_l").alias("_n"))
+        leap = labels.select(F.col("run").alias("_n"), F.col("label").alias("_m"))
+        new = lower.join(leap, "_n").select("run", F.col("label").alias("_old"), F.least("_n", "_m").alias("label")).transform(cut)
+        if new.where("label <> _old").isEmpty():
+            return new.select("run", "label")
+        labels = new.select("run", "label")
 
 
 def reliable_region(grid: DataFrame, mean: str, ok: Column, small: int = SMALL_GRID) -> DataFrame:

@@ -352,7 +352,7 @@ def mutated(atoms: DataFrame, resnum: int, chain: str, resname: str, keep: list[
 def from_internal(length: float, angle: float, torsion: float) -> tuple[float, float, float]:
     """Place, in the frame of side_chain(), of an atom at a distance from the third frame atom, an angle to the second and a torsion to the first, in degrees."""
     a, t = np.radians(angle), np.radians(torsion)
-    return float(-length * np.cos(a)), float(-length * np.sin(a) * np.cos(t)), float(length * np.sin(a) * np.sin(t))
+    return float(-length * np.cos(a)), float(-length * np.sin(a) * np.cos(t)), float(-length * np.sin(a) * np.sin(t))
 
 
 def aspartate() -> dict[str, tuple[float, float, float]]:

@@ -229,3 +229,21 @@ def test_fluctuations_after_two_passes(spark):
     assert [r["err"] for r in got] == pytest.approx(err.tolist(), abs=1e-9)
     assert [r["raw"] for r in got] == pytest.approx(np.sqrt(square.mean(axis=0)).tolist(), abs=1e-9)
     assert A.superposed_fluctuation(coords, frames.where("w < 0"), fit).collect() == []
+
+
+def test_components_by_labels_like_the_walk(spark):
+    """Mazes of one path, combs, rings and random cells: labelled runs give the walked component."""
+    from fjordframe.operators import grid as G
+
+    rng = random.Random(2)
+    snake = {(i, j) for i in range(0, 24, 2) for j in range(20)} | {(i, 19 if i % 4 == 1 else 0) for i in range(1, 23, 2)}
+    comb = {(0, j) for j in range(21)} | {(i, j) for i in range(1, 12) for j in range(0, 21, 2)}
+    ring = {(i, j) for i in range(9) for j in range(9) if i in (0, 8) or j in (0, 8)} | {(4, 4)}
+    shapes = [(snake, (0, 0)), (comb, (11, 20)), (ring, (4, 4)), (ring, (8, 8)), ({(i, j) for i in range(-9, 9) for j in range(-9, 9) if rng.random() < 0.6}, (0, 0))]
+    for cells, seed in shapes:
+        cells = cells | {seed}
+        table = spark.createDataFrame(sorted(cells), "i int, j int")
+        start = spark.createDataFrame([seed], "i int, j int")
+        walked = sorted(map(tuple, G.component_of(table, start).collect()))
+        assert sorted(map(tuple, G.component_of(table, start, 0).collect())) == walked
+    assert G.component_of(table, spark.createDataFrame([(99, 99)], "i int, j int"), 0).collect() == []
