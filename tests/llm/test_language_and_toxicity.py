@@ -1,8 +1,14 @@
+import math
 import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fjordframe.llm import langid, toxicity
@@ -256,3 +262,77 @@ def test_other_columns_of_any_name_and_type(spark):
     assert scored.columns == [*df.columns, "tox"]
     rows = scored.drop("iv").orderBy("doc_id").collect()
     assert [r["s t"]["a b"] for r in rows] == [1, 1, 1] and [r["x`y"] for r in rows] == ["q"] * 3 and all(0 <= r["tox"] <= 1 for r in rows)
+
+
+def plain_toxicity(docs, labels, most, steps):
+    """Scores by the whole of the learning in plain Python: fold, prior, sample, choice of features, risk and its steps."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    lot = lambda i: (xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42) % (1 << 30)) / (1 << 30)
+    known = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None and fold(i) != 0:
+            known[i] = max(known.get(i, 0), toxic)
+    prior = min(sum(v == 1 for v in known.values()) / len(known), 0.99)
+    chosen = {i for i, v in known.items() if v == 1 and lot(i) < most[0] / sum(v == 1 for v in known.values())}
+    texts = [(i, t) for i, t in docs if i is not None and t is not None and fold(i) != 0]
+
+    def present(text):
+        words = set(re.findall(rb"[a-z\x80-\xff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}).encode()))
+        found = {(0, w) for w in words}
+        for k in toxicity.BEGINNINGS:
+            groups = Counter(w[:k] for w in words if len(w) >= k)
+            found |= {(k, b, n) for b, size in groups.items() for n in range(1, min(size, toxicity.MOST_WORDS) + 1)}
+        return found
+
+    drawn = [(i in chosen, lot(i) < most[1] / len(texts), present(t)) for i, t in texts]
+    drawn = [d for d in drawn if d[0] or d[1]]
+    n_p, n_u = sum(d[0] for d in drawn), sum(d[1] for d in drawn)
+    p, u = Counter(f for d in drawn if d[0] for f in d[2]), Counter(f for d in drawn if d[1] for f in d[2])
+    wanted = sorted((f for f in p if p[f] >= toxicity.LEAST_COUNT and p[f] * n_u / n_p - u[f] >= toxicity.LEAST_DEVIATION * math.sqrt(p[f] * n_u / n_p)), key=str)
+    x = np.array([[f in d[2] for f in wanted] for d in drawn], float)
+    plus, unlabelled = (prior * np.array([d[0] for d in drawn]) / n_p, np.array([d[1] for d in drawn]) / n_u)
+    w, b = np.zeros(len(wanted)), math.log(prior / (1 - prior))
+    m, v = np.zeros(len(wanted) + 1), np.zeros(len(wanted) + 1)
+    for step in range(1, steps + 1):
+        z = x @ w + b
+        s = 1 / (1 + np.exp(-z))
+        negative = (unlabelled - plus) @ np.log1p(np.exp(z))
+        slope = (unlabelled - plus) * s - plus * (1 - s) if negative >= 0 else -(unlabelled - plus) * s
+        g = np.append(slope @ x + toxicity.RIDGE * w, slope.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        change = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - change[:-1], b - change[-1]
+    return sorted((str(i), 1 / (1 + math.exp(-(sum(c for f, c in zip(wanted, w, strict=True) if f in present(t)) + b)))) for i, t in docs), len(wanted)
+
+
+@pytest.mark.parametrize("most", [(10_000, 20_000), (60, 200)])
+def test_learning_by_plain_python(spark, monkeypatch, most):
+    """Also with a sample of the texts; labels and texts of the held-out fold change nothing for the others."""
+    monkeypatch.setattr(toxicity, "POSITIVES", most[0])
+    monkeypatch.setattr(toxicity, "UNLABELLED", most[1])
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(700):
+        toxic = rng.random() < 0.25
+        bad = " ".join(rng.choice(["vileth", "vilethin", "grimword", "grimwood", "Nästy"]) for _ in range(3))
+        docs.append((i, prose(rng, 25) + (" " + bad if toxic else "")))
+        if rng.random() < 0.7:
+            labels.append((i, int(toxic)))
+    docs += [(None, "vileth"), (900, None), (901, ""), (3, docs[3][1])]
+    labels += [(None, 1), (5, None), (6, 0), (6, 1)]
+    training = id_fold("doc_id", 5) != 0
+
+    def scores(docs, labels):
+        d, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+        model = toxicity.trained(d, known, training)
+        return sorted((str(r["doc_id"]), r["score"]) for r in toxicity.toxicity_scores(d, model).collect()), len(model.wanted)
+
+    got, features = scores(docs, labels)
+    want, wanted = plain_toxicity(docs, labels, most, toxicity.STEPS)
+    assert features == wanted > 3 and [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-3)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    other = [(i, "vileth grimword " * 3 if out(i) else t) for i, t in docs], [(i, 1 - v if out(i) and v is not None else v) for i, v in labels]
+    again, _ = scores(*other)
+    keep = {str(i) for i, _ in docs if not out(i)}
+    assert [g for g in again if g[0] in keep] == [g for g in got if g[0] in keep]
