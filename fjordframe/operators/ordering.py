@@ -61,16 +61,17 @@ def row_index(df: DataFrame, order: str, out: str, ties: str | None = None, by:
     return running_total(df.withColumn("_one", F.lit(1)), order, "_one", out, ties, by).drop("_one")
 
 
-def lagged(df: DataFrame, order: str, column: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """df with out, the column's value in the row before (of the series), null in the first."""
+def lagged(df: DataFrame, order: str, column: str, out: str, by: list[str] | None = None, ties: str | None = None) -> DataFrame:
+    """df with out, the column's value in the row before (of the series), null in the first; rows of equal order go by ties."""
     by = by or []
-    rows = sliced(df, by, [order])
+    columns = [order, *([ties] if ties else [])]
+    rows = sliced(df, by, columns)
     if rows is None:
-        return df.withColumn(out, F.lag(column).over(Window.partitionBy(*by).orderBy(order)))
+        return df.withColumn(out, F.lag(column).over(Window.partitionBy(*by).orderBy(*columns)))
     keys = [*by, "_slice"]
-    ends = rows.groupBy(*keys).agg(F.max_by(column, order).alias("_end"))
+    ends = rows.groupBy(*keys).agg(F.max_by(column, F.struct(*columns)).alias("_end"))
     bases = ends.select(*keys, F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")).alias("_base"))
-    inside = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy(*keys).orderBy(*columns)
     first = F.row_number().over(inside) == 1
     return _with_base(rows, bases, keys).withColumn(out, F.when(first, F.col("_base")).otherwise(F.lag(column).over(inside))).drop("_slice", "_base")
 

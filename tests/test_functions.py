@@ -37,3 +37,16 @@ def test_the_package_is_shipped_once():
     assert len(paths) == 1
     names = zipfile.ZipFile(paths[0]).namelist()
     assert "fjordframe/__init__.py" in names and "fjordframe/functions/shipping.py" in names
+
+
+def test_rows_before_go_by_ties_over_slices(spark, monkeypatch):
+    """Rows of equal order, in one slice and in many."""
+    from fjordframe.operators import ordering
+
+    rows = [(g, k // 5, k, k * 10) for g in (1, None) for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, o int, tie int, v int").repartition(5)
+    want = sorted((str(g), k, None if k == 0 else (k - 1) * 10) for g, _, k, _ in rows)
+    for most in (1_000_000, 12):
+        monkeypatch.setattr(ordering, "ROWS", most)
+        got = ordering.lagged(df, "o", "v", "before", ["g"], "tie").collect()
+        assert sorted(((str(r["g"]), r["tie"], r["before"]) for r in got), key=lambda r: (r[0], r[1])) == sorted(want, key=lambda r: (r[0], r[1]))
