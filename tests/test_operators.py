@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fjordframe.functions.binning import Axis
 from fjordframe.operators import basins, ensembles, grid, hist, ordering, reweight, runs, selection, structure
-from fjordframe.plans.thermo_queries import thermo_spread
+from fjordframe.operators.thermo import folded_fraction, fraction_spread
+from fjordframe.plans.thermo_queries import GAS_CONSTANT, TEMPERATURES, scenario_rows
 
 
 def values(df, *columns):
@@ -26,7 +27,9 @@ def test_bins_match_numpy(spark, lo, hi, n):
 
 
 def test_spread_has_the_known_peaks(spark):
-    peaks = thermo_spread(spark, "").groupBy("scenario").agg(F.max(F.struct("pf_std", "t")).alias("m")).orderBy("scenario")
+    degrees = spark.range(TEMPERATURES[0], TEMPERATURES[1] + 1).selectExpr("CAST(id AS DOUBLE) AS t")
+    spread = fraction_spread(folded_fraction(spark.sql(f"SELECT * FROM {scenario_rows()}"), degrees, GAS_CONSTANT))
+    peaks = spread.groupBy("scenario").agg(F.max(F.struct("pf_std", "t")).alias("m")).orderBy("scenario")
     want = [(0.29033, 325), (0.17126, 328), (0.18965, 307), (0.31558, 305), (0.26936, 305)]
     for (std, t), (w, wt) in zip(values(peaks, "m.pf_std", "m.t"), want, strict=True):
         assert std == pytest.approx(w, abs=5e-6) and t == wt
