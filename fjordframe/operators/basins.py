@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fjordframe.functions.lineage import cut
+from fjordframe.functions.shipping import released, shipped
 from fjordframe.operators.grid import NEIGHBOURS
 from fjordframe.operators.selection import boltzmann_sample
 from fjordframe.operators.structure import frame_arrays, pair_deviations
@@ -101,21 +104,81 @@ def assigned(candidates: DataFrame, i: Column, j: Column, segments: DataFrame, b
     return candidates.withColumn("i", i).withColumn("j", j).join(cells.select("i", "j", "label"), ["i", "j"])
 
 
+#: Members of a block of a state; two blocks are compared by one task at a time.
+BLOCK = 4096
+#: Squared distances under this share of both squared lengths are taken from the differences, not from the products.
+NEAR = 1e-3
+
+
 def medoids(items: DataFrame, by: str, key: str, vector: str, most: int | None = None, w: Column | None = None, seed: int = 42) -> DataFrame:
     """(by, key, total): per state the item with the least summed Euclidean distance to the others, ties to the smaller key.
 
-    most bounds the members of a state that are compared: so many are drawn without replacement, by weight w or evenly.
+    A state is dealt out into blocks of about BLOCK members by their key's hash, and every two blocks are a group of their own, so
+    that no task holds more than two; all pairs are compared. Components that either item lacks don't count. most bounds the
+    members of a state that are compared: so many are drawn without replacement, by weight w or evenly.
     """
     few = items if most is None else boltzmann_sample(items, by, key, F.lit(1.0) if w is None else w, most, seed)
-    a = few.select(by, F.col(key).alias("_a"), F.col(vector).alias("_va"))
-    b = few.select(by, F.col(key).alias("_b"), F.col(vector).alias("_vb"))
-    square = F.aggregate(F.zip_with("_va", "_vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return _least_total(a.join(b, by).select(by, "_a", F.sqrt(square).alias("d")), by, key)
+    rows = few.select(by, F.col(key).alias("_a"), F.col(vector).cast("array<double>").alias("_v")).where(F.col(by).isNotNull())
+    blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    own = rows.join(blocks, by).withColumn("_b", F.pmod(F.xxhash64("_a"), F.col("_n")))
+    met = own.select(by, "_a", "_v", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o"))
+    pairs = met.select(by, "_a", "_v", F.least("_b", "_o").alias("_p"), F.greatest("_b", "_o").alias("_q"), (F.col("_b") <= F.col("_o")).alias("_left"))
+
+    def measure(group: pa.Table) -> pa.Table:
+        sums = _summed_distances(group)
+        released()
+        return pa.Table.from_arrays([group[by], group["_a"], sums], names=[by, "_a", "d"])
+
+    shipped(items.sparkSession)
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (by, "_a"))
+    return _least_total(pairs.groupBy(by, "_p", "_q").applyInArrow(measure, f"{kinds}, d double"), by, key)
+
+
+def _summed_distances(group: pa.Table) -> pa.Array:
+    """Each row's summed distance to the rows of the other block, or of its own where the group is one block; null without any."""
+    lists = group["_v"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0))
+    x, there = np.zeros((len(sizes), width)), np.zeros((len(sizes), width))
+    flat = lists.flatten()  # without what null rows may hold
+    inside = np.arange(width) < sizes[:, None]
+    x[inside], there[inside] = flat.fill_null(0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+    left = group["_left"].combine_chunks().to_numpy(zero_copy_only=False)
+    one = bool((group["_p"].combine_chunks()[0] == group["_q"].combine_chunks()[0]))
+    p, q = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
+    whole = bool(there.all())
+    total, met = np.zeros(len(x)), np.zeros(len(x), np.int64)
+    length = (x * x).sum(axis=1)
+    for start in range(0, len(p), 512):
+        at = p[start : start + 512]
+        with np.errstate(invalid="ignore", over="ignore"):
+            if whole:
+                square = length[at, None] + length[None, q]
+                limit = NEAR * square
+                square = square - 2 * (x[at] @ x[q].T)
+            else:
+                square = (x[at] ** 2) @ there[q].T + there[at] @ (x[q] ** 2).T
+                limit = NEAR * square
+                square = square - 2 * (x[at] @ x[q].T)
+            i, j = np.nonzero(~((square > limit) & (square < np.inf)))
+            for k in range(0, len(i), 1 << 16):  # near ones, and those without a finite product
+                u, v = at[i[k : k + (1 << 16)]], q[j[k : k + (1 << 16)]]
+                apart = np.where(there[u] * there[v] > 0, x[u] - x[v], 0.0)
+                square[i[k : k + (1 << 16)], j[k : k + (1 << 16)]] = (apart * apart).sum(axis=1)
+            d = np.sqrt(square)
+        known = np.ones(d.shape, bool) if whole else there[at] @ there[q].T > 0
+        d = np.where(known, d, 0.0) if not whole else d
+        total[at] += d.sum(axis=1)
+        met[at] += known.sum(axis=1)
+        if not one:
+            total[q] += d.sum(axis=0)
+            met[q] += known.sum(axis=0)
+    return pa.array(total, mask=met == 0)
 
 
 def _least_total(pairs: DataFrame, by: str, key: str) -> DataFrame:
     sums = pairs.groupBy(by, "_a").agg(F.sum("d").alias("total"))
-    best = F.row_number().over(Window.partitionBy(by).orderBy("total", "_a"))
+    best = F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last("total"), "_a"))
     return sums.withColumn("_r", best).where("_r = 1").select(by, F.col("_a").alias(key), "total")
 
 
