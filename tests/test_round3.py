@@ -2,7 +2,11 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from fjordframe.functions import cells
 from fjordframe.operators import basins as B
+from fjordframe.operators import selection
 
 
 def test_medoids_by_blocks(spark, monkeypatch):
@@ -17,3 +21,14 @@ def test_medoids_by_blocks(spark, monkeypatch):
         total, k = min((sum(np.sqrt(np.nansum((a - b) ** 2)) for _, b in mine), k) for k, a in mine)
         assert got[s][0] == k and abs(got[s][1] - total) < 1e-9
     assert set(got) == {0, 1}
+
+
+def test_near_pairs_are_shuffled(spark):
+    """However small the table's file is, a side of many points to a structure is not sent through the driver; points at both ends of the reach meet."""
+    draw = np.random.default_rng(5)
+    spots = [(f, k, *map(float, draw.normal(scale=2, size=3))) for f in range(2) for k in range(60)] + [(2, 0, 0.0, 0.0, 0.0), (2, 1, 0.69999999, 0.0, 0.0), (2, 2, 1.4, 0.0, 0.0)]
+    points = spark.createDataFrame(spots, "f int, k int, x double, y double, z double").withColumn("res", F.col("k"))
+    out = selection.nearby_pairs(points, "k", "res", ("x", "y", "z"), 0.7, 1, ["f"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(a[0], a[1], b[1]) for a in spots for b in spots if a[0] == b[0] and a[1] < b[1] and np.sqrt(sum((p - q) ** 2 for p, q in zip(a[2:], b[2:], strict=True))) < 0.7}
+    assert {(r["f"], r["a"], r["b"]) for r in out.collect()} == want and (2, 0, 1) in want
