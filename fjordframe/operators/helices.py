@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fjordframe.operators.periodic import neighbour_cells
+from fjordframe.functions.cells import cell_of, copied
 from fjordframe.operators.structure import distance, pair_deviations
 
 #: Charges times the unit factor (kcal nm / mol), limit and floor of the bond energy, length of N-H, and reach of CA to CA.
@@ -67,15 +67,14 @@ def bond_energy() -> Column:
 def hydrogen_bonds(residues: DataFrame) -> DataFrame:
     """(frame, d_chain, d, d_run, a_chain, a, a_run, energy): bonds under BOND of backbone() rows; of a donor the two strongest.
 
-    Only residues whose CA are within REACH are looked at, by cells of that width; a residue does not bond to the one before.
+    Only residues whose CA are within REACH are looked at, by cells (see functions/cells); a residue does not bond to the one before.
     """
-    cells = {f"k{c}": F.floor(F.col(f"a{c}") / F.lit(REACH)) for c in "xyz"}
-    rows = residues.withColumns(cells)
+    cells = ["kx", "ky", "kz"]
     kept = lambda side, atoms: [F.col("chain").alias(f"{side}_chain"), F.col("resnum").alias(side), F.col("run").alias(f"{side}_run"), *(F.col(f"a{c}").alias(f"{side}a{c}") for c in "xyz"), *(F.col(f"{k}{c}").alias(f"{side}{k}{c}") for k in atoms for c in "xyz")]
-    donors = rows.where("donor").select("frame", *kept("d", "nh"), neighbour_cells(["kx", "ky", "kz"]).alias("_k")).select("*", "_k.*").drop("_k")
-    acceptors = rows.select("frame", *kept("a", "co"), "kx", "ky", "kz")
+    donors = copied(residues.where("donor").select("frame", *kept("d", "nh")), ["dax", "day", "daz"], cells, REACH)
+    acceptors = residues.select("frame", *kept("a", "co"), *(cell_of(F.col(f"a{c}"), REACH).alias(n) for n, c in zip(cells, "xyz", strict=True)))
     own = (F.col("a_chain") == F.col("d_chain")) & (F.col("a_run") == F.col("d_run")) & F.col("a").isin(F.col("d"), F.col("d") - 1)
-    near = donors.join(acceptors, ["frame", "kx", "ky", "kz"]).where(~own & (distance("da", "aa") < REACH))
+    near = donors.join(acceptors.hint("merge"), ["frame", *cells]).where(~own & (distance("da", "aa") < REACH))
     bonds = near.withColumn("energy", bond_energy()).where(F.col("energy") < BOND)
     best = Window.partitionBy("frame", "d_chain", "d").orderBy("energy", "a_chain", "a")
     return bonds.withColumn("_n", F.row_number().over(best)).where("_n <= 2").select("frame", "d_chain", "d", "d_run", "a_chain", "a", "a_run", "energy")

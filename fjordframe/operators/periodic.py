@@ -3,7 +3,7 @@
 Boxes are rows (frame, ax, bx, by, cx, cy, cz), lower triangular and so possibly angled, of positive heights. A part of a frame
 (a molecule, or the whole structure) is compared with images of another under a radius: the images are those whose bounds,
 in box units, come within the radius by the box's heights; of both parts only atoms near the other's bounds are taken, and
-these meet through cells as wide as the radius. Radii double from round to round for the frames that are not settled yet;
+these meet through cells (see functions/cells). Radii double from round to round for the frames that are not settled yet;
 a box's edges say where the last round is, so every distance is exact.
 """
 
@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fjordframe.functions.cells import cell_of, copied
 from fjordframe.functions.lineage import cut
 from fjordframe.operators.structure import distance, made_whole
 
@@ -59,26 +60,21 @@ def near_images(atoms: DataFrame, radius: float, own: bool) -> DataFrame:
     return pairs.select(*_KEYS, *limits)
 
 
-def neighbour_cells(names: list[str]) -> Column:
-    """A cell's place (three whole numbers) and those of the cells around it, a row each, as a struct of the same names."""
-    return F.explode(F.array(*(F.struct(*((F.col(c) + int(k) - 1).alias(c) for c, k in zip(names, at, strict=True))) for at in np.ndindex(3, 3, 3))))
-
-
 def image_distances(atoms: DataFrame, radius: float, own: bool = False) -> DataFrame:
     """(frame, a, b, d, su, sv, sw, atom_a, atom_b): for every two parts whose images come within the radius, the least distance.
 
     The image of b moved by (su, sv, sw) edges is at that distance of a; ties go to the lesser image, then the lesser atoms.
     """
     images = near_images(atoms, radius, own)
-    cell = {f"k{c}": F.floor(F.col(c) / F.lit(radius)) for c in "xyz"}
+    cells = ["kx", "ky", "kz"]
     near = lambda c, of, shift: F.col(c) + shift >= F.col(f"{of}l{c}") - F.lit(radius) / F.col(f"h{c}")
     far = lambda c, of, shift: F.col(c) + shift <= F.col(f"{of}h{c}") + F.lit(radius) / F.col(f"h{c}")
     inside = lambda of, shifts: reduce(Column.__and__, [f(c, of, s) for c, s in zip("uvw", shifts, strict=True) for f in (near, far)])
-    left = atoms.withColumnRenamed("part", "a").join(images, ["frame", "a"]).where(inside("b", [F.lit(0)] * 3)).withColumns(cell)
-    left = left.select(*_KEYS, F.col("atom").alias("atom_a"), *(F.col(c).alias(f"p{c}") for c in "xyz"), neighbour_cells(["kx", "ky", "kz"]).alias("_c")).select("*", "_c.*").drop("_c")
-    moved = atoms.withColumnRenamed("part", "b").join(images, ["frame", "b"]).where(inside("a", [F.col(s) for s in _SHIFT])).withColumns(shifted(*(F.col(s) for s in _SHIFT))).withColumns(cell)
-    right = moved.select(*_KEYS, F.col("atom").alias("atom_b"), *(F.col(c).alias(f"q{c}") for c in "xyz"), "kx", "ky", "kz")
-    met = left.join(right, [*_KEYS, "kx", "ky", "kz"]).withColumn("d", distance("p", "q")).where(F.col("d") <= radius)
+    left = atoms.withColumnRenamed("part", "a").join(images, ["frame", "a"]).where(inside("b", [F.lit(0)] * 3))
+    left = copied(left.select(*_KEYS, F.col("atom").alias("atom_a"), *(F.col(c).alias(f"p{c}") for c in "xyz")), ["px", "py", "pz"], cells, radius)
+    moved = atoms.withColumnRenamed("part", "b").join(images, ["frame", "b"]).where(inside("a", [F.col(s) for s in _SHIFT])).withColumns(shifted(*(F.col(s) for s in _SHIFT))).withColumns({n: cell_of(F.col(c), radius) for n, c in zip(cells, "xyz", strict=True)})
+    right = moved.select(*_KEYS, F.col("atom").alias("atom_b"), *(F.col(c).alias(f"q{c}") for c in "xyz"), *cells)
+    met = left.join(right.hint("merge"), [*_KEYS, *cells]).withColumn("d", distance("p", "q")).where(F.col("d") <= radius)
     return met.groupBy("frame", "a", "b").agg(F.min(F.struct("d", *_SHIFT, "atom_a", "atom_b")).alias("_m")).select("frame", "a", "b", "_m.*")
 
 

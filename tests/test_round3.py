@@ -32,3 +32,11 @@ def test_near_pairs_are_shuffled(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     want = {(a[0], a[1], b[1]) for a in spots for b in spots if a[0] == b[0] and a[1] < b[1] and np.sqrt(sum((p - q) ** 2 for p, q in zip(a[2:], b[2:], strict=True))) < 0.7}
     assert {(r["f"], r["a"], r["b"]) for r in out.collect()} == want and (2, 0, 1) in want
+
+
+def test_copies_to_cells(spark):
+    """A point in a cell's middle has one copy, one at its corner eight, and evenly spread ones four on average."""
+    spots = [(0, 0.0, 0.0, 0.0), (1, 1.99, 2.01, -2.0)] + [(k, *map(float, p)) for k, p in enumerate(np.random.default_rng(7).uniform(-40, 40, (2000, 3)), 2)]
+    rows = cells.copied(spark.createDataFrame(spots, "k int, x double, y double, z double"), ["x", "y", "z"], ["cx", "cy", "cz"], 1.0)
+    counts = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    assert counts[0] == 1 and counts[1] == 8 and sum(counts.values()) < 4 * len(spots)
