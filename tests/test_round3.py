@@ -5,8 +5,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fjordframe.functions import cells
+from fjordframe.functions.binning import Axis
 from fjordframe.operators import basins as B
-from fjordframe.operators import selection
+from fjordframe.operators import reweight, runs, selection
+from fjordframe.plans import source_queries
+from fjordframe.sources import text
 
 
 def test_medoids_by_blocks(spark, monkeypatch):
@@ -40,3 +43,31 @@ def test_copies_to_cells(spark):
     rows = cells.copied(spark.createDataFrame(spots, "k int, x double, y double, z double"), ["x", "y", "z"], ["cx", "cy", "cz"], 1.0)
     counts = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
     assert counts[0] == 1 and counts[1] == 8 and sum(counts.values()) < 4 * len(spots)
+
+
+def test_text_in_several_files(spark, monkeypatch, tmp_path):
+    """Lines over one file's worth go to several files, and are read back in order over them."""
+    monkeypatch.setattr(source_queries, "ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o")).withColumn("value", F.concat(F.lit("line "), F.col("o").cast("string")))
+    source_queries._text(rows.repartition(3), "o", path := f"{tmp_path}/lines", "# head\n# of it")
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 5
+    assert text.header(spark, path) == ["# head", "# of it"]
+    back = [r["value"] for r in text.lines(spark, path).orderBy("row").collect()]
+    assert back == ["# head", "# of it", *(f"line {k}" for k in range(1000))]
+    section = text.text_section(spark, path, "line 250", "line 610").orderBy("row").collect()
+    assert [r["value"] for r in section] == [f"line {k}" for k in range(250, 610)]
+
+
+def test_round_trips_with_ties(spark):
+    """Rows of one time count as one, in the state of the last."""
+    rows = [(0, 1.0, 0.0, 0), (0, 2.0, 9.0, 1), (0, 2.0, 0.0, 2), (0, 2.0, 5.0, 3), (0, 3.0, 9.0, 4), (1, 1.0, 5.0, 5)]
+    out = runs.round_trips(spark.createDataFrame(rows, "s int, t double, x double, row long"), ["s"], "t", F.col("x"), 1.0, 8.0, "row")
+    assert {tuple(r) for r in out.collect()} == {(0, 1, 0), (1, 0, 0)}
+
+
+def test_bundle_of_very_small_weights(spark):
+    """A bin whose weights are under the least double keeps its free energy."""
+    rows = [(s, x, l) for s in (0, 1) for x, l in ((0.5, 0.0), (1.5, -2000.0), (1.5, -2001.0))]
+    weighted = spark.createDataFrame(rows, "snap int, x double, lw double").withColumn("w", F.exp("lw"))
+    out = {r["k"]: (r["mean"], r["n"]) for r in reweight.weighted_bundle(weighted, {"x": (F.col("x"), Axis(0.0, 2.0, 2))}, 2.0).collect()}
+    assert out[0] == (0.0, 2) and out[1][1] == 2 and abs(out[1][0] - 2 * (2000 - np.log1p(np.exp(-1)))) < 1e-9
