@@ -21,22 +21,21 @@ def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(other, met, "left").drop(*(f"_o{i}" for i in range(len(by))))
 
 
-def round_trips(series: DataFrame, by: list[str], t: str, x: Column, lo: Column | float, hi: Column | float) -> DataFrame:
+def round_trips(series: DataFrame, by: list[str], t: str, x: Column, lo: Column | float, hi: Column | float, ties: str | None = None) -> DataFrame:
     """Per series: state switches between at-or-below lo and at-or-above hi, the dead band keeping the state; trips are switches // 2.
 
     Rows in the dead band change nothing, so only the others are put in order; a slice's first state meets the last one of
-    the slice before.
+    the slice before. With ties, a column, rows of one time count as one, in the state of the last of them by that column.
     """
-    if one_slice(series):
-        whole = Window.partitionBy(*by).orderBy(t)
-        held = series.withColumn("_s", F.last(F.when(x <= lo, -1).when(x >= hi, 1), ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        moved = held.withColumn("_c", F.coalesce((F.col("_s") != F.lag("_s").over(whole)).cast("int"), F.lit(0)))
-        return moved.groupBy(*by).agg(F.sum("_c").alias("switches")).withColumn("trips", F.floor(F.col("switches") / 2))
     names = series.select(*by).distinct()
-    states = series.withColumn("_s", F.when(x <= lo, -1).when(x >= hi, 1)).where("_s IS NOT NULL").select(*by, t, "_s")
-    order = Window.partitionBy(*by, "_slice").orderBy(t)
+    states = series.withColumn("_s", F.when(x <= lo, -1).when(x >= hi, 1)).where("_s IS NOT NULL").select(*by, t, "_s", *([ties] if ties else []))
     cut_up = sliced(states, by, [t])  # None where few rows are outside of the dead band
-    rows = (states.withColumn("_slice", F.lit(0)) if cut_up is None else cut_up).withColumn("_c", F.coalesce((F.col("_s") != F.lag("_s").over(order)).cast("int"), F.lit(0)))
+    rows = states.withColumn("_slice", F.lit(0)) if cut_up is None else cut_up
+    if ties:  # a time lies in one slice
+        after = F.lead(F.struct(t)).over(Window.partitionBy(*by, "_slice").orderBy(t, ties))
+        rows = rows.withColumn("_next", after).where(~F.col("_next").eqNullSafe(F.struct(t))).drop("_next")
+    order = Window.partitionBy(*by, "_slice").orderBy(t)
+    rows = rows.withColumn("_c", F.coalesce((F.col("_s") != F.lag("_s").over(order)).cast("int"), F.lit(0)))
     ends = rows.groupBy(*by, "_slice").agg(F.sum("_c").alias("_c"), F.min_by("_s", t).alias("_a"), F.max_by("_s", t).alias("_b"))
     crossed = F.coalesce((F.lag("_b").over(Window.partitionBy(*by).orderBy("_slice")) != F.col("_a")).cast("int"), F.lit(0))
     switches = ends.withColumn("_c", F.col("_c") + crossed).groupBy(*by).agg(F.sum("_c").alias("_n"))

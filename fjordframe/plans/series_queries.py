@@ -13,7 +13,7 @@ from fjordframe.plans.standin import AX, FRAMES, KBT, frames, r, rounded
 
 
 def roundtrips(spark, d):
-    return R.round_trips(frames(spark, d), ["walker"], "t", F.col("x"), 20.0, 54.0)
+    return R.round_trips(frames(spark, d), ["walker"], "t", F.col("x"), 20.0, 54.0, "row")
 
 
 def longest_dip(spark, d):
