@@ -148,7 +148,7 @@ def hill_snapshots(hills: DataFrame, axis: Axes, cuts: list[float], cutoff: floa
 
 
 def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axes, cuts: list[float], gamma: float, kbt: float, cutoff: float = 4.0) -> DataFrame:
-    """frames (t, x, ...) once for each cut-off at or after their time, with snap, f and w.
+    """frames (t, x, ...) once for each cut-off at or after their time, with snap, f, w and lw, the logarithm of w.
 
     f is the surface of the hills up to the cut-off, read off by (multi)linear interpolation; w = exp(-(1 - 1/gamma) f / kT)
     over the snapshot's maximum. Hills and frames are read once; snapshots differ in sums over slices between cuts.
@@ -160,13 +160,19 @@ def snapshot_weights(frames: DataFrame, hills: DataFrame, axis: Axes, cuts: list
         met = met.withColumn("_k", k).join(low.select("snap", F.col("k").alias("_k"), F.col("f").alias("_g")), ["snap", "_k"]).withColumn("f", F.col("f") + part * F.col("_g")).drop("_k", "_g")
     met = met.withColumn("_e", -F.lit(1 - 1 / gamma) * F.col("f") / F.lit(kbt))
     tops = met.groupBy("snap").agg(F.max("_e").alias("_m"))
-    return met.join(tops, "snap").withColumn("w", F.exp(F.col("_e") - F.col("_m"))).drop("s", "_e", "_m")
+    return met.join(tops, "snap").withColumn("lw", F.col("_e") - F.col("_m")).withColumn("w", F.exp("lw")).drop("s", "_e", "_m")
+
+
+#: Span of logarithms of weights that are summed together.
+SPAN = 300.0
 
 
 def weighted_bundle(weighted: DataFrame, views: dict[str, tuple[Column, Axis] | list[tuple[Column, Axis]]], kbt: float) -> DataFrame:
     """(view, k, mean, std, n): each view's free energy per snapshot from one weighting, then mean and deviation over snapshots.
 
-    A view is a column with its axis, or a list of them; k is then the place of the bin in row-major order.
+    A view is a column with its axis, or a list of them; k is then the place of the bin in row-major order. Weights are summed by
+    their logarithm (lw, where there is one), each by its span of SPAN, so that a bin whose weights are under the least double
+    keeps its free energy.
     """
     bins = []
     for name, view in views.items():
@@ -174,8 +180,12 @@ def weighted_bundle(weighted: DataFrame, views: dict[str, tuple[Column, Axis] |
         for x, a in view if isinstance(view, list) else [view]:
             k = a.index(x) if k is None else k * a.n + a.index(x)
         bins.append(F.struct(F.lit(name).alias("view"), k.cast("int").alias("k")))
-    h = weighted.select("snap", "w", F.explode(F.array(*bins)).alias("b")).select("snap", "b.view", "b.k", "w").where("k IS NOT NULL").groupBy("snap", "view", "k").agg(F.sum("w").alias("h"))
-    f = h.where("h > 0").withColumn("f", -F.lit(kbt) * F.ln("h"))
+    weight = F.col("lw") if "lw" in weighted.columns else F.ln("w")
+    rows = weighted.select("snap", weight.alias("_l"), F.explode(F.array(*bins)).alias("b")).select("snap", "b.view", "b.k", "_l", F.floor(F.col("_l") / SPAN).alias("_s")).where("k IS NOT NULL AND _l IS NOT NULL")
+    sums = rows.groupBy("snap", "view", "k", "_s").agg(F.sum(F.exp(F.col("_l") - F.col("_s") * SPAN)).alias("_h"))
+    tops = sums.withColumn("_m", F.max("_s").over(Window.partitionBy("snap", "view", "k")))
+    h = tops.groupBy("snap", "view", "k", "_m").agg(F.sum(F.col("_h") * F.exp((F.col("_s") - F.col("_m")) * SPAN)).alias("h"))
+    f = h.withColumn("f", -F.lit(kbt) * (F.ln("h") + F.col("_m") * SPAN)).drop("_m")
     f = f.withColumn("f", F.col("f") - F.min("f").over(Window.partitionBy("snap", "view")))
     m = f.groupBy("view", "k").agg(F.avg("f").alias("mean"), F.stddev_pop("f").alias("std"), F.count("*").alias("n"))
     return m.withColumn("mean", F.col("mean") - F.min("mean").over(Window.partitionBy("view")))
