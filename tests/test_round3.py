@@ -58,6 +58,15 @@ def test_text_in_several_files(spark, monkeypatch, tmp_path):
     assert [r["value"] for r in section] == [f"line {k}" for k in range(250, 610)]
 
 
+def test_text_in_several_files_of_any_name(spark, monkeypatch, tmp_path):
+    """Order over a folder's files does not depend on how their path is written."""
+    monkeypatch.setattr(source_queries, "ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").alias("o"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
+    source_queries._text(rows, "o", path := f"{tmp_path}/run 1+2, 50%25 \u00e4", "# head")
+    back = [r["value"] for r in text.lines(spark, path).orderBy("row").collect()]
+    assert back == ["# head", *(f"line {k}" for k in range(1000))]
+
+
 def test_round_trips_with_ties(spark):
     """Rows of one time count as one, in the state of the last."""
     rows = [(0, 1.0, 0.0, 0), (0, 2.0, 9.0, 1), (0, 2.0, 0.0, 2), (0, 2.0, 5.0, 3), (0, 3.0, 9.0, 4), (1, 1.0, 5.0, 5)]
